@@ -22,6 +22,7 @@ ARROW_ROWS = 512
 def session(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small enough for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, token_store
+from . import exact_dedup, language_id, minhash, mixing, simhash, token_store
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3,
     "op5_language_id": language_id.op5,
+    "op6_simhash": simhash.op6,
+    "op7_minhash": minhash.op7,
     "op9_mixing": mixing.op9,
     "op10_token_store": token_store.op10,
 }

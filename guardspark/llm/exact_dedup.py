@@ -26,6 +26,8 @@ from .common import documents, located, saved, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: A store reserves 4 MB of disk for its manifest unless told not to; there is one store a partition.
+STATE_CONF = {PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def sha256(text: Column) -> Column:
@@ -45,8 +47,9 @@ def stream_state(spark: SparkSession, records: str, schema, max_files: int | Non
     ``foreachBatch`` writes each micro-batch's updates to a folder of its own, overwritten if the
     batch is run again after a failure; the update with the highest batch number is the state.
     """
-    base, before = shared_dir(spark, "dedup-stream"), spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    base, before = shared_dir(spark, "dedup-stream"), {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(schema)
         stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(records)
@@ -60,12 +63,10 @@ def stream_state(spark: SparkSession, records: str, schema, max_files: int | Non
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     last = query.lastProgress
-    if last is None or last["batchId"] == 0:
-        several = False
-    else:
-        several = True
+    several = last is not None and last["batchId"] > 0
     shape = f"digest binary, keep struct<doc_id:{dict(schema_types(schema))['doc_id']},locator:string>, group_size bigint, batch int"
     updates = spark.read.schema(shape).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     state = updates.parquet(f"{base}/updates") if last is not None else spark.createDataFrame([], shape)

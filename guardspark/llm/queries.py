@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash, mixing, simhash, token_store
+from . import exact_dedup, language_id, minhash, mixing, sentencepiece_codec, simhash, token_store
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.op1,
     "op3_exact_dedup": exact_dedup.op3,
     "op5_language_id": language_id.op5,
     "op6_simhash": simhash.op6,

@@ -6,8 +6,8 @@ position (single-pass Viterbi over the pieces' stored scores). Characters that n
 ``least score - 10`` each and come out as their UTF-8 bytes' pieces (byte fallback), or as the unknown
 id where the model has no byte pieces. Ties go to the longer last piece.
 
-Scores are those stored in the model file. The ids are what the public library gives for the same
-file with its model type set to unigram; tests compare the two. A file trained as BPE holds the
+Scores are those stored in the model file. The ids are the best of the public library's n-best lattice
+for the same file with its model type set to unigram; tests compare the two. A file trained as BPE holds the
 merge ranks as scores, so its ids here are the best-scored segmentation and not the greedy merges.
 
 Between words the automaton is back at a state where nothing ends across the border: no piece holds a

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash, mixing, sentencepiece_codec, simhash, token_store
+from . import exact_dedup, language_id, minhash, mixing, sentencepiece_codec, simhash, substring_dedup, token_store
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language_id": language_id.op5,
     "op6_simhash": simhash.op6,
     "op7_minhash": minhash.op7,
+    "op8_substring_dedup": substring_dedup.op8,
     "op9_mixing": mixing.op9,
     "op10_token_store": token_store.op10,
 }

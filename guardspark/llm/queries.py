@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash, mixing, sentencepiece_codec, simhash, substring_dedup, token_store
+from . import exact_dedup, language_id, minhash, mixing, quality, sentencepiece_codec, simhash, substring_dedup, token_store
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
     "op3_exact_dedup": exact_dedup.op3,
+    "op4_quality": quality.op4,
     "op5_language_id": language_id.op5,
     "op6_simhash": simhash.op6,
     "op7_minhash": minhash.op7,

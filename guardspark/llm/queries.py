@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash, mixing, quality, sentencepiece_codec, simhash, substring_dedup, token_store
+from . import exact_dedup, language_id, minhash, mixing, quality, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_store
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
+    "op2_secret_scan": secret_scan.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_quality": quality.op4,
     "op5_language_id": language_id.op5,

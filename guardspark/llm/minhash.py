@@ -12,12 +12,13 @@ space). Documents are linked when ``100 * |A & B| >= 85 * |A | B|``; components
    band's *hub* is its smallest representative; the other members are paired with the hub.
 4. **Estimate, then verify.** Pairs of registers that agree, less the collisions that sets of these sizes
    make by chance, estimate the similarity; pairs below ``PRUNE`` (five standard deviations under the
-   limit) go. The rest are confirmed on the full sets.
+   limit) go. The rest are confirmed on the full sets, which are built once for the documents that have a
+   promising partner.
 5. **Components** by alternating large-star and small-star steps, each written out.
-6. **Nothing lost.** Members of one band that are still in different components were compared with their hub
-   only. All such pairs are now estimated and verified as well, in blocks of ``BLOCK_ROWS`` a side, and the
-   components are formed again. Groups of near copies are one component after step 5, so no step emits
-   all pairs of a group.
+6. **Nothing lost.** Members of one band that are still in different components met their hub only. All
+   such pairs are compared as well, in blocks of ``BLOCK_ROWS`` a side that hold the full sets: a block
+   gives the links that join its components, at most one fewer than its members, and never its pairs.
+   The components are then formed again.
 
 Defined cases: null or empty text, or one without words, has an empty set, is linked with nothing and
 is its own component; with fewer than 5 words the whole sequence is the one shingle; rows with null
@@ -32,7 +33,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, saved, session, text_batches
@@ -45,7 +46,7 @@ MANTISSA = 10
 BANDS, ROWS = 25, 5
 #: Five standard deviations of the estimate (sqrt(.85 * .15 / 128) = .032) under the limit.
 PRUNE = 0.69
-BLOCK_ROWS = 256
+BLOCK_ROWS = 512
 PROBES = 256
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -143,47 +144,98 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """band, rep: the band keys of each representative that shares one."""
+    """band (a key), k (its number), rep: the bands of each representative."""
     cut = [F.struct(F.lit(k).alias("k"), F.substring("registers", 2 * ROWS * k + 1, 2 * ROWS).alias("r")) for k in range(BANDS)]
-    return reps.select("rep", F.explode(F.array(*[F.xxhash64(c) for c in cut])).alias("band"))
+    keyed = F.array(*[F.struct(F.xxhash64(c).alias("band"), c["k"].alias("k")) for c in cut])
+    return reps.select("rep", F.explode(keyed).alias("_b")).select("_b.band", "_b.k", "rep")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose registers promise enough and whose full sets confirm the link."""
-    regs = lambda side: reps.select(F.col("rep").alias(side), F.col("registers").alias(f"r{side}"), F.col("n_shingles").alias(f"n{side}"))
+def in_blocks(rows: DataFrame, size: Column, *columns: str) -> DataFrame:
+    """Rows of a band (``size`` of them) dealt to pairs of blocks i <= j, sorted; ``own`` is the row's block.
 
-    def promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                n, m = pdf["na"].to_numpy(), pdf["nb"].to_numpy()
-                agree = (matrix(pdf["ra"]) == matrix(pdf["rb"])).sum(1)
-                keep = (estimate(agree, n, m) >= PRUNE) & (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
-                yield pdf.loc[keep, ["a", "b"]]
+    A band holds as many tasks as it needs, so one that many documents share never meets in one.
+    """
+    rows = rows.withColumn("_n", F.ceil(size / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.select("band", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "rep", *columns)
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def block_pairs(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, later rows that k is to be compared with): rows of the other block, or of the same one where there is one block only."""
+    own = group["own"].to_numpy()
+    cross = group["i"].iloc[0] != group["j"].iloc[0]
+    for k in range(len(own) - 1):
+        yield k, (np.flatnonzero(own[k + 1 :] != own[k]) if cross else np.arange(len(own) - k - 1)) + k + 1
+
+
+def agreeing(registers_: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    return (registers_[at] == registers_[k]).sum(1)
+
+
+def promising(agree: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the corrected estimate and the set sizes leave the limit within reach."""
+    return (estimate(agree, n, m) >= PRUNE) & (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
+
+
+def with_partner(multi: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep: those with a promising partner in one of their bands."""
+    size = multi.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    rows = multi.join(size, "band").join(reps.select("rep", "registers", "n_shingles"), "rep")
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in sorted_groups(batches, ["band", "i", "j"]):
+            reg, n = matrix(g["registers"]), g["n_shingles"].to_numpy()
+            hit = np.zeros(len(g), bool)
+            for k, at in block_pairs(g):
+                if len(at):
+                    good = at[promising(agreeing(reg, k, at), np.full(len(at), n[k]), n[at])]
+                    hit[good] = True
+                    hit[k] |= bool(len(good))
+            if hit.any():
+                yield pd.DataFrame({"rep": g["rep"].to_numpy()[hit]})
 
-    likely = pairs.join(regs("a"), "a").join(regs("b"), "b").mapInPandas(promising, "a bigint, b bigint")
-    likely = saved(likely, "pairs")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return in_blocks(rows, F.col("n"), "registers", "n_shingles").mapInPandas(pick, "rep bigint").distinct()
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, items: the whole sets of the wanted documents, packed."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for pdf in batches:
             (texts,) = next(text_batches([pdf], "text"))
-            yield pd.DataFrame({"rep": pdf["doc_id"], "items": [shingles(t, words).tobytes() for t in texts]})
+            yield pd.DataFrame({"rep": pdf["rep"], "items": [shingles(t, words).tobytes() for t in texts]})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    # One plan at every size: texts are dealt by doc_id.
+    return texts.join(wanted.hint("merge"), "rep", "left_semi").mapInPandas(sets, "rep bigint, items binary").dropDuplicates(["rep"])
+
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    items = saved(texts.mapInPandas(sets, "rep bigint, items binary"), "sets")
+def linked(x: bytes, y: bytes) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
+
+
+def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose registers promise enough and whose full sets confirm the link."""
+    regs = lambda side: reps.select(F.col("rep").alias(side), F.col("registers").alias(f"r{side}"), F.col("n_shingles").alias(f"n{side}"))
     side = lambda x: items.select(F.col("rep").alias(x), F.col("items").alias(f"s{x}"))
 
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                agree = (matrix(pdf["ra"]) == matrix(pdf["rb"])).sum(1)
+                yield pdf.loc[promising(agree, pdf["na"].to_numpy(), pdf["nb"].to_numpy()), ["a", "b"]]
+
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
+            keep = [linked(x, y) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    return likely.join(side("a"), "a").join(side("b"), "b").mapInPandas(confirm, "a bigint, b bigint")
+    good = pairs.join(regs("a"), "a").join(regs("b"), "b").mapInPandas(likely, "a bigint, b bigint")
+    return good.join(side("a"), "a").join(side("b"), "b").mapInPandas(confirm, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,31 +257,37 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def leftover(multi: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a band, lie in different components and have promising registers."""
-    known = multi.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-    mixed = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    known = known.join(mixed.select("band", blocks.alias("blocks")), "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    known = known.join(reps.select("rep", "registers", "n_shingles"), "rep")
-    known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    known = known.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "registers", "n_shingles")
-    known = known.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+def first_band(x: np.ndarray, ys: np.ndarray, rep: int, reps: np.ndarray) -> np.ndarray:
+    """The one of a pair's shared bands in which it is compared: the next after a band drawn from both ids."""
+    same = (ys[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) == x[: BANDS * ROWS].reshape(BANDS, ROWS)).all(2)
+    turn = (np.arange(BANDS) + ((rep + reps) % BANDS)[:, None]) % BANDS
+    return np.take_along_axis(turn, np.take_along_axis(same, turn, 1).argmax(1)[:, None], 1).ravel()
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(batches, ["band", "i", "j"]):
-            reg, rep, comp, own, n = matrix(g["registers"]), g["rep"].to_numpy(), g["comp"].to_numpy(), g["own"].to_numpy(), g["n_shingles"].to_numpy()
-            cross = g["i"].iloc[0] != g["j"].iloc[0]
-            for k in range(len(rep) - 1):
-                # The hub of the band met everyone already.
-                at = np.flatnonzero((comp[k + 1 :] != comp[k]) & ((own[k + 1 :] != own[k]) | (not cross))) + k + 1
-                if len(at):
-                    agree = (reg[at] == reg[k]).sum(1)
-                    at = at[agree >= (PRUNE - 0.02) * BUCKETS]
-                    if len(at):
-                        yield pd.DataFrame({"a": np.minimum(rep[at], rep[k]), "b": np.maximum(rep[at], rep[k])})
 
-    return known.mapInPandas(pairs, "a bigint, b bigint").distinct()
+def joining(multi: DataFrame, reps: DataFrame, items: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of one band, enough of them to join all that are linked."""
+    known = multi.join(items.select("rep"), "rep", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("band", "k", "rep", F.coalesce("comp", "rep").alias("comp"))
+    mixed = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("band", "n")
+    rows = known.join(mixed, "band").join(reps.select("rep", "registers", "n_shingles"), "rep").join(items, "rep")
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in sorted_groups(batches, ["band", "i", "j"]):
+            reg, n, rep, items_, band = matrix(g["registers"]), g["n_shingles"].to_numpy(), g["rep"].to_numpy(), g["items"].tolist(), int(g["k"].iloc[0])
+            comp = np.unique(g["comp"].to_numpy(), return_inverse=True)[1]
+            out = []
+            for k, at in block_pairs(g):
+                at = at[comp[at] != comp[k]]
+                at = at[promising(agreeing(reg, k, at), np.full(len(at), n[k]), n[at])] if len(at) else at
+                at = at[first_band(reg[k], reg[at], rep[k], rep[at]) == band] if len(at) else at
+                for other in at:
+                    if comp[other] != comp[k] and linked(items_[k], items_[other]):
+                        out.append((min(rep[k], rep[other]), max(rep[k], rep[other])))
+                        comp[comp == comp[other]] = comp[k]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    return in_blocks(rows, F.col("n"), "k", "comp", "registers", "n_shingles", "items").mapInPandas(links, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -244,11 +302,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = bands(reps)
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
     multi = saved(banded.join(hubs, "band"), "bands")
+    items = saved(full_sets(docs, with_partner(multi, reps)), "sets")
     stars = multi.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = saved(verified(stars, reps, docs), "links")
+    links = saved(confirmed(stars, reps, items), "links")
     comps = components(links)
-    more = leftover(multi, reps, comps).join(stars, ["a", "b"], "left_anti")
-    more = saved(verified(more, reps, docs), "links")
+    more = saved(joining(multi, reps, items, comps), "links")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     found = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))

@@ -28,7 +28,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -40,7 +41,7 @@ from .common import documents, session, text_batches
 
 MARK = "▁"
 #: Words in the cache of a worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 UNKNOWN_PENALTY = 10.0
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -51,6 +52,19 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class Words(dict):
+    """Ids of words as little-endian 32-bit bytes; bounded."""
+
+    def __init__(self, viterbi: Callable[[str], list[int]]):
+        self.viterbi = viterbi
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = np.array(self.viterbi(word), "<u4").tobytes()
+        return value
+
+
 class Codec:
     """Encoder and decoder over the pieces and scores of a model file."""
 
@@ -78,7 +92,7 @@ class Codec:
         self.penalty = min([pieces[k][1] for k in normal], default=0.0) - UNKNOWN_PENALTY
         self.by_word = not any(MARK in self.pieces[k].lstrip(MARK) for k in normal)
         self.controls = skip - {unknown}
-        self.cache: dict[str, bytes] = {}
+        self.words = Words(self.viterbi)
 
     def viterbi(self, text: str) -> list[int]:
         """Best segmentation of a normalised text, in one pass of the automaton."""
@@ -123,16 +137,7 @@ class Codec:
         text = MARK + text.replace(" ", MARK)
         if not self.by_word:
             return np.array(self.viterbi(text), "<u4").tobytes()
-        words, cache = WORD.findall(text), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            if len(cache) >= CACHE_WORDS:
-                cache.clear()
-            for w in words:
-                if w not in cache:
-                    cache[w] = np.array(self.viterbi(w), "<u4").tobytes()
-            return b"".join([cache[w] for w in words])
+        return b"".join(map(self.words.__getitem__, WORD.findall(text)))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
@@ -155,6 +160,12 @@ class Codec:
         return self._utf8
 
 
+@cache
+def codec_at(model: str) -> Codec:
+    """One codec a worker."""
+    return Codec(model)
+
+
 def encode_column(docs: DataFrame, model: str, column: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``column`` as ``array<int>`` in ``into`` (replacing a column of that name)."""
     session(docs.sparkSession)
@@ -162,7 +173,7 @@ def encode_column(docs: DataFrame, model: str, column: str = "text", into: str =
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model)
+        codec = codec_at(model)
         for pdf in batches:
             (texts,) = next(text_batches([pdf], column))
             yield pdf.assign(**{into: [np.frombuffer(codec.packed(t), np.int32) for t in texts]})
@@ -177,7 +188,7 @@ def decode_column(rows: DataFrame, model: str, column: str = "ids", into: str =
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model)
+        codec = codec_at(model)
         for pdf in batches:
             yield pdf.assign(**{into: [None if v is None else codec.decode(list(v)) for v in pdf[column]]})
 
@@ -190,7 +201,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     key = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model)
+        codec = codec_at(model)
         for pdf in batches:
             (texts,) = next(text_batches([pdf], "text"))
             ids = [codec.packed(t) for t in texts]

@@ -20,8 +20,10 @@ on to the next level), so a lookup takes a constant expected number of probes, t
 the stored fingerprint, then one slice of the payload. A shard is cut at ``SHARD_IDS`` ids, so neither
 writer nor reader ever holds more than that and one document.
 
-Tokenising caches ids by white-space chunk: this pre-tokeniser never joins characters across a
-space, tab or line feed, so a text's ids are those of its chunks in order (tested against whole texts).
+Tokenising caches the library's ids by pre-token, bounded and shared by a worker's tasks. Texts within
+Latin-1 are cut into pre-tokens by the tokenizer's own split pattern; others, and texts with the marks
+of special tokens, go by white-space chunk through the whole tokenizer, whose pattern never joins
+characters across a space, tab or line feed. Tests compare both with whole texts.
 
 Defined cases: null text is empty and has the end id alone; a null doc_id sorts first under a
 reserved key; rows that repeat a doc_id stay separate documents, adjacent in the store, and the index
@@ -32,7 +34,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -44,12 +47,17 @@ from .common import documents, session, shared_dir, text_batches
 
 END_ID = 1
 SHARD_IDS = 1 << 18
-CACHE_CHUNKS = 300_000
+CACHE_PIECES = 250_000
 #: Stands for a null doc_id.
 NULL_KEY = -(2**63)
 GAMMA = 1.5
 STORE = "part int, seq int, n_docs bigint, n_tokens bigint, first_key bigint, last_key bigint, keys binary, payload binary, levels binary, slots binary, ends binary"
 SPACES = re.compile("[ \t\n]+")
+#: The tokenizer's split pattern, its letter and number classes spelled out for Latin-1 in lower case.
+LETTER, NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")
+#: Texts on which lower case, composition and white space are the same here as in the library.
+PLAIN = re.compile("[\t-\r -~\x85\xa0-\xff]*")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -115,28 +123,51 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mixed(keys.astype(np.int64).view(np.uint64), 977) >> np.uint64(32)).astype(np.uint32)
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian 32-bit bytes, with the end id; a bounded cache by chunk."""
+def byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256, 257, ... in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class Pieces(dict):
+    """Ids of strings as little-endian 32-bit bytes, by ``find``; bounded."""
+
+    def __init__(self, find: Callable[[str], list[int]]):
+        self.find = find
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        value = self[text] = np.array(self.find(text), "<u4").tobytes()
+        return value
+
+
+class Encoder:
+    """Ids of texts as little-endian 32-bit bytes, with the end id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        model, letters = tokenizer.model, str.maketrans(byte_letters())
+        # A pre-token goes straight to the library's model, a chunk through the whole tokenizer.
+        self.pieces = Pieces(lambda t: [x.id for x in model.tokenize(t.encode().decode("latin-1").translate(letters))])
+        self.chunks = Pieces(lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
         self.end = np.uint32(END_ID).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [SPACES.split(t) if t else [] for t in texts]
-        new = list({c for chunks in split for c in chunks} - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache.clear()
-            new = list({c for chunks in split for c in chunks})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) + self.end for chunks in split]
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return self.end
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower()))) + self.end
+        return b"".join(map(self.chunks.__getitem__, SPACES.split(text))) + self.end
+
+
+@cache
+def encoder_at(path: str) -> Encoder:
+    """One encoder a worker."""
+    return Encoder(path)
 
 
 def shard(part: int, seq: int, keys: list[int], ids: list[bytes]) -> dict:
@@ -162,15 +193,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, part, seq = ChunkEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_at(tokenizer), TaskContext.get().partitionId(), 0
         keys: list[int] = []
         ids: list[bytes] = []
         held = 0
         for ks, texts in text_batches(batches, "key", "text"):
-            for k, b in zip(ks, encoder.encode(texts), strict=True):
+            for k, text in zip(ks, texts, strict=True):
                 keys.append(int(k))
-                ids.append(b)
-                held += len(b) // 4
+                ids.append(encoder.encode(text))
+                held += len(ids[-1]) // 4
                 if held >= SHARD_IDS:
                     yield pd.DataFrame([shard(part, seq, keys, ids)])
                     seq, keys, ids, held = seq + 1, [], [], 0

@@ -1,4 +1,4 @@
-"""Every query of the engine's own operators, with its SQL counterpart."""
+"""Every query of the engine's own operators, with its SQL counterpart. Modules of queries register here."""
 
 from __future__ import annotations
 
@@ -6,5 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is there already")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    from guardspark.plans import classify, flow, govern, ledger, wire  # noqa: F401
+
+
+load()

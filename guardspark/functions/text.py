@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,8 +24,19 @@ def any_of(terms: list[str]) -> str:
     return "(?i)" + "|".join(escape(terms[k]) for k in order)
 
 
-def found(text: Column, pattern: str) -> Column:
-    return text.rlike(pattern)
+def maybe(text: Column, terms: list[str]) -> Column:
+    """False only where no term occurs in any case: a cheap byte search in front of a pattern."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [low.contains(t.lower()) for t in dict.fromkeys(terms)])
+
+
+def has_any(text: Column, terms: list[str]) -> Column:
+    """Whether a term occurs, in any ASCII case."""
+    return maybe(text, terms) & text.rlike(any_of(terms))
+
+
+def count_any(text: Column, terms: list[str]) -> Column:
+    return F.when(maybe(text, terms), F.regexp_count(text, F.lit(any_of(terms)))).otherwise(0)
 
 
 def first(text: Column, pattern: str) -> Column:

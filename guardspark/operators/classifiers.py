@@ -7,6 +7,7 @@ Every built-in stays inside JVM expressions. A classifier is anything with ``nam
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -25,7 +26,9 @@ class Classifier(Protocol):
     name: str
     tier: str
 
-    def result(self, text: Column) -> Column: ...
+    def result(self, text: Column, detail: bool = True) -> Column:
+        """``detail`` asks for spans, all scores and extras; label and score are always there."""
+        ...
 
 
 def result(label: Column, score: Column, spans: Column | None = None, model: Column | None = None, all_scores: Column | None = None, extra: Column | None = None) -> Column:
@@ -52,29 +55,33 @@ class Pattern:
         self.name, self.tier, self.patterns = name, "A", patterns
         self.regex = T.any_of([p for _, p in patterns])
 
-    def result(self, text: Column) -> Column:
-        hit = F.lower(T.first(text, self.regex))
+    def result(self, text: Column, detail: bool = True) -> Column:
+        hit = F.when(T.maybe(text, [p for _, p in self.patterns]), F.lower(T.first(text, self.regex))) if self.patterns else F.lit(None)
         label = F.coalesce(*[F.when(hit == p.lower(), F.lit(name)) for name, p in self.patterns], F.lit("clean")) if self.patterns else F.lit("clean")
         if not self.patterns:
             return result(label, F.lit(0.0))
-        return result(label, hit.isNotNull().cast("double"), T.all_spans(text, self.regex))
+        return result(label, hit.isNotNull().cast("double"), T.all_spans(text, self.regex) if detail else None)
 
 
 class Pii:
     name, tier = "pii_detector", "A"
 
-    def result(self, text: Column) -> Column:
-        hits = [T.first(text, "(?U)" + p) for _, p in L.PII]
-        spans = F.array_compact(F.array(*[T.first_span(text, "(?U)" + p) for _, p in L.PII]))
-        kinds = F.array_compact(F.array(*[F.when(h.isNotNull(), pair("pii_type", F.lit(k))) for (k, _), h in zip(L.PII, hits, strict=True)]))
-        any_hit = F.size(kinds) > 0
-        return result(F.when(any_hit, "pii_detected").otherwise("no_pii"), any_hit.cast("double"), spans, extra=kinds)
+    def result(self, text: Column, detail: bool = True) -> Column:
+        # An address needs its sign and a number its digits: most texts are done after these.
+        may = {k: text.contains("@") if k == "email" else text.rlike(r"\p{Nd}") for k, _ in L.PII}
+        hits = {k: may[k] & text.rlike("(?U)" + p) for k, p in L.PII}
+        any_hit = reduce(lambda a, b: a | b, hits.values())
+        label, score = F.when(any_hit, "pii_detected").otherwise("no_pii"), any_hit.cast("double")
+        if not detail:
+            return result(label, score)
+        spans = F.array_compact(F.array(*[F.when(hits[k], T.first_span(text, "(?U)" + p)) for k, p in L.PII]))
+        return result(label, score, spans, extra=F.array_compact(F.array(*[F.when(hits[k], pair("pii_type", F.lit(k))) for k, _ in L.PII])))
 
 
 class Toxicity:
     name, tier = "toxicity", "B"
 
-    def result(self, text: Column) -> Column:
+    def result(self, text: Column, detail: bool = True) -> Column:
         low = F.lower(text)
         score = T.clamp(T.count_true([low.contains(w) for w in L.TOXIC]) * 0.35, 0.0, 0.95)
         return result(F.when(score > 0.5, "toxic").otherwise("safe"), score, model=F.lit("toxicity-lexicon"))
@@ -86,10 +93,10 @@ class Sentiment:
     def __init__(self, name: str = "sentiment"):
         self.name = name
 
-    def result(self, text: Column) -> Column:
-        pos, neg = (F.regexp_count(text, F.lit(T.any_of(w))).cast("double") for w in (L.POSITIVE, L.NEGATIVE))
+    def result(self, text: Column, detail: bool = True) -> Column:
+        pos, neg = (T.count_any(text, w).cast("double") for w in (L.POSITIVE, L.NEGATIVE))
         score = F.when(pos + neg == 0, 0.5).otherwise(F.try_divide(pos, pos + neg))
-        return result(F.when(score >= 0.5, "positive").otherwise("negative"), score, model=F.lit("sentiment-lexicon"), all_scores=binary_scores(score))
+        return result(F.when(score >= 0.5, "positive").otherwise("negative"), score, model=F.lit("sentiment-lexicon"), all_scores=binary_scores(score) if detail else None)
 
 
 class Cascade:
@@ -100,18 +107,23 @@ class Cascade:
     def __init__(self, name: str, categories: list[tuple[str, float, str | None, list[str]]], default: tuple[str, float]):
         self.name, self.categories, self.default = name, categories, default
 
-    def result(self, text: Column) -> Column:
-        label = score = spans = extra = None
-        for name, value, reference, terms in self.categories:
-            regex = T.any_of(terms)
-            hit = text.rlike(regex)
+    def result(self, text: Column, detail: bool = True) -> Column:
+        k = None
+        for n, (_, _, _, terms) in enumerate(self.categories):
+            hit = T.has_any(text, terms)
+            k = F.when(hit, n) if k is None else k.when(hit, n)
+        assert k is not None
+        k = k.otherwise(len(self.categories))
+        label = F.get(F.array(*[F.lit(c[0]) for c in self.categories], F.lit(self.default[0])), k)
+        score = F.get(F.array(*[F.lit(c[1]) for c in self.categories], F.lit(self.default[1])), k)
+        if not detail:
+            return result(label, score)
+        spans, extra = F.when(k == -1, F.array().cast(T.SPAN)), F.when(k == -1, F.array().cast(EXTRA))
+        for n, (name, _, reference, terms) in enumerate(self.categories):
             tail = [pair("category", F.lit(name))] + ([pair("fca_reference", F.lit(reference))] if reference else [])
-            found = F.concat(F.transform(T.matches(text, regex), lambda m: pair("matched_pattern", F.lower(m))), F.array(*tail))
-            branch = lambda acc, v: F.when(hit, v) if acc is None else acc.when(hit, v)  # noqa: B023, E731
-            label, score = branch(label, F.lit(name)), branch(score, F.lit(value))
-            spans, extra = branch(spans, T.all_spans(text, regex)), branch(extra, found)
-        assert label is not None and score is not None and spans is not None and extra is not None
-        return result(label.otherwise(self.default[0]), score.otherwise(self.default[1]), spans.otherwise(F.array().cast(T.SPAN)), extra=extra.otherwise(F.array(pair("category", F.lit(self.default[0])))))
+            found = F.concat(F.transform(T.matches(text, T.any_of(terms)), lambda m: pair("matched_pattern", F.lower(m))), F.array(*tail))
+            spans, extra = spans.when(k == n, T.all_spans(text, T.any_of(terms))), extra.when(k == n, found)
+        return result(label, score, spans.otherwise(F.array().cast(T.SPAN)), extra=extra.otherwise(F.array(pair("category", F.lit(self.default[0])))))
 
 
 def prompt_injection(name: str = "prompt-injection") -> Cascade:
@@ -132,7 +144,7 @@ class Noop:
     def __init__(self, name: str):
         self.name = name
 
-    def result(self, text: Column) -> Column:
+    def result(self, text: Column, detail: bool = True) -> Column:
         return result(F.lit("clean"), F.lit(0.0))
 
 
@@ -150,7 +162,7 @@ class Sequence:
     def __init__(self, name: str = "sequence", labels: list[str] | None = None, threshold: float = 0.5):
         self.name, self.labels, self.threshold = name, labels or [], threshold
 
-    def result(self, text: Column) -> Column:
+    def result(self, text: Column, detail: bool = True) -> Column:
         words = F.transform(F.split(text, "[^A-Za-z]+"), F.lower)
         hits = lambda terms: F.size(F.filter(words, lambda w: w.isin(terms))).cast("double")
         pos, neg = hits(L.SEQUENCE_POSITIVE), hits(L.SEQUENCE_NEGATIVE)
@@ -178,7 +190,7 @@ class VectorClassifier:
     def __init__(self, name: str, score: Callable[[pd.Series], pd.DataFrame], tier: str = "C"):
         self.name, self.tier, self._score = name, tier, score
 
-    def result(self, text: Column) -> Column:
+    def result(self, text: Column, detail: bool = True) -> Column:
         run, model = self._score, self.name
 
         @F.pandas_udf("label string, score double")

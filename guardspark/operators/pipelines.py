@@ -164,10 +164,10 @@ class Pipeline:
             so_far = F.concat(so_far, stage.results(columns, so_far))
         return so_far
 
-    def run(self, df: DataFrame, text: str = "text", into: str = "results") -> DataFrame:
-        """``df`` with the results array; classifier columns are temporary."""
+    def run(self, df: DataFrame, text: str = "text", into: str = "results", detail: bool = False) -> DataFrame:
+        """``df`` with the results array; classifier columns are temporary. Spans and extras only if ``detail`` asks for them."""
         names = {key: f"_clf_{k}" for k, key in enumerate(self.classifiers())}
-        df = df.withColumns({names[key]: c.result(F.col(text)) for key, c in self.classifiers().items()}) if names else df
+        df = df.withColumns({names[key]: c.result(F.col(text), detail) for key, c in self.classifiers().items()}) if names else df
         return df.withColumn(into, self.results({key: F.col(n) for key, n in names.items()})).drop(*names.values())
 
 

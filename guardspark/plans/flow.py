@@ -101,10 +101,14 @@ def ph_stream_egress(spark: SparkSession, sf: str) -> DataFrame:
     return phases.stream_egress(X.chunks(spark, sf), default_plan()).select("stream_id", "seq", "output")
 
 
+def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream; the pattern makes a single file as good as a folder of files."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).parquet(f"{sf}/{name}.parque[t]")
+
+
 def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The chunks of ``conversations`` as a stream of ``stream_id, seq, chunk, done``."""
-    path = f"{sf}/conversations.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    rows = table_stream(spark, sf, "conversations")
     phrase = F.get(F.array(*map(F.lit, X.PHRASES)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(X.PHRASES))).cast("int"))
     chunk = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)) == 0, F.concat_ws(" ", "text", phrase)).otherwise(F.col("text"))
     return rows.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), chunk.alias("chunk"), F.lit(False).alias("done"))
@@ -165,8 +169,7 @@ def src_http_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{sf}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return table_stream(spark, sf, "events")
 
 
 def audit_stream(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Structured Streaming versions of the ordered operators, and the sinks.
 
-State is held per ``stream_id`` (a bounded list of chunks) and freed when a stream says it is done or has
-been silent for ``IDLE_MS`` of processing time. Inside a micro-batch a stream's rows are taken in ``seq``
+State is held per ``stream_id`` (a bounded list of chunks) and freed when a stream says it is done or, where
+``idle_ms`` is given, has been silent for so long in processing time. Give it for live sources; a run to a
+source's end (``availableNow``) goes without, as a timeout keeps a query waiting. Inside a micro-batch a stream's rows are taken in ``seq``
 order; across batches in arrival order. Pipelines and policies run after the stateful step, as the same
 Column projections as in batch.
 """
@@ -20,7 +21,10 @@ from guardspark.operators import phases
 from guardspark.operators.context import ContextConfig
 from guardspark.operators.phases import Plan
 
-IDLE_MS = 3_600_000
+
+def timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -39,7 +43,7 @@ def rows_in_order(pdfs: Iterator[pd.DataFrame]) -> list[tuple]:
     return sorted(rows, key=lambda r: r[0])
 
 
-def context_stream(chunks: DataFrame, config: ContextConfig, prefix: bool = False) -> DataFrame:
+def context_stream(chunks: DataFrame, config: ContextConfig, prefix: bool = False, idle_ms: int | None = None) -> DataFrame:
     """``stream_id, seq, chunk, done`` to ``stream_id, seq, chunk, context, prefix``; ``done`` resets the stream.
 
     The growing prefix is kept only where it is asked for.
@@ -60,16 +64,17 @@ def context_stream(chunks: DataFrame, config: ContextConfig, prefix: bool = Fals
                 held, whole = [], ""
         if held:
             state.update((held, whole))
-            state.setTimeoutDuration(IDLE_MS)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["stream_id", "seq", "chunk", "context", "prefix"])
 
     shape = "stream_id bigint, seq bigint, chunk string, context string, prefix string"
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, shape, "held array<string>, whole string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, shape, "held array<string>, whole string", "append", timeout(idle_ms))
 
 
-def holdback_stream(chunks: DataFrame, hold: int) -> DataFrame:
+def holdback_stream(chunks: DataFrame, hold: int, idle_ms: int | None = None) -> DataFrame:
     """Each chunk leaves ``hold`` chunks late; the rest leaves when its stream is done or idle."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -86,12 +91,13 @@ def holdback_stream(chunks: DataFrame, hold: int) -> DataFrame:
                     out.append(held.pop(0))
         if held:
             state.update(([s for s, _ in held], [c for _, c in held]))
-            state.setTimeoutDuration(IDLE_MS)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame([(key[0], *r) for r in out], columns=["stream_id", "seq", "chunk"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, seq bigint, chunk string", "seqs array<bigint>, chunks array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, seq bigint, chunk string", "seqs array<bigint>, chunks array<string>", "append", timeout(idle_ms))
 
 
 def chain_stream(events: DataFrame) -> DataFrame:

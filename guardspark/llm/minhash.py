@@ -21,9 +21,9 @@ space). Documents are linked when ``100 * |A & B| >= 85 * |A | B|``; components
    The components are then formed again.
 
 Defined cases: null or empty text, or one without words, has an empty set, is linked with nothing and
-is its own component; with fewer than 5 words the whole sequence is the one shingle; rows with null
-doc_id are left out of links and come back as their own component; rows that repeat a doc_id come
-back each; an empty table gives an empty result; extra columns are ignored.
+is its own component; with fewer than 5 words the whole sequence is the one shingle; a row with null
+doc_id takes the component of the documents with its set, or null and stays; rows that repeat a
+doc_id come back each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     out = sketched.join(found, "set_key", "left")
     comp = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, comp.isNull()).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

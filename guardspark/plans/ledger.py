@@ -310,7 +310,7 @@ def tenant_rows(spark: SparkSession) -> DataFrame:
 
 
 _HTTP = """http AS (SELECT event_id AS request_id, (['/alpha/v1/chat', '/v1/chat', '//gamma/v1/x', '/nobody/v1/x', '/beta/v2/x', '/v1/v1/x', 'beta/v1'])[(event_id % 7 + 1)::INT] AS path,
-  ([NULL, 'beta', 'nobody', ''])[(event_id % 4 + 1)::INT] AS x_tenant_id, (['Bearer sk-1', 'sk-1', ' key-a ', 'Bearer  tok 2', 'tok 2', NULL])[(event_id // 7 % 6 + 1)::INT] AS authorization FROM events)"""
+  ([NULL, 'beta', 'nobody', ''])[(event_id % 4 + 1)::INT] AS x_tenant_id, (['Bearer sk-1', 'sk-1', ' key-a ', 'Bearer  tok 2', 'tok 2', NULL])[(event_id // 7 % 6 + 1)::INT] AS "authorization" FROM events)"""
 
 
 def http(spark: SparkSession, sf: str) -> DataFrame:
@@ -323,7 +323,7 @@ def http(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PATH = "CASE WHEN split_part(ltrim(path, '/'), '/', 2) = 'v1' AND split_part(ltrim(path, '/'), '/', 1) <> 'v1' THEN split_part(ltrim(path, '/'), '/', 1) END"
-_KEY = "CASE WHEN starts_with(trim(authorization), 'Bearer ') THEN trim(trim(authorization)[8:]) WHEN starts_with(trim(authorization), 'sk-') OR starts_with(trim(authorization), 'key-') THEN trim(authorization) END"
+_KEY = '''CASE WHEN starts_with(trim("authorization"), 'Bearer ') THEN trim(substr(trim("authorization"), 8)) WHEN starts_with(trim("authorization"), 'sk-') OR starts_with(trim("authorization"), 'key-') THEN trim("authorization") END'''
 query("ten_path", f"WITH {_HTTP} SELECT request_id, {_PATH} AS tenant FROM http")(lambda spark, sf: http(spark, sf).select("request_id", N.path_tenant(F.col("path")).alias("tenant")))
 query("ten_key", f"WITH {_HTTP} SELECT request_id, {_KEY} AS api_key FROM http")(lambda spark, sf: http(spark, sf).select("request_id", N.api_key(F.col("authorization")).alias("api_key")))
 _RESOLVED = f"""WITH {_HTTP}, ten AS (SELECT * FROM {_TENANTS}), k AS (SELECT id, unnest(api_keys) AS k FROM ten)

@@ -78,7 +78,9 @@ def mix(docs: DataFrame) -> DataFrame:
     rows, targets = rows.withColumn("key", F.to_json(F.struct("source"))), targets.withColumn("key", F.to_json(F.struct("source")))
     buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS)
     unit = F.conv(F.substring("md5", 1, 8), 16, 10).cast("double") / float(2**32)
-    rows = rows.join(targets.drop("source"), "key").withColumn("bucket", F.floor(unit * buckets))
+    # Dealt by source and bucket: the join's own deal by source alone would otherwise serve the window below,
+    # and a large source would meet in one task.
+    rows = rows.join(targets.drop("source"), "key").withColumn("bucket", F.floor(unit * buckets)).repartition("key", "bucket")
     before = rows.groupBy("key", "bucket").agg(F.sum("size").alias("in_bucket"))
     upto = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     before = before.select("key", "bucket", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)).alias("base"))

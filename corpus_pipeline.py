@@ -30,7 +30,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.drop_near_copies(docs)
+    """Keeps one text of each component of texts at a similarity of 0.8 or more."""
+    return minhash.drop_near_copies(docs, minhash.STAGE)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

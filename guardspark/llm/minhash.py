@@ -1,17 +1,19 @@
 """Near-duplicate components by HyperMinHash (operator 7).
 
 A document's set holds its distinct 5-word shingles (ASCII lower case, words between ASCII white
-space). Documents are linked when ``100 * |A & B| >= 85 * |A | B|``; components are the classes of the links.
+space). Documents are linked when ``100 * |A & B| >= 85 * |A | B|`` (the contract's :data:`CONTRACT`; the
+pipeline's stage links from 80 on, :data:`STAGE`); components are the classes of the links.
 
 1. **Sketch.** Every shingle's 64-bit hash falls into one of 128 buckets; a bucket keeps its least hash as
    a 16-bit register: leading-zero count (6 bits) and the 10 mantissa bits after the leading one. A
    bucket that no shingle hit borrows the register of the first hit bucket on its own fixed probe
    order, so short texts band like long ones.
 2. **Collapse.** Documents with equal sets are one representative (the smallest doc_id), found map-side first.
-3. **Band.** 25 bands of 5 registers; a pair at similarity 0.85 shares no band with probability 8e-7. A
-   band's *hub* is its smallest representative; the other members are paired with the hub.
+3. **Band.** 25 bands of 5 registers; a pair at similarity 0.85 shares no band with probability 8e-7. For
+   0.8 there are 27 bands of 4 registers, with probability (1 - .8 ** 4) ** 27 = 7e-7. A band's *hub* is its
+   smallest representative; the other members are paired with the hub.
 4. **Estimate, then verify.** Pairs of registers that agree, less the collisions that sets of these sizes
-   make by chance, estimate the similarity; pairs below ``PRUNE`` (five standard deviations under the
+   make by chance, estimate the similarity; pairs below ``prune`` (five standard deviations under the
    limit) go. The rest are confirmed on the full sets, which are built once for the documents that have a
    promising partner.
 5. **Components** by alternating large-star and small-star steps, each written out.
@@ -29,6 +31,7 @@ doc_id come back each; an empty table gives an empty result; extra columns are i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -40,17 +43,30 @@ from .common import documents, saved, session, text_batches
 from .simhash import WordHashes, finish, sorted_groups
 
 SHINGLE = 5
-NUMERATOR, DENOMINATOR = 85, 100
 BUCKETS = 128
 MANTISSA = 10
-BANDS, ROWS = 25, 5
-#: Five standard deviations of the estimate (sqrt(.85 * .15 / 128) = .032) under the limit.
-PRUNE = 0.69
 BLOCK_ROWS = 512
 PROBES = 256
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
+@dataclass(frozen=True)
+class Limit:
+    """Least similarity of a link (``numerator / denominator``), its bands of ``rows`` registers and the least estimate."""
+
+    numerator: int
+    denominator: int
+    bands: int
+    rows: int
+    prune: float
+
+
+#: Five standard deviations of the estimate (sqrt(.85 * .15 / 128) = .032) under the limit.
+CONTRACT = Limit(85, 100, 25, 5, 0.69)
+#: Five standard deviations of the estimate at 0.8 (.045 for sets of few shingles, simulated) under the limit.
+STAGE = Limit(80, 100, 27, 4, 0.57)
+
+
 def shingles(text: str | None, words: WordHashes) -> np.ndarray:
     """The set of a text: ascending 64-bit hashes of its shingles."""
     hashes = words.of((text or "").encode("utf-8", "surrogatepass").lower().split())
@@ -143,9 +159,9 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n_shingles bigint, set_key binary, registers binary")
 
 
-def bands(reps: DataFrame) -> DataFrame:
+def bands(reps: DataFrame, limit: Limit) -> DataFrame:
     """band (a key), k (its number), rep: the bands of each representative."""
-    cut = [F.struct(F.lit(k).alias("k"), F.substring("registers", 2 * ROWS * k + 1, 2 * ROWS).alias("r")) for k in range(BANDS)]
+    cut = [F.struct(F.lit(k).alias("k"), F.substring("registers", 2 * limit.rows * k + 1, 2 * limit.rows).alias("r")) for k in range(limit.bands)]
     keyed = F.array(*[F.struct(F.xxhash64(c).alias("band"), c["k"].alias("k")) for c in cut])
     return reps.select("rep", F.explode(keyed).alias("_b")).select("_b.band", "_b.k", "rep")
 
@@ -173,12 +189,12 @@ def agreeing(registers_: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
     return (registers_[at] == registers_[k]).sum(1)
 
 
-def promising(agree: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def promising(agree: np.ndarray, n: np.ndarray, m: np.ndarray, limit: Limit) -> np.ndarray:
     """Whether the corrected estimate and the set sizes leave the limit within reach."""
-    return (estimate(agree, n, m) >= PRUNE) & (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
+    return (estimate(agree, n, m) >= limit.prune) & (limit.denominator * np.minimum(n, m) >= limit.numerator * np.maximum(n, m))
 
 
-def with_partner(multi: DataFrame, reps: DataFrame) -> DataFrame:
+def with_partner(multi: DataFrame, reps: DataFrame, limit: Limit) -> DataFrame:
     """rep: those with a promising partner in one of their bands."""
     size = multi.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     rows = multi.join(size, "band").join(reps.select("rep", "registers", "n_shingles"), "rep")
@@ -189,7 +205,7 @@ def with_partner(multi: DataFrame, reps: DataFrame) -> DataFrame:
             hit = np.zeros(len(g), bool)
             for k, at in block_pairs(g):
                 if len(at):
-                    good = at[promising(agreeing(reg, k, at), np.full(len(at), n[k]), n[at])]
+                    good = at[promising(agreeing(reg, k, at), np.full(len(at), n[k]), n[at], limit)]
                     hit[good] = True
                     hit[k] |= bool(len(good))
             if hit.any():
@@ -212,13 +228,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted.hint("merge"), "rep", "left_semi").mapInPandas(sets, "rep bigint, items binary").dropDuplicates(["rep"])
 
 
-def linked(x: bytes, y: bytes) -> bool:
+def linked(x: bytes, y: bytes, limit: Limit) -> bool:
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
+    return limit.denominator * both >= limit.numerator * (len(a) + len(b) - both)
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
     """The pairs ``a, b`` whose registers promise enough and whose full sets confirm the link."""
     regs = lambda side: reps.select(F.col("rep").alias(side), F.col("registers").alias(f"r{side}"), F.col("n_shingles").alias(f"n{side}"))
     side = lambda x: items.select(F.col("rep").alias(x), F.col("items").alias(f"s{x}"))
@@ -227,11 +243,11 @@ def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 agree = (matrix(pdf["ra"]) == matrix(pdf["rb"])).sum(1)
-                yield pdf.loc[promising(agree, pdf["na"].to_numpy(), pdf["nb"].to_numpy()), ["a", "b"]]
+                yield pdf.loc[promising(agree, pdf["na"].to_numpy(), pdf["nb"].to_numpy(), limit), ["a", "b"]]
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [linked(x, y) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
+            keep = [linked(x, y, limit) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
     good = pairs.join(regs("a"), "a").join(regs("b"), "b").mapInPandas(likely, "a bigint, b bigint")
@@ -257,14 +273,15 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def first_band(x: np.ndarray, ys: np.ndarray, rep: int, reps: np.ndarray) -> np.ndarray:
+def first_band(x: np.ndarray, ys: np.ndarray, rep: int, reps: np.ndarray, limit: Limit) -> np.ndarray:
     """The one of a pair's shared bands in which it is compared: the next after a band drawn from both ids."""
-    same = (ys[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) == x[: BANDS * ROWS].reshape(BANDS, ROWS)).all(2)
-    turn = (np.arange(BANDS) + ((rep + reps) % BANDS)[:, None]) % BANDS
+    n, rows = limit.bands, limit.rows
+    same = (ys[:, : n * rows].reshape(-1, n, rows) == x[: n * rows].reshape(n, rows)).all(2)
+    turn = (np.arange(n) + ((rep + reps) % n)[:, None]) % n
     return np.take_along_axis(turn, np.take_along_axis(same, turn, 1).argmax(1)[:, None], 1).ravel()
 
 
-def joining(multi: DataFrame, reps: DataFrame, items: DataFrame, comps: DataFrame) -> DataFrame:
+def joining(multi: DataFrame, reps: DataFrame, items: DataFrame, comps: DataFrame, limit: Limit) -> DataFrame:
     """Links (a, b) between different components of one band, enough of them to join all that are linked."""
     known = multi.join(items.select("rep"), "rep", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("band", "k", "rep", F.coalesce("comp", "rep").alias("comp"))
@@ -278,10 +295,10 @@ def joining(multi: DataFrame, reps: DataFrame, items: DataFrame, comps: DataFram
             out = []
             for k, at in block_pairs(g):
                 at = at[comp[at] != comp[k]]
-                at = at[promising(agreeing(reg, k, at), np.full(len(at), n[k]), n[at])] if len(at) else at
-                at = at[first_band(reg[k], reg[at], rep[k], rep[at]) == band] if len(at) else at
+                at = at[promising(agreeing(reg, k, at), np.full(len(at), n[k]), n[at], limit)] if len(at) else at
+                at = at[first_band(reg[k], reg[at], rep[k], rep[at], limit) == band] if len(at) else at
                 for other in at:
-                    if comp[other] != comp[k] and linked(items_[k], items_[other]):
+                    if comp[other] != comp[k] and linked(items_[k], items_[other], limit):
                         out.append((min(rep[k], rep[other]), max(rep[k], rep[other])))
                         comp[comp == comp[other]] = comp[k]
             if out:
@@ -290,7 +307,7 @@ def joining(multi: DataFrame, reps: DataFrame, items: DataFrame, comps: DataFram
     return in_blocks(rows, F.col("n"), "k", "comp", "registers", "n_shingles", "items").mapInPandas(links, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit: Limit = CONTRACT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     spark = session(docs.sparkSession)
     sketched = saved(sketch(docs), "sketches")
@@ -299,14 +316,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = full.select("doc_id", "set_key", "n_shingles", "registers").join(by_set.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi")
     reps = saved(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "set_key", "n_shingles", "registers"), "representatives")
 
-    banded = bands(reps)
+    banded = bands(reps, limit)
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
     multi = saved(banded.join(hubs, "band"), "bands")
-    items = saved(full_sets(docs, with_partner(multi, reps)), "sets")
+    items = saved(full_sets(docs, with_partner(multi, reps, limit)), "sets")
     stars = multi.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = saved(confirmed(stars, reps, items), "links")
+    links = saved(confirmed(stars, reps, items, limit), "links")
     comps = components(links)
-    more = saved(joining(multi, reps, items, comps), "links")
+    more = saved(joining(multi, reps, items, comps, limit), "links")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     found = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
@@ -315,11 +332,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, comp.isNull()).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, limit: Limit = STAGE) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component, with its columns."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = near_duplicates(docs, limit).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi").select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), CONTRACT)

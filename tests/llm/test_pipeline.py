@@ -73,3 +73,18 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, "")
         assert out.count() == 0
+
+
+def test_near_stage_links_from_four_fifths(spark):
+    """Pairs at 0.8 and more, below op7's 0.85, become one; pairs just under 0.8 stay."""
+    rows = []
+    for k, (n, edits) in enumerate([(8, 1), (12, 2), (34, 6), (64, 15), (104, 25), (304, 70), (7, 1), (64, 16), (104, 26)]):
+        words = [f"w{k}x{i}" for i in range(n)]
+        # Sets of n - 4 + edits and n - 4 shingles, the second within the first.
+        rows += [(10 * k, " ".join([*words, *(f"v{k}x{i}" for i in range(edits))])), (10 * k + 1, " ".join(words))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    likeness = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.8 <= x < 0.85 for x in likeness) >= 4 and min(likeness) < 0.8
+    want = {10 * k for k in range(len(likeness))} | {10 * k + 1 for k, x in enumerate(likeness) if x < 0.8}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == want

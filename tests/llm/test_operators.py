@@ -120,6 +120,31 @@ def test_scan_finds_and_leaves(spark, empty):
     assert secret_scan.scan(empty, forest).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 2000])
+def test_scan_takes_whole_long_values(n):
+    draw = random.Random(n)
+    key = "A7" + "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n - 2))
+    cases = [
+        (f"see {key} end", "long_run", key), (f"see {key}== end", "long_run", key + "=="), (f'token = "{key}"', "assigned", key), (f"db.password_{'x' * 40}: {key}", "assigned", key),
+        (f"secret ={' ' * 9}{key}", "assigned", key), (f"use xoxb-{key} now", "chat_token", f"xoxb-{key}"), (f"use ghp_{key} now", "forge_token", f"ghp_{key}"),
+        (f"use sk_live_{key} now", "payment_key", f"sk_live_{key}"), (f"use AIza{key} now", "long_run", f"AIza{key}"), (f"redis://{'u' * 70}:{key}@host", "url_password", key),
+        (f"redis://:{key}@host", "url_password", key), (f"-----BEGIN {'VERY ' * 9}PRIVATE KEY-----", "private_key", "VERY " * 9 + "PRIVATE KEY"),
+    ]
+    for text, name, value in cases:
+        assert secret_scan.candidates(text) == [(name, text.index(value), len(value))], text[:60]
+    assert secret_scan.candidates("foo: bar-token=abcdefgh9") == [("assigned", 15, 9)]
+
+
+def test_scan_of_long_runs_is_linear():
+    import time
+
+    for text in ["token" * 60_000, "a1" * 150_000, "token " * 50_000, "token" + " " * 300_000, "://" * 100_000, "ghp_" * 75_000]:
+        start = time.process_time()
+        for name, a, n in secret_scan.candidates(text):
+            secret_scan.describe(text, a, n, None, name)
+        assert time.process_time() - start < 10, text[:20]
+
+
 # 3
 
 

@@ -88,7 +88,7 @@ def verify(events: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class AuditQuery:
-    """ANDed filters and paging. A limit of 0 still gives one row."""
+    """ANDed filters and paging. A limit of 0 still gives one row, a limit of None all."""
 
     event_type: str | None = None
     request_id: str | None = None
@@ -98,7 +98,7 @@ class AuditQuery:
     start: str | None = None
     end: str | None = None
     offset: int = 0
-    limit: int = DEFAULT_LIMIT
+    limit: int | None = DEFAULT_LIMIT
 
     def with_(self, **changes) -> AuditQuery:
         return replace(self, **changes)
@@ -121,7 +121,9 @@ class AuditQuery:
         return events
 
     def page(self, events: DataFrame, *order: str) -> DataFrame:
-        return self.filter(events).orderBy(*order).offset(self.offset).limit(max(self.limit, 1))
+        rows = self.filter(events).orderBy(*order)
+        rows = rows.offset(self.offset) if self.offset else rows
+        return rows if self.limit is None else rows.limit(max(self.limit, 1))
 
 
 def stats(events: DataFrame, now: Column) -> DataFrame:
@@ -155,19 +157,26 @@ def json_line() -> Column:
 
 
 def export(events: DataFrame, query: AuditQuery, path: str, form: str, *order: str) -> int:
-    """Write a query's page as ``jsonl``, ``json`` (one array) or ``csv``; the number of events."""
+    """Write a query's page as ``jsonl``, ``json`` (one array) or ``csv``; the number of events.
+
+    Part files in the order of their names are the export: a limited page's csv or json is one file; without a limit
+    rows stay in the tasks of the sort, and no task or row holds the whole. An array has an event a line.
+    """
     page = query.page(events, *order)
+    line = lambda text: events.sparkSession.createDataFrame([(text,)], "value string").coalesce(1)
     if form == "csv":
         # The page is sorted already; the header goes in front of its first row.
-        body = page.select(csv_line().alias("value"))
-        header = events.sparkSession.createDataFrame([(CSV_HEADER,)], "value string")
-        header.unionByName(body).coalesce(1).write.text(path)
+        lines = line(CSV_HEADER).unionByName(page.select(csv_line().alias("value")))
     elif form == "json":
-        page.select(json_line().alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value")).write.text(path)
+        # The first task of a sort has rows if any has, and its first row has the id 0: commas go before the others.
+        comma = F.when(F.col("_at") == 0, F.lit("")).otherwise(F.lit(","))
+        body = page.select(json_line().alias("_j"), F.monotonically_increasing_id().alias("_at")).select(F.concat(comma, "_j").alias("value"))
+        lines = line("[").unionByName(body).unionByName(line("]"))
     elif form == "jsonl":
-        page.select(json_line().alias("value")).write.text(path)
+        lines = page.select(json_line().alias("value"))
     else:
         raise ValueError(f"unknown format {form}")
+    (lines if query.limit is None or form == "jsonl" else lines.coalesce(1)).write.text(path)
     return page.count()
 
 

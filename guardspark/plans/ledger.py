@@ -139,9 +139,12 @@ _PAGE = f"page AS (SELECT * FROM audit WHERE {_RANK} >= 2 ORDER BY event_id LIMI
 _JSON = """'{"id":"' || id || '","request_id":"' || request_id || '","event_type":"' || event_type || '","severity":"' || severity || CASE WHEN regulation IS NULL THEN '' ELSE '","regulation":"' || regulation END || '","phase":"' || phase || '","data":"' || replace(data, '"', '\\"') || '","ts_micros":' || epoch_us(ts) || '}'"""
 
 
-def exported(spark: SparkSession, sf: str, form: str) -> DataFrame:
+def exported(spark: SparkSession, sf: str, form: str, wanted: A.AuditQuery = EXPORTED) -> DataFrame:
     path = work_dir(spark, f"export-{form}")
-    A.export(X.audit_events(spark, sf), EXPORTED, path, form, "event_id")
+    A.export(X.audit_events(spark, sf), wanted, path, form, "event_id")
+    if form == "json" and wanted.limit is not None:
+        # A page's array is one file; its line ends stand between events only.
+        return spark.read.text(path, wholetext=True).select(F.replace("value", F.lit("\n"), F.lit("")).alias("line"))
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
@@ -150,6 +153,20 @@ query("snk_export_csv", X.sql("audit", f""", {_PAGE} SELECT '{A.CSV_HEADER}' AS
 )
 query("snk_export_jsonl", X.sql("audit", f", {_PAGE} SELECT {_JSON} AS line FROM page"))(lambda spark, sf: exported(spark, sf, "jsonl"))
 query("snk_export_json", X.sql("audit", f", {_PAGE} SELECT '[' || string_agg({_JSON}, ',' ORDER BY event_id) || ']' AS line FROM page"))(lambda spark, sf: exported(spark, sf, "json"))
+#: Exports of all matching events and, under the reference's default limit, of a page.
+EVERY = EXPORTED.with_(limit=None)
+_EVERY = f"every AS (SELECT * FROM audit WHERE {_RANK} >= 2)"
+_DEFAULT = f"page AS (SELECT * FROM audit WHERE {_RANK} >= 2 ORDER BY event_id LIMIT {A.DEFAULT_LIMIT})"
+query("snk_export_csv_all", X.sql("audit", f""", {_EVERY} SELECT '{A.CSV_HEADER}' AS line UNION ALL SELECT concat_ws(',', id, request_id, event_type, upper(severity[1:1]) || severity[2:], coalesce(regulation, ''), floor(epoch(ts))::BIGINT, phase, replace(data, ',', ';')) FROM every"""))(
+    lambda spark, sf: exported(spark, sf, "csv", EVERY)
+)
+query("snk_export_jsonl_all", X.sql("audit", f", {_EVERY} SELECT {_JSON} AS line FROM every"))(lambda spark, sf: exported(spark, sf, "jsonl", EVERY))
+query("snk_export_json_all", X.sql("audit", f", {_EVERY} SELECT CASE WHEN event_id = (SELECT min(event_id) FROM every) THEN '' ELSE ',' END || {_JSON} AS line FROM every UNION ALL SELECT '[' UNION ALL SELECT ']'"))(
+    lambda spark, sf: exported(spark, sf, "json", EVERY)
+)
+query("snk_export_default", X.sql("audit", f", {_DEFAULT} SELECT {_JSON} AS line FROM page"))(
+    lambda spark, sf: exported(spark, sf, "jsonl", EXPORTED.with_(limit=A.DEFAULT_LIMIT))
+)
 
 
 # --- metrics ---------------------------------------------------------------------------------------------------------

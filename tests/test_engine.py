@@ -140,3 +140,33 @@ def test_phases(spark):
     plan = phases.Plan(pipelines.from_config("basic-safety", PIPELINES["basic-safety"]), policies=[DEFAULT])
     df = spark.createDataFrame([(1, "a happy day"), (2, "table"), (3, "ignore previous")], "k int, text string")
     assert [r.blocked for r in phases.ingress(df, plan).orderBy("k").collect()] == [True, False, True]
+
+
+@pytest.mark.parametrize("form", ["csv", "jsonl", "json"])
+def test_export_of_everything(spark, tmp_path, form):
+    """More events than the default limit, over several files; an empty export is whole as well."""
+    import json
+
+    n = 3000
+    event = spark.range(n).repartition(4).select(
+        F.col("id").alias("at"), F.concat(F.lit("e"), F.col("id")).alias("id"), F.lit("r").alias("request_id"), F.lit("t").alias("event_type"), F.lit("high").alias("severity"),
+        F.lit(None).cast("string").alias("regulation"), F.lit("egress").alias("phase"), F.lit('a,"b\n').alias("data") if form != "csv" else F.lit("a,b").alias("data"), F.lit("2024-01-01").cast("timestamp").alias("ts"),
+    )
+
+    def lines(events, query):
+        path = tmp_path / f"{form}-{len(list(tmp_path.iterdir()))}"
+        count = audit.export(events, query, f"file://{path}", form, "at")
+        files = sorted(path.glob("part-*"))
+        return count, len(files), [x for f in files for x in f.read_text().splitlines()]
+
+    whole = audit.AuditQuery(limit=None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        count, files, out = lines(event, whole)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ids = [x["id"] for x in json.loads("\n".join(out))] if form == "json" else [json.loads(x)["id"] for x in out] if form == "jsonl" else [x.split(",")[0] for x in out[1:]]
+    assert count == n and ids == [f"e{k}" for k in range(n)] and files > 1
+    assert len(lines(event, whole.with_(limit=7))[2]) == {"csv": 8, "jsonl": 7, "json": 9}[form]
+    assert lines(event, whole.with_(offset=n - 2))[0] == 2
+    assert lines(event.where("false"), whole)[2] == {"csv": [audit.CSV_HEADER], "jsonl": [], "json": ["[", "]"]}[form]

@@ -8,7 +8,8 @@ pipeline's stage links from 80 on, :data:`STAGE`); components are the classes of
    a 16-bit register: leading-zero count (6 bits) and the 10 mantissa bits after the leading one. A
    bucket that no shingle hit borrows the register of the first hit bucket on its own fixed probe
    order, so short texts band like long ones.
-2. **Collapse.** Documents with equal sets are one representative (the smallest doc_id), found map-side first.
+2. **Collapse.** Documents with equal sets are one representative, found map-side first. Its number is its own; the
+   smallest doc_id of its documents only finds its text and names its component.
 3. **Band.** 25 bands of 5 registers; a pair at similarity 0.85 shares no band with probability 8e-7. For
    0.8 there are 27 bands of 4 registers, with probability (1 - .8 ** 4) ** 27 = 7e-7. A band's *hub* is its
    smallest representative; the other members are paired with the hub.
@@ -25,11 +26,13 @@ pipeline's stage links from 80 on, :data:`STAGE`); components are the classes of
 Defined cases: null or empty text, or one without words, has an empty set, is linked with nothing and
 is its own component; with fewer than 5 words the whole sequence is the one shingle; a row with null
 doc_id takes the component of the documents with its set, or null and stays; rows that repeat a
-doc_id come back each; an empty table gives an empty result; extra columns are ignored.
+doc_id come back each, under the component of their own text, whose name another one may share where a
+doc_id is the smallest of both; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -140,10 +143,13 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, BUCKETS)
 
 
+def key_of(items: bytes) -> bytes | None:
+    """128-bit digest of a packed set; none of an empty one."""
+    return hashlib.blake2b(items, digest_size=16).digest() if items else None
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit digest of the set), registers of every row."""
-    import hashlib
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for pdf in batches:
@@ -152,7 +158,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"],
                 "n_shingles": [len(s) for s in sets],
-                "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                "set_key": [key_of(s.tobytes()) for s in sets],
                 "registers": [registers(s).tobytes() if len(s) else None for s in sets],
             })
 
@@ -215,17 +221,19 @@ def with_partner(multi: DataFrame, reps: DataFrame, limit: Limit) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, items: the whole sets of the wanted documents, packed."""
+    """rep, items: the whole sets of the wanted representatives (rep, doc_id, set_key), packed."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for pdf in batches:
             (texts,) = next(text_batches([pdf], "text"))
-            yield pd.DataFrame({"rep": pdf["rep"], "items": [shingles(t, words).tobytes() for t in texts]})
+            items = [shingles(t, words).tobytes() for t in texts]
+            yield pd.DataFrame({"set_key": [key_of(x) for x in items], "items": items})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    # One plan at every size: texts are dealt by doc_id.
-    return texts.join(wanted.hint("merge"), "rep", "left_semi").mapInPandas(sets, "rep bigint, items binary").dropDuplicates(["rep"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # One plan at every size: texts are dealt by doc_id. Rows that repeat one may hold other sets, so keys decide.
+    found = texts.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInPandas(sets, "set_key binary, items binary").dropDuplicates(["set_key"])
+    return found.join(wanted.select("set_key", "rep"), "set_key").select("rep", "items")
 
 
 def linked(x: bytes, y: bytes, limit: Limit) -> bool:
@@ -314,19 +322,25 @@ def near_duplicates(docs: DataFrame, limit: Limit = CONTRACT) -> DataFrame:
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     by_set = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = full.select("doc_id", "set_key", "n_shingles", "registers").join(by_set.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi")
-    reps = saved(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "set_key", "n_shingles", "registers"), "representatives")
+    # A row that comes twice is one representative; sets that share their smallest doc_id are two. Numbers are final once written.
+    reps = reps.dropDuplicates(["set_key"]).select(F.monotonically_increasing_id().alias("rep"), "doc_id", "set_key", "n_shingles", "registers")
+    reps = saved(reps, "representatives")
 
     banded = bands(reps, limit)
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
     multi = saved(banded.join(hubs, "band"), "bands")
-    items = saved(full_sets(docs, with_partner(multi, reps, limit)), "sets")
+    wanted = with_partner(multi, reps, limit).join(reps.select("rep", "doc_id", "set_key"), "rep")
+    items = saved(full_sets(docs, wanted), "sets")
     stars = multi.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = saved(confirmed(stars, reps, items, limit), "links")
     comps = components(links)
     more = saved(joining(multi, reps, items, comps, limit), "links")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
-    found = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
+    # A component's least node stands on the right only.
+    members = comps.select(F.col("node").alias("rep"), "comp").unionByName(comps.select(F.col("comp").alias("rep"), "comp")).distinct().join(reps.select("rep", "doc_id"), "rep")
+    named = members.select("rep", "comp").join(members.groupBy("comp").agg(F.min("doc_id").alias("name")), "comp").select("rep", "name")
+    found = reps.join(named, "rep", "left").select("set_key", F.coalesce("name", "doc_id").alias("comp"))
     out = sketched.join(found, "set_key", "left")
     comp = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, comp.isNull()).alias("kept"))

@@ -301,6 +301,18 @@ def test_chains_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_near_duplicates_of_repeated_ids_with_other_texts(spark):
+    """A doc_id that is the smallest of several sets loses none of them, nor their equal texts and near copies."""
+    draw = random.Random(3)
+    a, b, c = (prose(draw, 60) for _ in range(3))
+    near = lambda t: t + " more"
+    rows = [(5, a), (5, b), (5, c), (9, b), (11, c), (12, near(a)), (13, near(b)), (14, near(c)), (20, prose(draw, 60))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(5, 5, True)] * 3 + [(k, 5, False) for k in (9, 11, 12, 13, 14)] + [(20, 20, True)]
+    assert sorted((r.doc_id, r.text) for r in minhash.drop_near_copies(docs).collect()) == sorted([*rows[:3], rows[-1]])
+
+
 def test_registers_and_estimate():
     draw = np.random.Generator(np.random.PCG64(2))
     x = np.unique(draw.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2))

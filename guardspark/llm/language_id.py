@@ -12,7 +12,9 @@ language, a few hundred numbers, reach the driver.
 
 ``score`` is 1 minus the distance over the largest possible one. A text is ``und`` with score 0 if it
 is null or has no letter, or if there is nothing to learn from. Rows with null lang teach nothing;
-rows that repeat count again; extra columns are ignored; an empty table gives an empty result.
+rows that repeat count again; extra columns are ignored; an empty table gives an empty result; very long texts
+are profiled whole; ids stay as they are (they never leave Arrow). Letters are the code points of Unicode's letter
+categories (``str.isalpha``), so combining vowel signs part words; all texts are treated alike in this.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, session, text_batches
+from .common import documents, session, text_batches, with_text
 
 PROFILE = 300
 #: Below this score a text is taken for none of the languages by :func:`known_language`.
@@ -115,20 +117,25 @@ class Ranks:
         return self.names[best], float(1 - distance[best] / (PROFILE * len(own)))
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], *keep: Column) -> DataFrame:
-    """doc_id, the columns ``keep``, lang_pred, score of every row."""
-    session(docs.sparkSession)
-    rows = docs.select(F.col("doc_id"), *keep, "text")
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+def identify(docs: DataFrame, profiles: dict[str, list[int]], *keep: Column, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """doc_id, the columns ``keep``, the language and the score (named by ``into``) of every row."""
+    return identified(docs.select("doc_id", *keep, "text"), profiles, into)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def identified(rows: DataFrame, profiles: dict[str, list[int]], into: tuple[str, str] = ("lang_pred", "score"), keep_text: bool = False) -> DataFrame:
+    """``rows`` with the language and the score of ``text``, which stays if ``keep_text`` says so."""
+    session(rows.sparkSession)
+
+    def make():
         ranks = Ranks(profiles)
-        for pdf in batches:
-            (texts,) = next(text_batches([pdf], "text"))
+
+        def work(texts: list[str | None]) -> dict[str, list]:
             found = [ranks.nearest(t) for t in texts]
-            yield pdf.drop(columns="text").assign(lang_pred=[x for x, _ in found], score=[x for _, x in found])
+            return {into[0]: [x for x, _ in found], into[1]: [x for _, x in found]}
+
+        return work
 
-    return rows.mapInPandas(score, f"{shape}, lang_pred string, score double")
+    return with_text(rows, f"`{into[0]}` string, `{into[1]}` double", make, keep_text=keep_text)
 
 
 def held_out() -> Column:

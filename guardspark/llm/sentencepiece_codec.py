@@ -21,27 +21,27 @@ space mark itself.
 
 Defined cases: null text counts as empty; an empty text has no ids; very long texts run in memory
 proportional to one text; rows that repeat come back each; an empty table gives an empty result;
-extra columns are kept by :func:`encode_column` and ignored by the query.
+extra columns are kept by :func:`encode_column`, but for one named like its result, and ignored by the query; ids of
+rows stay as they are, as nothing but the text leaves Arrow. The cache of words is bounded in number and in length.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, session, text_batches
+from .common import documents, session, with_text
 
 MARK = "▁"
-#: Words in the cache of a worker.
-CACHE_WORDS = 250_000
+#: Words in the cache of a worker, and the longest that it keeps: longer ones are encoded anew.
+CACHE_WORDS, CACHED_LENGTH = 250_000, 64
 UNKNOWN_PENALTY = 10.0
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -59,9 +59,11 @@ class Words(dict):
         self.viterbi = viterbi
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = np.array(self.viterbi(word), "<u4").tobytes()
+        value = np.array(self.viterbi(word), "<u4").tobytes()
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -169,50 +171,40 @@ def codec_at(model: str) -> Codec:
 def encode_column(docs: DataFrame, model: str, column: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``column`` as ``array<int>`` in ``into`` (replacing a column of that name)."""
     session(docs.sparkSession)
-    docs = docs.drop(into)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = codec_at(model)
-        for pdf in batches:
-            (texts,) = next(text_batches([pdf], column))
-            yield pdf.assign(**{into: [np.frombuffer(codec.packed(t), np.int32) for t in texts]})
+        return lambda texts: {into: [np.frombuffer(codec.packed(t), np.int32) for t in texts]}
 
-    return docs.mapInPandas(run, f"{shape}, `{into}` array<int>")
+    return with_text(docs.drop(into), f"`{into}` array<int>", make, text=column, keep_text=True)
 
 
 def decode_column(rows: DataFrame, model: str, column: str = "ids", into: str = "text") -> DataFrame:
     """``rows`` with the text of the ids in ``column`` as ``into``."""
     session(rows.sparkSession)
-    rows = rows.drop(into)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = codec_at(model)
-        for pdf in batches:
-            yield pdf.assign(**{into: [None if v is None else codec.decode(list(v)) for v in pdf[column]]})
+        return lambda lists: {into: [None if v is None else codec.decode(v) for v in lists]}
 
-    return rows.mapInPandas(run, f"{shape}, `{into}` string")
+    return with_text(rows.drop(into), f"`{into}` string", make, text=column, keep_text=True)
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), decoded_same: whether decoding gives the text back."""
     session(docs.sparkSession)
-    key = dict(docs.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         codec = codec_at(model)
-        for pdf in batches:
-            (texts,) = next(text_batches([pdf], "text"))
+
+        def work(texts: list[str | None]) -> dict[str, list]:
             ids = [codec.packed(t) for t in texts]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "n_tokens": [len(b) // 4 for b in ids],
-                "ids_crc32": [zlib.crc32(b) for b in ids],
-                "decoded_same": [codec.decode(np.frombuffer(b, "<u4").tolist()) == (t or "") for b, t in zip(ids, texts, strict=True)],
-            })
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {key}, n_tokens bigint, ids_crc32 bigint, decoded_same boolean")
+            same = [codec.decode(np.frombuffer(b, "<u4").tolist()) == (t or "") for b, t in zip(ids, texts, strict=True)]
+            return {"n_tokens": [len(b) // 4 for b in ids], "ids_crc32": [zlib.crc32(b) for b in ids], "decoded_same": same}
+
+        return work
+
+    return with_text(docs.select("doc_id", "text"), "n_tokens bigint, ids_crc32 bigint, decoded_same boolean", make)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

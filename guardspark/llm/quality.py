@@ -8,13 +8,15 @@ is ``sigmoid(c . sum(weight * h) + d)``. Only document labels are known: the los
 document score, and its gradient trains encoder, attention and output together (Adam, full batches).
 
 Training takes a sample of at most about ``LABELLED`` labelled documents (all of them, if there are fewer),
-drawn by the hash of doc_id; their features, some tens of MB at most, go to the driver. Scoring is one narrow pass
-over all texts. Nothing but the text is an input.
+drawn by the hash of doc_id, and at most ``LEARNED_PASSAGES`` passages of each, spread evenly over its text; their
+features, some 80 MB at most, go to the driver. Scoring is one narrow pass over all texts, whole. Nothing but the
+text is an input.
 
 Defined cases: null text counts as empty; an empty text is a bag of one passage of zeros, so it has a
 score too; rows with null quality teach nothing; with no labels all scores are 0.5, with labels of
 one kind all are the share of ones; rows that repeat come back each; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored, whatever their names; very long texts are scored whole, a few MB at a time; ids stay
+as they are (they never leave Arrow).
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, session, text_batches
+from .common import documents, session, text_batches, with_text
 
 PASSAGE = 40
 LAGS = 8
 CLASSES = 10
 FEATURES = CLASSES * CLASSES + LAGS + 2
-LABELLED = 3000
+#: Labelled documents that training takes, about, and passages of one of them at most: what bounds the driver's share.
+LABELLED, LEARNED_PASSAGES = 3000, 64
 HIDDEN, ATTENTION = 24, 12
 STEPS, RATE, DECAY = 150, 0.02, 1e-4
 THRESHOLD = 0.7
@@ -40,9 +43,10 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 def class_table() -> np.ndarray:
-    """Character class of every byte: other punctuation 0, lower 1, upper 2, digit 3, space 4, line feed 5, sentence marks 6, bang 7, bar 8, beyond ASCII 9."""
+    """Character class of every byte: control 0, lower 1, upper 2, digit 3, space 4, line feed 5, sentence marks 6, quotes and brackets 7, other signs 8, beyond ASCII 9."""
     table = np.zeros(256, np.int64)
-    for k, members in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:?", b"!", b"|"), 1):
+    groups = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:?!", b"\"'()[]{}<>", b"#$%&*+-/=@\\^_`|~")
+    for k, members in enumerate(groups, 1):
         table[list(members)] = k
     table[128:] = 9
     return table
@@ -186,7 +190,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> AttentionMil:
             if len(pdf):
                 x, counts = passages(next(text_batches([pdf], "text"))[0])
                 cuts = np.concatenate(([0], np.cumsum(counts)))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "quality": pdf["quality"].astype(float), "x": [x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+                # A bag to learn from has at most LEARNED_PASSAGES, spread evenly over the text.
+                picks = [np.unique(np.linspace(a, b - 1, min(b - a, LEARNED_PASSAGES)).astype(np.int64)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "quality": pdf["quality"].astype(float), "x": [x[p].tobytes() for p in picks]})
 
     bags = sorted((r.doc_id, r.quality, bytes(r.x)) for r in rows.mapInPandas(describe, "doc_id string, quality double, x binary").collect())
     x = np.frombuffer(b"".join(b for _, _, b in bags), np.float32).reshape(-1, FEATURES)
@@ -197,18 +203,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> AttentionMil:
 def score(docs: DataFrame, model: AttentionMil, *keep: Column) -> DataFrame:
     """doc_id, the columns ``keep``, score of every row."""
     session(docs.sparkSession)
-    rows = docs.select("doc_id", *keep, "text")
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            (texts,) = next(text_batches([pdf], "text"))
-            # A few MB of text at a time.
-            cuts = np.cumsum([len(t or "") for t in texts]) // 2_000_000
-            found = [model.score([t for t, c in zip(texts, cuts, strict=True) if c == k]) for k in np.unique(cuts)]
-            yield pdf.drop(columns="text").assign(score=np.concatenate(found) if found else np.zeros(0))
+    def work(texts: list[str | None]) -> dict[str, np.ndarray]:
+        # A few MB of text at a time.
+        cuts = np.cumsum([len(t or "") for t in texts]) // 2_000_000
+        found = [model.score([t for t, c in zip(texts, cuts, strict=True) if c == k]) for k in np.unique(cuts)]
+        return {"score": np.concatenate(found) if found else np.zeros(0)}
 
-    return rows.mapInPandas(run, f"{shape}, score double")
+    return with_text(docs.select("doc_id", *keep, "text"), "score double", lambda: work)
 
 
 def held_out() -> Column:

@@ -7,15 +7,23 @@ words cover, the path it stands under and the words beside it; a random forest (
 random feature subsets) turns that into a score, and candidates below ``THRESHOLD`` are dropped as false positives.
 
 The forest is trained from labelled findings: rows of ``text, start, length, path, label``. Findings that a
-reviewer labelled can be passed to :func:`train`; without any, :func:`labelled_findings` makes a fixed,
-bounded set from rules (keys of many shapes in assigning contexts against hashes, ids, placeholders, words,
-paths and numbers in theirs).
+reviewer labelled can be passed to :func:`train`; without any there are two kinds. :func:`corpus_findings` takes
+key-like runs of the documents themselves, labelled by what stands around them (a known key format, or a name
+that assigns a secret, against a word that says hash, commit or version, or no such word at all): all documents are
+read, and about ``CORPUS_FINDINGS`` of each label, drawn by hash, go to the driver. :func:`labelled_findings`
+makes a fixed, bounded set from rules (keys of many shapes in assigning contexts against hashes, ids,
+placeholders, words, paths and numbers in theirs).
 
-A candidate keeps its place in code points, never its value: the digest is what is returned.
+The dictionary of the coverage feature holds the ``DICTIONARY`` words of all documents that occur most often
+(at least ``LEAST_COUNT`` times) and the fixed :data:`WORDS`.
+
+A candidate keeps its place in code points, never its value: the digest is what is returned. A private key is a
+candidate from its header's label to its footer's, with all that stands between, or its header's label without a footer.
 
 Defined cases: null or empty text has no candidates; overlapping candidates count once, the first
-pattern first; very long texts are scanned whole; rows that repeat come back each; an empty table gives
-an empty result; a null path counts as empty; extra columns are ignored.
+pattern first; very long texts and values are scanned whole, in linear time; rows that repeat come back each; an
+empty table gives an empty result; a null path counts as empty; extra columns are ignored, whatever their names;
+ids stay as they are (they never leave Arrow).
 """
 
 from __future__ import annotations
@@ -29,22 +37,27 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import ahocorasick
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import documents, session, text_batches
+from .common import documents, session
 
 THRESHOLD = 0.5
 TREES, DEPTH, LEAST_LEAF = 25, 8, 3
 FINDINGS = 3000
+#: Findings of each label that :func:`corpus_findings` takes, about; words of the dictionary and how often they occur at least.
+CORPUS_FINDINGS, DICTIONARY, LEAST_COUNT = 1000, 20_000, 5
 NAME = r"(?:token|secret|passwo?r?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|client[_-]?key)"
 
 #: Public key formats. The group ``v`` is the candidate. Lengths have no upper bound but where the format
 #: is one of fixed length; possessive repeats and starts at run borders keep the scan linear.
 PATTERNS = [
-    ("private_key", re.compile(r"-----BEGIN (?P<v>[A-Z ]*PRIVATE KEY)-----")),
+    ("private_key", re.compile(r"-----BEGIN (?P<v>[A-Z ]*PRIVATE KEY(?=-----)(?:-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY(?=-----))?)")),
     ("cloud_key_id", re.compile(r"\b(?P<v>(?:AKIA|ASIA)[A-Z0-9]{16})\b")),
     ("forge_token", re.compile(r"\b(?P<v>gh[pousr]_[A-Za-z0-9]{36,}+)\b")),
     ("chat_token", re.compile(r"\b(?P<v>xox[abprs]-[A-Za-z0-9-]{10,}+)")),
@@ -80,23 +93,38 @@ CLASS_NAMES = "lower upper digit other".split()
 BESIDE = 48
 
 
+class Dictionary:
+    """Words of four letters and more; :meth:`coverage` is the share of a value's characters that they cover."""
+
+    def __init__(self, words: list[str]):
+        self.automaton = ahocorasick.Automaton()
+        for w in {*words, *WORDS}:
+            if len(w) >= 4:
+                self.automaton.add_word(w, len(w))
+        self.automaton.make_automaton()
+
+    def coverage(self, value: str) -> float:
+        low = value.lower()
+        return sum(n for _, n in self.automaton.iter_long(low)) / max(1, len(low))
+
+
 @cache
-def long_words() -> re.Pattern:
-    """Any of the words of four letters and more, the longest first."""
-    return re.compile("|".join(sorted((w for w in WORDS if len(w) >= 4), key=len, reverse=True)))
+def fixed_words() -> Dictionary:
+    return Dictionary([])
 
 
-def coverage(value: str) -> float:
-    """Share of the characters that common words cover."""
-    low = value.lower()
-    return sum(map(len, long_words().findall(low))) / max(1, len(low))
+def frequent_words(docs: DataFrame) -> list[str]:
+    """The ``DICTIONARY`` most frequent words of four letters and more of all documents, ties by code points."""
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) between 4 and 20")
+    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
+    return sorted(r.w for r in counts.orderBy(F.desc("n"), "w").limit(DICTIONARY).collect())
 
 
 def kind_of(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def describe(text: str, start: int, length: int, path: str | None, pattern: str) -> list[float]:
+def describe(text: str, start: int, length: int, path: str | None, pattern: str, words: Dictionary | None = None) -> list[float]:
     value = text[start : start + length]
     kinds = [kind_of(c) for c in value]
     n = len(value)
@@ -110,7 +138,7 @@ def describe(text: str, start: int, length: int, path: str | None, pattern: str)
     hexes = sum(c in "0123456789abcdefABCDEF" for c in value) / max(1, n)
     return [
         n, *(steps[a, b] / max(1, n - 1) for a in range(4) for b in range(4)), *(share[k] / max(1, n) for k in range(4)),
-        entropy, entropy / max(1.0, math.log2(max(2, n))), len(counts) / max(1, n), hexes, coverage(value), max((len(r) for r in re.findall(r"[a-z]+", value)), default=0),
+        entropy, entropy / max(1.0, math.log2(max(2, n))), len(counts) / max(1, n), hexes, (words or fixed_words()).coverage(value), max((len(r) for r in re.findall(r"[a-z]+", value)), default=0),
         sum(any(w in x for w in FOR) for x in near), sum(x in AGAINST or x.endswith("sum") for x in near), float(before.rstrip("\"' ")[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'")),
         sum(w in where for w in PATH_SAFE), sum(w in where for w in PATH_RISKY), float(len(where)), float(pattern == "assigned"), float(pattern not in ("assigned", "long_run")),
         float(value.count("/") > 1), float(value.count("-") >= 4), float("." in value),
@@ -121,8 +149,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
     """(pattern, start, length) of each candidate, in code points, ascending."""
     if not text:
         return []
-    found: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int, str]] = []
     low = text.lower()
     for name, pattern in PATTERNS:
         # Cheap tests that can't be false where the pattern matches.
@@ -130,14 +157,22 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
             continue
         if name == "long_run" and max(map(len, text.split()), default=0) < 24:
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span("v")
-            if name == "long_run" and not (any(map(str.isdigit, m["v"])) and any(map(str.isalpha, m["v"]))):
-                continue
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
-                found.append((name, a, b - a))
-    return sorted(found, key=lambda f: f[1])
+        found = [(*m.span("v"), name) for m in pattern.finditer(text)]
+        if name == "long_run":
+            found = [f for f in found if any(map(str.isdigit, text[f[0] : f[1]])) and any(map(str.isalpha, text[f[0] : f[1]]))]
+        taken = merged(taken, found)
+    return [(name, a, b - a) for a, b, name in taken]
+
+
+def merged(taken: list[tuple[int, int, str]], found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """``taken`` and those of ``found`` that overlap none of it; both ascending and disjoint, as is the result."""
+    new, k = [], 0
+    for f in found:
+        while k < len(taken) and taken[k][1] <= f[0]:
+            k += 1
+        if k == len(taken) or f[1] <= taken[k][0]:
+            new.append(f)
+    return sorted(taken + new) if new else taken
 
 
 class Forest:
@@ -239,33 +274,107 @@ def pattern_at(text: str, start: int) -> str:
     return next((name for name, a, _ in candidates(text) if a == start), "long_run")
 
 
-def train(findings: list[tuple[str, int, int, str, int]] | None = None) -> Forest:
+#: Runs that could be keys to the eye: what :func:`corpus_findings` labels.
+WIDE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]{12,}+={0,2}+(?![A-Za-z0-9+/_=@-])")
+
+
+def label_of(text: str, start: int, length: int, pattern: str) -> int | None:
+    """1 for a secret, 0 for none, as the surroundings of a key-like run tell; None where they don't."""
+    value = text[start : start + length]
+    beside = re.findall(r"[a-z0-9]+", text[max(0, start - BESIDE) : start].lower())[-3:]
+    mixed = any(map(str.isdigit, value)) and any(map(str.isalpha, value))
+    if any(w in AGAINST or w.endswith("sum") for w in beside):
+        return 0
+    if pattern not in ("assigned", "long_run"):
+        return 1
+    if pattern == "assigned":
+        return int(mixed and len(set(value)) >= 8)
+    # A run without a name before it: words and numbers are no secrets, a long mixed one may be.
+    return None if mixed and length >= 24 else 0
+
+
+def corpus_findings(docs: DataFrame, path: str = "source", most: int = CORPUS_FINDINGS) -> list[tuple[str, int, int, str, int]]:
+    """Labelled findings of ``docs``, about ``most`` of each label: (text, start, length, path, label), with the text beside the run alone."""
+    session(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The least draws of all rows are among the least of each task: no task keeps or sends more than that.
+        held: dict[tuple, tuple] = {}
+        for batch in batches:
+            for text, where in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                known = [(a, a + n, name) for name, a, n in candidates(text)]
+                wide = [(*m.span(), "long_run") for m in WIDE.finditer(text or "")]
+                for a, b, name in merged(known, wide):
+                    label = label_of(text, a, b - a, name)
+                    if label is not None:
+                        begin = max(0, a - BESIDE)
+                        piece = text[begin : b + BESIDE]
+                        draw = int.from_bytes(hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+                        held[label, draw, piece, a - begin, b - a, where or ""] = ()
+            if len(held) > 8 * most:
+                held = least(held)
+        yield pa.RecordBatch.from_pylist([dict(zip(("label", "draw", "text", "start", "length", "path"), r, strict=True)) for r in least(held)], shape)
+
+    def least(held: dict[tuple, tuple]) -> dict[tuple, tuple]:
+        return {r: () for label in (0, 1) for r in sorted(r for r in held if r[0] == label)[:most]}
+
+    shape = pa.schema([("text", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("path", pa.string()), ("label", pa.int64()), ("draw", pa.int64())])
+    found = docs.select("text", F.col(path).cast("string").alias("path")).mapInArrow(run, "text string, start bigint, length bigint, path string, label bigint, draw bigint")
+    # Pieces that repeat have one draw: they count once. The least draws are a sample by hash.
+    ranked = found.distinct().withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("draw", "text"))).where(F.col("rank") <= most)
+    return sorted((r.text, r.start, r.length, r.path, r.label) for r in ranked.collect())
+
+
+def train(findings: list[tuple[str, int, int, str, int]] | None = None, words: Dictionary | None = None) -> Forest:
     """Forest from labelled findings (text, start, length, path, label)."""
     rows = labelled_findings() if findings is None else findings
-    x = np.array([describe(t, a, n, p, pattern_at(t, a)) for t, a, n, p, _ in rows])
-    return Forest().fit(x, np.array([y for *_, y in rows], float))
+    return Forest().fit(features(rows, words), np.array([y for *_, y in rows], float))
+
+
+def features(rows: list[tuple[str, int, int, str, int]], words: Dictionary | None = None) -> np.ndarray:
+    return np.array([describe(t, a, n, p, pattern_at(t, a), words) for t, a, n, p, _ in rows])
+
 
+def quality_of(forest: Forest, findings: list[tuple[str, int, int, str, int]], words: Dictionary | None = None) -> tuple[float, float]:
+    """Precision and recall over labelled findings."""
+    said = forest.predict(features(findings, words)) >= THRESHOLD
+    true = np.array([bool(y) for *_, y in findings])
+    both = float((said & true).sum())
+    return both / max(1.0, float(said.sum())), both / max(1.0, float(true.sum()))
 
-def scan(docs: DataFrame, forest: Forest, path: str = "source") -> DataFrame:
+
+def scan(docs: DataFrame, forest: Forest, path: str = "source", words: list[str] | None = None) -> DataFrame:
     """One row per candidate: doc_id, pattern, start, length, value_sha256, score, secret."""
     session(docs.sparkSession)
-    key = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "pattern", "start", "length", "value_sha256", "score", "secret"]
+    rows = docs.select("doc_id", "text", F.col(path).cast("string").alias("path"))
+    added = "pattern string, start bigint, length bigint, value_sha256 string, score double, secret boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, texts, paths in text_batches(batches, "doc_id", "text", "path"):
-            rows, x = [], []
-            for i, text, where in zip(ids, texts, paths, strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Dictionary(words or [])
+        for batch in batches:
+            at, rows, x = [], [], []
+            for k, (text, where) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 for name, a, n in candidates(text):
-                    rows.append((i, name, a, n, hashlib.sha256(text[a : a + n].encode("utf-8", "surrogatepass")).hexdigest()))
-                    x.append(describe(text, a, n, where, name))
+                    at.append(k)
+                    rows.append((name, a, n, hashlib.sha256(text[a : a + n].encode("utf-8", "surrogatepass")).hexdigest()))
+                    x.append(describe(text, a, n, where, name, known))
             if rows:
                 score = forest.predict(np.array(x))
-                yield pd.DataFrame([(*r, s, s >= THRESHOLD) for r, s in zip(rows, score.tolist(), strict=True)], columns=names).astype({"doc_id": "Int64" if key != "string" else object})
+                columns = [pa.array(v) for v in zip(*rows, strict=True)]
+                ids = batch.column(0).take(pa.array(at, pa.int64()))
+                names = ["doc_id", "pattern", "start", "length", "value_sha256", "score", "secret"]
+                yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(score), pa.array(score >= THRESHOLD)], names)
 
-    rows = docs.select("doc_id", "text", F.col(path).cast("string").alias("path"))
-    return rows.mapInPandas(run, f"doc_id {key}, pattern string, start bigint, length bigint, value_sha256 string, score double, secret boolean")
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *StructType.fromDDL(added).fields]))
+
+
+def held_out() -> Column:
+    """Documents whose findings no forest learns from, for measuring."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir), train())
+    docs = documents(spark, sf_dir)
+    words = frequent_words(docs)
+    findings = labelled_findings() + corpus_findings(docs.where(~held_out()))
+    return scan(docs, train(findings, Dictionary(words)), words=words)

@@ -13,11 +13,13 @@
   ``REPEAT`` times and stops at the target; ``taken`` is what falls before the stop.
 
 A source may hold a third of all rows, so running sums never put one source in one task: md5 order is
-cut into buckets of about ``BUCKET_ROWS`` rows a source, bucket totals are summed first and rows only
-inside their bucket.
+cut into buckets of about ``BUCKET_ROWS`` rows a source, totals of buckets and of blocks of buckets are summed
+first and rows only inside their bucket.
 
-Defined cases: null text has size 0; a source with no words has target 0; an empty table gives an
-empty result; rows that repeat a doc_id are ordered by size; extra columns are ignored.
+Defined cases: null text has size 0; a null source is a source, the last; a null doc_id counts as an empty one in the
+stream's order; a source with no words has target 0; an empty table gives an empty result; rows that repeat a
+doc_id are ordered by size and then by place in the files; very long texts count whole; extra columns are
+ignored by the query and kept by :func:`mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import column, documents, fresh, located, saved
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -65,34 +67,46 @@ def position(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((root - (1 - slope)) / (2 * slope))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def before_it(rows: DataFrame, within: list[str], by: str, value: str, into: str) -> DataFrame:
+    """``rows`` (one a ``within`` and ``by``) with the sum of ``value`` over the lesser ``by`` of the same ``within``."""
+    upto = W.partitionBy(*within).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn(into, F.coalesce(F.sum(value).over(upto), F.lit(0)))
+
+
+def mix(docs: DataFrame, name: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source, source_size, target, taken, starts, positions.
 
     ``first_at`` is the training position of the first reading, ``again_at`` that of the second; each is
-    null where the stream stops before the document.
+    null where the stream stops before the document. ``name`` (of a row) comes back as ``row``, and ``order`` is the
+    md5 that the stream goes by. Texts are read once: what the mix needs of them is written as a narrow table.
     """
-    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("md5"))
+    unnamed = F.lit(None).cast("string")
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), (unnamed if name is None else name).alias("row"))
+    rows = saved(rows.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("source_size"))
-    targets = source_targets(sizes)
+    targets = saved(source_targets(sizes), "mix-targets")
     # Joined by a key that is never null; one row a source.
     rows, targets = rows.withColumn("key", F.to_json(F.struct("source"))), targets.withColumn("key", F.to_json(F.struct("source")))
     buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS)
-    unit = F.conv(F.substring("md5", 1, 8), 16, 10).cast("double") / float(2**32)
+    unit = F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / float(2**32)
     # Dealt by source and bucket: the join's own deal by source alone would otherwise serve the window below,
     # and a large source would meet in one task.
     rows = rows.join(targets.drop("source"), "key").withColumn("bucket", F.floor(unit * buckets)).repartition("key", "bucket")
-    before = rows.groupBy("key", "bucket").agg(F.sum("size").alias("in_bucket"))
-    upto = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = before.select("key", "bucket", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)).alias("base"))
-    inside = W.partitionBy("key", "bucket").orderBy("md5", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before, ["key", "bucket"])
+    # Totals of buckets, then of blocks of as many buckets: no running sum is over more than BUCKET_ROWS rows, but that over
+    # a source's blocks, of BUCKET_ROWS squared rows each.
+    totals = rows.groupBy("key", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("block", F.floor(F.col("bucket") / BUCKET_ROWS))
+    blocks = before_it(totals.groupBy("key", "block").agg(F.sum("in_bucket").alias("in_block")), ["key"], "block", "in_block", "before_block")
+    inside = before_it(totals, ["key", "block"], "bucket", "in_bucket", "before_bucket")
+    base = inside.join(blocks.select("key", "block", "before_block"), ["key", "block"]).select("key", "bucket", (F.col("before_block") + F.col("before_bucket")).alias("base"))
+    upto = W.partitionBy("key", "bucket").orderBy("order", "size", "row").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(upto), F.lit(0))).join(base, ["key", "bucket"])
     rows = rows.withColumn("start", F.col("base") + F.col("inner"))
     stop = F.round("target").cast("long")
     part = lambda begin: F.greatest(F.lit(0), F.least(stop - begin, F.col("size")))
     again = F.col("source_size") + F.col("start")
     at = lambda begin: F.when((begin < stop) & (F.col("target") > 0), position(F.least(F.lit(1.0), begin / F.col("target")), F.col("slope")))
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", (part(F.col("start")) + part(again)).cast("long").alias("taken"),
+        "doc_id", "row", "order", "source", "size", "source_size", "target", (part(F.col("start")) + part(again)).cast("long").alias("taken"),
         at(F.col("start")).alias("first_at"), at(again).alias("again_at"),
     )
 
@@ -100,18 +114,21 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix reads them, range-sorted by training position: a document appears once, twice or
     not at all. Readings that begin before the target's end are whole, so a source exceeds its target by
-    less than one document. Rows that repeat a doc_id are told apart by nothing else and share one plan row.
+    less than one document. Rows that repeat a doc_id are rows of their own, each with its readings.
     """
-    plan = mix(docs).where("first_at is not null").groupBy("doc_id").agg(F.min("first_at").alias("_a"), F.min("again_at").alias("_b"))
-    plan = plan.withColumn("_at", F.explode(F.array_compact(F.array("_a", "_b")))).select(F.col("doc_id").alias("_id"), "_at")
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
-    return out.orderBy("_at").select(*[docs[f"`{c}`"] for c in docs.columns])
+    names = docs.columns
+    docs, place = located(docs)
+    row, at, order = (fresh(n, docs) for n in ("_row_", "_at", "_order"))
+    plan = mix(docs, place).where("first_at is not null").select(F.col("row").alias(row), F.col("order").alias(order), F.explode(F.array_compact(F.array("first_at", "again_at"))).alias(at))
+    out = docs.select(*[column(c) for c in names], place.alias(row)).join(plan, row)
+    return out.orderBy(at, order).select(*[column(c) for c in names])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir))
     values = (F.round("target", 6).alias("target"), "taken", F.round("first_at", 9).alias("first_at"), F.round("again_at", 9).alias("again_at"))
-    return mixed.select("doc_id", "size", "source_size", *values).orderBy("first_at")
+    # Documents that are not read have no position: the order of the stream spreads them over the ranges.
+    return mixed.select("doc_id", "size", "source_size", *values, "order").orderBy("first_at", "order").drop("order")
 
 
 OP9_SQL = r"""

@@ -41,7 +41,8 @@ BITS = 128
 SHINGLE = 3
 RADIUS = 6
 BLOCK_ROWS = 512
-CACHE_WORDS = 400_000
+#: Words in a worker's cache, and the longest that it keeps.
+CACHE_WORDS, CACHED_LENGTH = 400_000, 64
 EMPTY = "0" * (BITS // 4)
 LIKENESS = [max(0.0, math.cos(math.pi * h / BITS)) for h in range(BITS + 1)]
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -51,9 +52,11 @@ class WordHashes(dict):
     """64-bit hashes of words, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

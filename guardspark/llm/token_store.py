@@ -47,7 +47,8 @@ from .common import documents, session, shared_dir, text_batches
 
 END_ID = 1
 SHARD_IDS = 1 << 18
-CACHE_PIECES = 250_000
+#: Strings in a worker's cache, and the longest that it keeps.
+CACHE_PIECES, CACHED_LENGTH = 250_000, 64
 #: Stands for a null doc_id.
 NULL_KEY = -(2**63)
 GAMMA = 1.5
@@ -137,9 +138,11 @@ class Pieces(dict):
         self.find = find
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        value = self[text] = np.array(self.find(text), "<u4").tobytes()
+        value = np.array(self.find(text), "<u4").tobytes()
+        if len(text) <= CACHED_LENGTH:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[text] = value
         return value
 
 

@@ -12,22 +12,26 @@ pipeline's stage links from 80 on, :data:`STAGE`); components are the classes of
    smallest doc_id of its documents only finds its text and names its component.
 3. **Band.** 25 bands of 5 registers; a pair at similarity 0.85 shares no band with probability 8e-7. For
    0.8 there are 27 bands of 4 registers, with probability (1 - .8 ** 4) ** 27 = 7e-7. A band's *hub* is its
-   smallest representative; the other members are paired with the hub.
+   smallest representative; the other members are paired with the hub. Bands that very many share are broadcast to their
+   members with their size.
 4. **Estimate, then verify.** Pairs of registers that agree, less the collisions that sets of these sizes
    make by chance, estimate the similarity; pairs below ``prune`` (five standard deviations under the
    limit) go. The rest are confirmed on the full sets, which are built once for the documents that have a
    promising partner.
 5. **Components** by alternating large-star and small-star steps, each written out.
 6. **Nothing lost.** Members of one band that are still in different components met their hub only. All
-   such pairs are compared as well, in blocks of ``BLOCK_ROWS`` a side that hold the full sets: a block
-   gives the links that join its components, at most one fewer than its members, and never its pairs.
-   The components are then formed again.
+   such pairs are compared as well, in blocks of ``BLOCK_ROWS`` a side that hold the full sets: the members
+   outside of the band's largest component against all its members, so a family that its hub has joined costs
+   nothing more and one with few strays is read a few times. A block gives the links that join its components, at
+   most one fewer than its members, and never its pairs. The components are then formed again. Likewise only members
+   that don't promise to be linked with the hub look for a partner among all (step 4).
 
 Defined cases: null or empty text, or one without words, has an empty set, is linked with nothing and
-is its own component; with fewer than 5 words the whole sequence is the one shingle; a row with null
+is its own component; with fewer than 5 words the whole sequence is the one shingle; very long texts are read whole; a row with null
 doc_id takes the component of the documents with its set, or null and stays; rows that repeat a
 doc_id come back each, under the component of their own text, whose name another one may share where a
-doc_id is the smallest of both; an empty table gives an empty result; extra columns are ignored.
+doc_id is the smallest of both; an empty table gives an empty result; extra columns are
+ignored, and kept by :func:`drop_near_copies`, whatever their names. Ids of any type stay as they are.
 """
 
 from __future__ import annotations
@@ -39,10 +43,10 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved, session, text_batches
+from .common import discard, documents, fresh, join_by_group, saved, session, with_text
 from .simhash import WordHashes, finish, sorted_groups
 
 SHINGLE = 5
@@ -150,19 +154,20 @@ def key_of(items: bytes) -> bytes | None:
 
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit digest of the set), registers of every row."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def make():
         words = WordHashes()
-        for pdf in batches:
-            (texts,) = next(text_batches([pdf], "text"))
+
+        def work(texts: list[str | None]) -> dict[str, list]:
             sets = [shingles(t, words) for t in texts]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "n_shingles": [len(s) for s in sets],
-                "set_key": [key_of(s.tobytes()) for s in sets],
+            return {
+                "n_shingles": [len(s) for s in sets], "set_key": [key_of(s.tobytes()) for s in sets],
                 "registers": [registers(s).tobytes() if len(s) else None for s in sets],
-            })
+            }
+
+        return work
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n_shingles bigint, set_key binary, registers binary")
+    return with_text(docs.select("doc_id", "text"), "n_shingles bigint, set_key binary, registers binary", make)
 
 
 def bands(reps: DataFrame, limit: Limit) -> DataFrame:
@@ -172,27 +177,39 @@ def bands(reps: DataFrame, limit: Limit) -> DataFrame:
     return reps.select("rep", F.explode(keyed).alias("_b")).select("_b.band", "_b.k", "rep")
 
 
-def in_blocks(rows: DataFrame, size: Column, *columns: str) -> DataFrame:
-    """Rows of a band (``size`` of them) dealt to pairs of blocks i <= j, sorted; ``own`` is the row's block.
+def in_blocks(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of a band dealt to pairs of blocks (i, j), sorted: its minor rows (``left``) of block i against all its rows of block j.
 
-    A band holds as many tasks as it needs, so one that many documents share never meets in one.
+    ``rows`` has band, rep, minor, and the band's sizes n and n_minor. A band holds as many tasks as it needs, so one that
+    many documents share never meets in one; without minor rows it has none, and with few its rows go out a few times.
     """
-    rows = rows.withColumn("_n", F.ceil(size / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.select("band", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "rep", *columns)
+    blocks = lambda size: F.ceil(F.col(size) / BLOCK_ROWS).cast("int")
+    rows = rows.where("n_minor > 0").withColumn("_l", blocks("n_minor")).withColumn("_r", blocks("n"))
+    own = lambda size: F.pmod(F.xxhash64("rep"), F.col(size)).cast("int")
+    numbers = lambda size: F.sequence(F.lit(0), F.col(size) - 1)
+    to = lambda left, i, j: F.struct(F.lit(left).alias("left"), i.alias("i"), j.alias("j"))
+    right = F.transform(numbers("_l"), lambda i: to(False, i, own("_r")))
+    left = F.when(F.col("minor"), F.transform(numbers("_r"), lambda j: to(True, own("_l"), j))).otherwise(F.array().cast("array<struct<left:boolean,i:int,j:int>>"))
+    rows = rows.withColumn("_to", F.explode(F.concat(right, left))).select("band", "_to.i", "_to.j", "_to.left", "rep", *columns)
     return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
-def block_pairs(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, later rows that k is to be compared with): rows of the other block, or of the same one where there is one block only."""
-    own = group["own"].to_numpy()
-    cross = group["i"].iloc[0] != group["j"].iloc[0]
-    for k in range(len(own) - 1):
-        yield k, (np.flatnonzero(own[k + 1 :] != own[k]) if cross else np.arange(len(own) - k - 1)) + k + 1
-
-
-def agreeing(registers_: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
-    return (registers_[at] == registers_[k]).sum(1)
+def block_pairs(group: pd.DataFrame, registers_: np.ndarray, n: np.ndarray, limit: Limit, other=None) -> Iterator[tuple[int, np.ndarray]]:
+    """(left row k, right rows that promise to be linked with it); ``other(k, rows)`` may leave some out first."""
+    left, rep = group["left"].to_numpy(bool), group["rep"].to_numpy()
+    right = np.flatnonzero(~left)
+    for k in np.flatnonzero(left):
+        at = right[rep[right] != rep[k]]
+        at = at if other is None else at[other(k, at)]
+        # Cheap bounds first: the sizes, then the registers that agree before chance is taken off.
+        at = at[limit.denominator * np.minimum(n[at], n[k]) >= limit.numerator * np.maximum(n[at], n[k])]
+        agree = (registers_[at] == registers_[k]).sum(1)
+        near = agree >= limit.prune * BUCKETS
+        at, agree = at[near], agree[near]
+        if len(at):
+            at = at[promising(agree, np.full(len(at), n[k]), n[at], limit)]
+        if len(at):
+            yield int(k), at
 
 
 def promising(agree: np.ndarray, n: np.ndarray, m: np.ndarray, limit: Limit) -> np.ndarray:
@@ -200,39 +217,44 @@ def promising(agree: np.ndarray, n: np.ndarray, m: np.ndarray, limit: Limit) ->
     return (estimate(agree, n, m) >= limit.prune) & (limit.denominator * np.minimum(n, m) >= limit.numerator * np.maximum(n, m))
 
 
-def with_partner(multi: DataFrame, reps: DataFrame, limit: Limit) -> DataFrame:
-    """rep: those with a promising partner in one of their bands."""
-    size = multi.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    rows = multi.join(size, "band").join(reps.select("rep", "registers", "n_shingles"), "rep")
+def with_partner(multi: DataFrame, stars: DataFrame, reps: DataFrame, limit: Limit) -> DataFrame:
+    """rep: those with a promising partner in one of their bands. ``stars`` are the promising pairs (a: the hub, b).
+
+    A row that promises to be linked with its band's hub has its partner; only the others, the minor rows, look at all rows.
+    """
+    rows = multi.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.lit(True).alias("_met")), ["hub", "rep"], "left")
+    rows = rows.select("band", "n", "rep", (F.col("_met").isNull() & (F.col("rep") != F.col("hub"))).alias("minor"))
+    # Of two rows the only pair has been looked at.
+    size = rows.where("minor and n > 2").groupBy("band").agg(F.count(F.lit(1)).alias("n_minor"))
+    rows = rows.join(size, "band").join(reps.select("rep", "registers", "n_shingles"), "rep")
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(batches, ["band", "i", "j"]):
-            reg, n = matrix(g["registers"]), g["n_shingles"].to_numpy()
             hit = np.zeros(len(g), bool)
-            for k, at in block_pairs(g):
-                if len(at):
-                    good = at[promising(agreeing(reg, k, at), np.full(len(at), n[k]), n[at], limit)]
-                    hit[good] = True
-                    hit[k] |= bool(len(good))
+            for k, at in block_pairs(g, matrix(g["registers"]), g["n_shingles"].to_numpy(), limit):
+                hit[at] = hit[k] = True
             if hit.any():
                 yield pd.DataFrame({"rep": g["rep"].to_numpy()[hit]})
 
-    return in_blocks(rows, F.col("n"), "registers", "n_shingles").mapInPandas(pick, "rep bigint").distinct()
+    looked = in_blocks(rows, "registers", "n_shingles").mapInPandas(pick, "rep bigint")
+    return looked.unionByName(stars.select(F.explode(F.array("a", "b")).alias("rep"))).distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """rep, items: the whole sets of the wanted representatives (rep, doc_id, set_key), packed."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         words = WordHashes()
-        for pdf in batches:
-            (texts,) = next(text_batches([pdf], "text"))
+
+        def work(texts: list[str | None]) -> dict[str, list]:
             items = [shingles(t, words).tobytes() for t in texts]
-            yield pd.DataFrame({"set_key": [key_of(x) for x in items], "items": items})
+            return {"set_key": [key_of(x) for x in items], "items": items}
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # One plan at every size: texts are dealt by doc_id. Rows that repeat one may hold other sets, so keys decide.
-    found = texts.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInPandas(sets, "set_key binary, items binary").dropDuplicates(["set_key"])
+        return work
+
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi").select("text")
+    # Rows that repeat a doc_id may hold other sets, so keys decide.
+    found = with_text(texts, "set_key binary, items binary", make).dropDuplicates(["set_key"])
     return found.join(wanted.select("set_key", "rep"), "set_key").select("rep", "items")
 
 
@@ -242,24 +264,29 @@ def linked(x: bytes, y: bytes, limit: Limit) -> bool:
     return limit.denominator * both >= limit.numerator * (len(a) + len(b) - both)
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
-    """The pairs ``a, b`` whose registers promise enough and whose full sets confirm the link."""
+def likely(pairs: DataFrame, reps: DataFrame, limit: Limit) -> DataFrame:
+    """The pairs ``a, b`` whose registers promise enough."""
     regs = lambda side: reps.select(F.col("rep").alias(side), F.col("registers").alias(f"r{side}"), F.col("n_shingles").alias(f"n{side}"))
-    side = lambda x: items.select(F.col("rep").alias(x), F.col("items").alias(f"s{x}"))
 
-    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 agree = (matrix(pdf["ra"]) == matrix(pdf["rb"])).sum(1)
                 yield pdf.loc[promising(agree, pdf["na"].to_numpy(), pdf["nb"].to_numpy(), limit), ["a", "b"]]
 
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return pairs.join(regs("a"), "a").join(regs("b"), "b").mapInPandas(run, "a bigint, b bigint")
+
+
+def confirmed(pairs: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
+    """The pairs ``a, b`` that the full sets confirm."""
+    side = lambda x: items.select(F.col("rep").alias(x), F.col("items").alias(f"s{x}"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = [linked(x, y, limit) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    good = pairs.join(regs("a"), "a").join(regs("b"), "b").mapInPandas(likely, "a bigint, b bigint")
-    return good.join(side("a"), "a").join(side("b"), "b").mapInPandas(confirm, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -274,10 +301,13 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: u and its lesser neighbours go to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out._saved_at = edges._saved_at
+            return out
         state = now
 
 
@@ -290,66 +320,74 @@ def first_band(x: np.ndarray, ys: np.ndarray, rep: int, reps: np.ndarray, limit:
 
 
 def joining(multi: DataFrame, reps: DataFrame, items: DataFrame, comps: DataFrame, limit: Limit) -> DataFrame:
-    """Links (a, b) between different components of one band, enough of them to join all that are linked."""
-    known = multi.join(items.select("rep"), "rep", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    """Links (a, b) between different components of one band, enough of them to join all that are linked.
+
+    Rows outside of the band's largest component are its minor rows: a pair of different components has at least one.
+    """
+    known = multi.select("band", "k", "rep").join(items.select("rep"), "rep", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("band", "k", "rep", F.coalesce("comp", "rep").alias("comp"))
-    mixed = known.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("band", "n")
-    rows = known.join(mixed, "band").join(reps.select("rep", "registers", "n_shingles"), "rep").join(items, "rep")
+    parts = known.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = parts.groupBy("band").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    mixed = mixed.select("band", "n", (F.col("n") - F.col("top.m")).alias("n_minor"), F.col("top.comp").alias("major"))
+    rows = known.join(mixed, "band").withColumn("minor", F.col("comp") != F.col("major"))
+    rows = rows.join(reps.select("rep", "registers", "n_shingles"), "rep").join(items, "rep")
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(batches, ["band", "i", "j"]):
             reg, n, rep, items_, band = matrix(g["registers"]), g["n_shingles"].to_numpy(), g["rep"].to_numpy(), g["items"].tolist(), int(g["k"].iloc[0])
             comp = np.unique(g["comp"].to_numpy(), return_inverse=True)[1]
             out = []
-            for k, at in block_pairs(g):
-                at = at[comp[at] != comp[k]]
-                at = at[promising(agreeing(reg, k, at), np.full(len(at), n[k]), n[at], limit)] if len(at) else at
-                at = at[first_band(reg[k], reg[at], rep[k], rep[at], limit) == band] if len(at) else at
-                for other in at:
+            for k, at in block_pairs(g, reg, n, limit, lambda k, at: comp[at] != comp[k]):
+                for other in at[first_band(reg[k], reg[at], rep[k], rep[at], limit) == band]:
                     if comp[other] != comp[k] and linked(items_[k], items_[other], limit):
                         out.append((min(rep[k], rep[other]), max(rep[k], rep[other])))
                         comp[comp == comp[other]] = comp[k]
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    return in_blocks(rows, F.col("n"), "k", "comp", "registers", "n_shingles", "items").mapInPandas(links, "a bigint, b bigint").distinct()
+    return in_blocks(rows, "k", "comp", "registers", "n_shingles", "items").mapInPandas(links, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, limit: Limit = CONTRACT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
-    spark = session(docs.sparkSession)
+    session(docs.sparkSession)
     sketched = saved(sketch(docs), "sketches")
-    full = sketched.where("n_shingles > 0 and doc_id is not null")
-    by_set = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = full.select("doc_id", "set_key", "n_shingles", "registers").join(by_set.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi")
-    # A row that comes twice is one representative; sets that share their smallest doc_id are two. Numbers are final once written.
-    reps = reps.dropDuplicates(["set_key"]).select(F.monotonically_increasing_id().alias("rep"), "doc_id", "set_key", "n_shingles", "registers")
-    reps = saved(reps, "representatives")
+    total = sketched.count()
+    # Rows of a set hold the same registers. Numbers are final once written.
+    sets = sketched.where("set_key is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_docs"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("registers").alias("registers")
+    )
+    reps = saved(sets.where("doc_id is not null").select(F.monotonically_increasing_id().alias("rep"), "doc_id", "set_key", "n_docs", "n_shingles", "registers"), "representatives")
 
     banded = bands(reps, limit)
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
-    multi = saved(banded.join(hubs, "band"), "bands")
-    wanted = with_partner(multi, reps, limit).join(reps.select("rep", "doc_id", "set_key"), "rep")
-    items = saved(full_sets(docs, wanted), "sets")
-    stars = multi.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = saved(confirmed(stars, reps, items, limit), "links")
-    comps = components(links)
+    hubs = saved(banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
+    multi = saved(join_by_group(banded, hubs, "band", "n", limit.bands * total), "bands")
+    stars = saved(likely(multi.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), reps, limit), "stars")
+    wanted = with_partner(multi, stars, reps, limit).join(reps.select("rep", "doc_id", "set_key"), "rep")
+    items = saved(full_sets(docs, saved(wanted, "wanted")), "sets")
+    comps = components(confirmed(stars, items, limit))
     more = saved(joining(multi, reps, items, comps, limit), "links")
     if not more.isEmpty():
-        comps = components(links.unionByName(more))
+        before, comps = comps, components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+        discard(before)
+    discard(hubs, multi, stars, items, more)
     # A component's least node stands on the right only.
     members = comps.select(F.col("node").alias("rep"), "comp").unionByName(comps.select(F.col("comp").alias("rep"), "comp")).distinct().join(reps.select("rep", "doc_id"), "rep")
     named = members.select("rep", "comp").join(members.groupBy("comp").agg(F.min("doc_id").alias("name")), "comp").select("rep", "name")
-    found = reps.join(named, "rep", "left").select("set_key", F.coalesce("name", "doc_id").alias("comp"))
-    out = sketched.join(found, "set_key", "left")
+    found = saved(reps.join(named, "rep", "left").select("set_key", F.coalesce("name", "doc_id").alias("comp"), "n_docs"), "components")
+    # Rows without a set meet nobody; the rows of very common sets don't meet in one task.
+    rows = sketched.select("doc_id", "n_shingles", "set_key")
+    alone = rows.where("set_key is null").withColumn("comp", F.col("doc_id"))
+    some = join_by_group(rows.where("set_key is not null"), found, "set_key", "n_docs", total, "left").select(*rows.columns, "comp")
     comp = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, comp.isNull()).alias("kept"))
+    return some.unionByName(alone).select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, comp.isNull()).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, limit: Limit = STAGE) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component, with its columns."""
-    kept = near_duplicates(docs, limit).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi").select(*[docs[f"`{c}`"] for c in docs.columns])
+    key = fresh("_id", docs)
+    kept = near_duplicates(docs, limit).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[key]), "left_semi").select(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps texts whose language is recognised: the profiles come from all rows with a language, and texts
     without letters (``und``) or further than ``LEAST_SCORE`` allows from every profile go."""
     profiles = language_id.learn(docs)
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    found = language_id.identify(docs, profiles, *keep, F.col("text").alias("_text"))
-    known = found.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.LEAST_SCORE))
-    return known.withColumnRenamed("_text", "text").select(*[f"`{c}`" for c in docs.columns])
+    lang, score = common.fresh("_lang", docs), common.fresh("_score", docs)
+    found = language_id.identified(docs, profiles, (lang, score), keep_text=True)
+    known = found.where((F.col(lang) != "und") & (F.col(score) >= language_id.LEAST_SCORE))
+    return known.select(*[common.column(c) for c in docs.columns])
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

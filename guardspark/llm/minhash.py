@@ -47,7 +47,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, documents, fresh, join_by_group, saved, session, with_text
-from .simhash import WordHashes, finish, sorted_groups
+from .graph import components, sorted_groups
+from .simhash import WordHashes, finish
 
 SHINGLE = 5
 BUCKETS = 128
@@ -289,28 +290,6 @@ def confirmed(pairs: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp: the least node reachable from each node of ``links`` (a, b), by alternating stars."""
-    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
-    while True:
-        # Large star: every greater neighbour of u, on either side, goes to u's least neighbour (or u).
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: u and its lesser neighbours go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        before, edges = edges, saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        discard(before)
-        now = edges.agg(F.count(F.lit(1)), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            out = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-            out._saved_at = edges._saved_at
-            return out
-        state = now
-
-
 def first_band(x: np.ndarray, ys: np.ndarray, rep: int, reps: np.ndarray, limit: Limit) -> np.ndarray:
     """The one of a pair's shared bands in which it is compared: the next after a band drawn from both ids."""
     n, rows = limit.bands, limit.rows

@@ -6,11 +6,12 @@ votes with the weight's sign and the signs of the sums are the fingerprint. Two
 Hamming distance h estimate the cosine of the weighted term vectors as ``cos(pi * h / 128)``, which is
 the likeness (0 if negative).
 
-**Search.** :func:`within_radius` finds all pairs of distinct fingerprints within a Hamming radius r: the
+**Search.** :func:`with_classes` finds all fingerprints within a Hamming radius r of one another: the
 128 bits are cut into r + 2 blocks; two fingerprints within r agree on at least two blocks, so each
 table permutes one pair of blocks to the front, and fingerprints that share a table's front are
 compared in full. Equal fingerprints are one row with their documents counted. Fronts shared by more
-than ``BLOCK_ROWS`` fingerprints are compared block against block in separate tasks.
+than ``BLOCK_ROWS`` fingerprints are compared block against block in separate tasks. What comes out is the number of
+documents within the radius and the class that such steps join: counts and links that join, never pairs.
 
 **The next document.** Documents are range-partitioned and sorted by doc_id; each task keeps one text
 back, so only the last text of a partition needs a text from elsewhere: the first of the next
@@ -19,7 +20,8 @@ partition with rows, joined by partition number.
 Defined cases: null text is empty; an empty text has the fingerprint of zeros and its likeness to
 another empty text is 1, to any other text 0; a null doc_id comes first; rows that repeat a doc_id
 come in the order of their texts; an empty table gives an empty result; a single row is its own next
-document; extra columns are ignored.
+document; ids stay as they are; very long texts are read whole, their terms voting a slice at a time; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,16 +33,21 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import documents, saved, session, text_batches
+from .common import discard, documents, join_by_group, saved, session, with_text
+from .graph import components, sorted_groups
 
 BITS = 128
 SHINGLE = 3
 RADIUS = 6
-BLOCK_ROWS = 512
+#: Fingerprints of 16 bytes in a block, and terms whose votes are counted at once.
+BLOCK_ROWS, VOTERS = 4096, 16384
 #: Words in a worker's cache, and the longest that it keeps.
 CACHE_WORDS, CACHED_LENGTH = 400_000, 64
 EMPTY = "0" * (BITS // 4)
@@ -79,11 +86,16 @@ def votes(hashes: np.ndarray) -> str:
         term = (term ^ hashes[k : k + n]) * MIX[k % 3] + MIX[(k + 1) % 3]
         term ^= term >> np.uint64(29)
     term, count = np.unique(term, return_counts=True)
-    bits = np.unpackbits(np.stack((finish(term), finish(term ^ MIX[2])), 1).view(np.uint8), axis=1)
-    weight = (1 + np.log(count)).astype(np.float32)
-    total = weight.sum()
-    # One bits vote +weight, zero bits -weight. Equal terms give the same sums in the same order.
-    return np.packbits(2 * (weight @ bits.astype(np.float32)) > total).tobytes().hex()
+    ones, total = np.zeros(BITS), 0.0
+    # A slice of the terms at a time: their bits take 640 bytes a term. Equal terms give the same sums in the same order.
+    for at in range(0, len(term), VOTERS):
+        part = term[at : at + VOTERS]
+        bits = np.unpackbits(np.stack((finish(part), finish(part ^ MIX[2])), 1).view(np.uint8), axis=1)
+        weight = (1 + np.log(count[at : at + VOTERS])).astype(np.float32)
+        ones += weight @ bits.astype(np.float32)
+        total += float(weight.sum())
+    # One bits vote +weight, zero bits -weight.
+    return np.packbits(2 * ones > total).tobytes().hex()
 
 
 def fingerprint(text: str, cache: WordHashes) -> str:
@@ -115,114 +127,138 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id and ``FIELDS``."""
     spark = session(docs.sparkSession)
     ordered = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    key = dict(ordered.dtypes)["doc_id"]
+    walked_type = StructType([*StructType.fromDDL("kind string, part int").fields, docs.schema["doc_id"], *StructType.fromDDL(f"text string, {FIELDS}").fields])
+    shape = to_arrow_schema(walked_type)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, cache, held = TaskContext.get().partitionId(), WordHashes(), None
-        for ids, texts in text_batches(batches, "doc_id", "text"):
+        for batch in batches:
             out = []
-            for i, text in zip(ids, texts, strict=True):
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 mark = fingerprint(text, cache)
                 if held is None:
                     out.append(("head", part, i, text, *[None] * len(NAMES)))
                 else:
                     out.append(("row", part, held[0], None, *compare(held[1], held[2], text, mark, cache)))
                 held = i, text, mark
-            yield frame(out)
+            yield table(out)
         if held is not None:
-            yield frame([("tail", part, held[0], held[1], *[None] * len(NAMES))])
+            yield table([("tail", part, held[0], held[1], *[None] * len(NAMES))])
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["kind", "part", "doc_id", "text", *NAMES]).astype({"n_chars": "Int64", "doc_id": "Int64" if key != "string" else object})
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(shape)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
-    walked = saved(ordered.mapInPandas(walk, f"kind string, part int, doc_id {key}, text string, {FIELDS}"), "fingerprints")
+    walked = saved(ordered.mapInArrow(walk, walked_type), "fingerprints")
     # The part after each part, the first after the last: numbers alone, one a partition.
     parts = walked.where("kind = 'head'").select("part")
     following = parts.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"))
     heads = walked.where("kind = 'head'").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
     tails = walked.where("kind = 'tail'").select("part", "doc_id", "text").join(following, "part").join(heads, "next_part")
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         cache = WordHashes()
-        for ids, texts, nexts in text_batches(batches, "doc_id", "text", "following"):
-            rows = [(i, *compare(t, fingerprint(t, cache), n, fingerprint(n, cache), cache)) for i, t, n in zip(ids, texts, nexts, strict=True)]
-            yield pd.DataFrame(rows, columns=["doc_id", *NAMES]).astype({"doc_id": "Int64" if key != "string" else object})
 
-    ends = tails.select("doc_id", "text", "following").mapInPandas(close, f"doc_id {key}, {FIELDS}")
-    return walked.where("kind = 'row'").select("doc_id", *NAMES).unionByName(ends)
+        def close(pairs: list[dict]) -> dict[str, list]:
+            found = [compare(p["text"], fingerprint(p["text"], cache), p["following"], fingerprint(p["following"], cache), cache) for p in pairs]
+            return dict(zip(NAMES, zip(*found, strict=True), strict=True)) if found else {n: [] for n in NAMES}
+
+        return close
+
+    ends = with_text(tails.select("doc_id", F.struct("text", "following").alias("pair")), FIELDS, make, text="pair")
+    return walked.where("kind = 'row'").select("doc_id", *NAMES).unionByName(saved(ends, "fingerprint-ends"))
 
 
 def block_bounds(radius: int) -> list[tuple[int, int]]:
-    edges = [round(k * BITS / (radius + 2)) for k in range(radius + 3)]
+    """``radius + 2`` blocks of hex digits (from, to)."""
+    edges = [round(k * BITS / 4 / (radius + 2)) for k in range(radius + 3)]
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def within_radius(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """All pairs of distinct fingerprints (``a`` < ``b``, ``distance``) of the column ``fingerprint`` within ``radius``.
+def near_marks(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Of the distinct fingerprints ``mark`` (a number), ``fingerprint``, ``n_docs``: mark, near, a, b.
 
-    Equal fingerprints are collapsed first; join the pairs back to the rows by fingerprint.
+    Rows with ``mark`` say that ``near`` more documents have a fingerprint within ``radius``; they add up. Rows with ``a`` and ``b`` are
+    links, enough of them to join all that are within ``radius``, and never the pairs of a group.
     """
-    spark = session(marks.sparkSession)
-    distinct = marks.where("fingerprint is not null").select("fingerprint").distinct()
     bounds = block_bounds(radius)
-
-    def fronts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            value = [int(x, 16) for x in pdf["fingerprint"]]
-            for table, pair in enumerate(combinations(bounds, 2)):
-                front = [hash_front(table, *[(v >> (BITS - b)) & ((1 << (b - a)) - 1) for a, b in pair]) for v in value]
-                yield pd.DataFrame({"front": front, "fingerprint": pdf["fingerprint"]})
-
-    rows = distinct.mapInPandas(fronts, "front bigint, fingerprint string")
+    tables = list(combinations(range(len(bounds)), 2))
+    block = [F.substring("fingerprint", a + 1, b - a) for a, b in bounds]
+    fronts = F.array(*[F.struct(F.xxhash64(F.lit(t), block[x], block[y]).alias("front"), F.lit(t).alias("table")) for t, (x, y) in enumerate(tables)])
+    rows = marks.select("mark", "n_docs", F.unhex("fingerprint").alias("bits"), F.explode(fronts).alias("_f")).select("_f.front", "_f.table", "mark", "n_docs", "bits")
     shared = rows.groupBy("front").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
-    rows = rows.join(shared.select("front", blocks.alias("blocks")), "front").withColumn("own", own)
+    rows = rows.join(shared, "front").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
     # Block pairs (i, j), i <= j: each fingerprint goes to every pair that has its block.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("front", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fingerprint")
-    rows = rows.repartition("front", "i", "j").sortWithinPartitions("front", "i", "j")
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in sorted_groups(batches, ["front", "i", "j"]):
-            raw = np.frombuffer(bytes.fromhex("".join(group["fingerprint"])), np.uint64).reshape(-1, BITS // 64)
-            own, name = group["own"].to_numpy(), group["fingerprint"].to_numpy()
-            cross = group["i"].iloc[0] != group["j"].iloc[0]
+    rows = rows.select("front", "table", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "mark", "n_docs", "bits")
+    keys = ["front", "table", "i", "j"]
+    masks = np.array([((1 << 4 * (b - a)) - 1) << (BITS - 4 * b) for a, b in bounds], object)
+    masks = np.array([[int(m) >> 64, int(m) & (2**64 - 1)] for m in masks], np.uint64)
+    number = np.zeros((len(bounds), len(bounds)), np.int64)
+    for t, (x, y) in enumerate(tables):
+        number[x, y] = t
+
+    def first_table(differ: np.ndarray) -> np.ndarray:
+        """By pair: the first table whose front both have, from their differing bits."""
+        same = ~((differ[:, None, :] & masks[None]) != 0).any(2)
+        x = same.argmax(1)
+        same[np.arange(len(same)), x] = False
+        return number[x, same.argmax(1)]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in sorted_groups(batches, keys):
+            raw = np.frombuffer(b"".join(g["bits"]), ">u8").astype(np.uint64).reshape(-1, BITS // 64)
+            own, mark, weight = g["own"].to_numpy(), g["mark"].to_numpy(), g["n_docs"].to_numpy()
+            cross, table = g["i"].iloc[0] != g["j"].iloc[0], g["table"].iloc[0]
+            near, comp, links = np.zeros(len(g), np.int64), np.arange(len(g)), []
             for k in range(len(raw) - 1):
-                h = np.bitwise_count(raw[k + 1 :] ^ raw[k]).sum(1)
-                near = np.flatnonzero((h <= radius) & ((own[k + 1 :] != own[k]) | (not cross))) + k + 1
-                if len(near):
-                    a, b = np.minimum(name[near], name[k]), np.maximum(name[near], name[k])
-                    yield pd.DataFrame({"a": a, "b": b, "distance": h[near - k - 1].astype(np.int32)})
-
-    return rows.mapInPandas(pairs, "a string, b string, distance int").distinct()
-
-
-def hash_front(table: int, *blocks: int) -> int:
-    return int.from_bytes(hashlib.blake2b(repr((table, *blocks)).encode(), digest_size=8).digest(), "little", signed=True)
-
-
-def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of rows that are sorted by ``keys`` (no nulls), across batch borders."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        k = pdf[keys].to_numpy()
-        if held and (held[-1][keys].to_numpy()[-1] != k[0]).any():
-            yield pd.concat(held, ignore_index=True)
-            held = []
-        cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-            if a and held:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(pdf.iloc[a:b])
-    if held:
-        yield pd.concat(held, ignore_index=True)
+                differ = raw[k + 1 :] ^ raw[k]
+                at = np.flatnonzero(np.bitwise_count(differ).sum(1) <= radius)
+                at = at[own[at + k + 1] != own[k]] if cross else at
+                # A pair counts in one table, and in one pair of blocks.
+                at = at[first_table(differ[at]) == table] + k + 1 if len(at) else at
+                if len(at):
+                    near[k] += weight[at].sum()
+                    near[at] += weight[k]
+                    for c in np.unique(comp[at][comp[at] != comp[k]]):
+                        links.append((mark[k], mark[at[comp[at] == c][0]]))
+                        comp[comp == c] = comp[k]
+            hit = np.flatnonzero(near)
+            if len(hit):
+                none = [None] * len(hit)
+                yield pd.DataFrame({"mark": mark[hit], "near": near[hit], "a": none, "b": none}).astype("Int64")
+                if links:
+                    a, b = zip(*links, strict=True)
+                    yield pd.DataFrame({"mark": [None] * len(a), "near": [None] * len(a), "a": a, "b": b}).astype("Int64")
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(look, "mark bigint, near bigint, a bigint, b bigint")
+
+
+def with_classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``rows`` (doc_id and fingerprint, of a scan) with near_class and n_near.
+
+    ``n_near`` is the number of other rows whose fingerprint is within ``radius``, ``near_class`` the smallest doc_id that can be
+    reached from fingerprint to fingerprint in such steps. Texts without words have a class of their own.
+    """
+    session(rows.sparkSession)
+    marks = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_docs"))
+    marks = saved(marks.select(F.monotonically_increasing_id().alias("mark"), "fingerprint", "first", "n_docs"), "marks")
+    found = saved(near_marks(marks.where(F.col("fingerprint") != EMPTY), radius), "near-marks")
+    counts = found.where("mark is not null").groupBy("mark").agg(F.sum("near").alias("near"))
+    comps = components(found.where("a is not null").select("a", "b"))
+    # A class's least mark stands on the right only.
+    members = comps.select(F.col("node").alias("mark"), "comp").unionByName(comps.select(F.col("comp").alias("mark"), "comp")).distinct()
+    named = members.join(marks.select("mark", "first"), "mark")
+    named = named.join(named.groupBy("comp").agg(F.min("first").alias("name")), "comp").select("mark", "name")
+    whole = marks.join(named, "mark", "left").join(counts, "mark", "left")
+    n_near = F.coalesce("near", F.lit(0)) + F.col("n_docs") - 1
+    whole = saved(whole.select("fingerprint", "n_docs", F.coalesce("name", "first").alias("near_class"), n_near.alias("n_near")), "classes")
+    discard(found, comps)
+    return join_by_group(rows, whole, "fingerprint", "n_docs", rows.count()).select(*rows.columns, "near_class", "n_near")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(documents(spark, sf_dir))
+    return with_classes(fingerprints(documents(spark, sf_dir)))

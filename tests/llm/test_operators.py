@@ -240,20 +240,72 @@ def test_fingerprints(spark, docs, rows, empty):
     assert simhash.fingerprints(one).first().near_next == 1.0
 
 
-def test_block_tables_find_all_in_radius(spark):
+def test_fingerprint_bits_against_plain_votes():
+    """Bit by bit, from the words: every distinct term votes with its weight."""
+    from math import log
+
+    draw = random.Random(9)
+    for text in [prose(draw, 60), "a b", "one", prose(draw, 9) * 3, "A b A b A b C"]:
+        words = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in text.encode().lower().split()]
+        mask, mix = 2**64 - 1, [int(x) for x in simhash.MIX]
+        terms = {}
+        for k in range(max(1, len(words) - 2)):
+            x = min(3, len(words))
+            for n, w in enumerate(words[k : k + 3]):
+                x = ((x ^ w) * mix[n % 3] + mix[(n + 1) % 3]) & mask
+                x ^= x >> 29
+            terms[x] = terms.get(x, 0) + 1
+
+        def final(x):
+            x = ((x ^ x >> 30) * mix[3]) & mask
+            x = ((x ^ x >> 27) * mix[4]) & mask
+            return x ^ x >> 31
+
+        bits = ""
+        for half in (0, mix[2]):
+            for byte in range(8):
+                for bit in range(8):
+                    vote = sum((1 + log(n)) * (1 if final(x ^ half) >> (8 * byte + 7 - bit) & 1 else -1) for x, n in terms.items())
+                    bits += "1" if vote > 1e-6 else "0"
+        assert simhash.fingerprint(text, simhash.WordHashes()) == f"{int(bits, 2):032x}"
+
+
+def test_votes_in_slices(monkeypatch):
+    hashes = np.random.Generator(np.random.PCG64(1)).integers(0, 2**63, 5000).astype(np.uint64)
+    whole = simhash.votes(hashes)
+    monkeypatch.setattr(simhash, "VOTERS", 64)
+    assert simhash.votes(hashes) == whole
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_block_tables_find_all_in_radius(spark, monkeypatch, block):
+    """Classes and numbers of neighbours equal those of all pairs; repeats count, texts without words stay apart."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
     draw = random.Random(8)
-    marks = [draw.getrandbits(128) for _ in range(60)]
-    for m in marks[:30]:
+    marks = [draw.getrandbits(128) for _ in range(40)]
+    for m in marks[:20]:
         for _ in range(3):
             near = m
             for b in draw.sample(range(128), draw.randint(1, 8)):
                 near ^= 1 << b
             marks.append(near)
-    df = spark.createDataFrame([(f"{m:032x}",) for m in marks + marks[:5]] + [(None,)], "fingerprint string")
-    got = {(r.a, r.b): r.distance for r in simhash.within_radius(df, 6).collect()}
-    names = sorted({f"{m:032x}" for m in marks})
-    want = {(a, b): (int(a, 16) ^ int(b, 16)).bit_count() for k, a in enumerate(names) for b in names[k + 1 :] if (int(a, 16) ^ int(b, 16)).bit_count() <= 6}
-    assert got == want
+    marks += marks[:5] + [0, 0, 1]
+    rows = list(enumerate(marks))
+    distance = lambda a, b: (a ^ b).bit_count() if (a == 0) == (b == 0) else 128
+    near = {i: [j for j, n in rows if j != i and distance(m, n) <= 6] for i, m in rows}
+    top = {}
+    for i in near:
+        if i not in top:
+            todo = [i]
+            while todo:
+                k = todo.pop()
+                if k not in top:
+                    top[k] = i
+                    todo += near[k]
+    df = spark.createDataFrame([(i, f"{m:032x}") for i, m in rows], "doc_id bigint, fingerprint string")
+    got = {r.doc_id: (r.near_class, r.n_near) for r in simhash.with_classes(df).collect()}
+    assert got == {i: (top[i], len(near[i])) for i, _ in rows}
+    assert simhash.with_classes(df.where("false")).count() == 0
 
 
 # 7

@@ -1,49 +1,58 @@
 """Token-id files with a minimal perfect hash index (operator 10).
 
-Documents are range-partitioned by doc_id, so every task writes one ascending run of shards. A shard
-is one row of the store's Parquet files:
-
-========== ==================================================================================
-column     content
-========== ==================================================================================
-part, seq  place of the shard in ascending doc_id order
-n_docs     documents in it;  n_tokens: ids in it;  first_key, last_key: its key range
-keys       doc_id of each document in order, as little-endian signed 64-bit integers
-payload    ids as little-endian unsigned 32-bit integers, documents back to back
-levels     minimal perfect hash: bit arrays of the levels, each with its length in front
-slots      by hash value: 32-bit fingerprint of the key and 32-bit number of its first document
-ends       end of each document in ids, as little-endian unsigned 64-bit integers
-========== ==================================================================================
-
-A key's hash value is the rank of its bit in the first level where it was alone (keys that collide go
-on to the next level), so a lookup takes a constant expected number of probes, then one comparison of
-the stored fingerprint, then one slice of the payload. A shard is cut at ``SHARD_IDS`` ids, so neither
-writer nor reader ever holds more than that and one document.
+Documents are range-partitioned by doc_id, so every task writes one ascending run of shards. A store is a folder:
+
+=========================== ==================================================================================
+place                       content
+=========================== ==================================================================================
+``ids/part-P-seq-S.bin``    a shard's payload, raw: ids as little-endian unsigned 32-bit integers, documents back to back
+``shards/``                 Parquet, a row a shard: part, seq, n_docs, n_tokens; ``keys`` and ``ends``: doc_id and end (in ids) of
+                            each document in order, as little-endian 64-bit integers
+``index/bucket-B.bin``      minimal perfect hash of the keys of one bucket: number of keys and of levels, the bit array of each
+                            level with its length in front, then a ``SLOT`` for each hash value
+``meta.json``               number of buckets
+=========================== ==================================================================================
+
+A key's bucket is a hash of it, its hash value in the bucket the rank of its bit in the first level where it was
+alone (keys that collide go on to the next level), and the slot holds a fingerprint of the key, the shard, the offset and the
+number of ids. So a lookup reads the levels of one bucket (of about ``BUCKET_KEYS`` keys, whatever the store's size) and one
+slot, compares the fingerprint and reads one slice of one payload file: no scan and no Spark job. A shard is cut at
+``SHARD_IDS`` ids, so neither writer nor reader ever holds more than that and one document.
+
+Files are written under a name of their own and renamed, and a task that runs again writes the same bytes, so lost executors
+and repeated tasks leave a whole store. The folder must be one that pyarrow opens (file, hdfs, s3, gs).
 
 Tokenising caches the library's ids by pre-token, bounded and shared by a worker's tasks. Texts within
 Latin-1 are cut into pre-tokens by the tokenizer's own split pattern; others, and texts with the marks
 of special tokens, go by white-space chunk through the whole tokenizer, whose pattern never joins
 characters across a space, tab or line feed. Tests compare both with whole texts.
 
-Defined cases: null text is empty and has the end id alone; a null doc_id sorts first under a
-reserved key; rows that repeat a doc_id stay separate documents, adjacent in the store, and the index
-names the first; an empty table gives an empty store; extra columns are ignored.
+Defined cases: null text is empty and has the end id alone; a null doc_id sorts first under the reserved key -2**63, so
+a document of that very id comes back as null; rows that repeat a doc_id stay separate documents, adjacent in the store in the
+order of their texts, and the index names the first; very long texts are one document, whole; an empty table gives an empty
+store; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import documents, session, shared_dir, text_batches
+from .common import CLEANUP, conf, documents, session, shared_dir
+from .graph import sorted_groups
 
 END_ID = 1
 SHARD_IDS = 1 << 18
@@ -52,7 +61,9 @@ CACHE_PIECES, CACHED_LENGTH = 250_000, 64
 #: Stands for a null doc_id.
 NULL_KEY = -(2**63)
 GAMMA = 1.5
-STORE = "part int, seq int, n_docs bigint, n_tokens bigint, first_key bigint, last_key bigint, keys binary, payload binary, levels binary, slots binary, ends binary"
+BUCKET_KEYS = 1 << 16
+SHARDS = "part int, seq int, n_docs bigint, n_tokens bigint, keys binary, ends binary"
+SLOT = np.dtype([("mark", "<u4"), ("part", "<u4"), ("seq", "<u4"), ("n", "<u4"), ("offset", "<u8")])
 SPACES = re.compile("[ \t\n]+")
 #: The tokenizer's split pattern, its letter and number classes spelled out for Latin-1 in lower case.
 LETTER, NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
@@ -173,104 +184,247 @@ def encoder_at(path: str) -> Encoder:
     return Encoder(path)
 
 
-def shard(part: int, seq: int, keys: list[int], ids: list[bytes]) -> dict:
-    ends = np.cumsum([len(b) // 4 for b in ids]).astype("<u8")
-    every = np.array(keys, np.int64)
-    distinct, first = np.unique(every, return_index=True)
-    table = PerfectHash.build(distinct)
-    slots = np.zeros((len(distinct), 2), "<u4")
-    at = table.find(distinct)
-    slots[at, 0], slots[at, 1] = fingerprints(distinct), first
-    return {
-        "part": part, "seq": seq, "n_docs": len(keys), "n_tokens": int(ends[-1]), "first_key": keys[0], "last_key": keys[-1],
-        "keys": every.astype("<i8").tobytes(), "payload": b"".join(ids), "levels": table.pack(), "slots": slots.tobytes(), "ends": ends.tobytes(),
-    }
+class Folder:
+    """Raw files below a store's folder."""
+
+    def __init__(self, uri: str):
+        from pyarrow.fs import FileSystem
+
+        self.system, self.base = FileSystem.from_uri(uri)
+
+    def write(self, name: str, data: bytes) -> None:
+        path = f"{self.base}/{name}"
+        own = f"{path}.{uuid.uuid4().hex}"
+        self.system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with self.system.open_output_stream(own) as out:
+            out.write(data)
+        self.system.move(own, path)
+
+    def read(self, name: str, at: int = 0, n: int | None = None) -> bytes:
+        with self.system.open_input_file(f"{self.base}/{name}") as file:
+            file.seek(at)
+            return file.read(n)
+
+
+def ids_file(part: int, seq: int) -> str:
+    return f"ids/part-{part:06d}-seq-{seq:06d}.bin"
+
+
+def bucket_file(bucket: int) -> str:
+    return f"index/bucket-{bucket:08d}.bin"
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(keys.astype(np.int64).view(np.uint64), 31) % np.uint64(buckets)).astype(np.int64)
+
+
+class Bucket:
+    """One bucket of the index, as bytes and back."""
+
+    HEAD = 8
+
+    @staticmethod
+    def pack(keys: np.ndarray, places: np.ndarray) -> bytes:
+        """``places`` are SLOT rows of distinct keys; their marks are filled in."""
+        table = PerfectHash.build(keys)
+        slots = np.zeros(len(keys), SLOT)
+        at = table.find(keys)
+        slots[at] = places
+        slots["mark"][at] = fingerprints(keys)
+        levels = table.pack()
+        return np.array([len(keys), len(levels)], "<u4").tobytes() + levels + slots.tobytes()
+
+    def __init__(self, folder: Folder, bucket: int):
+        self.folder, self.name = folder, bucket_file(bucket)
+        self.n, self.size = np.frombuffer(folder.read(self.name, 0, self.HEAD), "<u4").tolist()
+        self.table = PerfectHash.unpack(folder.read(self.name, self.HEAD, self.size))
+
+    def slot(self, key: int) -> np.void | None:
+        """Place of one key: one read of one slot."""
+        keys = np.array([key], np.int64)
+        at = int(self.table.find(keys)[0])
+        if at < 0:
+            return None
+        slot = np.frombuffer(self.folder.read(self.name, self.HEAD + self.size + at * SLOT.itemsize, SLOT.itemsize), SLOT)[0]
+        return slot if slot["mark"] == fingerprints(keys)[0] else None
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys that are all there."""
+        every = np.frombuffer(self.folder.read(self.name, self.HEAD + self.size, self.n * SLOT.itemsize), SLOT)
+        at = self.table.find(keys)
+        if (at < 0).any() or (every["mark"][at] != fingerprints(keys)).any():
+            raise ValueError(f"{self.name} lacks keys of its shards")
+        return every[at]
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
-    """Write the shards of ``docs`` below ``path``; on a cluster the tokenizer's file is on every machine."""
+    """Write the store of ``docs`` into the folder ``path``; on a cluster the tokenizer's file is on every machine."""
     spark = session(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
     ordered = docs.select(key.alias("key"), "text").repartitionByRange("key").sortWithinPartitions("key", "text")
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = encoder_at(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, folder, part, seq = encoder_at(tokenizer), Folder(path), TaskContext.get().partitionId(), 0
         keys: list[int] = []
         ids: list[bytes] = []
         held = 0
-        for ks, texts in text_batches(batches, "key", "text"):
-            for k, text in zip(ks, texts, strict=True):
-                keys.append(int(k))
+
+        def written() -> pa.RecordBatch:
+            folder.write(ids_file(part, seq), b"".join(ids))
+            ends = np.cumsum([len(b) // 4 for b in ids]).astype("<i8")
+            row = {"part": part, "seq": seq, "n_docs": len(keys), "n_tokens": int(ends[-1]), "keys": np.array(keys, "<i8").tobytes(), "ends": ends.tobytes()}
+            return pa.RecordBatch.from_pylist([row], shape)
+
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(k)
                 ids.append(encoder.encode(text))
                 held += len(ids[-1]) // 4
                 if held >= SHARD_IDS:
-                    yield pd.DataFrame([shard(part, seq, keys, ids)])
+                    yield written()
                     seq, keys, ids, held = seq + 1, [], [], 0
         if keys:
-            yield pd.DataFrame([shard(part, seq, keys, ids)])
-
-    ordered.mapInPandas(shards, STORE).write.parquet(path)
+            yield written()
+
+    shape = to_arrow_schema(StructType.fromDDL(SHARDS))
+    with conf(spark, **{CLEANUP: "true"}):
+        ordered.mapInArrow(shards, SHARDS).write.parquet(f"{path}/shards")
+    write_index(spark, path)
+
+
+def write_index(spark: SparkSession, path: str) -> None:
+    """Build the index of the shards in ``path``. Of rows that repeat a key the first is named."""
+    rows = spark.read.schema(SHARDS).parquet(f"{path}/shards")
+    n_docs = rows.agg(F.sum("n_docs")).first()[0] or 0
+    buckets = max(1, -(-n_docs // BUCKET_KEYS))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s in pdf.itertuples(index=False):
+                keys, first, ends = firsts_of(s)
+                slots = np.zeros(len(first), SLOT)
+                slots["part"], slots["seq"], slots["offset"], slots["n"] = s.part, s.seq, ends[first], ends[first + 1] - ends[first]
+                keys = keys[first]
+                for b, at in by_bucket(keys, buckets):
+                    yield pd.DataFrame({"bucket": [b], "keys": [keys[at].astype("<i8").tobytes()], "slots": [slots[at].tobytes()]})
+
+    dealt = rows.select("part", "seq", "keys", "ends").mapInPandas(places, "bucket bigint, keys binary, slots binary").repartition("bucket").sortWithinPartitions("bucket")
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folder = Folder(path)
+        for g in sorted_groups(batches, ["bucket"]):
+            keys, slots = np.frombuffer(b"".join(g["keys"]), "<i8").astype(np.int64), np.frombuffer(b"".join(g["slots"]), SLOT)
+            # A key that goes on in the next shard is there more than once: its first place counts.
+            order = np.lexsort((slots["offset"], slots["seq"], slots["part"], keys))
+            keys, slots = keys[order], slots[order]
+            new = np.concatenate(([True], keys[1:] != keys[:-1]))
+            folder.write(bucket_file(int(g["bucket"].iloc[0])), Bucket.pack(keys[new], slots[new]))
+            yield pd.DataFrame({"bucket": g["bucket"].iloc[:1], "n_keys": [int(new.sum())]})
+
+    with conf(spark, **{CLEANUP: "true"}):
+        dealt.mapInPandas(build, "bucket bigint, n_keys bigint").write.parquet(f"{path}/buckets")
+    Folder(path).write("meta.json", json.dumps({"buckets": buckets}).encode())
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its keys in ``keys``)."""
+    bucket = bucket_of(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for at in np.split(order, cuts):
+        if len(at):
+            yield int(bucket[at[0]]), at
+
+
+def firsts_of(s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a shard's documents, those documents that are its first of their key, and the documents' borders in ids."""
+    keys = np.frombuffer(s.keys, "<i8").astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys, first, np.concatenate(([0], np.frombuffer(s.ends, "<i8").astype(np.int64)))
 
 
 class TokenStore:
     """Reads a store: whole, or by key."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.files = session(spark), spark.read.schema(STORE).parquet(path)
+        self.spark, self.path, self.folder = session(spark), path, Folder(path)
+        self.shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
+        self.buckets = json.loads(self.folder.read("meta.json"))["buckets"]
 
     def starts(self) -> DataFrame:
         """Per shard the number of ids before it: sums of parts, then sums inside a part."""
-        sizes = self.files.select("part", "seq", "n_tokens")
+        sizes = self.shards.select("part", "seq", "n_tokens")
         parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
         before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_start"))
         inside = F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
         return sizes.withColumn("inside", inside).join(before, "part").select("part", "seq", (F.col("part_start") + F.col("inside")).alias("shard_start"))
 
+    def placed(self) -> DataFrame:
+        """part, seq, slots: the places in each shard that the index gives for all keys of the store."""
+        path, buckets = self.path, self.buckets
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for s in pdf.itertuples(index=False):
+                    keys = np.unique(np.frombuffer(s.keys, "<i8").astype(np.int64))
+                    for b, at in by_bucket(keys, buckets):
+                        yield pd.DataFrame({"bucket": [b], "keys": [keys[at].astype("<i8").tobytes()]})
+
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            folder = Folder(path)
+            for g in sorted_groups(batches, ["bucket"]):
+                keys = np.unique(np.frombuffer(b"".join(g["keys"]), "<i8").astype(np.int64))
+                slots = Bucket(folder, int(g["bucket"].iloc[0])).slots(keys)
+                slots = slots[np.lexsort((slots["seq"], slots["part"]))]
+                cuts = np.flatnonzero((np.diff(slots["part"].astype(np.int64)) != 0) | (np.diff(slots["seq"].astype(np.int64)) != 0)) + 1
+                parts = np.split(slots, cuts)
+                yield pd.DataFrame({"part": [int(x["part"][0]) for x in parts], "seq": [int(x["seq"][0]) for x in parts], "slots": [x.tobytes() for x in parts]})
+
+        dealt = self.shards.select("keys").mapInPandas(send, "bucket bigint, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+        return dealt.mapInPandas(find, "part int, seq int, slots binary").groupBy("part", "seq").agg(F.collect_list("slots").alias("slots"))
+
     def documents(self) -> DataFrame:
-        """doc_id, start, n_tokens, ids_crc32 of every document, each found through the index and sliced from the payload."""
+        """doc_id, start, n_tokens, ids_crc32 of every document, each found through the index and sliced from its payload file."""
+        path = self.path
 
         def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            folder = Folder(path)
             for pdf in batches:
                 for s in pdf.itertuples(index=False):
-                    yield rows_of(s)
+                    yield rows_of(s, folder)
 
-        # Shards are whole rows of a few MB: one at a time.
-        rows = self.files.select("part", "seq", "first_key", "last_key", "keys", "payload", "levels", "slots", "ends")
+        rows = self.shards.select("part", "seq", "keys", "ends").join(self.placed(), ["part", "seq"], "left")
         out = rows.mapInPandas(read, "part int, seq int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
         return out.join(self.starts(), ["part", "seq"]).select(
             F.when(F.col("doc_id") != NULL_KEY, F.col("doc_id")).alias("doc_id"), (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
         )
 
     def lookup(self, key: int) -> list[int] | None:
-        """The ids of one document; None if the key isn't there. Reads the shard whose key range holds it."""
-        for s in self.files.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("part", "seq").collect():
-            found = find(s, np.array([key], np.int64))
-            if found[0] >= 0:
-                ends = np.frombuffer(s["ends"], "<u8").astype(np.int64)
-                a, b = int(ends[found[0] - 1]) if found[0] else 0, int(ends[found[0]])
-                return np.frombuffer(s["payload"], "<u4")[a:b].tolist()
-        return None
-
-
-def find(s, keys: np.ndarray) -> np.ndarray:
-    """Number of each key's first document in the shard, -1 where the fingerprint differs."""
-    slots = np.frombuffer(s.slots, "<u4").reshape(-1, 2)
-    at = PerfectHash.unpack(s.levels).find(keys)
-    good = (at >= 0) & (slots[np.maximum(at, 0), 0] == fingerprints(keys))
-    return np.where(good, slots[np.maximum(at, 0), 1].astype(np.int64), -1)
-
-
-def rows_of(s) -> pd.DataFrame:
-    """A shard's documents, each looked up by its key; rows that repeat a key follow the first."""
-    keys = np.frombuffer(s.keys, "<i8").astype(np.int64)
-    ends = np.concatenate(([0], np.frombuffer(s.ends, "<u8").astype(np.int64)))
-    row = np.arange(len(keys))
-    begins = np.maximum.accumulate(np.where(np.concatenate(([True], keys[1:] != keys[:-1])), row, 0))
-    at = find(s, keys) + row - begins
-    crc = [zlib.crc32(s.payload[4 * a : 4 * b]) for a, b in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
-    return pd.DataFrame({"part": s.part, "seq": s.seq, "doc_id": keys, "inside": ends[at], "n_tokens": ends[at + 1] - ends[at], "ids_crc32": crc})
+        """The ids of one document; None if the key isn't there."""
+        bucket = int(bucket_of(np.array([key], np.int64), self.buckets)[0])
+        try:
+            slot = Bucket(self.folder, bucket).slot(key)
+        except FileNotFoundError:  # a bucket without keys has no file
+            return None
+        if slot is None:
+            return None
+        data = self.folder.read(ids_file(int(slot["part"]), int(slot["seq"])), 4 * int(slot["offset"]), 4 * int(slot["n"]))
+        return np.frombuffer(data, "<u4").tolist()
+
+
+def rows_of(s, folder: Folder) -> pd.DataFrame:
+    """A shard's documents: the first of each key where the index says, rows that repeat a key where the one before ends."""
+    keys, _, ends = firsts_of(s)
+    begin, n = ends[:-1].copy(), np.diff(ends)
+    slots = np.frombuffer(b"".join(s.slots) if s.slots is not None else b"", SLOT)
+    at = np.searchsorted(begin, slots["offset"].astype(np.int64))
+    if (at >= len(keys)).any() or (begin[at] != slots["offset"]).any() or (n[at] != slots["n"]).any():
+        raise ValueError(f"the index and shard {s.part}, {s.seq} disagree")
+    payload = folder.read(ids_file(s.part, s.seq))
+    crc = [zlib.crc32(payload[4 * a : 4 * (a + m)]) for a, m in zip(begin.tolist(), n.tolist(), strict=True)]
+    return pd.DataFrame({"part": s.part, "seq": s.seq, "doc_id": keys, "inside": begin, "n_tokens": n, "ids_crc32": crc})
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -478,6 +478,7 @@ def test_token_store(spark, docs, rows, empty, monkeypatch):
     path = token_store.tokenizer_path()
     library = Tokenizer.from_file(path)
     monkeypatch.setattr(token_store, "SHARD_IDS", 300)
+    monkeypatch.setattr(token_store, "BUCKET_KEYS", 8)
     folder = shared_dir(spark, "store")
     token_store.write_store(docs, folder, path)
     store = token_store.TokenStore(spark, folder)
@@ -487,9 +488,10 @@ def test_token_store(spark, docs, rows, empty, monkeypatch):
         ids = [*library.encode(t, add_special_tokens=False).ids, 1]
         assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    first = rows[0]
-    assert store.lookup(first[0]) == [*library.encode(first[1], add_special_tokens=False).ids, 1]
-    assert store.lookup(2) is None
+    assert store.buckets > 5
+    for i, t in text_of(rows).items():
+        assert store.lookup(i) == [*library.encode(t, add_special_tokens=False).ids, 1]
+    assert all(store.lookup(k) is None for k in (2, -5, 10**15, 0))
     folder = shared_dir(spark, "store")
     token_store.write_store(empty, folder, path)
     assert token_store.TokenStore(spark, folder).documents().count() == 0
@@ -502,6 +504,16 @@ def test_store_of_repeats_and_null_ids(spark):
     assert got == [(0, 0, 2), (5, 2, 3), (5, 5, 3), (5, 8, 2)]
 
 
+def test_store_of_a_key_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_IDS", 4)
+    folder = shared_dir(spark, "store")
+    token_store.write_store(spark.createDataFrame([(5, f"a b {k}") for k in range(9)] + [(6, "z")], "doc_id bigint, text string"), folder, token_store.tokenizer_path())
+    store = token_store.TokenStore(spark, folder)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in store.documents().collect())
+    assert got == [(4 * k, 5, 4) for k in range(9)] + [(36, 6, 2)]
+    assert store.lookup(5) == store.lookup(5)[:3] + [1] and len(store.lookup(6)) == 2
+
+
 def test_encoder_against_whole_texts():
     from tokenizers import Tokenizer
 

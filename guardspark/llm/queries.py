@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLE = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op7_minhash": minhash.OP7_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }

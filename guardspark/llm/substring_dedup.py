@@ -3,30 +3,35 @@
 Every byte covered by a 50-byte string that also starts in a document with a smaller doc_id goes.
 
 1. **Copies.** Of equal texts only the one with the smallest doc_id is worked on: every 50-byte string of
-   a later copy starts in the first, so a later copy of 50 bytes or more goes as a whole. The texts are
-   written once as a table in buckets, which later joins read without dealing texts again.
+   a later copy starts in the first, so a later copy of 50 bytes or more goes as a whole. Texts with one SHA-256 are copies
+   only if they are the same bytes; others are worked on like all. The texts are written once as a table in
+   buckets, which later joins read without dealing texts again.
 2. **Sparse suffixes.** Of the 27 suffixes that start in a 50-byte window's first 27 bytes, the one whose
    leading 24 bytes (its *tokens*) have the least hash is kept, so equal windows keep equal suffixes at
    equal places. A suffix matters only if its tokens occur in at least two documents: the hashes are dealt
    in packed blocks, each block answers for one task's documents, and hashes seen in two documents of one
-   task need no answer.
-3. **Splitters.** A sample of leading tokens gives the splitters that range-partition the kept suffixes. A
-   suffix travels with the 26 bytes on either side, which hold every 50-byte window around its tokens.
-   Equal suffixes of one block of texts (a few MB) are sent once, by their smallest doc_id, with the
-   others settled on the spot, so a passage in a third of all rows reaches its range once a block.
-4. **Sort and compare.** Each range sorts its suffixes by multikey quicksort over 8-byte tokens and
-   compares neighbours; equal leading tokens never straddle a splitter, so what stands on either side of a
-   border differs there already. Inside a run of equal tokens each of the 27 windows is matched in full;
-   a window belongs to the smallest doc_id of those that have it and is marked in all others.
-5. **Removal.** Marked windows meet their text again (bucketed join) and their union goes.
+   task need no answer. (Equal hashes of other tokens only let a suffix through that then meets none.)
+3. **Splitters.** A sample of leading tokens, of a bounded number of documents, gives the splitters that range-partition
+   the kept suffixes in order. A suffix travels with the 26 bytes on either side, which hold every 50-byte window around its
+   tokens. Equal suffixes of one block of texts (a few MB) are sent once, by their smallest doc_id, with the
+   others settled on the spot, so a passage in a third of all rows reaches its range once a block. Tokens that are a
+   splitter themselves are dealt to all ranges that they border on: tokens of a large share of the sample are several
+   splitters and so several ranges.
+4. **Sort and compare.** Ranges are taken one at a time. Each sorts its suffixes by multikey quicksort over 8-byte tokens, once as
+   they read on from their tokens and once as they read back, and the lengths that neighbours have in common say
+   which of the 27 windows around the tokens are the same bytes; a window belongs to the smallest doc_id of those that have it and is
+   marked in all others.
+5. **Across borders.** Suffixes whose tokens are a splitter may stand on both sides of a border. What is not marked in a range
+   is compared with what isn't in the others that have the same tokens, in the same way.
+6. **Removal.** Marked windows meet their text again (bucketed join) and their union goes.
 
 Strings are judged on the input, so matches inside removed parts count. All comparisons that decide are
 on bytes; hashes only choose candidates.
 
 Defined cases: null text is empty; texts under 50 bytes lose nothing; a string that repeats only inside
 one document stays; rows that repeat a doc_id are separate texts of equal id, so neither removes from
-the other; a null doc_id counts as larger than all others; an empty table gives an empty result; extra
-columns are ignored.
+the other; a null doc_id counts as 2**63 - 1, the largest, and a document of that very id comes back with null; very long
+texts are read whole; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +45,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, saved, session, shared_dir
+from .common import CLEANUP, agreed, conf, documents, join_by_group, partitions, saved, session, shared_dir
+from .graph import sorted_groups
 
 WINDOW = 50
 LEAD = 24
@@ -48,8 +54,10 @@ LEAD = 24
 SPAN = WINDOW - LEAD + 1
 SIDE = SPAN - 1
 CONTEXT = SIDE + LEAD + SIDE
-#: Leading tokens sampled for the splitters: so many a partition.
-SAMPLE = 40
+#: Documents, about, and leading tokens of one that are sampled for the splitters: what the driver holds.
+SAMPLED, SAMPLE = 4096, 16
+#: Ranges for each partition; one is held at a time.
+RANGES = 8
 LAST = 2**63 - 1
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 
@@ -146,7 +154,7 @@ def hash_block(h: np.ndarray, row: np.ndarray) -> bytes:
 
 def shared_hashes(base: DataFrame, parts: int) -> DataFrame:
     """row, hashes: per document the suffix hashes (packed) that occur in another document too."""
-    ranges = 4 * parts
+    ranges = RANGES * parts
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -167,19 +175,16 @@ def shared_hashes(base: DataFrame, parts: int) -> DataFrame:
                 yield pd.DataFrame({"key": key[order[cuts[:-1]]], "block": blocks, "kind": 0})
                 yield pd.DataFrame(pack(row[twice], h[twice]), columns=["key", "block"]).assign(kind=1)
 
-    dealt = base.select("row", "doc_id", "text").mapInPandas(send, "key bigint, block binary, kind int").repartition(parts, "kind", "key")
+    dealt = in_ranges(base.select("row", "doc_id", "text").mapInPandas(send, "key bigint, block binary, kind int"), parts, ranges)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[bytes] = []
-        for pdf in batches:
-            local = pdf["kind"] == 1
-            if local.any():
-                yield pd.DataFrame({"row": pdf.loc[local, "key"], "hashes": pdf.loc[local, "block"]})
-            held.extend(pdf.loc[~local, "block"])
-        if held:
+        for kind, _, g in by_range(batches):
+            if kind == 1:
+                yield pd.DataFrame({"row": g["key"], "hashes": g["block"]})
+                continue
+            held = g["block"].tolist()
             h = np.concatenate([np.frombuffer(x, "<u8", len(x) // 16) for x in held])
             row = np.concatenate([np.frombuffer(x, "<i8", len(x) // 16, len(x) // 2) for x in held])
-            del held
             order, cuts = by_group(h)
             n = np.diff(cuts)
             again = order[np.repeat(n > 1, n)]
@@ -189,20 +194,52 @@ def shared_hashes(base: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInPandas(answer, "row bigint, hashes binary").groupBy("row").agg(F.collect_list("hashes").alias("hashes"))
 
 
+def in_ranges(rows: DataFrame, parts: int, ranges: int) -> DataFrame:
+    """Rows of kind 0 dealt and sorted by their range (``key``), in order over the partitions; those of kind 1 by their row."""
+    place = F.when(F.col("kind") == 0, F.floor(F.col("key") * parts / ranges)).otherwise(F.pmod(F.col("key"), F.lit(parts))).cast("int")
+    return rows.repartitionById(parts, place).sortWithinPartitions("kind", "key")
+
+
+def by_range(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, pd.DataFrame]]:
+    """(kind, key, rows): whole ranges of kind 0 one at a time, rows of kind 1 batch by batch."""
+    rest: list[pd.DataFrame] = []
+
+    def first() -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            local = pdf["kind"] == 1
+            if local.any():
+                rest.append(pdf[local])
+            yield pdf[~local]
+            if rest:
+                return
+
+    for g in sorted_groups(first(), ["key"]):
+        yield 0, int(g["key"].iloc[0]), g
+    for pdf in rest:
+        yield 1, -1, pdf
+    for pdf in batches:
+        if len(pdf):
+            yield 1, -1, pdf
+
+
 def sample_splitters(base: DataFrame, ranges: int) -> np.ndarray:
-    """Ascending leading tokens that cut the suffixes into ``ranges`` parts; from a sample bounded by the partitions."""
+    """Ascending leading tokens that cut the suffixes into ``ranges`` parts, from about ``SAMPLED`` documents whatever the table's size.
+
+    Tokens that hold a large share come several times, so that as many ranges share them.
+    """
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = SAMPLE
         for pdf in batches:
-            if left and len(pdf):
-                _, _, texts = next(chunks(pdf))
-                data, _, at, _, h = suffixes(texts)
-                pick = np.argsort(h)[:: max(1, len(h) // left)][:left]
-                left -= len(pick)
+            for _, _, texts in chunks(pdf):
+                data, _, at, doc, h = suffixes(texts)
+                # A few of each document, by hash.
+                order = np.lexsort((h, doc))
+                pick = order[ramp(np.bincount(doc, minlength=1)) < SAMPLE]
                 yield pd.DataFrame({"tokens": [data[p : p + LEAD].tobytes() for p in at[pick]]})
 
-    tokens = sorted(r.tokens for r in base.select("row", "doc_id", "text").mapInPandas(draw, "tokens binary").collect())
+    share = F.lit(SAMPLED / max(SAMPLED, base.count()))
+    rows = base.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < share * (1 << 30)).select("row", "doc_id", "text")
+    tokens = sorted(r.tokens for r in rows.mapInPandas(draw, "tokens binary").collect())
     return np.array([bytes(tokens[k * len(tokens) // ranges]) for k in range(1, ranges)] if tokens else [], f"S{LEAD}")
 
 
@@ -218,21 +255,36 @@ def contexts(data: np.ndarray, starts: np.ndarray, at: np.ndarray, doc: np.ndarr
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
-    """Order of rows of 64-bit tokens by multikey quicksort: sort by the first token, then every run of equal
-    ones by the next, all runs of a level at once."""
-    order = np.argsort(words[:, 0], kind="quicksort")
-    run = np.cumsum(np.concatenate(([0], (words[order[1:], 0] != words[order[:-1], 0]).astype(np.int64)))) if len(order) else order
-    for level in range(1, words.shape[1]):
-        size = np.bincount(run, minlength=1)
-        open_ = np.flatnonzero(size[run] > 1)
-        if not len(open_):
-            break
-        part = order[open_]
-        inner = np.lexsort((words[part, level], run[open_]))
-        order[open_] = part[inner]
-        changed = np.concatenate(([False], (run[1:] != run[:-1]) | (words[order[1:], level] != words[order[:-1], level])))
-        run = np.cumsum(changed)
-    return order
+    """Order of rows of 64-bit tokens by multikey quicksort.
+
+    A run is parted in three by its middle row's token: the lesser and the greater go on with the same token, the equal
+    ones with the next. All runs of a round are parted at once.
+    """
+    order = np.arange(len(words))
+    start, size, level = np.array([0]), np.array([len(words)]), np.array([0])
+    while True:
+        open_ = (size > 1) & (level < words.shape[1])
+        start, size, level = start[open_], size[open_], level[open_]
+        if not len(start):
+            return order
+        run = np.repeat(np.arange(len(start)), size)
+        head = np.cumsum(size) - size
+        at = start[run] + np.arange(len(run)) - head[run]
+        rows = order[at]
+        token = words[rows, level[run]]
+        pivot = token[head + size // 2][run]
+        less, more = token < pivot, token > pivot
+        part = np.where(less, 0, np.where(more, 2, 1))
+        counts = np.bincount(run * 3 + part, minlength=3 * len(start)).reshape(-1, 3)
+        begin = start[:, None] + np.cumsum(counts, 1) - counts
+        to = np.empty(len(run), np.int64)
+        for k in range(3):
+            mine = part == k
+            seen = np.cumsum(mine) - 1
+            before = np.where(head > 0, seen[np.maximum(head - 1, 0)] + 1, 0)
+            to[mine] = (begin[run, k] + seen - before[run])[mine]
+        order[to] = rows
+        start, size, level = begin.ravel(), counts.ravel(), (level[:, None] + np.array([0, 1, 0])).ravel()
 
 
 def tokens_of(rows: np.ndarray) -> np.ndarray:
@@ -278,39 +330,48 @@ def windows_in(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return (o <= before[:, None]) & (SIDE - o <= after[:, None])
 
 
-def settle(records: np.ndarray) -> np.ndarray:
-    """``[i, o]``: that window of record i also starts in a smaller doc_id. Records are those of one range."""
+def shared_runs(content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of rows of bytes, and how many leading bytes each has in common with the one before it (the first: none)."""
+    order = multikey_order(tokens_of(content))
+    same = content[order[1:]] == content[order[:-1]]
+    common = np.where(same.all(1), content.shape[1], same.argmin(1))
+    return order, np.concatenate(([-1], common))
+
+
+def numbered(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """A number for each row that is equal where the first ``length`` bytes are."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < length) - 1
+    return out
+
+
+def settle(records: np.ndarray, valid: np.ndarray | None = None) -> np.ndarray:
+    """``[i, o]``: that window of record i also starts in a smaller doc_id of ``records``. ``valid`` are the windows to be looked at."""
     context, doc = np.ascontiguousarray(records["context"]), records["doc"]
-    valid = windows_in(records["before"].astype(np.int64), records["after"].astype(np.int64))
+    if valid is None:
+        valid = windows_in(records["before"].astype(np.int64), records["after"].astype(np.int64))
     flags = np.zeros(valid.shape, bool)
-    words = tokens_of(context[:, SIDE : SIDE + LEAD])
-    order = multikey_order(words)
-    cuts = runs(words, order)
-    n = np.diff(cuts)
-    group = np.empty(len(order), np.uint64)
-    group[order] = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-    many = np.flatnonzero(np.repeat(n > 1, n)[np.argsort(order)])
-    # Hashes of the o bytes before and of the bytes after the tokens, grown a byte at a time.
-    left, right = [group[many] * ODD[0]], [group[many] * ODD[1]]
-    for k in range(SIDE):
-        left.append((left[-1] ^ context[many, SIDE - 1 - k]) * ODD[2])
-        left[-1] ^= left[-1] >> np.uint64(29)
-        right.append((right[-1] ^ context[many, SIDE + LEAD + k]) * ODD[0])
-        right[-1] ^= right[-1] >> np.uint64(31)
+    if not len(records):
+        return flags
+    order, common = shared_runs(context[:, SIDE:])
+    near = common >= LEAD
+    many = np.flatnonzero((near | np.concatenate((near[1:], [False])))[np.argsort(order)])
+    if not len(many):
+        return flags
+    # As the suffixes read on, and as the bytes before them read back.
+    on = shared_runs(np.ascontiguousarray(context[many, SIDE:]))
+    back = shared_runs(np.ascontiguousarray(context[many, SIDE - 1 :: -1]))
+    owners = doc[many]
     for o in range(SPAN):
-        use = valid[many, o]
-        at = many[use]
-        if len(at) < 2:
+        use = np.flatnonzero(valid[many, o])
+        if len(use) < 2:
             continue
-        order, cuts = by_group(left[o][use] * ODD[1] + right[SIDE - o][use])
-        part = context[at[order], SIDE - o : SIDE - o + WINDOW]
-        head = np.repeat(cuts[:-1], np.diff(cuts))
-        if (part != part[head]).any():
-            # Different windows with one hash: group by the bytes themselves.
-            _, same = np.unique(np.ascontiguousarray(context[at, SIDE - o : SIDE - o + WINDOW]).view(f"V{WINDOW}").ravel(), return_inverse=True)
-            order, cuts = by_group(same)
-        owner = np.minimum.reduceat(doc[at[order]], cuts[:-1])
-        flags[at[order], o] = doc[at[order]] > np.repeat(owner, np.diff(cuts))
+        # Equal windows are equal o bytes back and equal from the tokens on.
+        key = numbered(*back, o)[use] * len(many) + numbered(*on, LEAD + SIDE - o)[use]
+        by, cuts = by_group(key)
+        at = use[by]
+        owner = np.minimum.reduceat(owners[at], cuts[:-1])
+        flags[many[at], o] = owners[at] > np.repeat(owner, np.diff(cuts))
     return flags
 
 
@@ -352,7 +413,9 @@ def marked(base: DataFrame, shared: DataFrame, splitters: np.ndarray, parts: int
                 new = np.concatenate(([True], (group[mine][1:] != group[mine][:-1]) | (own_row[mine][1:] != own_row[mine][:-1])))
                 lead = mine[new]
                 tokens = np.ascontiguousarray(context[lead, SIDE : SIDE + LEAD]).view(f"S{LEAD}").ravel()
-                key = np.searchsorted(splitters, tokens, "right") if len(splitters) else np.zeros(len(lead), np.int64)
+                # Tokens that are a splitter, or several, are spread over the ranges beside it.
+                low, high = np.searchsorted(splitters, tokens, "left"), np.searchsorted(splitters, tokens, "right")
+                key = low + (own_row[lead] * 0x9E3779B1 >> 16) % (high - low + 1)
                 record = np.zeros(len(lead), RECORD)
                 for name, values in (("context", context), ("before", before), ("after", after), ("doc", own_id), ("row", own_row)):
                     record[name] = values[lead]
@@ -367,27 +430,50 @@ def marked(base: DataFrame, shared: DataFrame, splitters: np.ndarray, parts: int
                     "places": [b"".join(lists_of[k].tobytes() for k in order[x:y]) for x, y in spans],
                 })
 
-    dealt = rows.mapInPandas(send, "key bigint, block binary, kind int, places binary").repartition(parts, "kind", "key")
+    dealt = in_ranges(rows.mapInPandas(send, "key bigint, block binary, kind int, places binary"), parts, len(splitters) + 1)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks: list[bytes] = []
-        places: list[bytes] = []
-        for pdf in batches:
-            local = pdf["kind"] == 1
-            if local.any():
-                yield pd.DataFrame({"row": pdf.loc[local, "key"], "marks": pdf.loc[local, "block"]})
-            blocks.extend(pdf.loc[~local, "block"])
-            places.extend(pdf.loc[~local, "places"])
-        if blocks:
-            records = np.frombuffer(b"".join(blocks), RECORD)
-            where = np.frombuffer(b"".join(places), "<i4").astype(np.int64)
-            r, o = np.nonzero(settle(records))
-            n = records["n"].astype(np.int64)
-            begin = np.cumsum(n) - n
-            start = where[np.repeat(begin[r], n[r]) + ramp(n[r])] - np.repeat(o, n[r])
-            yield marks_by_row(np.repeat(records["row"][r], n[r]), start)
-
-    return dealt.mapInPandas(compare, "row bigint, marks binary").groupBy("row").agg(F.collect_list("marks").alias("marks"))
+        for kind, key, g in by_range(batches):
+            if kind == 1:
+                yield pd.DataFrame({"row": g["key"], "marks": g["block"]}).assign(border=None, block=None, places=None, open=None)
+                continue
+            records, where = np.frombuffer(b"".join(g["block"]), RECORD), np.frombuffer(b"".join(g["places"]), "<i4")
+            flags = settle(records)
+            yield marks_of(records, where, flags).assign(border=None, block=None, places=None, open=None)
+            # What is left of the tokens at this range's borders is compared with the other ranges that have them.
+            tokens = np.ascontiguousarray(records["context"][:, SIDE : SIDE + LEAD]).view(f"S{LEAD}").ravel()
+            left = windows_in(records["before"].astype(np.int64), records["after"].astype(np.int64)) & ~flags
+            for border in {*splitters[max(key - 1, 0) : key + 1].tolist()}:
+                at = np.flatnonzero((tokens == border) & left.any(1))
+                if len(at):
+                    bits = (left[at].astype(np.uint32) << np.arange(SPAN, dtype=np.uint32)).sum(1, dtype=np.uint32)
+                    n = records["n"][at].astype(np.int64)
+                    begin = (np.cumsum(records["n"].astype(np.int64)) - records["n"])[at]
+                    own = where[np.repeat(begin, n) + ramp(n)]
+                    block = {"border": int(np.searchsorted(splitters, np.array(border, splitters.dtype))), "block": records[at].tobytes(), "places": own.tobytes(), "open": bits.tobytes()}
+                    yield pd.DataFrame([{"row": None, "marks": None, **block}]).astype({"row": "Int64"})
+
+    compared = saved(dealt.mapInPandas(compare, "row bigint, marks binary, border bigint, block binary, places binary, open binary"), "compared")
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in sorted_groups(batches, ["border"]):
+            records, where = np.frombuffer(b"".join(g["block"]), RECORD), np.frombuffer(b"".join(g["places"]), "<i4")
+            bits = np.frombuffer(b"".join(g["open"]), "<u4")
+            left = (bits[:, None] >> np.arange(SPAN, dtype=np.uint32) & 1).astype(bool)
+            yield marks_of(records, where, settle(records, left))
+
+    borders = compared.where("border is not null").select("border", "block", "places", "open").repartition("border").sortWithinPartitions("border")
+    marks = compared.where("row is not null").select("row", "marks").unionByName(borders.mapInPandas(across, "row bigint, marks binary"))
+    return marks.groupBy("row").agg(F.collect_list("marks").alias("marks"))
+
+
+def marks_of(records: np.ndarray, where: np.ndarray, flags: np.ndarray) -> pd.DataFrame:
+    """row, marks of the flagged windows, at all places of their records."""
+    r, o = np.nonzero(flags)
+    n = records["n"].astype(np.int64)
+    begin = np.cumsum(n) - n
+    start = where[np.repeat(begin[r], n[r]) + ramp(n[r])].astype(np.int64) - np.repeat(o, n[r])
+    return marks_by_row(np.repeat(records["row"][r], n[r]), start)
 
 
 def remove(text: bytes, blocks: list[bytes]) -> tuple[int, int, bytes]:
@@ -411,8 +497,13 @@ def bucketed(docs: DataFrame, parts: int) -> DataFrame:
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     name = f"substring_rows_{uuid.uuid4().hex}"
     writer = rows.repartition(parts, "row").write.bucketBy(parts, "row").option("compression", "zstd").option("path", shared_dir(spark, "substring-rows"))
-    writer.saveAsTable(name)
-    return spark.table(name)
+    with conf(spark, **{CLEANUP: "true"}):
+        writer.saveAsTable(name)
+    table = spark.table(name)
+    table.schema
+    # The frame knows its files and buckets; the catalog needs no entry for them.
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -421,12 +512,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     parts = partitions(spark)
     base = bucketed(docs, parts)
     size = F.octet_length("text")
-    firsts = base.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    copies = saved(base.where(size >= WINDOW).select("row", "doc_id", "digest").join(firsts, "digest").where("doc_id > first").select("row"), "copies")
+    long = saved(base.where(size >= WINDOW).select("row", "doc_id", "digest"), "digests")
+    groups = long.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = saved(groups.select("digest", F.col("first.doc_id").alias("first"), F.col("first.row").alias("at"), "n"), "copied")
+    same = agreed(base.select("digest", "row", "text"), groups, "digest", "at", "row")
+    groups = saved(groups.join(same, "digest", "left_semi"), "copied")
+    copies = saved(join_by_group(long, groups, "digest", "n", long.count()).where("doc_id > first").select("row"), "copies")
     work = base.where(size >= WINDOW).join(copies, "row", "left_anti")
     shared = shared_hashes(work, parts)
     shared = saved(shared, "shared")
-    marks = saved(marked(base, shared, sample_splitters(base, 4 * parts), parts), "marks")
+    marks = saved(marked(base, shared, sample_splitters(work, RANGES * parts), parts), "marks")
     out = base.select("row", "doc_id", "text").join(marks, "row", "left").join(copies.withColumn("copy", F.lit(True)), "row", "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -447,3 +542,20 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(documents(spark, sf_dir)).drop("kept")
+
+
+#: Texts as hex digits, two a byte; every window of 50 bytes with the smallest doc_id that has it.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(greatest(0, len(h) // 2 - 49))) AS k FROM d)),
+m AS (SELECT s, min(doc_id) AS owner FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, k, lag(k) OVER p AS before, lead(k) OVER p AS after FROM w JOIN m USING (s) WHERE doc_id > owner WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
+r AS (SELECT doc_id, k, after, before IS NULL OR k > before + 50 AS opens, least(50, coalesce(after - k, 50)) AS gone FROM g),
+n AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (WHERE opens)::BIGINT AS n_spans FROM r GROUP BY doc_id),
+-- Bytes that stay: up to the first window, and between a window's end and the next window.
+e AS (SELECT doc_id, 0 AS a, min(k) AS b FROM g GROUP BY doc_id UNION ALL SELECT doc_id, k + 50, coalesce(after, 2147483647) FROM g WHERE after IS NULL OR after > k + 50),
+t AS (SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (least(b, len(h) // 2) - a))::BIGINT), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) WHERE least(b, len(h) // 2) > a GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -413,6 +413,22 @@ def test_substrings_of_runs_and_zeros(spark):
     assert got == brute_substrings(rows)
 
 
+def test_substrings_across_borders(spark, monkeypatch):
+    """Tokens that many documents share stand on both sides of several borders."""
+    draw = random.Random(21)
+    passage = prose(draw, 20)
+    rows = [(k, f"{prose(draw, draw.randint(1, 9))} {passage[draw.randint(0, 9) :]} {prose(draw, draw.randint(0, 9))}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    _, _, at, _, h = substring_dedup.suffixes([passage.encode()])
+    tokens = sorted(passage.encode()[p : p + substring_dedup.LEAD] for p in at)
+    # Every text is a block of its own, so that all suffixes reach their ranges.
+    monkeypatch.setattr(substring_dedup.chunks, "__defaults__", (1,))
+    for splitters in ([tokens[0]] * 5, tokens, [t for t in tokens for _ in range(3)]):
+        monkeypatch.setattr(substring_dedup, "sample_splitters", lambda base, ranges: np.array(splitters, f"S{substring_dedup.LEAD}"))  # noqa: B023
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.deduplicate(docs).collect()}
+        assert got == brute_substrings(rows)
+
+
 def test_multikey_order():
     words = np.random.Generator(np.random.PCG64(5)).integers(0, 3, (500, 3)).astype(np.uint64)
     order = substring_dedup.multikey_order(words)

@@ -9,8 +9,9 @@ random feature subsets) turns that into a score, and candidates below ``THRESHOL
 The forest is trained from labelled findings: rows of ``text, start, length, path, label``. Findings that a
 reviewer labelled can be passed to :func:`train`; without any there are two kinds. :func:`corpus_findings` takes
 key-like runs of the documents themselves, labelled by what stands around them (a known key format, or a name
-that assigns a secret, against a word that says hash, commit or version, or no such word at all): all documents are
-read, and about ``CORPUS_FINDINGS`` of each label, drawn by hash, go to the driver. :func:`labelled_findings`
+that assigns a secret, against a word that says hash, commit or version, or no such word at all): about
+``CORPUS_SAMPLE`` documents, drawn by hash, are read for it, and about ``CORPUS_FINDINGS`` of each label, drawn by
+hash again, go to the driver. :func:`labelled_findings`
 makes a fixed, bounded set from rules (keys of many shapes in assigning contexts against hashes, ids,
 placeholders, words, paths and numbers in theirs).
 
@@ -41,17 +42,19 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import documents, session
+from .common import documents, saved, session
 
 THRESHOLD = 0.5
 TREES, DEPTH, LEAST_LEAF = 25, 8, 3
 FINDINGS = 3000
 #: Findings of each label that :func:`corpus_findings` takes, about; words of the dictionary and how often they occur at least.
 CORPUS_FINDINGS, DICTIONARY, LEAST_COUNT = 1000, 20_000, 5
+#: Documents that findings to learn from are taken from, about (all, if there are fewer).
+CORPUS_SAMPLE = 20_000
 NAME = r"(?:token|secret|passwo?r?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|client[_-]?key)"
 
 #: Public key formats. The group ``v`` is the candidate. Lengths have no upper bound but where the format
@@ -298,9 +301,8 @@ def corpus_findings(docs: DataFrame, path: str = "source", most: int = CORPUS_FI
     session(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The least draws of all rows are among the least of each task: no task keeps or sends more than that.
-        held: dict[tuple, tuple] = {}
         for batch in batches:
+            rows = []
             for text, where in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 known = [(a, a + n, name) for name, a, n in candidates(text)]
                 wide = [(*m.span(), "long_run") for m in WIDE.finditer(text or "")]
@@ -310,19 +312,19 @@ def corpus_findings(docs: DataFrame, path: str = "source", most: int = CORPUS_FI
                         begin = max(0, a - BESIDE)
                         piece = text[begin : b + BESIDE]
                         draw = int.from_bytes(hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
-                        held[label, draw, piece, a - begin, b - a, where or ""] = ()
-            if len(held) > 8 * most:
-                held = least(held)
-        yield pa.RecordBatch.from_pylist([dict(zip(("label", "draw", "text", "start", "length", "path"), r, strict=True)) for r in least(held)], shape)
-
-    def least(held: dict[tuple, tuple]) -> dict[tuple, tuple]:
-        return {r: () for label in (0, 1) for r in sorted(r for r in held if r[0] == label)[:most]}
-
-    shape = pa.schema([("text", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("path", pa.string()), ("label", pa.int64()), ("draw", pa.int64())])
-    found = docs.select("text", F.col(path).cast("string").alias("path")).mapInArrow(run, "text string, start bigint, length bigint, path string, label bigint, draw bigint")
-    # Pieces that repeat have one draw: they count once. The least draws are a sample by hash.
-    ranked = found.distinct().withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("draw", "text"))).where(F.col("rank") <= most)
-    return sorted((r.text, r.start, r.length, r.path, r.label) for r in ranked.collect())
+                        rows.append((piece, a - begin, b - a, where or "", label, draw))
+            yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r, strict=True)) for r in rows], shape)
+
+    ddl = "text string, start bigint, length bigint, path string, label bigint, draw bigint"
+    shape = to_arrow_schema(StructType.fromDDL(ddl))
+    share = CORPUS_SAMPLE / max(CORPUS_SAMPLE, docs.count())
+    rows = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("text", F.col(path).cast("string").alias("path"))
+    # Pieces that repeat have one draw: they count once.
+    found = saved(rows.mapInArrow(run, ddl).distinct(), "findings")
+    wanted = F.lit(False)
+    for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect():
+        wanted |= (F.col("label") == r.label) & (F.col("draw") < int(2**56 * min(1.0, most / r.n)))
+    return sorted((r.text, r.start, r.length, r.path, r.label) for r in found.where(wanted).collect())
 
 
 def train(findings: list[tuple[str, int, int, str, int]] | None = None, words: Dictionary | None = None) -> Forest:

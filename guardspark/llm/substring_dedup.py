@@ -544,18 +544,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(documents(spark, sf_dir)).drop("kept")
 
 
-#: Texts as hex digits, two a byte; every window of 50 bytes with the smallest doc_id that has it.
+#: Every window of 50 bytes with the smallest doc_id that has it; what stays is glued together as hex digits.
 OP8_SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(greatest(0, len(h) // 2 - 49))) AS k FROM d)),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT doc_id, k, h[k + 1:k + 50] AS s FROM (SELECT doc_id, h, unnest(range(greatest(0, octet_length(h) - 49))) AS k FROM d)),
 m AS (SELECT s, min(doc_id) AS owner FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 g AS (SELECT doc_id, k, lag(k) OVER p AS before, lead(k) OVER p AS after FROM w JOIN m USING (s) WHERE doc_id > owner WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
 r AS (SELECT doc_id, k, after, before IS NULL OR k > before + 50 AS opens, least(50, coalesce(after - k, 50)) AS gone FROM g),
 n AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (WHERE opens)::BIGINT AS n_spans FROM r GROUP BY doc_id),
 -- Bytes that stay: up to the first window, and between a window's end and the next window.
 e AS (SELECT doc_id, 0 AS a, min(k) AS b FROM g GROUP BY doc_id UNION ALL SELECT doc_id, k + 50, coalesce(after, 2147483647) FROM g WHERE after IS NULL OR after > k + 50),
-t AS (SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (least(b, len(h) // 2) - a))::BIGINT), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) WHERE least(b, len(h) // 2) > a GROUP BY doc_id)
-SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+t AS (SELECT doc_id, string_agg(hex(h[a + 1:least(b, octet_length(h))]), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) WHERE least(b, octet_length(h)) > a GROUP BY doc_id)
+SELECT doc_id, octet_length(h)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_removed IS NULL THEN h ELSE unhex(coalesce(kept, '')) END) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 """

@@ -44,6 +44,51 @@ def first(text: Column, pattern: str) -> Column:
     return F.regexp_substr(text, F.lit(pattern))
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the one letter besides that case-insensitive patterns take for an ASCII one."""
+    return F.translate(F.lower(text), "\u017f", "s")
+
+
+def needed(pattern: str) -> list[str] | None:
+    """Lower-case ASCII literals of which every match of the pattern has at least one; None if that can't be told."""
+    parser = re._parser  # type: ignore[attr-defined]
+
+    def of(tokens) -> set[str] | None:
+        found: list[set[str]] = []
+        run = ""
+        for op, arg in [*tokens, (None, None)]:
+            if op is parser.LITERAL and arg < 128:
+                run += chr(arg).lower()
+                continue
+            if len(run) >= 3:
+                found.append({run})
+            run = ""
+            inner = None
+            if op is parser.SUBPATTERN:
+                inner = of(arg[3])
+            elif op is parser.BRANCH:
+                parts = [of(x) for x in arg[1]]
+                inner = None if any(x is None for x in parts) else set().union(*parts)
+            elif op is parser.MAX_REPEAT and arg[0] > 0:
+                inner = of(arg[2])
+            if inner:
+                found.append(inner)
+        # The fewest literals, and of those the longest.
+        return min(found, key=lambda x: (len(x), -min(map(len, x)))) if found else None
+
+    literals = of(parser.parse(pattern))
+    return sorted(literals) if literals else None
+
+
+def first_if_any(text: Column, pattern: str, flags: str = "") -> Column:
+    """As :func:`first`, behind a cheap search for the literals that a match needs."""
+    literals = needed(pattern)
+    if not literals:
+        return first(text, flags + pattern)
+    low = folded(text)
+    return F.when(reduce(lambda a, b: a | b, [low.contains(x) for x in literals]), first(text, flags + pattern))
+
+
 def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -57,15 +102,17 @@ def first_span(text: Column, pattern: str) -> Column:
 
 def all_spans(text: Column, pattern: str) -> Column:
     """Byte offsets of all matches: gaps and matches alternate, so offsets are running sums of lengths."""
-    hits, gaps = matches(text, pattern), F.split(text, pattern, -1)
+    # One array of both, so that the text is read once and not again at each step.
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches(text, pattern).alias("hit"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(acc: Column, k: Column) -> Column:
-        a = acc["at"] + F.octet_length(F.get(gaps, k))
-        b = a + F.octet_length(F.get(hits, k))
-        return F.struct(b.cast("int").alias("at"), F.concat(acc["spans"], F.array(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))).alias("spans"))
+    def step(acc: Column, piece: Column) -> Column:
+        a = acc["at"] + F.octet_length(piece["gap"])
+        b = a + F.octet_length(piece["hit"])
+        span = F.array(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))
+        return F.when(piece["hit"].isNull(), acc).otherwise(F.struct(b.cast("int").alias("at"), F.concat(acc["spans"], span).alias("spans")))
 
-    return F.when(F.size(hits) == 0, F.array().cast(SPAN)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step)["spans"])
+    return F.aggregate(pieces, start, step)["spans"]
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,7 +35,9 @@ def rank(severity: Column) -> Column:
 
 def from_outcomes(df: DataFrame, request_id: Column, phase: Column, ts: Column, session_id: Column | None = None) -> DataFrame:
     """One event per audit record of ``outcome``: category as type, mapped severity, ``policy:<name>`` as regulation."""
-    rows = df.select(request_id.alias("request_id"), (F.lit(None).cast("string") if session_id is None else session_id).alias("session_id"), phase.alias("phase"), ts.alias("ts"), F.posexplode("outcome.audits").alias("pos", "a"))
+    rows = df.select(request_id.alias("request_id"), (F.lit(None).cast("string") if session_id is None else session_id).alias("session_id"), phase.alias("phase"), ts.alias("ts"), F.posexplode_outer("outcome.audits").alias("pos", "a"))
+    # The outer form: Spark infers no filter from it, which would hold all that the outcome is made of once more.
+    rows = rows.where("pos is not null")
     data = F.to_json(F.struct(F.col("a.rule").alias("rule_name"), F.col("a.policy").alias("policy_name"), F.col("a.context").alias("matched_content")))
     return rows.select(
         F.concat(F.lit("evt_"), F.substring(F.sha2(F.concat_ws("|", "request_id", "phase", "pos", "a.rule"), 256), 1, 32)).alias("id"), "request_id", "session_id",
@@ -162,7 +164,8 @@ def export(events: DataFrame, query: AuditQuery, path: str, form: str, *order: s
     Part files in the order of their names are the export: a limited page's csv or json is one file; without a limit
     rows stay in the tasks of the sort, and no task or row holds the whole. An array has an event a line.
     """
-    page = query.page(events, *order)
+    seen = Observation()
+    page = query.page(events, *order).observe(seen, F.count(F.lit(1)).alias("n"))
     line = lambda text: events.sparkSession.createDataFrame([(text,)], "value string").coalesce(1)
     if form == "csv":
         # The page is sorted already; the header goes in front of its first row.
@@ -177,7 +180,7 @@ def export(events: DataFrame, query: AuditQuery, path: str, form: str, *order: s
     else:
         raise ValueError(f"unknown format {form}")
     (lines if query.limit is None or form == "jsonl" else lines.coalesce(1)).write.text(path)
-    return page.count()
+    return seen.get["n"]
 
 
 def store(events: DataFrame, path: str) -> None:

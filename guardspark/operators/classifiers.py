@@ -6,12 +6,14 @@ Every built-in stays inside JVM expressions. A classifier is anything with ``nam
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.functions import lexicons as L
@@ -22,15 +24,34 @@ SCORES = "array<struct<label:string,score:double>>"
 RESULT = f"struct<label:string,score:double,spans:{T.SPAN},model:string,all_scores:{SCORES},extra:{EXTRA}>"
 
 
+Base = dict[str, Column]
+
+
 class Classifier(Protocol):
     name: str
     tier: str
 
-    def result(self, text: Column, detail: bool = True) -> Column:
-        """``detail`` asks for spans, all scores and extras; label and score are always there."""
+    def base(self, text: Column) -> Base:
+        """What several fields of the result need, by name."""
+        ...
+
+    def result(self, text: Column, detail: bool = True, base: Base | None = None) -> Column:
+        """``detail`` asks for spans, all scores and extras; label and score are always there. ``base`` as computed before, if so."""
         ...
 
 
+def with_results(df: DataFrame, wanted: dict[str, Classifier], text: str, detail: bool = True) -> DataFrame:
+    """``df`` with the result of each classifier under its name.
+
+    Their bases are columns of a projection of their own, so each pattern is matched once a row however many fields and rules refer to it.
+    """
+    bases = {into: {k: f"{into}_{k}" for k in c.base(F.col(text))} for into, c in wanted.items()}
+    columns = {bases[into][k]: v for into, c in wanted.items() for k, v in c.base(F.col(text)).items()}
+    df = df.withColumns(columns) if columns else df
+    df = df.withColumns({into: c.result(F.col(text), detail, {k: F.col(n) for k, n in bases[into].items()}) for into, c in wanted.items()})
+    return df.drop(*columns)
+
+
 def result(label: Column, score: Column, spans: Column | None = None, model: Column | None = None, all_scores: Column | None = None, extra: Column | None = None) -> Column:
     none = F.lit(None)
     return F.struct(
@@ -55,21 +76,28 @@ class Pattern:
         self.name, self.tier, self.patterns = name, "A", patterns
         self.regex = T.any_of([p for _, p in patterns])
 
-    def result(self, text: Column, detail: bool = True) -> Column:
-        hit = F.when(T.maybe(text, [p for _, p in self.patterns]), F.lower(T.first(text, self.regex))) if self.patterns else F.lit(None)
-        label = F.coalesce(*[F.when(hit == p.lower(), F.lit(name)) for name, p in self.patterns], F.lit("clean")) if self.patterns else F.lit("clean")
+    def base(self, text: Column) -> Base:
+        return {"hit": F.when(T.maybe(text, [p for _, p in self.patterns]), F.lower(T.first(text, self.regex)))} if self.patterns else {}
+
+    def result(self, text: Column, detail: bool = True, base: Base | None = None) -> Column:
         if not self.patterns:
-            return result(label, F.lit(0.0))
-        return result(label, hit.isNotNull().cast("double"), T.all_spans(text, self.regex) if detail else None)
+            return result(F.lit("clean"), F.lit(0.0))
+        hit = (base or self.base(text))["hit"]
+        label = F.coalesce(*[F.when(hit == p.lower(), F.lit(name)) for name, p in self.patterns], F.lit("clean"))
+        spans = F.when(hit.isNotNull(), T.all_spans(text, self.regex)).otherwise(F.array().cast(T.SPAN)) if detail else None
+        return result(label, hit.isNotNull().cast("double"), spans)
 
 
 class Pii:
     name, tier = "pii_detector", "A"
 
-    def result(self, text: Column, detail: bool = True) -> Column:
+    def base(self, text: Column) -> Base:
         # An address needs its sign and a number its digits: most texts are done after these.
         may = {k: text.contains("@") if k == "email" else text.rlike(r"\p{Nd}") for k, _ in L.PII}
-        hits = {k: may[k] & text.rlike("(?U)" + p) for k, p in L.PII}
+        return {k: may[k] & text.rlike("(?U)" + p) for k, p in L.PII}
+
+    def result(self, text: Column, detail: bool = True, base: Base | None = None) -> Column:
+        hits = base or self.base(text)
         any_hit = reduce(lambda a, b: a | b, hits.values())
         label, score = F.when(any_hit, "pii_detected").otherwise("no_pii"), any_hit.cast("double")
         if not detail:
@@ -81,9 +109,12 @@ class Pii:
 class Toxicity:
     name, tier = "toxicity", "B"
 
-    def result(self, text: Column, detail: bool = True) -> Column:
+    def base(self, text: Column) -> Base:
         low = F.lower(text)
-        score = T.clamp(T.count_true([low.contains(w) for w in L.TOXIC]) * 0.35, 0.0, 0.95)
+        return {"n": T.count_true([low.contains(w) for w in L.TOXIC])}
+
+    def result(self, text: Column, detail: bool = True, base: Base | None = None) -> Column:
+        score = T.clamp((base or self.base(text))["n"] * 0.35, 0.0, 0.95)
         return result(F.when(score > 0.5, "toxic").otherwise("safe"), score, model=F.lit("toxicity-lexicon"))
 
 
@@ -93,8 +124,12 @@ class Sentiment:
     def __init__(self, name: str = "sentiment"):
         self.name = name
 
-    def result(self, text: Column, detail: bool = True) -> Column:
-        pos, neg = (T.count_any(text, w).cast("double") for w in (L.POSITIVE, L.NEGATIVE))
+    def base(self, text: Column) -> Base:
+        return {k: T.count_any(text, w).cast("double") for k, w in (("pos", L.POSITIVE), ("neg", L.NEGATIVE))}
+
+    def result(self, text: Column, detail: bool = True, base: Base | None = None) -> Column:
+        base = base or self.base(text)
+        pos, neg = base["pos"], base["neg"]
         score = F.when(pos + neg == 0, 0.5).otherwise(F.try_divide(pos, pos + neg))
         return result(F.when(score >= 0.5, "positive").otherwise("negative"), score, model=F.lit("sentiment-lexicon"), all_scores=binary_scores(score) if detail else None)
 
@@ -107,13 +142,15 @@ class Cascade:
     def __init__(self, name: str, categories: list[tuple[str, float, str | None, list[str]]], default: tuple[str, float]):
         self.name, self.categories, self.default = name, categories, default
 
-    def result(self, text: Column, detail: bool = True) -> Column:
-        k = None
-        for n, (_, _, _, terms) in enumerate(self.categories):
-            hit = T.has_any(text, terms)
-            k = F.when(hit, n) if k is None else k.when(hit, n)
-        assert k is not None
-        k = k.otherwise(len(self.categories))
+    def base(self, text: Column) -> Base:
+        """Number of the first category with a match."""
+        k = F.when(T.has_any(text, self.categories[0][3]), 0)
+        for n, (_, _, _, terms) in enumerate(self.categories[1:], 1):
+            k = k.when(T.has_any(text, terms), n)
+        return {"k": k.otherwise(len(self.categories))}
+
+    def result(self, text: Column, detail: bool = True, base: Base | None = None) -> Column:
+        k = (base or self.base(text))["k"]
         label = F.get(F.array(*[F.lit(c[0]) for c in self.categories], F.lit(self.default[0])), k)
         score = F.get(F.array(*[F.lit(c[1]) for c in self.categories], F.lit(self.default[1])), k)
         if not detail:
@@ -144,7 +181,10 @@ class Noop:
     def __init__(self, name: str):
         self.name = name
 
-    def result(self, text: Column, detail: bool = True) -> Column:
+    def base(self, text: Column) -> Base:
+        return {}
+
+    def result(self, text: Column, detail: bool = True, base: Base | None = None) -> Column:
         return result(F.lit("clean"), F.lit(0.0))
 
 
@@ -160,12 +200,16 @@ class Sequence:
     tier = "B"
 
     def __init__(self, name: str = "sequence", labels: list[str] | None = None, threshold: float = 0.5):
-        self.name, self.labels, self.threshold = name, labels or [], threshold
+        self.name, self.labels, self.threshold = name, normalized_labels(2, labels or []), threshold
 
-    def result(self, text: Column, detail: bool = True) -> Column:
+    def base(self, text: Column) -> Base:
         words = F.transform(F.split(text, "[^A-Za-z]+"), F.lower)
         hits = lambda terms: F.size(F.filter(words, lambda w: w.isin(terms))).cast("double")
-        pos, neg = hits(L.SEQUENCE_POSITIVE), hits(L.SEQUENCE_NEGATIVE)
+        return {"pos": hits(L.SEQUENCE_POSITIVE), "neg": hits(L.SEQUENCE_NEGATIVE)}
+
+    def result(self, text: Column, detail: bool = True, base: Base | None = None) -> Column:
+        base = base or self.base(text)
+        pos, neg = base["pos"], base["neg"]
         score = (
             F.when((pos == 0) & (neg == 0), 0.5)
             .when(neg == 0, T.clamp(0.92 + (pos - 1) * 0.03, 0.92, 0.99))
@@ -185,20 +229,28 @@ class Sequence:
 
 
 class VectorClassifier:
-    """A model in Python: ``score`` maps a series of texts to a frame with ``label`` and ``score``."""
+    """A model in Python. ``load`` runs once a Python worker and gives the function of a series of texts to a frame with ``label`` and ``score``."""
 
-    def __init__(self, name: str, score: Callable[[pd.Series], pd.DataFrame], tier: str = "C"):
-        self.name, self.tier, self._score = name, tier, score
+    def __init__(self, name: str, load: Callable[[], Callable[[pd.Series], pd.DataFrame]], tier: str = "C"):
+        self.name, self.tier, self.load = name, tier, load
 
-    def result(self, text: Column, detail: bool = True) -> Column:
-        run, model = self._score, self.name
+    def base(self, text: Column) -> Base:
+        load, held = self.load, uuid.uuid4().hex
 
         @F.pandas_udf("label string, score double")
-        def call(texts: pd.Series) -> pd.DataFrame:
-            return run(texts)[["label", "score"]]
-
-        r = call(text)
-        return result(r["label"], r["score"], model=F.lit(model))
+        def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            # Workers are used again by later tasks: a model stays with its worker.
+            models = sys.modules[__name__].__dict__.setdefault("_MODELS", {})
+            if held not in models:
+                models[held] = load()
+            for texts in batches:
+                yield models[held](texts.fillna(""))[["label", "score"]]
+
+        return {"r": call(text)}
+
+    def result(self, text: Column, detail: bool = True, base: Base | None = None) -> Column:
+        r = (base or self.base(text))["r"]
+        return result(r["label"], r["score"], model=F.lit(self.name))
 
 
 def exceeds(r: Column, threshold: float) -> Column:

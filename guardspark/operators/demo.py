@@ -17,14 +17,28 @@ def issue(kind: str, classifier: str, score: Column, matched: Column) -> Column:
     return F.struct(F.lit(kind).alias("issue_type"), F.lit(classifier).alias("classifier"), score.alias("score"), matched.cast("string").alias("matched_text")).cast(ISSUE)
 
 
-def evaluate(text: Column) -> Column:
-    """issues, rules, action: PII redacts, an injection blocks whatever else, strong toxicity blocks what would pass, advice is only noted."""
-    pii = [(k, T.first(text, "(?U)" + p)) for k, p in L.DEMO_PII]
-    injection = F.coalesce(*[T.first(text, p.replace("(?i)", "(?iuU)")) for p in L.DEMO_INJECTION])
+def base(text: Column) -> dict[str, Column]:
+    """First matches by kind and the number of toxic words: what issues, rules and action are made of."""
     low = F.lower(text)
-    n_toxic = T.count_true([low.contains(w) for w in L.DEMO_TOXIC])
+    one = lambda patterns: F.coalesce(*[T.first_if_any(text, p.removeprefix("(?i)"), "(?iuU)" if p.startswith("(?i)") else "(?U)") for p in patterns])
+    return {
+        **{f"pii_{k}": T.first_if_any(text, p, "(?U)") for k, p in L.DEMO_PII},
+        "injection": one(L.DEMO_INJECTION), "advice": one(L.DEMO_ADVICE), "n_toxic": T.count_true([low.contains(w) for w in L.DEMO_TOXIC]),
+    }
+
+
+def with_evaluation(df: DataFrame, text: str, into: str) -> DataFrame:
+    """``df`` with :func:`evaluate` as ``into``; its base is columns of their own, so each pattern is looked for once a row."""
+    names = {k: f"_{into}_{k}" for k in base(F.col(text))}
+    df = df.withColumns({names[k]: v for k, v in base(F.col(text)).items()})
+    return df.withColumn(into, evaluate({k: F.col(n) for k, n in names.items()})).drop(*names.values())
+
+
+def evaluate(b: dict[str, Column]) -> Column:
+    """issues, rules, action from the base: PII redacts, an injection blocks whatever else, strong toxicity blocks what would pass, advice is only noted."""
+    pii = [(k, b[f"pii_{k}"]) for k, _ in L.DEMO_PII]
+    injection, advice, n_toxic = b["injection"], b["advice"], b["n_toxic"]
     score = F.least(n_toxic * 0.2, F.lit(1.0))
-    advice = F.coalesce(*[T.first(text, p.replace("(?i)", "(?iuU)")) for p in L.DEMO_ADVICE])
     strong = score > 0.8
     issues = [F.when(m.isNotNull(), issue(k, "pii_detector", F.lit(0.95), m)) for k, m in pii]
     issues.append(F.when(injection.isNotNull(), issue("prompt_injection", "prompt_injection_detector", F.lit(0.9), injection)))
@@ -46,8 +60,8 @@ def requests(turns: DataFrame) -> DataFrame:
         "asked": F.array_join(F.collect_list(user).over(so_far), " "), "previews": F.array_join(F.collect_list(F.substring(user, 1, 100)).over(so_far), " "),
         "response": F.lead("text").over(order), "next_role": F.lead("role").over(order),
     }).where("role = 'user' and next_role = 'assistant'")
-    rows = rows.withColumn("i", evaluate(F.col("asked"))).withColumn("blocked", F.col("i.action") == "block")
-    rows = rows.withColumn("e", evaluate(F.col("response")))
+    rows = with_evaluation(rows, "asked", "i").withColumn("blocked", F.col("i.action") == "block")
+    rows = with_evaluation(rows, "response", "e")
     action = F.when(F.col("i.action") != "pass", F.col("i.action")).otherwise(F.col("e.action"))
     both = lambda f: F.when(F.col("blocked"), F.col(f"i.{f}")).otherwise(F.concat(f"i.{f}", f"e.{f}"))
     return rows.select(

@@ -37,7 +37,7 @@ def judged(df: DataFrame, pipeline: Pipeline | None, policies: list[Policy], cla
     """Adds results, scores, final_score, triggered and outcome. Scores are those that aggregation left."""
     df = (pipeline or Pipeline()).run(df, classified)
     df = df.withColumn("scores", score_map(F.col("results"))).withColumn("final_score", final(F.col("results"))["score"])
-    df = df.withColumn("triggered", policy.evaluate(policies, F.col(judged_text), F.col("scores")))
+    df = policy.with_evaluation(df, policies, judged_text, "scores")
     return df.withColumn("outcome", policy.outcome(F.col("triggered")))
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .classifiers import RESULT, Classifier, Noop, built_in
+from .classifiers import RESULT, Classifier, Noop, built_in, with_results
 
 ITEM = f"struct<stage:string,classifier:string,result:{RESULT}>"
 Condition = Callable[[Column], Column]
@@ -167,7 +167,7 @@ class Pipeline:
     def run(self, df: DataFrame, text: str = "text", into: str = "results", detail: bool = False) -> DataFrame:
         """``df`` with the results array; classifier columns are temporary. Spans and extras only if ``detail`` asks for them."""
         names = {key: f"_clf_{k}" for k, key in enumerate(self.classifiers())}
-        df = df.withColumns({names[key]: c.result(F.col(text), detail) for key, c in self.classifiers().items()}) if names else df
+        df = with_results(df, {names[key]: c for key, c in self.classifiers().items()}, text, detail) if names else df
         return df.withColumn(into, self.results({key: F.col(n) for key, n in names.items()})).drop(*names.values())
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardspark.functions import text as T
@@ -37,11 +37,19 @@ def no_match() -> Column:
     return F.lit(None).cast("string")
 
 
-def pattern_trigger(text: Column, pattern: str, case_insensitive: bool) -> Verdict:
+#: First matches that are columns already, by (pattern, case_insensitive).
+Hits = dict[tuple[str, bool], Column]
+
+
+def first_match(text: Column, pattern: str, case_insensitive: bool) -> Column:
+    return T.first_if_any(text, pattern, "(?iuU)" if case_insensitive else "(?U)")
+
+
+def pattern_trigger(text: Column, pattern: str, case_insensitive: bool, hits: Hits | None = None) -> Verdict:
     """A regular expression; one that the dialect rejects is looked for as a literal, which names no match."""
     if usable(pattern):
-        regex = ("(?iuU)" if case_insensitive else "(?U)") + pattern
-        hit = T.first(text, regex)
+        hit = (hits or {}).get((pattern, case_insensitive))
+        hit = first_match(text, pattern, case_insensitive) if hit is None else hit
         return Verdict(hit.isNotNull(), hit.isNotNull().cast("double"), hit, [])
     found = F.lower(text).contains(pattern.lower()) if case_insensitive else text.contains(pattern)
     return Verdict(found, found.cast("double"), F.when(found, F.lit(pattern)), [])
@@ -84,14 +92,14 @@ def combine(operator: str, parts: list[Verdict]) -> Verdict:
     return Verdict(holds, score, F.coalesce(*[p.matched for p in reversed(parts)]), [u for p in parts for u in p.used])
 
 
-def compile_trigger(t: Trigger, text: Column, scores: Column | None) -> Verdict:
+def compile_trigger(t: Trigger, text: Column, scores: Column | None, hits: Hits | None = None) -> Verdict:
     if t.type == "pattern":
-        return pattern_trigger(text, t.pattern, t.case_insensitive)
+        return pattern_trigger(text, t.pattern, t.case_insensitive, hits)
     if t.type == "classifier":
         return classifier_trigger(scores, t.classifier, t.threshold)
     if t.type == "context":
         return context_trigger(text, t.field, t.value)
-    return combine(t.operator, [compile_trigger(x, text, scores) for x in t.triggers])
+    return combine(t.operator, [compile_trigger(x, text, scores, hits) for x in t.triggers])
 
 
 def modification(kind: str, content: str, position: str | None, spanned: Column) -> Column:
@@ -119,13 +127,29 @@ def fired(rule: str, policy: str, actions: Iterable[Action], v: Verdict) -> Colu
     )
 
 
-def evaluate(policies: list[Policy], text: Column, scores: Column | None = None) -> Column:
+def patterns(t: Trigger) -> list[tuple[str, bool]]:
+    """The patterns below a trigger that the dialect takes."""
+    if t.type == "composite":
+        return [p for x in t.triggers for p in patterns(x)]
+    return [(t.pattern, t.case_insensitive)] if t.type == "pattern" and usable(t.pattern) else []
+
+
+def with_evaluation(df: DataFrame, policies: list[Policy], text: str, scores: str | None, into: str = "triggered") -> DataFrame:
+    """``df`` with :func:`evaluate` as ``into``. The first match of each distinct pattern is a column of its own, so it is looked for once a row."""
+    wanted = dict.fromkeys(x for p in policies for r in p.rules if r.enabled for x in patterns(r.trigger))
+    names = {x: f"_hit_{k}" for k, x in enumerate(wanted)}
+    df = df.withColumns({n: first_match(F.col(text), *x) for x, n in names.items()}) if names else df
+    found = evaluate(policies, F.col(text), None if scores is None else F.col(scores), {x: F.col(n) for x, n in names.items()})
+    return df.withColumn(into, found).drop(*names.values())
+
+
+def evaluate(policies: list[Policy], text: Column, scores: Column | None = None, hits: Hits | None = None) -> Column:
     """array<FIRED>: every enabled rule that holds, in order. Disabled rules never reach the plan."""
     rows = []
     for p in policies:
         for r in p.rules:
             if r.enabled:
-                v = compile_trigger(r.trigger, text, scores)
+                v = compile_trigger(r.trigger, text, scores, hits)
                 rows.append(F.when(v.holds, fired(r.name, p.name, r.actions, v)))
     return (F.array_compact(F.array(*rows)) if rows else F.array()).cast(f"array<{FIRED}>")
 

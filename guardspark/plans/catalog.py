@@ -1,4 +1,4 @@
-"""Every query of the engine's own operators, with its SQL counterpart. Modules of queries register here."""
+"""Where modules of queries register them, with their SQL counterparts; ``registry`` imports them all."""
 
 from __future__ import annotations
 
@@ -21,10 +21,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-def load() -> None:
-    from guardspark.plans import classify, flow, govern, ledger, wire  # noqa: F401
-
-
-load()

@@ -19,7 +19,7 @@ THREE = [("toxicity", "tox"), ("sentiment", "sent"), ("pii", "pii")]
 
 
 def classified(df: DataFrame, c: C.Classifier) -> DataFrame:
-    return df.withColumn("r", c.result(F.col("text")))
+    return C.with_results(df, {"r": c}, "text")
 
 
 def rounded(c: Column | str) -> Column:
@@ -132,7 +132,7 @@ _D = demo_sql("text")
 
 @query("dem_eval", X.sql("guard", f"SELECT text_id, array_to_string({_D['issues']}, '|') AS issues, array_to_string({_D['rules']}, '|') AS rules, {_D['action']} AS action FROM guard"))
 def dem_eval(spark: SparkSession, sf: str) -> DataFrame:
-    df = X.guard(spark, sf).withColumn("e", demo.evaluate(F.col("text")))
+    df = demo.with_evaluation(X.guard(spark, sf), "text", "e")
     return df.select("text_id", F.array_join("e.issues.issue_type", "|").alias("issues"), F.array_join("e.triggered_rules", "|").alias("rules"), "e.action")
 
 

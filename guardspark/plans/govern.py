@@ -82,7 +82,7 @@ def when(r: str, value: str) -> str:
 
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    df = scored(spark, sf).withColumn("t", R.evaluate([ALL], F.col("text"), F.col("scores")))
+    df = R.with_evaluation(scored(spark, sf), [ALL], "text", "scores", "t")
     return df.withColumn("o", R.outcome(F.col("t")))
 
 
@@ -123,7 +123,8 @@ long AS (SELECT text_id, 'toxicity' AS classifier, tox AS score FROM scored UNIO
 SELECT rule, count(*) AS n, count(*) FILTER (WHERE score >= threshold) AS fired FROM long JOIN rules USING (classifier) GROUP BY rule"""))
 def jn_scores(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame([("a", "toxicity", 0.35), ("b", "sentiment", 0.9), ("c", "pii_detector", 0.5)], "rule string, classifier string, threshold double")
-    long = scored(spark, sf).select(F.explode("scores").alias("classifier", "score"))
+    # The outer form: Spark infers no filter from it, which would hold all that the scores are made of once more.
+    long = scored(spark, sf).select(F.explode_outer("scores").alias("classifier", "score"))
     return long.join(rules, "classifier").groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= F.col("threshold")).alias("fired"))
 
 
@@ -202,7 +203,7 @@ def ascii_texts(spark: SparkSession, sf: str) -> DataFrame:
     return X.texts(spark, sf).withColumn("text", F.regexp_replace("text", "[^ -~]", "_"))
 
 
-@query("str_apply_lib", X.sql("texts", f""", {_ASCII} SELECT text_id, CASE WHEN text_id % 4 IN (0, 2) AND length(text) > 4 THEN '<' || text[1:1] || '#' || text[5:] || '>' ELSE '<' || text || '>' END AS output FROM ascii"""))
+@query("str_apply_lib", X.sql("texts", f""", {_ASCII} SELECT text_id, CASE WHEN text_id % 4 IN (0, 2) AND length(text) > 3 THEN '<' || text[1:1] || '#' || text[5:] || '>' ELSE '<' || text || '>' END AS output FROM ascii"""))
 def str_apply_lib(spark: SparkSession, sf: str) -> DataFrame:
     return ascii_texts(spark, sf).select("text_id", modify.apply_library(F.col("text"), spans()).alias("output"))
 
@@ -226,7 +227,7 @@ def shown(df: DataFrame) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf: str, policies: list[Policy]) -> DataFrame:
-    df = scored(spark, sf).withColumn("triggered", R.evaluate(policies, F.col("text"), F.col("scores")))
+    df = R.with_evaluation(scored(spark, sf), policies, "text", "scores")
     return df.withColumn("outcome", R.outcome(F.col("triggered")))
 
 

@@ -96,12 +96,13 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         mixed = (mixed ^ (mixed >> np.uint64(31))) * MIX[1]
         mixed[space] = 0
         word = np.add.reduceat(mixed, word_at)
-        words = np.maximum(1, np.bincount(passage_of_word, minlength=total))
+        held = np.bincount(passage_of_word, minlength=total)
+        words = np.maximum(1, held)
         for lag in range(1, LAGS + 1):
             same = np.flatnonzero((word[lag:] == word[:-lag]) & (doc_of_word[lag:] == doc_of_word[:-lag])) + lag
             x[:, CLASSES * CLASSES + lag - 1] = np.bincount(passage_of_word[same], minlength=total) / words
         x[:, -2] = np.bincount(passage_of_word, length, total) / words / 10
-        x[:, -1] = words / PASSAGE
+        x[:, -1] = held / PASSAGE
     return x, n_passages
 
 

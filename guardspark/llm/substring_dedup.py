@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLEANUP, agreed, conf, documents, join_by_group, partitions, saved, session, shared_dir
+from .common import CLEANUP, agreed, conf, documents, join_by_group, partitions, saved, session, shared_dir, with_text
 from .graph import sorted_groups
 
 WINDOW = 50
@@ -524,20 +524,17 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     marks = saved(marked(base, shared, sample_splitters(work, RANGES * parts), parts), "marks")
     out = base.select("row", "doc_id", "text").join(marks, "row", "left").join(copies.withColumn("copy", F.lit(True)), "row", "left")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, text, blocks, copy in zip(pdf["doc_id"], pdf["text"], pdf["marks"], pdf["copy"], strict=True):
-                text = text.encode("utf-8", "surrogatepass")
-                if copy is True:
-                    removed, spans, kept = len(text), 1, b""
-                else:
-                    removed, spans, kept = remove(text, [] if blocks is None else list(blocks))
-                rows.append((None if i == LAST else i, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-            frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            yield frame.astype({"doc_id": "Int64"})
-
-    return out.select("doc_id", "text", "marks", "copy").mapInPandas(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    def cut(rows: list[dict]) -> dict[str, list]:
+        done: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+        for r in rows:
+            text = r["text"].encode("utf-8", "surrogatepass")
+            removed, spans, kept = (len(text), 1, b"") if r["copy"] else remove(text, r["marks"] or [])
+            for values, x in zip(done.values(), (len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                values.append(x)
+        return done
+
+    rows = out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), F.struct("text", "marks", "copy").alias("parts"))
+    return with_text(rows, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary", lambda: cut, text="parts")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -46,6 +47,45 @@ def from_outcomes(df: DataFrame, request_id: Column, phase: Column, ts: Column,
     )
 
 
+def request_id(name: Column | None = None) -> Column:
+    """An id of a request: the same for the same name, or a drawn one."""
+    if name is None:
+        return F.concat(F.lit("req_"), F.uuid())
+    return F.concat(F.lit("req_"), F.regexp_replace(F.md5(name.cast("string").cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+
+
+@dataclass(frozen=True)
+class RequestContext:
+    """What an event says about its request; columns or values."""
+
+    request_id: Column | str | None = None
+    phase: Column | str | None = None
+    session_id: Column | str | None = None
+    model: Column | str | None = None
+    user_agent: Column | str | None = None
+    source_ip: Column | str | None = None
+
+    def with_(self, **changes) -> RequestContext:
+        return replace(self, **changes)
+
+
+def as_column(x: Column | str | None) -> Column:
+    return x if isinstance(x, Column) else F.lit(x).cast("string")
+
+
+def event(event_type: Column | str, ts: Column, context: RequestContext | None = None, severity: Column | str = "info", data: Column | None = None, regulation: Column | str | None = None) -> Column:
+    """A struct of one event. Addresses are kept as digests only; the id is one of what the event says."""
+    c = context or RequestContext()
+    fields = {
+        "request_id": as_column(c.request_id), "session_id": as_column(c.session_id), "event_type": as_column(event_type), "data": as_column(None) if data is None else data,
+        "ts": ts, "regulation": as_column(regulation), "severity": as_column(severity), "source_ip_hash": F.sha2(as_column(c.source_ip), 256), "user_agent": as_column(c.user_agent),
+        "model": as_column(c.model), "phase": as_column(c.phase),
+    }
+    said = F.concat_ws("|", *[F.coalesce(v.cast("string"), F.lit("")) for k, v in fields.items() if k != "ts"], F.unix_micros(ts).cast("string"))
+    identity = F.concat(F.lit("evt_"), F.substring(F.sha2(said, 256), 1, 32))
+    return F.struct(identity.alias("id"), *[v.alias(k) for k, v in fields.items()])
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts).cast("string")
 
@@ -188,6 +228,67 @@ def store(events: DataFrame, path: str) -> None:
     events.withColumn("event_date", F.to_date("ts")).write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def rotated(events: DataFrame, size: Column, max_bytes: int, *order: str) -> DataFrame:
+    """``events`` with ``file``: the number of the day's file that a row goes to.
+
+    A file ends with its day and when it has ``max_bytes``; ``size`` is a row's bytes. Bytes before a row are those of the day's earlier
+    minutes and of its own minute's earlier rows, so no task sums a whole day row by row.
+    """
+    rows = events.withColumns({"_size": size, "_minute": F.date_trunc("minute", "ts"), "event_date": F.to_date("ts")})
+    minutes = rows.groupBy("event_date", "_minute").agg(F.sum("_size").alias("_bytes"))
+    upto = W.partitionBy("event_date").orderBy("_minute").rowsBetween(W.unboundedPreceding, -1)
+    minutes = minutes.select("_minute", F.coalesce(F.sum("_bytes").over(upto), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_minute").orderBy("ts", *order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(minutes, "_minute")
+    return rows.withColumn("file", F.floor((F.col("_before") + F.col("_inside")) / max_bytes)).drop("_size", "_minute", "_before", "_inside")
+
+
+def store_rotated(events: DataFrame, path: str, max_bytes: int, *order: str, columns: tuple[str, ...] = ()) -> None:
+    """Append JSON lines (of ``columns``, or all) in folders of a day and a file number, each of about ``max_bytes``."""
+    line = F.to_json(F.struct(*(columns or events.columns)))
+    rows = rotated(events.withColumn("value", line), F.octet_length("value") + 1, max_bytes, *order)
+    rows.select("value", "event_date", "file").repartition("event_date", "file").write.mode("append").partitionBy("event_date", "file").text(path)
+
+
+class Trail:
+    """An audit store behind one object: a table of days below ``path``. Each ``record`` is committed when it returns."""
+
+    def __init__(self, spark, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def record(self, events: DataFrame) -> None:
+        store(events, self.path)
+
+    def flush(self) -> None:
+        """Nothing is held back: a batch is on disk once :meth:`record` returns."""
+
+    def events(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, event_date date").parquet(self.path)
+
+    def query(self, query: AuditQuery, *order: str) -> DataFrame:
+        return query.page(self.events(), *order)
+
+    def count(self, query: AuditQuery) -> int:
+        return query.filter(self.events()).count()
+
+    def export(self, query: AuditQuery, path: str, form: str, *order: str) -> int:
+        return export(self.events(), query, path, form, *order)
+
+
+class MemoryTrail:
+    """Events that are not stored: frames, one after the other."""
+
+    def __init__(self, spark, schema: str):
+        self.frames = [spark.createDataFrame([], schema)]
+
+    def add(self, events: DataFrame) -> MemoryTrail:
+        self.frames.append(events)
+        return self
+
+    def events(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.frames)
+
+
 def scan_jsonl(spark, path: str, schema: str) -> DataFrame:
     """JSON lines of every file below ``path`` in file-name order; blank and corrupt lines are left out."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)

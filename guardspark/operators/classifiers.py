@@ -10,6 +10,7 @@ import sys
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
+from types import ModuleType
 from typing import Protocol
 
 import pandas as pd
@@ -240,7 +241,7 @@ class VectorClassifier:
         @F.pandas_udf("label string, score double")
         def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             # Workers are used again by later tasks: a model stays with its worker.
-            models = sys.modules[__name__].__dict__.setdefault("_MODELS", {})
+            models = sys.modules.setdefault("_guardspark_models", ModuleType("_guardspark_models")).__dict__
             if held not in models:
                 models[held] = load()
             for texts in batches:

@@ -40,6 +40,12 @@ def totals(requests: DataFrame) -> DataFrame:
     )
 
 
+def since_reset(requests: DataFrame, resets: DataFrame) -> DataFrame:
+    """Requests from the last of ``resets`` (a column ``at``) on; all if there is none. One row is joined."""
+    last = resets.agg(F.max("at").alias("_last"))
+    return requests.join(F.broadcast(last), F.coalesce(F.col("ts") >= F.col("_last"), F.lit(True))).drop("_last")
+
+
 def recent(requests: DataFrame, n: int = HISTORY, order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
     """The last ``n`` requests (a distributed top-n)."""
     return requests.orderBy(*[F.desc(c) for c in order]).limit(n)

@@ -7,14 +7,19 @@ stages use is evaluated once a row.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardspark.errors import ClassifierError
+
 from .classifiers import RESULT, Classifier, Noop, built_in, with_results
 
+log = logging.getLogger(__name__)
+
 ITEM = f"struct<stage:string,classifier:string,result:{RESULT}>"
 Condition = Callable[[Column], Column]
 
@@ -184,10 +189,20 @@ def score_map(results: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def from_config(name: str, spec: dict, registry: dict[str, Classifier] | None = None) -> Pipeline:
-    """A pipeline from its YAML mapping; classifiers that nobody knows are no-ops."""
+def from_config(name: str, spec: dict, registry: dict[str, Classifier] | None = None, strict: bool = False) -> Pipeline:
+    """A pipeline from its YAML mapping. Classifiers that the registry can't give are no-ops, or errors if ``strict``."""
     known = built_in() if registry is None else registry
-    find = lambda key: known.setdefault(key, Noop(key))
+
+    def find(key: str) -> Classifier:
+        try:
+            return known[key]
+        except (KeyError, ClassifierError) as e:
+            if strict:
+                raise ClassifierError(f"pipeline '{name}' needs classifier '{key}': {e}") from e
+            log.warning("pipeline %s: no classifier %s, it will find nothing", name, key)
+            known[key] = Noop(key)
+            return known[key]
+
     out = Pipeline(name)
     for s in spec["stages"]:
         kind = s["type"]

@@ -154,9 +154,10 @@ def evaluate(policies: list[Policy], text: Column, scores: Column | None = None,
     return (F.array_compact(F.array(*rows)) if rows else F.array()).cast(f"array<{FIRED}>")
 
 
-def evaluate_tokens(policies: list[Policy], tokens: Column, scores: Column | None = None) -> Column:
-    """Tokens (structs with ``text``) joined without a separator, then as text."""
-    return evaluate(policies, F.array_join(F.transform(tokens, lambda t: t["text"]), ""), scores)
+def with_token_evaluation(df: DataFrame, policies: list[Policy], tokens: str, scores: str | None, into: str = "triggered") -> DataFrame:
+    """As :func:`with_evaluation`, over tokens (structs with ``text``) joined without a separator, once a row."""
+    joined = F.array_join(F.transform(tokens, lambda t: t["text"]), "")
+    return with_evaluation(df.withColumn("_joined", joined), policies, "_joined", scores, into).drop("_joined")
 
 
 def outcome(triggered: Column) -> Column:
@@ -170,6 +171,22 @@ def outcome(triggered: Column) -> Column:
     )
 
 
+class Engine:
+    """Policies that are judged together, and what their fired rules add up to."""
+
+    def __init__(self, policies: Iterable[Policy] = ()):
+        self.policies = list(policies)
+
+    def add(self, policy: Policy) -> Engine:
+        self.policies.append(policy)
+        return self
+
+    def judge(self, df: DataFrame, text: str = "text", scores: str | None = None) -> DataFrame:
+        """``df`` with ``triggered`` and ``outcome``."""
+        df = with_evaluation(df, self.policies, text, scores)
+        return df.withColumn("outcome", outcome(F.col("triggered")))
+
+
 def has_actions(out: Column) -> Column:
     return out["should_stop"] | (F.size(out["modifications"]) > 0) | (F.size(out["audits"]) > 0) | (F.size(out["adaptations"]) > 0)
 

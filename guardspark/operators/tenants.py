@@ -24,6 +24,13 @@ def api_key(authorization: Column) -> Column:
     return F.when(t.startswith("Bearer "), F.trim(F.substring(t, 8, 2**31 - 1))).when(t.startswith("sk-") | t.startswith("key-"), t)
 
 
+def admin_allowed(header: Column, authorization: Column, key: str) -> Column:
+    """Whether the header or the bearer token is the key. Digests are compared, so the time says nothing of the key."""
+    token = F.when(authorization.startswith("Bearer "), F.substring(authorization, 8, 2**31 - 1))
+    same = lambda x: F.coalesce(F.sha2(x, 256) == F.sha2(F.lit(key), 256), F.lit(False))
+    return same(header) | same(token)
+
+
 def resolve(requests: DataFrame, tenants: DataFrame, default: str = "default") -> DataFrame:
     """``tenant`` by header, then path, then API key, then the default; an unknown value falls through.
 

@@ -157,15 +157,11 @@ def st_adapter(spark: SparkSession, sf: str) -> DataFrame:
     return S.collected(adapters.parse_frames(frames, adapters.OpenAi()).select("stream_id", "seq", "kind", "text"), "st-adapter")
 
 
-@query("src_http_stream", X.sql("chunks", "SELECT stream_id, count(*) AS n_frames FROM chunks GROUP BY stream_id"))
+@query("src_http_stream", X.sql("chunks", "SELECT stream_id, seq, chunk || chr(65533) AS frame FROM chunks"))
 def src_http_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames from a streaming source, counted by stream in complete mode."""
-    from guardspark.streaming.stateful import work_dir
-
-    base = work_dir(spark, "frames")
-    counts = chunk_stream(spark, sf).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_frames"))
-    S.to_batches(counts, lambda df, n: df.write.mode("overwrite").parquet(f"{base}/n={n}"), "src-http", "complete")
-    return spark.read.schema("stream_id bigint, n_frames bigint").option("recursiveFileLookup", "true").parquet(base)
+    """Frames of bytes from a streaming source, one by one; bytes that are no UTF-8 become replacement characters."""
+    frames = chunk_stream(spark, sf).select("stream_id", "seq", F.concat(F.encode("chunk", "UTF-8"), F.lit(bytearray(b"\xff"))).alias("bytes"))
+    return S.collected(adapters.decoded(frames, "bytes", "frame"), "src-http")
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,14 +173,49 @@ def audit_stream(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.concat(F.lit("evt_"), F.col("event_id")).alias("id"), "event_type", F.col("props").alias("data"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-for _name in ("st_audit_sink", "snk_audit_jsonl", "snk_async_writer"):
+AUDIT_LINE = "id string, event_type string, data string, ts timestamp"
+
+
+@query("st_audit_sink", "SELECT 'evt_' || event_id AS id, event_type, props AS data FROM events")
+def st_audit_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Events appended as JSON lines by day by a stream with a checkpoint, then scanned."""
+    path = S.work_dir(spark, "audit-jsonl")
+    S.audit_sink(audit_stream(spark, sf), path, "st_audit_sink")
+    return A.scan_jsonl(spark, path, AUDIT_LINE).select("id", "event_type", "data")
+
+
+@query("snk_audit_jsonl", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL")
+def snk_audit_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON lines in folders of a day, as a batch writes them: what each folder holds."""
+    path = S.work_dir(spark, "audit-days")
+    events = X.table(spark, sf, "events").select("event_id", "event_type", F.col("props").alias("data"), F.col("ts").cast("timestamp").alias("ts"))
+    events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).repartition("day").write.partitionBy("day").json(path)
+    rows = spark.read.schema("event_id bigint, event_type string, data string, ts timestamp, day string").json(path)
+    return rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+
+
+@query("snk_async_writer", "SELECT count(*) AS n_events, count(*) AS n_ids FROM events")
+def snk_async_writer(spark: SparkSession, sf: str) -> DataFrame:
+    """The writer stopped and started again over the same checkpoint: every event is there, and once."""
+    path, state = S.work_dir(spark, "audit-restarted"), S.work_dir(spark, "audit-state")
+    for _ in range(2):
+        S.audit_sink(audit_stream(spark, sf), path, state=state)
+    return A.scan_jsonl(spark, path, AUDIT_LINE).agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("id").alias("n_ids"))
+
+
+_LINE = "length('{\"id\":\"evt_' || event_id || '\",\"event_type\":\"' || event_type || '\"}') + 1"
+
 
-    @query(_name, "SELECT 'evt_' || event_id AS id, event_type, props AS data FROM events")
-    def st_audit_sink(spark: SparkSession, sf: str, name: str = _name) -> DataFrame:
-        """Events appended as JSON lines by day by a stream with a checkpoint, then scanned."""
-        path = S.work_dir(spark, "audit-jsonl")
-        S.audit_sink(audit_stream(spark, sf), path, name)
-        return A.scan_jsonl(spark, path, "id string, event_type string, data string, ts timestamp").select("id", "event_type", "data")
+@query("snk_rotate", f"""WITH l AS (SELECT event_id, ts, {_LINE} AS size FROM events),
+f AS (SELECT strftime(ts, '%Y-%m-%d') AS day, size, coalesce(sum(size) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000 AS file FROM l)
+SELECT day, file::BIGINT AS file, count(*) AS n, sum(size)::BIGINT AS bytes FROM f GROUP BY ALL""")
+def snk_rotate(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit files of a day, each of about 4000 bytes: what they hold."""
+    path = S.work_dir(spark, "audit-rotated")
+    events = X.table(spark, sf, "events").select(F.concat(F.lit("evt_"), F.col("event_id")).alias("id"), "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    A.store_rotated(events, path, 4000, "event_id", columns=("id", "event_type"))
+    rows = spark.read.schema("value string, event_date date, file bigint").text(path)
+    return rows.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("day"), "file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value") + 1).cast("long").alias("bytes"))
 
 
 @query("st_snapshot", X.sql("requests", "SELECT action, count(*) AS n, round(sum(latency_ms), 3) AS latency_ms FROM requests GROUP BY action"))

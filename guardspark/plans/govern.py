@@ -101,9 +101,10 @@ def pol_eval_text(spark: SparkSession, sf: str) -> DataFrame:
 @query("pol_eval_tokens", X.sql("texts", f"SELECT text_id, {O.rx('text', '(?i)SYSTEM|you are')} AS fired FROM texts"))
 def pol_eval_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Texts cut into tokens of five characters and judged as tokens."""
-    tokens = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(5)), lambda i: F.struct(F.substring(F.col("text"), i, F.lit(5)).alias("text")))
-    fired = R.evaluate_tokens([Policy("p", (rule("r", LOOSE, Action("redact")),))], tokens)
-    return X.texts(spark, sf).select("text_id", (F.size(fired) > 0).alias("fired"))
+    tokens = F.transform(F.regexp_extract_all("text", F.lit("(?s).{1,5}"), F.lit(0)), lambda t: F.struct(t.alias("text")))
+    df = X.texts(spark, sf).select("text_id", tokens.alias("tokens"))
+    df = R.with_token_evaluation(df, [Policy("p", (rule("r", LOOSE, Action("redact")),))], "tokens", None, "fired")
+    return df.select("text_id", (F.size("fired") > 0).alias("fired"))
 
 
 @query("pol_enabled", policy_sql("false AS disabled_fired"))

@@ -82,9 +82,36 @@ def aud_http(spark: SparkSession, sf: str) -> DataFrame:
     return A.served(X.audit_events(spark, sf))
 
 
-@query("aud_event", X.sql("audit", "SELECT id, event_type, severity, chain, seq FROM audit"))
+@query("aud_event", """SELECT event_id, 'req-' || user_id AS request_id, 'ingress' AS phase, CASE WHEN event_id % 2 = 0 THEN 's-' || user_id END AS session_id, 'm1' AS model, 'login.' || event_type AS event_type, 'high' AS severity,
+  props AS data, sha256('10.0.0.' || (event_id % 9)) AS source_ip_hash, 'evt_' || sha256('req-' || user_id || '|' || CASE WHEN event_id % 2 = 0 THEN 's-' || user_id ELSE '' END || '|login.' || event_type || '|' || props || '||high|' || sha256('10.0.0.' || (event_id % 9)) || '||m1|ingress|' || epoch_us(ts))[1:32] AS id FROM events""")
 def aud_event(spark: SparkSession, sf: str) -> DataFrame:
-    return X.audit_events(spark, sf).select("id", "event_type", "severity", "chain", "seq")
+    """Ad-hoc events built from a request's context."""
+    e = X.table(spark, sf, "events")
+    user = F.col("user_id")
+    c = A.RequestContext(F.concat(F.lit("req-"), user), "ingress").with_(model="m1", session_id=F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("s-"), user)), source_ip=F.concat(F.lit("10.0.0."), F.col("event_id") % 9))
+    made = A.event(F.concat(F.lit("login."), F.col("event_type")), F.col("ts").cast("timestamp"), c, "high", F.col("props"))
+    return e.select("event_id", made.alias("e")).select("event_id", *[f"e.{f}" for f in ("request_id", "phase", "session_id", "model", "event_type", "severity", "data", "source_ip_hash", "id")])
+
+
+_TRAIL = "id string, event_type string, severity string, phase string, ts timestamp"
+
+
+@query("aud_facade", X.sql("audit", f"SELECT (SELECT count(*) FROM audit WHERE {_ALL}) AS n, (SELECT count(*) FROM audit) AS n_events, (SELECT min(id) FROM (SELECT id FROM audit WHERE {_ALL} ORDER BY ts, id LIMIT 5)) AS first"))
+def aud_facade(spark: SparkSession, sf: str) -> DataFrame:
+    """Events recorded in two batches through the trail, then counted and queried."""
+    trail, events = A.Trail(spark, work_dir(spark, "trail"), _TRAIL), X.audit_events(spark, sf).select("id", "event_type", "severity", "phase", "ts")
+    trail.record(events.where("severity = 'info'"))
+    trail.record(events.where("severity <> 'info'"))
+    trail.flush()
+    page = trail.query(ALL.with_(limit=5), "ts", "id").agg(F.min("id").alias("first"))
+    return page.select(F.lit(trail.count(ALL)).cast("long").alias("n"), F.lit(trail.events().count()).cast("long").alias("n_events"), "first")
+
+
+@query("aud_mem_trail", X.sql("audit", "SELECT event_type, count(*) AS n FROM audit WHERE severity IN ('high', 'critical') GROUP BY event_type"))
+def aud_mem_trail(spark: SparkSession, sf: str) -> DataFrame:
+    events = X.audit_events(spark, sf).select("id", "event_type", "severity", "phase", "ts")
+    trail = A.MemoryTrail(spark, _TRAIL).add(events.where("severity = 'high'")).add(events.where("severity = 'critical'"))
+    return trail.events().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("aud_verify", X.sql("audit", "SELECT chain, count(*) AS n_events, chain <> '2024-01-03' AND chain <> '2024-01-04' AS valid FROM audit GROUP BY chain"))
@@ -113,10 +140,14 @@ query("jn_audit_ctx", policy_sql("1").split("SELECT text_id, 1")[0] + f"""SELECT
 )
 
 
-@query("id_gen", "SELECT doc_id AS text_id, true AS well_formed FROM documents")
+_MD5 = "md5(doc_id::VARCHAR)"
+
+
+@query("id_gen", f"SELECT doc_id AS text_id, 'req_' || {_MD5}[1:8] || '-' || {_MD5}[9:12] || '-' || {_MD5}[13:16] || '-' || {_MD5}[17:20] || '-' || {_MD5}[21:32] AS named, true AS drawn_well FROM documents")
 def id_gen(spark: SparkSession, sf: str) -> DataFrame:
-    made = F.concat(F.lit("req_"), F.uuid())
-    return X.texts(spark, sf).select("text_id", made.rlike("^req_[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("well_formed"))
+    """Request ids that repeat for a name, and drawn ones."""
+    form = "^req_[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+    return X.texts(spark, sf).select("text_id", A.request_id(F.col("text_id")).alias("named"), A.request_id().rlike(form).alias("drawn_well"))
 
 
 @query("src_audit_scan", X.sql("audit", "SELECT id, event_type, severity, phase FROM audit"))

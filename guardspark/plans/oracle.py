@@ -58,3 +58,42 @@ def sequence(t: str) -> str:
 
 #: Scores of the five classifiers for every text of ``guard``.
 SCORED = f"""scored AS (SELECT text_id, text, {tox('text')} AS tox, {sent('text')} AS sent, {pii('text')} AS pii, {inj('text')} AS inj, {adv('text')} AS adv FROM guard)"""
+
+
+def drawn(key: str, seed: int, n: int) -> str:
+    return f"(('0x' || md5({key} || ':{seed}')[1:12])::BIGINT % {n})"
+
+
+def between(key: str, seed: int, low: int, high: int) -> str:
+    return f"({drawn(key, seed, high - low)} + {low})"
+
+
+def pick(values: list[str], key: str, seed: int) -> str:
+    return f"({listed(values)})[({drawn(key, seed, len(values))} + 1)::INT]"
+
+
+def fake(kind: str, key: str, seed: int = 0) -> str:
+    from guardspark.sources import datagen as G
+
+    n = lambda k, a, b: between(key, seed * 100 + k, a, b)
+    some = lambda values, k: pick(values, key, seed * 100 + k)
+    return {
+        "ssn": f"format('{{:03d}}-{{:02d}}-{{:04d}}', {n(1, 100, 999)}, {n(2, 10, 99)}, {n(3, 1000, 9999)})",
+        "credit_card": f"format('{{:04d}} {{:04d}} {{:04d}} {{:04d}}', {n(1, 4000, 4999)}, {n(2, 1000, 9999)}, {n(3, 1000, 9999)}, {n(4, 1000, 9999)})",
+        "email": f"{some(G.NAMES, 1)} || '@' || {some(G.DOMAINS, 2)}",
+        "phone": f"format('({{:03d}}) {{:03d}}-{{:04d}}', {n(1, 200, 999)}, {n(2, 200, 999)}, {n(3, 1000, 9999)})",
+        "address": f"{n(1, 100, 9999)} || ' ' || {some(G.STREETS, 2)} || ', ' || {some(G.CITIES, 3)} || ', CA ' || {n(4, 90000, 99999)}",
+        "name": f"{some(G.FIRST, 1)} || ' ' || {some(G.LAST, 2)}",
+    }[kind]
+
+
+def planted(text: str, kind: str, key: str, probability: float, seed: int) -> str:
+    from guardspark.sources import datagen as G
+
+    if kind == "pii":
+        phrase = f"{literal(G.PII_LEAD['ssn'])} || {fake('ssn', key, seed)} || '.'"
+    else:
+        phrase = pick({"toxicity": G.TOXICITY["moderate"], "injection": G.INJECTIONS, "financial": G.ADVICE}[kind], key, seed + 1)
+    after = f"concat_ws(' ', {text}, {phrase})"
+    out = f"CASE WHEN {drawn(key, seed + 2, 2)} = 0 THEN concat_ws(' ', {phrase}, {text}) ELSE {after} END" if kind == "injection" else after
+    return f"CASE WHEN {drawn(key, seed + 3, 1_000_000)} < {int(probability * 1_000_000)} THEN {out} ELSE {text} END"

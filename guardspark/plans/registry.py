@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from guardspark.plans import classify, flow, govern, ledger, wire  # noqa: F401
+from guardspark.plans import classify, extend, flow, govern, ledger, wire  # noqa: F401
 from guardspark.plans.catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

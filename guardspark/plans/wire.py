@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardspark.plans import fixtures as X
+from guardspark.plans import oracle as O
 from guardspark.plans.catalog import query
 from guardspark.sources import adapters as D
 from guardspark.sources import datagen as G
@@ -96,38 +97,58 @@ _ROUTE = "CASE WHEN " + " OR ".join(f"contains(lower(prompt), '{w}')" for w in G
 _PROMPTS = [p for ps in G.PROMPTS.values() for _, p in ps]
 
 
-@query("gen_mock_llm", f"WITH p AS (SELECT event_id, ({X.listed(_PROMPTS)})[(event_id % {len(_PROMPTS)} + 1)::INT] AS prompt FROM events) SELECT event_id, {_ROUTE} AS route FROM p")
-def gen_mock_llm(spark: SparkSession, sf: str) -> DataFrame:
+def answer_sql(key: str) -> str:
+    return "CASE route " + " ".join(f"WHEN '{name}' THEN {O.pick(texts, key, 11)}" for name, texts in G.ANSWERS.items()) + f" END || {O.pick(G.TAILS, key, 12)}"
+
+
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
     prompt = F.get(F.array(*map(F.lit, _PROMPTS)), (F.col("event_id") % len(_PROMPTS)).cast("int"))
-    return X.table(spark, sf, "events").select("event_id", G.route(prompt).alias("route"))
+    return X.table(spark, sf, "events").select("event_id", prompt.alias("prompt"))
+
+
+_ANSWERED = f"""WITH p AS (SELECT event_id, ({X.listed(_PROMPTS)})[(event_id % {len(_PROMPTS)} + 1)::INT] AS prompt FROM events), q AS (SELECT event_id, {_ROUTE} AS route FROM p),
+a AS (SELECT event_id, route, {answer_sql('event_id')} AS content, {O.between('event_id', 13, 50, 500)}::INT AS tokens_used FROM q)"""
+
+
+@query("gen_mock_llm", f"{_ANSWERED} SELECT event_id, route, content, 'stop' AS finish_reason, tokens_used FROM a")
+def gen_mock_llm(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts(spark, sf).withColumn("a", G.completion(F.col("prompt"), F.col("event_id"))).select("event_id", G.route(F.col("prompt")).alias("route"), "a.*")
 
 
-@query("gen_traffic")
+@query("gen_mock_stream", f"""{_ANSWERED}, w AS (SELECT event_id, string_split(content, ' ') AS w FROM a), g AS (SELECT event_id, w, unnest(range(0, len(w), 3)) AS i FROM w)
+SELECT event_id, (i // 3)::INT AS seq, array_to_string(w[i + 1:i + 3], ' ') || ' ' AS chunk, CASE WHEN i + 3 >= len(w) THEN 'stop' END AS finish_reason FROM g""")
+def gen_mock_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The mock answers as chunks of three words, the last with the reason."""
+    answers = prompts(spark, sf).select("event_id", G.answer(F.col("prompt"), F.col("event_id")).alias("text"))
+    last = F.floor((F.size(G.words_of(F.col("text"))) - 1) / 3)
+    chunks = G.chunked(answers.withColumn("last", last), "text")
+    return chunks.select("event_id", "seq", "chunk", F.when(F.col("seq") == F.col("last"), "stop").alias("finish_reason"))
+
+
+_TEMPLATES = [(c, k, s, p) for c, ps in G.PROMPTS.items() for k, (s, p) in enumerate(ps)]
+_TRAFFIC = f"""WITH t(category, k, system, prompt) AS (VALUES {", ".join(f"({X.literal(c)}, {k}, {X.literal(s)}, {X.literal(p)})" for c, k, s, p in _TEMPLATES)}),
+r AS (SELECT id, {O.pick(list(G.PROMPTS), 'id', 3)} AS category, {O.drawn('id', 4, 2**31 - 1)} AS d FROM (SELECT unnest(range(2000)) AS id)),
+s AS (SELECT category, count(*) AS n FROM t GROUP BY category)
+SELECT id, r.category, 'gpt-4' AS model, system, prompt FROM r JOIN s USING (category) JOIN t ON t.category = r.category AND t.k = r.d % s.n"""
+
+
+@query("gen_traffic", _TRAFFIC)
 def gen_traffic(spark: SparkSession, sf: str) -> DataFrame:
     return G.traffic(spark, 2000, seed=3)
 
 
-def planted(kind: str, **options) -> None:
-    @query(f"gen_inject_{kind}")
+def planted(kind: str) -> None:
+    @query(f"gen_inject_{kind}", X.sql("texts", f", p AS (SELECT text_id, text AS old, {O.planted('text', kind, 'text_id', 0.5, 9)} AS text FROM texts) SELECT text_id, text, text <> old AS planted FROM p"))
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        text = G.planted(F.col("text"), kind, F.col("text_id"), 0.5, 9, **options)
-        return X.texts(spark, sf).select("text_id", text.alias("text"), (text != F.col("text")).alias("planted"))
+        text = G.planted(F.col("text"), kind, F.col("text_id"), 0.5, 9)
+        return X.texts(spark, sf).select("text_id", "text", text.alias("new")).select("text_id", F.col("new").alias("text"), (F.col("new") != F.col("text")).alias("planted"))
 
 
 for _kind in ("pii", "toxicity", "injection", "financial"):
     planted(_kind)
 
-_FAKE = {
-    "ssn": r"^\d{3}-\d{2}-\d{4}$", "cc": r"^4\d{3}( \d{4}){3}$", "email": r"^[a-z]+\.[a-z]+@[a-z]+\.(com|net|org|io)$", "phone": r"^\(\d{3}\) \d{3}-\d{4}$",
-    "address": r"^\d+ \w+ \w+, \w+, CA \d{5}$", "name": r"^\w+ \w+$",
-}
-
-
-def fake_column(kind: str) -> Column:
-    return G.fake("credit_card" if kind == "cc" else kind, F.col("event_id"), 4)
-
-
-for _kind, _form in _FAKE.items():
-    query(f"gen_fake_{_kind}", "SELECT event_id, true AS well_formed FROM events")(
-        lambda spark, sf, k=_kind, f=_form: X.table(spark, sf, "events").select("event_id", fake_column(k).rlike(f).alias("well_formed"))
+for _kind in ("ssn", "cc", "email", "phone", "address", "name"):
+    _name = "credit_card" if _kind == "cc" else _kind
+    query(f"gen_fake_{_kind}", f"SELECT event_id, {O.fake(_name, 'event_id', 4)} AS value FROM events")(
+        lambda spark, sf, k=_name: X.table(spark, sf, "events").select("event_id", G.fake(k, F.col("event_id"), 4).alias("value"))
     )

@@ -46,6 +46,11 @@ def text_at(json: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(leaf) == "STRING", F.get_json_object(json, json_path(path)))
 
 
+def decoded(frames: DataFrame, column: str, into: str) -> DataFrame:
+    """Frames of bytes as text; what is no UTF-8 becomes a replacement character."""
+    return frames.withColumn(into, F.make_valid_utf8(F.col(column).cast("string"))).drop(column)
+
+
 def lines(frame: Column) -> Column:
     return F.filter(F.transform(F.split(frame, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 

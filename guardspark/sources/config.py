@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 import yaml
 
+from guardspark.errors import ConfigError
+
 log = logging.getLogger(__name__)
 #: Largest configuration file that is read.
 MAX_CONFIG_BYTES = 1_048_576
@@ -18,10 +20,6 @@ POSITIONS = ("before", "after", "replace")
 PARAMETERS = ("temperature", "top_p", "top_k", "repetition_penalty")
 
 
-class ConfigError(ValueError):
-    """A configuration that can't be read."""
-
-
 @dataclass(frozen=True)
 class Trigger:
     """One of pattern, classifier, context or composite."""
@@ -149,6 +147,15 @@ class ModelConfig:
     quantization: str = "int8_dynamic"
     labels: list[str] = field(default_factory=list)
 
+    @property
+    def accelerator(self) -> tuple[str, int]:
+        """Device and its number: ``cuda:1`` is (cuda, 1), ``cpu`` (cpu, 0)."""
+        kind, _, number = self.device.partition(":")
+        return kind, int(number or 0)
+
+    def with_(self, **changes) -> ModelConfig:
+        return replace(self, **changes)
+
 
 @dataclass
 class ClassifierConfig:
@@ -185,7 +192,8 @@ def load_models(text: str) -> dict[str, ModelConfig]:
         source = m.get("source") or {}
         out[name] = ModelConfig(
             name, source, m.get("architecture") or {}, source.get("revision", "main"), inference.get("device", "cpu"), inference.get("max_length", 512),
-            inference.get("batch_size", 1), inference.get("threshold", 0.5), (m.get("architecture") or {}).get("pooling", "mean"), labels=output.get("labels") or [],
+            inference.get("batch_size", 1), inference.get("threshold", 0.5), (m.get("architecture") or {}).get("pooling", "mean"),
+            inference.get("quantization", "int8_dynamic"), output.get("labels") or [],
         )
     return out
 
@@ -232,6 +240,34 @@ class ServiceConfig:
         return cls(**{**found, "tenants": tenants, **{k: v for k, v in overrides.items() if v is not None}})
 
 
+@dataclass(frozen=True)
+class AuditConfig:
+    """Settings of the audit store with their defaults."""
+
+    max_file_bytes: int = 100 * 1024 * 1024
+    max_file_seconds: int = 86_400
+    retention_days: int = 90
+    flush_seconds: int = 10
+
+
+@dataclass
+class DemoConfig:
+    """Settings of synthetic traffic: what is planted, for which share of requests."""
+
+    requests_per_second: float = 1.0
+    pii: float = 0.0
+    toxicity: float = 0.0
+    injection: float = 0.0
+    financial: float = 0.0
+
+    def with_(self, **changes: float) -> DemoConfig:
+        out = replace(self, **changes)
+        for kind in ("pii", "toxicity", "injection", "financial"):
+            if not 0 <= getattr(out, kind) <= 1:
+                raise ConfigError(f"{kind} is no share: {getattr(out, kind)}")
+        return out
+
+
 def discover_models(folder: str | Path) -> list[Path]:
     """Model files of a folder."""
     return sorted(p for p in Path(folder).glob("*") if p.suffix in MODEL_SUFFIXES)

@@ -26,13 +26,15 @@ def timeout(idle_ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
-
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, a temporary one where none is set."""
+    """A new folder below the shared checkpoint folder, a temporary one where none is set and the master is this machine."""
+    import re
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="guardspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -167,9 +169,9 @@ def to_batches(stream: DataFrame, put: Callable[[DataFrame, int], None], name: s
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
 
-def audit_sink(events: DataFrame, path: str, name: str = "audit") -> None:
-    """Append a stream of audit events to JSON-lines files, one folder a day, exactly once."""
-    base = work_dir(events.sparkSession, name)
+def audit_sink(events: DataFrame, path: str, name: str = "audit", state: str | None = None) -> None:
+    """Append a stream of audit events to JSON-lines files, one folder a day, exactly once; ``state`` is the folder of a run to go on with."""
+    base = state or work_dir(events.sparkSession, name)
     q = events.withColumn("event_date", F.to_date("ts")).writeStream.outputMode("append").format("json").partitionBy("event_date")
     q.option("checkpointLocation", f"{base}/checkpoint").option("path", path).trigger(availableNow=True).start().awaitTermination()
 

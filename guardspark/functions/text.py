@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -100,11 +101,18 @@ def first_span(text: Column, pattern: str) -> Column:
     return F.when(hit.isNotNull(), F.struct(start.cast("int").alias("start"), (start + F.octet_length(hit)).cast("int").alias("end")))
 
 
-def all_spans(text: Column, pattern: str) -> Column:
-    """Byte offsets of all matches: gaps and matches alternate, so offsets are running sums of lengths."""
-    # One array of both, so that the text is read once and not again at each step.
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def all_spans(text: Column, pattern: str, block: int = 128) -> Column:
+    """Byte offsets of all matches: gaps and matches alternate, so offsets are running sums of lengths.
+
+    Sums run inside blocks and over blocks, as an array that grows by one would be copied at each step.
+    """
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches(text, pattern).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(acc: Column, piece: Column) -> Column:
         a = acc["at"] + F.octet_length(piece["gap"])
@@ -112,7 +120,16 @@ def all_spans(text: Column, pattern: str) -> Column:
         span = F.array(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))
         return F.when(piece["hit"].isNull(), acc).otherwise(F.struct(b.cast("int").alias("at"), F.concat(acc["spans"], span).alias("spans")))
 
-    return F.aggregate(pieces, start, step)["spans"]
+    def blocks(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(p) - 1, F.lit(block)), lambda i: F.aggregate(F.slice(p, i + 1, F.lit(block)), nothing, step))
+
+    def glued(b: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        more = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+        shift = lambda x, s: F.transform(x["spans"], lambda p: F.struct((p["start"] + s).alias("start"), (p["end"] + s).alias("end")))
+        return F.flatten(F.zip_with(b, F.aggregate(b, begin, more)["starts"], shift))
+
+    return bound(bound(pieces, blocks), glued).cast(SPAN)
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

@@ -66,11 +66,27 @@ def percentiles(requests: DataFrame, points: tuple[float, ...] = (50.0, 95.0, 99
     return ranked.agg(*[F.coalesce(F.max(F.when(F.col("_r") == F.round(F.lit(p / 100) * (F.col("_n") - 1)), F.col(column))), F.lit(0.0)).alias(f"p{p:g}") for p in points])
 
 
-def exact_percentiles(rows: DataFrame, group: str, column: str, points: tuple[float, ...]) -> DataFrame:
-    """The same by group over all rows, one shuffle."""
-    w = W.partitionBy(group)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(column)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.groupBy(group).agg(*[F.max(F.when(F.col("_r") == F.round(F.lit(p / 100) * (F.col("_n") - 1)), F.col(column))).alias(f"p{p:g}") for p in points])
+def exact_percentiles(rows: DataFrame, group: str, column: str, points: tuple[float, ...], bins: int = 4096) -> DataFrame:
+    """The same by group over all rows with a value.
+
+    A group's span is cut into ``bins``, whose counts say which bin holds each rank; only values of those bins are sorted, counted by
+    value first. So no task sorts a whole group, however few groups there are.
+    """
+    rows = rows.where(F.col(column).isNotNull()).select(group, F.col(column).alias("_v"))
+    span = rows.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0)
+    binned = rows.join(span, group).withColumn("_b", place.cast("int"))
+    counts = binned.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.array(*[F.struct(F.lit(f"p{p:g}").alias("_p"), F.round(F.lit(p / 100) * (F.col("_n") - 1)).alias("_r")) for p in points])
+    wanted = counts.withColumn("_before", before).withColumn("_t", F.filter(ranks, lambda t: (t["_r"] >= F.col("_before")) & (t["_r"] < F.col("_before") + F.col("_c"))))
+    wanted = wanted.where(F.size("_t") > 0).select(group, "_b", "_before", "_t")
+    inside = binned.join(wanted.select(group, "_b"), [group, "_b"], "left_semi").groupBy(group, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(group, "_b").orderBy("_v"))
+    found = inside.withColumn("_end", upto).join(wanted, [group, "_b"]).withColumn("_t", F.explode("_t"))
+    at = F.col("_t._r") - F.col("_before")
+    found = found.where((at < F.col("_end")) & (at >= F.col("_end") - F.col("_c")))
+    return found.groupBy(group).agg(*[F.max(F.when(F.col("_t._p") == f"p{p:g}", F.col("_v"))).alias(f"p{p:g}") for p in points])
 
 
 def issue_counts(requests: DataFrame) -> DataFrame:

@@ -170,3 +170,96 @@ def test_export_of_everything(spark, tmp_path, form):
     assert len(lines(event, whole.with_(limit=7))[2]) == {"csv": 8, "jsonl": 7, "json": 9}[form]
     assert lines(event, whole.with_(offset=n - 2))[0] == 2
     assert lines(event.where("false"), whole)[2] == {"csv": [audit.CSV_HEADER], "jsonl": [], "json": ["[", "]"]}[form]
+
+
+@pytest.mark.parametrize("name", ["ph_ingress", "pol_default", "pol_consumer_duty", "clf_injection", "clf_advice", "clf_pii", "dem_eval", "dem_request", "jn_scores", "aud_from_policy", "jn_audit_ctx", "pl_advanced_safety", "act_merge", "ph_stream_egress"])
+def test_plans_match_each_pattern_a_few_times_only(spark, name):
+    """No generator or field puts the classifiers into a plan again and again."""
+    import re
+
+    from guardspark.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("RLIKE|regexp_", plan)) <= 100 and len(plan) < 80_000
+
+
+def test_literals_that_patterns_need():
+    from guardspark.functions.text import needed
+
+    assert needed("(ignore|disregard).*(above)") == ["above"] and needed(r"\b\d{16}\b") is None and needed("a?bc") is None
+    assert needed("great|wonderful") == ["great", "wonderful"] and needed("(fee|charge)?") is None and needed("SYSTEM|x+") is None
+
+
+def test_patterns_behind_literals(spark):
+    """The cheap search in front changes no match, in any case."""
+    from guardspark.functions import text
+
+    words = ["Ignore it, then ABOVE", "\u017fystem here", "SYSTEM", "nothing", "you ARE", "", None, "disregard\nabove", "forget the previous"]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    for pattern in ("(ignore|disregard|forget).*(previous|above)", "SYSTEM|you are"):
+        r = df.select(text.first_if_any(F.col("t"), pattern, "(?iu)").alias("a"), text.first(F.col("t"), "(?iu)" + pattern).alias("b")).collect()
+        assert [x.a for x in r] == [x.b for x in r]
+
+
+def test_spans_and_chunks_grow_with_the_text(spark):
+    """Twice the words take about twice the time, not four times."""
+    import time
+
+    def took(f, n):
+        f(n)
+        start = time.time()
+        f(n)
+        return time.time() - start
+
+    def chunk(n):
+        assert datagen.chunked(spark.createDataFrame([("word " * n,)], "text string"), "text").count() == -(-n // 3)
+
+    def spans(n):
+        assert len(results(spark, classifiers.Pattern("p", [("x", "idiot")]), ["an idiot, é " * n])[0].spans) == n
+
+    assert took(chunk, 60_000) < 5 and took(spans, 8_000) < 5
+
+
+def test_registry_loads_once_and_names_what_is_missing():
+    from guardspark.errors import ClassifierError
+    from guardspark.operators.registry import Registry
+
+    class Counting:
+        loads = 0
+
+        def load(self, name):
+            if name != "a":
+                raise ClassifierError(f"no {name}")
+            self.loads += 1
+            return classifiers.Noop(name)
+
+        def available(self):
+            return ["a"]
+
+    loader = Counting()
+    known = Registry(loader)
+    assert loader.loads == 0 and known["a"] is known["a"] and loader.loads == 1 and known.available() == ["a"] and known["pii"].name == "pii_detector"
+    with pytest.raises(ClassifierError, match="no b"):
+        known["b"]
+    with pytest.raises(ClassifierError, match="pipeline 'p' needs classifier 'b'"):
+        pipelines.from_config("p", {"stages": [{"type": "single", "name": "s", "classifier": "b"}]}, known, strict=True)
+    assert Registry(loader, preload=("a",)) and loader.loads == 2
+
+
+def test_exact_percentiles(spark):
+    import random
+
+    draw = random.Random(1)
+    rows = [(g, draw.choice([1.0, 2.0, draw.random() * 100])) for g in "ab" for _ in range(500)] + [("c", 5.0), ("d", None), ("e", 1.0), ("e", 9.0)]
+    got = {r.g: (r.p50, r.p95) for r in metrics.exact_percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", (50.0, 95.0), bins=7).collect()}
+    half_up = lambda x: int(x + 0.5)
+    for g in "abce":
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == (v[half_up(0.5 * (len(v) - 1))], v[half_up(0.95 * (len(v) - 1))])
+    assert "d" not in got
+
+
+def test_rotation_and_restart(spark, tmp_path):
+    events = spark.range(50).select(F.col("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 30).alias("ts"))
+    rows = audit.rotated(events, F.lit(10), 100, "id").orderBy("id").collect()
+    assert [r.file for r in rows] == [r.id // 10 for r in rows]

@@ -53,7 +53,7 @@ from .simhash import WordHashes, finish
 SHINGLE = 5
 BUCKETS = 128
 MANTISSA = 10
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 PROBES = 256
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 

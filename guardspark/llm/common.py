@@ -167,12 +167,12 @@ def agreed(texts: DataFrame, groups: DataFrame, key: str, at: str, place: str, m
     """``key`` of the ``groups`` (``key``, ``at``: the place of a group's first text) whose texts are all the text at that place.
 
     ``texts`` has ``key``, ``place`` and ``text``, and only texts of ``groups`` are compared: whole, as the least, the greatest and the
-    one at the place, combined before they are dealt. Up to ``most`` groups are broadcast (their number is counted first); more
-    meet the texts by key.
+    one at the place, combined before they are dealt. Up to ``most`` groups (their number is counted first) are broadcast
+    as two 64-bit hashes; more meet the texts by those. Hashes that meet by chance only compare a text too many.
     """
-    few = groups.select(key, at)
+    few = groups.select(F.xxhash64(key).alias("_k"), F.xxhash64(at).alias("_p"))
     few = F.broadcast(few) if few.count() <= most else few
-    met = texts.join(few, key)
-    own = F.max(F.when(F.col(place) == F.col(at), F.col("text")))
+    met = texts.withColumn("_k", F.xxhash64(key)).join(few, "_k")
+    own = F.max(F.when(F.xxhash64(place) == F.col("_p"), F.col("text")))
     seen = met.groupBy(key).agg(F.min("text").alias("_a"), F.max("text").alias("_b"), own.alias("_c"))
     return seen.where((F.col("_a") == F.col("_c")) & (F.col("_b") == F.col("_c"))).select(key)

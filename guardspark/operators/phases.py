@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -83,6 +84,17 @@ def stream_egress(df: DataFrame, plan: Plan, chunk: str = "chunk", stream: str =
     return C.cutoff(df.drop("output"), "stop", chunk, stream, seq).withColumn("output", F.when(F.col("mid_redacted"), REDACTED).otherwise(F.col("output")))
 
 
+def for_tenants(df: DataFrame, plans: dict[str, Plan], phase: Callable[[DataFrame, Plan], DataFrame], tenant: str = "tenant") -> DataFrame:
+    """Each tenant's rows through ``phase`` under its own plan; rows of a tenant without one under ``default``.
+
+    The plans are side by side in one query, each a narrow projection behind a filter.
+    """
+    named = [t for t in plans if t != "default"]
+    rest = df.where(~F.coalesce(F.col(tenant).isin(named), F.lit(False)))
+    parts = [phase(rest, plans["default"]), *[phase(df.where(F.col(tenant) == t), plans[t]) for t in named]]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def blocked_response(out: Column, model: Column) -> Column:
     """status and JSON body of a refusal, with the default texts."""
     message = F.coalesce(out["stop_message"], F.concat(F.lit("Request for model '"), model, F.lit("' blocked due to safety policies.")))

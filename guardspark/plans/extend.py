@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from guardspark import errors
 from guardspark.operators import classifiers as C
 from guardspark.operators import messages as M
-from guardspark.operators import metrics, tenants
+from guardspark.operators import metrics, phases, tenants
 from guardspark.operators import pipelines as P
 from guardspark.operators import policy as R
 from guardspark.operators import registry as G
@@ -18,8 +21,8 @@ from guardspark.plans import oracle as O
 from guardspark.plans.catalog import query
 from guardspark.plans.classify import shown
 from guardspark.plans.govern import ALL, _R, listed, scored, when
-from guardspark.plans.shipped import PIPELINES
-from guardspark.sources import config
+from guardspark.plans.shipped import DEFAULT_YAML, PIPELINES, PIPELINES_YAML
+from guardspark.sources import adapters, config
 
 MODELS = """
 models:
@@ -214,3 +217,105 @@ def eng_misc(spark: SparkSession, sf: str) -> DataFrame:
     engine = R.Engine().add(ALL)
     df = engine.judge(scored(spark, sf), "text", "scores")
     return df.select("text_id", F.array_join("triggered.rule", "|").alias("rules"), F.lit(len(engine.policies)).cast("long").alias("n_policies"))
+
+
+_DEFAULT_RULES = [("pii-detection", "classifier", "redact|audit"), ("toxicity-filter", "classifier", "stop|audit"), ("prompt-injection-defense", "pattern", "log|stop"), ("sensitive-patterns", "composite", "redact|audit")]
+
+
+@query("src_yaml_policy", values([*_DEFAULT_RULES, ("skipped", "broken", "0")], "rule, trigger, actions"))
+def src_yaml_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of policies, one of them broken: the rules of those that can be read."""
+    with tempfile.TemporaryDirectory() as folder:
+        Path(folder, "a.yaml").write_text(DEFAULT_YAML)
+        Path(folder, "b.yml").write_text("name: broken")
+        loaded = config.load_policies(folder)
+    rows = [(r.name, r.trigger.type, "|".join(a.type for a in r.actions)) for p in loaded for r in p.rules]
+    return spark.createDataFrame([*rows, ("skipped", "broken", str(len(loaded) - 1))], "rule string, trigger string, actions string")
+
+
+_STAGES = [("advanced-safety", 3), ("basic-safety", 1), ("comprehensive-safety", 1), ("content-quality", 1), ("fast-triage", 1), ("weighted-analysis", 1)]
+
+
+@query("src_yaml_classifiers", values(_STAGES, "pipeline, n_stages"))
+def src_yaml_classifiers(spark: SparkSession, sf: str) -> DataFrame:
+    c = config.ClassifierConfig.from_yaml("pipelines:\n" + "".join(f"  {line}\n" for line in PIPELINES_YAML.splitlines()))
+    return spark.createDataFrame([(n, len(c.pipelines[n]["stages"])) for n in c.pipeline_names()], "pipeline string, n_stages int")
+
+
+@query("cfg_misc", values([("max_score", "basic-safety"), ("none", "advanced-safety"), ("first_positive", "fast-triage"), ("unanimous", "comprehensive-safety"), ("weighted_average", "weighted-analysis"), ("none", "content-quality")], "aggregation, pipeline"))
+def cfg_misc(spark: SparkSession, sf: str) -> DataFrame:
+    """The aggregation of each pipeline's first stage, as the configuration names it."""
+    named = lambda a: next(iter(a)) if isinstance(a, dict) else a or "none"
+    return spark.createDataFrame([(named(p["stages"][0].get("aggregation")), n) for n, p in PIPELINES.items()], "aggregation string, pipeline string")
+
+
+@query("src_config_guard", values([("large", "refused"), ("missing", "0.7"), ("overridden", "0.5"), ("read", "0.9")], "file, safety_threshold"))
+def src_config_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """A file beyond 1 MB, none at all, and one that is read, with and without an override."""
+    with tempfile.TemporaryDirectory() as folder:
+        large, good = Path(folder, "large"), Path(folder, "good")
+        large.write_text("#" * (config.MAX_CONFIG_BYTES + 1))
+        good.write_text("default: {safety_threshold: 0.9}")
+        try:
+            refused = str(config.ServiceConfig.load(large).safety_threshold)
+        except config.ConfigError:
+            refused = "refused"
+        rows = [("large", refused), ("missing", str(config.ServiceConfig.load(Path(folder, "none")).safety_threshold))]
+        rows += [("read", str(config.ServiceConfig.load(good).safety_threshold)), ("overridden", str(config.ServiceConfig.load(good, safety_threshold=0.5).safety_threshold))]
+    return spark.createDataFrame(rows, "file string, safety_threshold string")
+
+
+@query("src_discover_models", values([("a.safetensors",), ("b.pt",), ("c.pth",), ("d.bin",)], "file"))
+def src_discover_models(spark: SparkSession, sf: str) -> DataFrame:
+    with tempfile.TemporaryDirectory() as folder:
+        for name in ("a.safetensors", "b.pt", "c.pth", "d.bin", "e.txt", "f.onnx"):
+            Path(folder, name).touch()
+        return spark.createDataFrame([(p.name,) for p in config.discover_models(folder)], "file string")
+
+
+_MADE = [("cpu", 512, 0.5, "int8_dynamic"), ("cuda:1", 128, 0.8, "none")]
+
+
+@query("model_build", values(_MADE, "device, max_length, threshold, quantization").replace("SELECT *", "SELECT device, max_length, threshold::DOUBLE AS threshold, quantization"))
+def model_build(spark: SparkSession, sf: str) -> DataFrame:
+    plain = config.ModelConfig("m")
+    made = plain.with_(device="cuda:1", max_length=128).with_(threshold=0.8, quantization="none")
+    return spark.createDataFrame([(m.device, m.max_length, m.threshold, m.quantization) for m in (plain, made)], "device string, max_length int, threshold double, quantization string")
+
+
+_ADAPTERS = [("anthropic", "text/event-stream"), ("openai", "text/event-stream"), ("lined", "application/x-ndjson"), ("lines", "application/x-ndjson"), ("other", "text/event-stream")]
+
+
+@query("adapt_misc", values(_ADAPTERS, "adapter, content_type"))
+def adapt_misc(spark: SparkSession, sf: str) -> DataFrame:
+    """Names and content types; a format that is no kind of lines is one of events."""
+    made = [adapters.anthropic(), adapters.OpenAi(), adapters.Configured("lined", "ndjson"), adapters.Configured("lines", "jsonl"), adapters.Configured("other", "whatever")]
+    return spark.createDataFrame([(a.name, a.content_type) for a in made], "adapter string, content_type string")
+
+
+@query("ph_wrappers", X.sql("guard", f""", {O.SCORED} SELECT text_id, CASE text_id % 3 WHEN 0 THEN 'strict' WHEN 1 THEN 'lenient' ELSE 'nobody' END AS tenant,
+  CASE text_id % 3 WHEN 0 THEN round(greatest(tox, sent, pii), 6) > 0.9 WHEN 1 THEN round(tox, 6) > 0.5 ELSE round(greatest(tox, sent, pii), 6) > 0.7 END AS blocked FROM scored"""))
+def ph_wrappers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each tenant's rows under its own plan, an unknown tenant's under the default."""
+    basic = P.from_config("basic-safety", PIPELINES["basic-safety"])
+    plans = {
+        "default": phases.Plan(basic), "strict": phases.Plan(basic, safety_threshold=0.9, tenant="strict"),
+        "lenient": phases.Plan(P.from_config("q", {"stages": [{"type": "single", "name": "t", "classifier": "toxicity"}]}), safety_threshold=0.5, tenant="lenient"),
+    }
+    k = F.pmod(F.col("text_id"), F.lit(3))
+    df = X.guard(spark, sf).withColumn("tenant", F.when(k == 0, "strict").when(k == 1, "lenient").otherwise("nobody"))
+    return phases.for_tenants(df, plans, phases.ingress).select("text_id", "tenant", "blocked")
+
+
+@query("clf_misc", values([(n, getattr(c, "tier")) for n, c in sorted(C.built_in().items())], "classifier, tier"))
+def clf_misc(spark: SparkSession, sf: str) -> DataFrame:
+    """The tier of each built-in name, as the table of fixed values says."""
+    tiers = {"toxicity": "B", "toxicity-distilled": "B", "toxicity-gpu": "B", "toxicity-metal": "B"}
+    return spark.createDataFrame([(n, tiers.get(n, "A")) for n in C.built_in()], "classifier string, tier string")
+
+
+@query("pl_misc", values([("p", 2, "toxicity|sentiment")], "pipeline, n_stages, classifiers"))
+def pl_misc(spark: SparkSession, sf: str) -> DataFrame:
+    """What a builder says of its pipeline."""
+    p = P.Pipeline("p").single("a", C.Toxicity()).sequential("b", [("sentiment", C.Sentiment())])
+    return spark.createDataFrame([(p.name, p.stage_count, "|".join(c.name for c in p.classifiers().values()))], "pipeline string, n_stages int, classifiers string")

@@ -81,9 +81,16 @@ def needed(pattern: str) -> list[str] | None:
     return sorted(literals) if literals else None
 
 
-def first_if_any(text: Column, pattern: str, flags: str = "") -> Column:
-    """As :func:`first`, behind a cheap search for the literals that a match needs."""
+def loose(pattern: str) -> str:
+    """A pattern that finds something wherever this one does under Unicode classes, without the word borders, which are dear to test."""
+    return re.sub(r"\\[bds]", lambda m: {"\\b": "", "\\d": r"\p{Nd}", "\\s": r"\p{IsWhite_Space}"}[m[0]], pattern)
+
+
+def first_if_any(text: Column, pattern: str, flags: str = "(?U)") -> Column:
+    """As :func:`first`, behind a cheap search for the literals, or else the digits, that a match needs."""
     literals = needed(pattern)
+    if not literals and re.search(r"\\[bd]", pattern) and not re.search(r"\\[^bds.()\[\]{}?*+|^$/-]", pattern):
+        return F.when(text.rlike({"(?U)": "", "(?iuU)": "(?iu)"}[flags] + loose(pattern)), first(text, flags + pattern))
     if not literals:
         return first(text, flags + pattern)
     low = folded(text)

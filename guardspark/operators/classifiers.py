@@ -93,8 +93,8 @@ class Pii:
     name, tier = "pii_detector", "A"
 
     def base(self, text: Column) -> Base:
-        # An address needs its sign and a number its digits: most texts are done after these.
-        may = {k: text.contains("@") if k == "email" else text.rlike(r"\p{Nd}") for k, _ in L.PII}
+        # An address needs its sign and a number its digits in their order: most texts are done after these.
+        may = {k: text.contains("@") if k == "email" else text.rlike(r"\p{Nd}") & text.rlike(T.loose(p)) for k, p in L.PII}
         return {k: may[k] & text.rlike("(?U)" + p) for k, p in L.PII}
 
     def result(self, text: Column, detail: bool = True, base: Base | None = None) -> Column:

@@ -194,10 +194,10 @@ def test_patterns_behind_literals(spark):
     """The cheap search in front changes no match, in any case."""
     from guardspark.functions import text
 
-    words = ["Ignore it, then ABOVE", "\u017fystem here", "SYSTEM", "nothing", "you ARE", "", None, "disregard\nabove", "forget the previous"]
+    words = ["Ignore it, then ABOVE", "\u017fystem here", "SYSTEM", "nothing", "you ARE", "", None, "disregard\nabove", "forget the previous", "x 123-45-6789.", "a123-45-6789", "(123)\u20034567", "٣٤٥-٦٧-٨٩٠١"]
     df = spark.createDataFrame([(w,) for w in words], "t string")
-    for pattern in ("(ignore|disregard|forget).*(previous|above)", "SYSTEM|you are"):
-        r = df.select(text.first_if_any(F.col("t"), pattern, "(?iu)").alias("a"), text.first(F.col("t"), "(?iu)" + pattern).alias("b")).collect()
+    for pattern in ("(ignore|disregard|forget).*(previous|above)", "SYSTEM|you are", r"\b\d{3}-\d{2}-\d{4}\b", r"\(\d{3}\)\s?\d{4}", r"\w+\d"):
+        r = df.select(text.first_if_any(F.col("t"), pattern, "(?iuU)").alias("a"), text.first(F.col("t"), "(?iuU)" + pattern).alias("b")).collect()
         assert [x.a for x in r] == [x.b for x in r]
 
 

@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLEANUP, agreed, conf, documents, join_by_group, partitions, saved, session, shared_dir, with_text
+from .common import CLEANUP, agreed, conf, discard, documents, join_by_group, partitions, saved, session, shared_dir, with_text
 from .graph import sorted_groups
 
 WINDOW = 50
@@ -464,7 +464,9 @@ def marked(base: DataFrame, shared: DataFrame, splitters: np.ndarray, parts: int
 
     borders = compared.where("border is not null").select("border", "block", "places", "open").repartition("border").sortWithinPartitions("border")
     marks = compared.where("row is not null").select("row", "marks").unionByName(borders.mapInPandas(across, "row bigint, marks binary"))
-    return marks.groupBy("row").agg(F.collect_list("marks").alias("marks"))
+    done = saved(marks.groupBy("row").agg(F.collect_list("marks").alias("marks")), "marks")
+    discard(compared)
+    return done
 
 
 def marks_of(records: np.ndarray, where: np.ndarray, flags: np.ndarray) -> pd.DataFrame:
@@ -516,12 +518,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     groups = long.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = saved(groups.select("digest", F.col("first.doc_id").alias("first"), F.col("first.row").alias("at"), "n"), "copied")
     same = agreed(base.select("digest", "row", "text"), groups, "digest", "at", "row")
-    groups = saved(groups.join(same, "digest", "left_semi"), "copied")
-    copies = saved(join_by_group(long, groups, "digest", "n", long.count()).where("doc_id > first").select("row"), "copies")
+    confirmed = saved(groups.join(same, "digest", "left_semi"), "copied")
+    copies = saved(join_by_group(long, confirmed, "digest", "n", long.count()).where("doc_id > first").select("row"), "copies")
+    discard(long, groups, confirmed)
     work = base.where(size >= WINDOW).join(copies, "row", "left_anti")
     shared = shared_hashes(work, parts)
     shared = saved(shared, "shared")
-    marks = saved(marked(base, shared, sample_splitters(work, RANGES * parts), parts), "marks")
+    marks = marked(base, shared, sample_splitters(work, RANGES * parts), parts)
+    discard(shared)
     out = base.select("row", "doc_id", "text").join(marks, "row", "left").join(copies.withColumn("copy", F.lit(True)), "row", "left")
 
     def cut(rows: list[dict]) -> dict[str, list]:

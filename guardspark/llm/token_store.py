@@ -5,12 +5,13 @@ Documents are range-partitioned by doc_id, so every task writes one ascending ru
 =========================== ==================================================================================
 place                       content
 =========================== ==================================================================================
-``ids/part-P-seq-S.bin``    a shard's payload, raw: ids as little-endian unsigned 32-bit integers, documents back to back
+``ids/part-P-seq-S.bin``    a shard's payload, raw: ids as little-endian unsigned integers, documents back to back; they have 16 bits
+                            where the whole vocabulary fits into them, 32 otherwise
 ``shards/``                 Parquet, a row a shard: part, seq, n_docs, n_tokens; ``keys`` and ``ends``: doc_id and end (in ids) of
                             each document in order, as little-endian 64-bit integers
 ``index/bucket-B.bin``      minimal perfect hash of the keys of one bucket: number of keys and of levels, the bit array of each
                             level with its length in front, then a ``SLOT`` for each hash value
-``meta.json``               number of buckets
+``meta.json``               number of buckets, and bytes of an id
 =========================== ==================================================================================
 
 A key's bucket is a hash of it, its hash value in the bucket the rank of its bit in the first level where it was
@@ -178,6 +179,14 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, SPACES.split(text))) + self.end
 
 
+def id_bytes(path: str) -> int:
+    """Bytes that an id of the tokenizer's vocabulary takes: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    most = max([END_ID, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()])
+    return 2 if most < 1 << 16 else 4
+
+
 @cache
 def encoder_at(path: str) -> Encoder:
     """One encoder a worker."""
@@ -272,7 +281,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
         held = 0
 
         def written() -> pa.RecordBatch:
-            folder.write(ids_file(part, seq), b"".join(ids))
+            folder.write(ids_file(part, seq), np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes())
             ends = np.cumsum([len(b) // 4 for b in ids]).astype("<i8")
             row = {"part": part, "seq": seq, "n_docs": len(keys), "n_tokens": int(ends[-1]), "keys": np.array(keys, "<i8").tobytes(), "ends": ends.tobytes()}
             return pa.RecordBatch.from_pylist([row], shape)
@@ -288,14 +297,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
         if keys:
             yield written()
 
-    shape = to_arrow_schema(StructType.fromDDL(SHARDS))
+    shape, width = to_arrow_schema(StructType.fromDDL(SHARDS)), id_bytes(tokenizer)
     with conf(spark, **{CLEANUP: "true"}):
         ordered.mapInArrow(shards, SHARDS).write.parquet(f"{path}/shards")
-    write_index(spark, path)
+    buckets = write_index(spark, path)
+    Folder(path).write("meta.json", json.dumps({"buckets": buckets, "id_bytes": width}).encode())
 
 
-def write_index(spark: SparkSession, path: str) -> None:
-    """Build the index of the shards in ``path``. Of rows that repeat a key the first is named."""
+def write_index(spark: SparkSession, path: str) -> int:
+    """Build the index of the shards in ``path``; its number of buckets. Of rows that repeat a key the first is named."""
     rows = spark.read.schema(SHARDS).parquet(f"{path}/shards")
     n_docs = rows.agg(F.sum("n_docs")).first()[0] or 0
     buckets = max(1, -(-n_docs // BUCKET_KEYS))
@@ -325,7 +335,7 @@ def write_index(spark: SparkSession, path: str) -> None:
 
     with conf(spark, **{CLEANUP: "true"}):
         dealt.mapInPandas(build, "bucket bigint, n_keys bigint").write.parquet(f"{path}/buckets")
-    Folder(path).write("meta.json", json.dumps({"buckets": buckets}).encode())
+    return buckets
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -351,7 +361,8 @@ class TokenStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.folder = session(spark), path, Folder(path)
         self.shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
-        self.buckets = json.loads(self.folder.read("meta.json"))["buckets"]
+        meta = json.loads(self.folder.read("meta.json"))
+        self.buckets, self.id_bytes = meta["buckets"], meta["id_bytes"]
 
     def starts(self) -> DataFrame:
         """Per shard the number of ids before it: sums of parts, then sums inside a part."""
@@ -387,13 +398,13 @@ class TokenStore:
 
     def documents(self) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32 of every document, each found through the index and sliced from its payload file."""
-        path = self.path
+        path, width = self.path, self.id_bytes
 
         def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             folder = Folder(path)
             for pdf in batches:
                 for s in pdf.itertuples(index=False):
-                    yield rows_of(s, folder)
+                    yield rows_of(s, folder, width)
 
         rows = self.shards.select("part", "seq", "keys", "ends").join(self.placed(), ["part", "seq"], "left")
         out = rows.mapInPandas(read, "part int, seq int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
@@ -410,11 +421,11 @@ class TokenStore:
             return None
         if slot is None:
             return None
-        data = self.folder.read(ids_file(int(slot["part"]), int(slot["seq"])), 4 * int(slot["offset"]), 4 * int(slot["n"]))
-        return np.frombuffer(data, "<u4").tolist()
+        data = self.folder.read(ids_file(int(slot["part"]), int(slot["seq"])), self.id_bytes * int(slot["offset"]), self.id_bytes * int(slot["n"]))
+        return np.frombuffer(data, f"<u{self.id_bytes}").tolist()
 
 
-def rows_of(s, folder: Folder) -> pd.DataFrame:
+def rows_of(s, folder: Folder, width: int) -> pd.DataFrame:
     """A shard's documents: the first of each key where the index says, rows that repeat a key where the one before ends."""
     keys, _, ends = firsts_of(s)
     begin, n = ends[:-1].copy(), np.diff(ends)
@@ -422,7 +433,7 @@ def rows_of(s, folder: Folder) -> pd.DataFrame:
     at = np.searchsorted(begin, slots["offset"].astype(np.int64))
     if (at >= len(keys)).any() or (begin[at] != slots["offset"]).any() or (n[at] != slots["n"]).any():
         raise ValueError(f"the index and shard {s.part}, {s.seq} disagree")
-    payload = folder.read(ids_file(s.part, s.seq))
+    payload = np.frombuffer(folder.read(ids_file(s.part, s.seq)), f"<u{width}").astype("<u4").tobytes()
     crc = [zlib.crc32(payload[4 * a : 4 * (a + m)]) for a, m in zip(begin.tolist(), n.tolist(), strict=True)]
     return pd.DataFrame({"part": s.part, "seq": s.seq, "doc_id": keys, "inside": begin, "n_tokens": n, "ids_crc32": crc})
 

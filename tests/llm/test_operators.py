@@ -520,6 +520,19 @@ def test_store_of_repeats_and_null_ids(spark):
     assert got == [(0, 0, 2), (5, 2, 3), (5, 5, 3), (5, 8, 2)]
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_store_of_narrow_and_wide_ids(spark, monkeypatch, width):
+    from tokenizers import Tokenizer
+
+    path, folder, text = token_store.tokenizer_path(), shared_dir(spark, "store"), "some words, and ones at the end: zyzzyva"
+    assert token_store.id_bytes(path) == 2 and max(Tokenizer.from_file(path).get_vocab().values()) < 2**16
+    monkeypatch.setattr(token_store, "id_bytes", lambda p: width)
+    token_store.write_store(spark.createDataFrame([(1, text), (2, "x")], "doc_id bigint, text string"), folder, path)
+    store, ids = token_store.TokenStore(spark, folder), [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
+    assert store.lookup(1) == ids and store.id_bytes == width
+    assert {r.doc_id: r.ids_crc32 for r in store.documents().collect()}[1] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_store_of_a_key_over_many_shards(spark, monkeypatch):
     monkeypatch.setattr(token_store, "SHARD_IDS", 4)
     folder = shared_dir(spark, "store")

@@ -10,8 +10,8 @@ the likeness (0 if negative).
 128 bits are cut into r + 2 blocks; two fingerprints within r agree on at least two blocks, so each
 table permutes one pair of blocks to the front, and fingerprints that share a table's front are
 compared in full. Equal fingerprints are one row with their documents counted. Fronts shared by more
-than ``BLOCK_ROWS`` fingerprints are compared block against block in separate tasks. What comes out is the number of
-documents within the radius and the class that such steps join: counts and links that join, never pairs.
+than ``BLOCK_ROWS`` fingerprints are compared block against block in separate tasks. What comes out is the class that
+steps within the radius join and its size: links that join, never pairs, and what is joined isn't compared again.
 
 **The next document.** Documents are range-partitioned and sorted by doc_id; each task keeps one text
 back, so only the last text of a partition needs a text from elsewhere: the first of the next
@@ -177,87 +177,71 @@ def block_bounds(radius: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def near_marks(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of the distinct fingerprints ``mark`` (a number), ``fingerprint``, ``n_docs``: mark, near, a, b.
+def near_links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links ``a, b`` between the distinct fingerprints ``mark`` (a number), ``fingerprint``: enough of them to join all that are within ``radius``.
 
-    Rows with ``mark`` say that ``near`` more documents have a fingerprint within ``radius``; they add up. Rows with ``a`` and ``b`` are
-    links, enough of them to join all that are within ``radius``, and never the pairs of a group.
+    A group of n fingerprints gives n - 1 links at most and never its pairs; what is joined already isn't compared again.
     """
     bounds = block_bounds(radius)
-    tables = list(combinations(range(len(bounds)), 2))
     block = [F.substring("fingerprint", a + 1, b - a) for a, b in bounds]
-    fronts = F.array(*[F.struct(F.xxhash64(F.lit(t), block[x], block[y]).alias("front"), F.lit(t).alias("table")) for t, (x, y) in enumerate(tables)])
-    rows = marks.select("mark", "n_docs", F.unhex("fingerprint").alias("bits"), F.explode(fronts).alias("_f")).select("_f.front", "_f.table", "mark", "n_docs", "bits")
+    fronts = F.array(*[F.xxhash64(F.lit(t), block[x], block[y]) for t, (x, y) in enumerate(combinations(range(len(bounds)), 2))])
+    rows = marks.select("mark", F.unhex("fingerprint").alias("bits"), F.explode(fronts).alias("front"))
     shared = rows.groupBy("front").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = rows.join(shared, "front").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
     # Block pairs (i, j), i <= j: each fingerprint goes to every pair that has its block.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("front", "table", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "mark", "n_docs", "bits")
-    keys = ["front", "table", "i", "j"]
-    masks = np.array([((1 << 4 * (b - a)) - 1) << (BITS - 4 * b) for a, b in bounds], object)
-    masks = np.array([[int(m) >> 64, int(m) & (2**64 - 1)] for m in masks], np.uint64)
-    number = np.zeros((len(bounds), len(bounds)), np.int64)
-    for t, (x, y) in enumerate(tables):
-        number[x, y] = t
-
-    def first_table(differ: np.ndarray) -> np.ndarray:
-        """By pair: the first table whose front both have, from their differing bits."""
-        same = ~((differ[:, None, :] & masks[None]) != 0).any(2)
-        x = same.argmax(1)
-        same[np.arange(len(same)), x] = False
-        return number[x, same.argmax(1)]
+    rows = rows.select("front", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "mark", "bits")
+    keys = ["front", "i", "j"]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(batches, keys):
-            raw = np.frombuffer(b"".join(g["bits"]), ">u8").astype(np.uint64).reshape(-1, BITS // 64)
-            own, mark, weight = g["own"].to_numpy(), g["mark"].to_numpy(), g["n_docs"].to_numpy()
-            cross, table = g["i"].iloc[0] != g["j"].iloc[0], g["table"].iloc[0]
-            near, comp, links = np.zeros(len(g), np.int64), np.arange(len(g)), []
-            for k in range(len(raw) - 1):
-                differ = raw[k + 1 :] ^ raw[k]
-                at = np.flatnonzero(np.bitwise_count(differ).sum(1) <= radius)
-                at = at[own[at + k + 1] != own[k]] if cross else at
-                # A pair counts in one table, and in one pair of blocks.
-                at = at[first_table(differ[at]) == table] + k + 1 if len(at) else at
-                if len(at):
-                    near[k] += weight[at].sum()
-                    near[at] += weight[k]
-                    for c in np.unique(comp[at][comp[at] != comp[k]]):
-                        links.append((mark[k], mark[at[comp[at] == c][0]]))
-                        comp[comp == c] = comp[k]
-            hit = np.flatnonzero(near)
-            if len(hit):
-                none = [None] * len(hit)
-                yield pd.DataFrame({"mark": mark[hit], "near": near[hit], "a": none, "b": none}).astype("Int64")
-                if links:
-                    a, b = zip(*links, strict=True)
-                    yield pd.DataFrame({"mark": [None] * len(a), "near": [None] * len(a), "a": a, "b": b}).astype("Int64")
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(look, "mark bigint, near bigint, a bigint, b bigint")
+            raw = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(-1, BITS // 64)
+            links = joins(raw, g["own"].to_numpy(), g["i"].iloc[0] != g["j"].iloc[0], radius)
+            if links:
+                mark = g["mark"].to_numpy()
+                a, b = np.array(links).T
+                yield pd.DataFrame({"a": mark[a], "b": mark[b]})
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(look, "a bigint, b bigint").distinct()
+
+
+def joins(raw: np.ndarray, own: np.ndarray, cross: bool, radius: int) -> list[tuple[int, int]]:
+    """Pairs of rows within ``radius`` that join all such rows; across two blocks only pairs of both, if ``cross``."""
+    part, parts, links = np.arange(len(raw)), len(raw), []
+    for k in range(len(raw) - 1):
+        if parts == 1:
+            break
+        at = np.flatnonzero(part[k + 1 :] != part[k]) + k + 1
+        at = at[own[at] != own[k]] if cross else at
+        at = at[np.bitwise_count(raw[at] ^ raw[k]).sum(1) <= radius]
+        # One row of each part that is near.
+        near, first = np.unique(part[at], return_index=True)
+        if len(near):
+            links += [(k, int(x)) for x in at[first]]
+            part[np.isin(part, near)] = part[k]
+            parts -= len(near)
+    return links
 
 
 def with_classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``rows`` (doc_id and fingerprint, of a scan) with near_class and n_near.
+    """``rows`` (doc_id and fingerprint, of a scan) with near_class and class_size.
 
-    ``n_near`` is the number of other rows whose fingerprint is within ``radius``, ``near_class`` the smallest doc_id that can be
-    reached from fingerprint to fingerprint in such steps. Texts without words have a class of their own.
+    ``near_class`` is the smallest doc_id that can be reached from fingerprint to fingerprint in steps within ``radius``, ``class_size`` the
+    number of its rows. Texts without words have a class of their own.
     """
     session(rows.sparkSession)
     marks = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_docs"))
     marks = saved(marks.select(F.monotonically_increasing_id().alias("mark"), "fingerprint", "first", "n_docs"), "marks")
-    found = saved(near_marks(marks.where(F.col("fingerprint") != EMPTY), radius), "near-marks")
-    counts = found.where("mark is not null").groupBy("mark").agg(F.sum("near").alias("near"))
-    comps = components(found.where("a is not null").select("a", "b"))
+    comps = components(near_links(marks.where(F.col("fingerprint") != EMPTY), radius))
     # A class's least mark stands on the right only.
     members = comps.select(F.col("node").alias("mark"), "comp").unionByName(comps.select(F.col("comp").alias("mark"), "comp")).distinct()
-    named = members.join(marks.select("mark", "first"), "mark")
-    named = named.join(named.groupBy("comp").agg(F.min("first").alias("name")), "comp").select("mark", "name")
-    whole = marks.join(named, "mark", "left").join(counts, "mark", "left")
-    n_near = F.coalesce("near", F.lit(0)) + F.col("n_docs") - 1
-    whole = saved(whole.select("fingerprint", "n_docs", F.coalesce("name", "first").alias("near_class"), n_near.alias("n_near")), "classes")
-    discard(found, comps)
-    return join_by_group(rows, whole, "fingerprint", "n_docs", rows.count()).select(*rows.columns, "near_class", "n_near")
+    named = members.join(marks.select("mark", "first", "n_docs"), "mark")
+    named = members.join(named.groupBy("comp").agg(F.min("first").alias("name"), F.sum("n_docs").alias("size")), "comp").select("mark", "name", "size")
+    whole = marks.join(named, "mark", "left").select("fingerprint", "n_docs", F.coalesce("name", "first").alias("near_class"), F.coalesce("size", "n_docs").alias("class_size"))
+    whole = saved(whole, "classes")
+    discard(comps)
+    return join_by_group(rows, whole, "fingerprint", "n_docs", rows.count()).select(*rows.columns, "near_class", "class_size")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

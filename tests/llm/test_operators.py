@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -279,7 +280,7 @@ def test_votes_in_slices(monkeypatch):
 
 @pytest.mark.parametrize("block", [3, 4096])
 def test_block_tables_find_all_in_radius(spark, monkeypatch, block):
-    """Classes and numbers of neighbours equal those of all pairs; repeats count, texts without words stay apart."""
+    """Classes equal those of all pairs; repeats count, texts without words stay apart."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
     draw = random.Random(8)
     marks = [draw.getrandbits(128) for _ in range(40)]
@@ -303,11 +304,22 @@ def test_block_tables_find_all_in_radius(spark, monkeypatch, block):
                     top[k] = i
                     todo += near[k]
     df = spark.createDataFrame([(i, f"{m:032x}") for i, m in rows], "doc_id bigint, fingerprint string")
-    got = {r.doc_id: (r.near_class, r.n_near) for r in simhash.with_classes(df).collect()}
-    assert got == {i: (top[i], len(near[i])) for i, _ in rows}
+    got = {r.doc_id: (r.near_class, r.class_size) for r in simhash.with_classes(df).collect()}
+    assert got == {i: (top[i], sum(t == top[i] for t in top.values())) for i, _ in rows}
     assert simhash.with_classes(df.where("false")).count() == 0
 
 
+def test_a_large_family_costs_little():
+    """Rows that are joined aren't compared again; a chain joins as well."""
+    draw = np.random.Generator(np.random.PCG64(4))
+    base = draw.integers(0, 2**63, (1, 2)).astype(np.uint64)
+    family = base ^ (np.uint64(1) << draw.integers(0, 64, (8000, 2)).astype(np.uint64))
+    start = time.process_time()
+    assert len(simhash.joins(family, np.zeros(8000), False, 6)) == 7999 and time.process_time() - start < 5
+    steps = np.array([[(1 << 3 * k) - 1, 0] for k in range(20)], np.uint64)
+    assert len(simhash.joins(steps[draw.permutation(20)], np.zeros(20), False, 3)) == 19
+
+
 # 7
 
 

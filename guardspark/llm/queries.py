@@ -1,8 +1,8 @@
-"""The ten operators' queries under the names ``__spark_entry__`` registers, and their SQL."""
+"""The thirteen operators' queries under the names ``__spark_entry__`` registers, and their SQL."""
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash, mixing, quality, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_store
+from . import exact_dedup, language_id, minhash, mixing, quality, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_store, vector_codes
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8,
     "op9_mixing": mixing.op9,
     "op10_token_store": token_store.op10,
+    "op13_vector_codes": vector_codes.op13,
 }
 
 ORACLE = {
@@ -22,4 +23,5 @@ ORACLE = {
     "op7_minhash": minhash.OP7_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }

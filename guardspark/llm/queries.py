@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash, mixing, quality, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_store, vector_codes
+from . import exact_dedup, language_id, license_scan, minhash, mixing, quality, ranked_search, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_store, vector_codes
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8,
     "op9_mixing": mixing.op9,
     "op10_token_store": token_store.op10,
+    "op11_license_scan": license_scan.op11,
+    "op12_ranked_search": ranked_search.op12,
     "op13_vector_codes": vector_codes.op13,
 }
 
@@ -23,5 +25,6 @@ ORACLE = {
     "op7_minhash": minhash.OP7_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op12_ranked_search": ranked_search.OP12_SQL,
     "op13_vector_codes": vector_codes.OP13_SQL,
 }

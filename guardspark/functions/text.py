@@ -113,8 +113,8 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def all_spans(text: Column, pattern: str, block: int = 128) -> Column:
-    """Byte offsets of all matches: gaps and matches alternate, so offsets are running sums of lengths.
+def all_spans(text: Column, pattern: str, block: int = 128, length: Callable[[Column], Column] = F.octet_length) -> Column:
+    """Byte offsets (or those that ``length`` counts) of all matches: gaps and matches alternate, so offsets are running sums of lengths.
 
     Sums run inside blocks and over blocks, as an array that grows by one would be copied at each step.
     """
@@ -122,8 +122,8 @@ def all_spans(text: Column, pattern: str, block: int = 128) -> Column:
     nothing = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(acc: Column, piece: Column) -> Column:
-        a = acc["at"] + F.octet_length(piece["gap"])
-        b = a + F.octet_length(piece["hit"])
+        a = acc["at"] + length(piece["gap"])
+        b = a + length(piece["hit"])
         span = F.array(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))
         return F.when(piece["hit"].isNull(), acc).otherwise(F.struct(b.cast("int").alias("at"), F.concat(acc["spans"], span).alias("spans")))
 

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from guardspark.operators import phases
+from guardspark.operators import holdback, phases
 from guardspark.operators.context import ContextConfig
+from guardspark.operators.holdback import WINDOW, Holdback
 from guardspark.operators.phases import Plan
 
 
@@ -102,6 +103,63 @@ def holdback_stream(chunks: DataFrame, hold: int, idle_ms: int | None = None) ->
     return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, seq bigint, chunk string", "seqs array<bigint>, chunks array<string>", "append", timeout(idle_ms))
 
 
+def held_windows(tokens: DataFrame, h: Holdback, idle_ms: int | None = None) -> DataFrame:
+    """``stream_id, seq, token, done`` to the windows of ``holdback``: one each ``interval`` tokens, the final one when a stream is done or idle.
+
+    The state of a stream is its number of tokens and the last ``2 * hold + interval`` of them.
+    """
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, seqs, texts = (state.get[0], list(state.get[1]), list(state.get[2])) if state.exists else (0, [], [])
+        out = []
+
+        def check(final: bool) -> None:
+            number = -(-n // h.interval)
+            seen = min(len(seqs), n - max(0, h.oldest(number) - 1))
+            out.append((key[0], number, final, [{"k": n - seen + i + 1, "seq": s, "token": t} for i, (s, t) in enumerate(zip(seqs[-seen:], texts[-seen:], strict=True))]))
+
+        if state.hasTimedOut:
+            check(True)
+            n = 0
+        else:
+            rows = sorted((r for pdf in pdfs for r in zip(pdf["seq"], pdf["token"], pdf["done"], strict=True)), key=lambda r: r[0])
+            for seq, token, done in rows:
+                n, seqs, texts = n + 1, [*seqs, int(seq)][-h.kept :], [*texts, token or ""][-h.kept :]
+                if done or n % h.interval == 0:
+                    check(bool(done))
+                if done:
+                    n, seqs, texts = 0, [], []
+        if n:
+            state.update((n, seqs, texts))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["stream_id", "check", "final", "parts"])
+
+    return tokens.groupBy("stream_id").applyInPandasWithState(step, WINDOW, "n bigint, seqs array<bigint>, tokens array<string>", "append", timeout(idle_ms))
+
+
+def release_stream(tokens: DataFrame, h: Holdback, plan: Plan, name: str = "release") -> DataFrame:
+    """The tokens that leave by ``holdback.judge`` over all that the source has; a stream that was stopped stays silent in later batches."""
+    spark = tokens.sparkSession
+    base = work_dir(spark, name)
+    shape = "stream_id bigint, first_stop bigint"
+
+    def put(batch: DataFrame, n: int) -> None:
+        rows = holdback.judge(batch, h, plan).persist()
+        stops = rows.where("stop").groupBy("stream_id").agg(F.min("check").alias("first_stop"))
+        if n:
+            stops = stops.unionByName(spark.read.schema(shape).parquet(f"{base}/stops/n={n - 1}")).groupBy("stream_id").agg(F.min("first_stop").alias("first_stop"))
+        stops.write.mode("overwrite").parquet(f"{base}/stops/n={n}")
+        first = spark.read.schema(shape).parquet(f"{base}/stops/n={n}")
+        holdback.released(rows.join(first, "stream_id", "left")).write.mode("overwrite").parquet(f"{base}/out/n={n}")
+        rows.unpersist()
+
+    to_batches(held_windows(tokens, h), put, name, "append")
+    return spark.read.schema("stream_id bigint, seq bigint, check bigint, stopped boolean, output string").option("recursiveFileLookup", "true").parquet(f"{base}/out")
+
+
 def chain_stream(events: DataFrame) -> DataFrame:
     """Hash chain of a stream of ``chain, seq, event_type, data, ts_micros``; each chain's last hash is its state."""
     import hashlib

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from guardspark.sources.config import Policy
 
 from . import context as C
-from . import modify, policy
+from . import modify, policy, resume
 from .pipelines import Pipeline, final, score_map
 
 SAFETY, CHUNK = 0.7, 0.8
@@ -75,13 +75,20 @@ def egress(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
 def stream_egress(df: DataFrame, plan: Plan, chunk: str = "chunk", stream: str = "stream_id", seq: str = "seq") -> DataFrame:
     """Midstream, then egress on the growing prefix of the chunks that midstream let through; output stops at the first stop.
 
-    A chunk that midstream redacts is part of the prefix but isn't judged itself.
+    A chunk that midstream redacts is part of the prefix but isn't judged itself. The prefix is scanned from a small state (``resume``), so a stream
+    costs its length; only for classifiers or patterns that can't be resumed does each row get its whole prefix.
     """
     df = midstream(df, plan, chunk, stream, seq).withColumn("mid_redacted", F.col("redacted"))
-    df = df.withColumn("prefix", C.prefix(F.col(chunk), stream, seq))
-    df = df.drop("results", "scores", "final_score", "triggered", "outcome")
-    df = judged(df, plan.egress, plan.policies, "prefix", "prefix").withColumn("stop", ~F.col("mid_redacted") & F.col("outcome")["should_stop"])
-    return C.cutoff(df.drop("output"), "stop", chunk, stream, seq).withColumn("output", F.when(F.col("mid_redacted"), REDACTED).otherwise(F.col("output")))
+    df = df.drop("results", "scores", "final_score", "triggered", "outcome", "output")
+    try:
+        egress_scan = resume.scan_for(plan.egress, plan.policies)
+    except ValueError:
+        df = df.withColumn("prefix", C.prefix(F.col(chunk), stream, seq))
+        df = judged(df, plan.egress, plan.policies, "prefix", "prefix").withColumn("stop", F.col("outcome")["should_stop"])
+    else:
+        df = egress_scan.verdict(resume.scanned(df, egress_scan.scan, chunk, stream, seq))
+    df = df.withColumn("stop", ~F.col("mid_redacted") & F.col("stop"))
+    return C.cutoff(df, "stop", chunk, stream, seq).withColumn("output", F.when(F.col("mid_redacted"), REDACTED).otherwise(F.col("output")))
 
 
 def for_tenants(df: DataFrame, plans: dict[str, Plan], phase: Callable[[DataFrame, Plan], DataFrame], tenant: str = "tenant") -> DataFrame:

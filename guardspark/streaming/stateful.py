@@ -9,6 +9,7 @@ Column projections as in batch.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from guardspark.operators import holdback, phases
+from guardspark.operators import holdback, phases, resume
 from guardspark.operators.context import ContextConfig
 from guardspark.operators.holdback import WINDOW, Holdback
 from guardspark.operators.phases import Plan
+from guardspark.operators.resume import Scan
 
 
 def timeout(idle_ms: int | None) -> str:
@@ -46,35 +48,38 @@ def rows_in_order(pdfs: Iterator[pd.DataFrame]) -> list[tuple]:
     return sorted(rows, key=lambda r: r[0])
 
 
-def context_stream(chunks: DataFrame, config: ContextConfig, prefix: bool = False, idle_ms: int | None = None) -> DataFrame:
-    """``stream_id, seq, chunk, done`` to ``stream_id, seq, chunk, context, prefix``; ``done`` resets the stream.
+def context_stream(chunks: DataFrame, config: ContextConfig, prefix: bool = False, idle_ms: int | None = None, scan: Scan | None = None) -> DataFrame:
+    """``stream_id, seq, chunk, done`` to ``stream_id, seq, chunk, context, prefix`` and the columns of ``scan``; ``done`` resets the stream.
 
-    The growing prefix is kept only where it is asked for.
+    The growing prefix is kept only where it is asked for; a scan of it (``resume``) needs its own small state instead.
     """
+    names = ["stream_id", "seq", "chunk", "context", "prefix", *(scan.matchers if scan else ())]
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held, whole = (list(state.get[0]), state.get[1]) if state.exists else ([], "")
+        start = scan.start if scan else ()
+        held, whole, seen_so_far = (list(state.get[0]), state.get[1], json.loads(state.get[2])) if state.exists else ([], "", start)
         out = []
         for seq, chunk, done in rows_in_order(pdfs):
             held = [*held, chunk][-config.max_buffer_size :]
             seen = held[-config.context_chunks :] if config.context_chunks else held
             whole = whole + chunk if prefix else ""
-            out.append((key[0], seq, chunk, config.delimiter.join(seen), whole if prefix else None))
+            seen_so_far, found = scan.step(seen_so_far, chunk) if scan else ((), ())
+            out.append((key[0], seq, chunk, config.delimiter.join(seen), whole if prefix else None, *found))
             if done:
-                held, whole = [], ""
+                held, whole, seen_so_far = [], "", start
         if held:
-            state.update((held, whole))
+            state.update((held, whole, json.dumps(seen_so_far)))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "chunk", "context", "prefix"])
+        yield pd.DataFrame(out, columns=names)
 
-    shape = "stream_id bigint, seq bigint, chunk string, context string, prefix string"
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, shape, "held array<string>, whole string", "append", timeout(idle_ms))
+    shape = "stream_id bigint, seq bigint, chunk string, context string, prefix string" + "".join(f", {n} {m.kind}" for n, m in (scan.matchers.items() if scan else ()))
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, shape, "held array<string>, whole string, scan string", "append", timeout(idle_ms))
 
 
 def holdback_stream(chunks: DataFrame, hold: int, idle_ms: int | None = None) -> DataFrame:
@@ -194,16 +199,24 @@ def classifier_stream(chunks: DataFrame, plan: Plan) -> DataFrame:
 def guard(chunks: DataFrame, plan: Plan, name: str = "guard") -> DataFrame:
     """Midstream, egress on the growing prefix and cutoff, to the end of the source; the rows that leave.
 
-    The stateful step gives context and prefix; judgement is a projection. A stream's first stop is kept in a
+    The stateful step gives the context and what egress needs of the prefix (``resume``; the prefix itself only where that can't be had); judgement is a projection. A stream's first stop is kept in a
     small table, one version a micro-batch, so later batches of a stopped stream stay silent.
     """
     spark = chunks.sparkSession
     base = work_dir(spark, name)
     shape = "stream_id bigint, first_stop bigint"
+    try:
+        egress = resume.scan_for(plan.egress, plan.policies)
+    except ValueError:
+        egress = None
 
     def put(batch: DataFrame, n: int) -> None:
         mid = phases.midstream_judged(batch, plan).withColumn("mid_redacted", F.col("redacted")).drop("results", "scores", "final_score", "triggered", "outcome", "output")
-        rows = phases.judged(mid, plan.egress, plan.policies, "prefix", "prefix").withColumn("stop", ~F.col("mid_redacted") & F.col("outcome.should_stop"))
+        if egress:
+            rows = egress.verdict(mid)
+        else:
+            rows = phases.judged(mid, plan.egress, plan.policies, "prefix", "prefix").withColumn("stop", F.col("outcome.should_stop"))
+        rows = rows.withColumn("stop", ~F.col("mid_redacted") & F.col("stop"))
         rows = rows.select("stream_id", "seq", "chunk", "mid_redacted", "stop").persist()
         stops = rows.where("stop").groupBy("stream_id").agg(F.min("seq").alias("first_stop"))
         if n:
@@ -215,7 +228,7 @@ def guard(chunks: DataFrame, plan: Plan, name: str = "guard") -> DataFrame:
         out.write.mode("overwrite").parquet(f"{base}/out/n={n}")
         rows.unpersist()
 
-    stream = context_stream(chunks, plan.context, prefix=True)
+    stream = context_stream(chunks, plan.context, prefix=egress is None, scan=egress and egress.scan)
     q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
     return spark.read.schema("stream_id bigint, seq bigint, output string").option("recursiveFileLookup", "true").parquet(f"{base}/out")

@@ -10,8 +10,9 @@ the likeness (0 if negative).
 128 bits are cut into r + 2 blocks; two fingerprints within r agree on at least two blocks, so each
 table permutes one pair of blocks to the front, and fingerprints that share a table's front are
 compared in full. Equal fingerprints are one row with their documents counted. Fronts shared by more
-than ``BLOCK_ROWS`` fingerprints are compared block against block in separate tasks. What comes out is the class that
-steps within the radius join and its size: links that join, never pairs, and what is joined isn't compared again.
+than ``BLOCK_ROWS`` fingerprints are compared block against block in separate tasks. What comes out is each fingerprint's
+number of documents within the radius (a pair counts in its first common table) and links that join, never pairs: they give the
+class that steps within the radius join, and its size.
 
 **The next document.** Documents are range-partitioned and sorted by doc_id; each task keeps one text
 back, so only the last text of a partition needs a text from elsewhere: the first of the next
@@ -47,7 +48,9 @@ BITS = 128
 SHINGLE = 3
 RADIUS = 6
 #: Fingerprints of 16 bytes in a block, and terms whose votes are counted at once.
-BLOCK_ROWS, VOTERS = 4096, 16384
+BLOCK_ROWS, VOTERS = 16384, 16384
+#: Pairs that are compared at once.
+TILE = 1 << 20
 #: Words in a worker's cache, and the longest that it keeps.
 CACHE_WORDS, CACHED_LENGTH = 400_000, 64
 EMPTY = "0" * (BITS // 4)
@@ -177,33 +180,71 @@ def block_bounds(radius: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def near_links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links ``a, b`` between the distinct fingerprints ``mark`` (a number), ``fingerprint``: enough of them to join all that are within ``radius``.
+def near_marks(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Of the distinct fingerprints ``mark`` (a number), ``fingerprint``, ``n_docs``: mark, near, a, b.
 
-    A group of n fingerprints gives n - 1 links at most and never its pairs; what is joined already isn't compared again.
+    Rows with ``mark`` say that ``near`` more documents have a fingerprint within ``radius``; they add up. Rows with ``a`` and ``b`` are
+    links, enough of them to join all that are within ``radius``: a group of n fingerprints gives n - 1 at most and never its pairs.
     """
     bounds = block_bounds(radius)
+    tables = list(combinations(range(len(bounds)), 2))
     block = [F.substring("fingerprint", a + 1, b - a) for a, b in bounds]
-    fronts = F.array(*[F.xxhash64(F.lit(t), block[x], block[y]) for t, (x, y) in enumerate(combinations(range(len(bounds)), 2))])
-    rows = marks.select("mark", F.unhex("fingerprint").alias("bits"), F.explode(fronts).alias("front"))
+    fronts = F.array(*[F.struct(F.xxhash64(F.lit(t), block[x], block[y]).alias("front"), F.lit(t).alias("table")) for t, (x, y) in enumerate(tables)])
+    rows = marks.select("mark", "n_docs", F.unhex("fingerprint").alias("bits"), F.explode(fronts).alias("_f")).select("_f.front", "_f.table", "mark", "n_docs", "bits")
     shared = rows.groupBy("front").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(shared, "front").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    rows = join_by_group(rows, shared, "front", "n", marks.count() * len(tables)).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
     # Block pairs (i, j), i <= j: each fingerprint goes to every pair that has its block.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("front", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "mark", "bits")
-    keys = ["front", "i", "j"]
+    rows = rows.select("front", "table", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "mark", "n_docs", "bits")
+    keys = ["front", "table", "i", "j"]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(batches, keys):
-            raw = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(-1, BITS // 64)
-            links = joins(raw, g["own"].to_numpy(), g["i"].iloc[0] != g["j"].iloc[0], radius)
+            raw = np.frombuffer(b"".join(g["bits"]), ">u8").astype(np.uint64).reshape(-1, BITS // 64)
+            own, mark, weight, cross = g["own"].to_numpy(), g["mark"].to_numpy(), g["n_docs"].to_numpy(), g["i"].iloc[0] != g["j"].iloc[0]
+            near = neighbours(raw, weight, own if cross else None, tables[g["table"].iloc[0]], bounds, radius)
+            hit = np.flatnonzero(near)
+            if len(hit):
+                none = [None] * len(hit)
+                yield pd.DataFrame({"mark": mark[hit], "near": near[hit], "a": none, "b": none}).astype("Int64")
+            links = joins(raw, own, cross, radius)
             if links:
-                mark = g["mark"].to_numpy()
                 a, b = np.array(links).T
-                yield pd.DataFrame({"a": mark[a], "b": mark[b]})
+                none = [None] * len(links)
+                yield pd.DataFrame({"mark": none, "near": none, "a": mark[a], "b": mark[b]}).astype("Int64")
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(look, "a bigint, b bigint").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(look, "mark bigint, near bigint, a bigint, b bigint")
+
+
+def neighbours(raw: np.ndarray, weight: np.ndarray, own: np.ndarray | None, table: tuple[int, int], bounds: list[tuple[int, int]], radius: int) -> np.ndarray:
+    """By row: the weight of the rows within ``radius``, of the other block only if ``own`` names two.
+
+    A pair counts in the first table that it shares alone: that of the first two blocks in which it agrees.
+    """
+    x, y = table
+    parts = []
+    for z in (z for z in range(y) if z != x):
+        mask = ((1 << 4 * (bounds[z][1] - bounds[z][0])) - 1) << (BITS - 4 * bounds[z][1])
+        masked = raw & np.array([mask >> 64, mask & (2**64 - 1)], np.uint64)
+        parts.append(np.unique(masked, axis=0, return_inverse=True)[1].ravel().astype(np.int32))
+    left = np.arange(len(raw)) if own is None else np.flatnonzero(own == own.min())
+    right = left if own is None else np.flatnonzero(own != own.min())
+    near, weight = np.zeros(len(raw)), weight.astype(np.float64)
+    step = max(1, TILE // max(1, len(right)))
+    for at in range(0, len(left), step):
+        p = left[at : at + step]
+        apart = np.bitwise_count(raw[p, :1] ^ raw[right, 0]) + np.bitwise_count(raw[p, 1:] ^ raw[right, 1])
+        hit = apart <= radius
+        if own is None:
+            hit[np.arange(len(p)), p] = False
+        if hit.any():
+            for part in parts:
+                hit &= part[p, None] != part[right]
+            near[p] += hit @ weight[right]
+            if own is not None:
+                near[right] += weight[p] @ hit
+    return near.astype(np.int64)
 
 
 def joins(raw: np.ndarray, own: np.ndarray, cross: bool, radius: int) -> list[tuple[int, int]]:
@@ -225,23 +266,27 @@ def joins(raw: np.ndarray, own: np.ndarray, cross: bool, radius: int) -> list[tu
 
 
 def with_classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``rows`` (doc_id and fingerprint, of a scan) with near_class and class_size.
+    """``rows`` (doc_id and fingerprint, of a scan) with near_class, class_size and n_near.
 
-    ``near_class`` is the smallest doc_id that can be reached from fingerprint to fingerprint in steps within ``radius``, ``class_size`` the
-    number of its rows. Texts without words have a class of their own.
+    ``n_near`` is the number of other rows whose fingerprint is within ``radius``. ``near_class`` is the smallest doc_id that can be reached from
+    fingerprint to fingerprint in such steps, ``class_size`` the number of its rows. Texts without words have a class of their own.
     """
     session(rows.sparkSession)
     marks = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_docs"))
     marks = saved(marks.select(F.monotonically_increasing_id().alias("mark"), "fingerprint", "first", "n_docs"), "marks")
-    comps = components(near_links(marks.where(F.col("fingerprint") != EMPTY), radius))
+    found = saved(near_marks(marks.where(F.col("fingerprint") != EMPTY), radius), "near-marks")
+    counts = found.where("mark is not null").groupBy("mark").agg(F.sum("near").alias("near"))
+    comps = components(found.where("a is not null").select("a", "b"))
     # A class's least mark stands on the right only.
     members = comps.select(F.col("node").alias("mark"), "comp").unionByName(comps.select(F.col("comp").alias("mark"), "comp")).distinct()
     named = members.join(marks.select("mark", "first", "n_docs"), "mark")
     named = members.join(named.groupBy("comp").agg(F.min("first").alias("name"), F.sum("n_docs").alias("size")), "comp").select("mark", "name", "size")
-    whole = marks.join(named, "mark", "left").select("fingerprint", "n_docs", F.coalesce("name", "first").alias("near_class"), F.coalesce("size", "n_docs").alias("class_size"))
+    whole = marks.join(named, "mark", "left").join(counts, "mark", "left")
+    n_near = F.coalesce("near", F.lit(0)) + F.col("n_docs") - 1
+    whole = whole.select("fingerprint", "n_docs", F.coalesce("name", "first").alias("near_class"), F.coalesce("size", "n_docs").alias("class_size"), n_near.alias("n_near"))
     whole = saved(whole, "classes")
-    discard(comps)
-    return join_by_group(rows, whole, "fingerprint", "n_docs", rows.count()).select(*rows.columns, "near_class", "class_size")
+    discard(found, comps, marks)
+    return join_by_group(rows, whole, "fingerprint", "n_docs", rows.count()).select(*rows.columns, "near_class", "class_size", "n_near")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,8 @@ def test_ids_of_text(spark, texts):
     """Ids need not be numbers where nothing orders them as such."""
     docs = spark.createDataFrame([("b", texts[0]), ("a", texts[0]), ("c", texts[1])], "doc_id string, text string")
     assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
-    assert sorted((r.doc_id, r.near_class, r.class_size) for r in simhash.with_classes(simhash.fingerprints(docs)).collect()) == [("a", "a", 2), ("b", "a", 2), ("c", "c", 1)]
+    near = simhash.with_classes(simhash.fingerprints(docs)).collect()
+    assert sorted((r.doc_id, r.near_class, r.class_size, r.n_near) for r in near) == [("a", "a", 2, 1), ("b", "a", 2, 1), ("c", "c", 1, 0)]
     assert ids(sentencepiece_codec.encoded(docs, sentencepiece_codec.model_path())) == ["a", "b", "c"]
 
 

@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables with nulls, ties, repeats, long and empty texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -280,7 +281,7 @@ def test_votes_in_slices(monkeypatch):
 
 @pytest.mark.parametrize("block", [3, 4096])
 def test_block_tables_find_all_in_radius(spark, monkeypatch, block):
-    """Classes equal those of all pairs; repeats count, texts without words stay apart."""
+    """Classes and numbers of neighbours equal those of all pairs; repeats count, texts without words stay apart."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
     draw = random.Random(8)
     marks = [draw.getrandbits(128) for _ in range(40)]
@@ -304,11 +305,29 @@ def test_block_tables_find_all_in_radius(spark, monkeypatch, block):
                     top[k] = i
                     todo += near[k]
     df = spark.createDataFrame([(i, f"{m:032x}") for i, m in rows], "doc_id bigint, fingerprint string")
-    got = {r.doc_id: (r.near_class, r.class_size) for r in simhash.with_classes(df).collect()}
-    assert got == {i: (top[i], sum(t == top[i] for t in top.values())) for i, _ in rows}
+    got = {r.doc_id: (r.near_class, r.class_size, r.n_near) for r in simhash.with_classes(df).collect()}
+    assert got == {i: (top[i], sum(t == top[i] for t in top.values()), len(near[i])) for i, _ in rows}
     assert simhash.with_classes(df.where("false")).count() == 0
 
 
+def test_neighbours_of_a_family_are_counted():
+    """Over all tables, each pair of a large family counts once."""
+    draw = np.random.Generator(np.random.PCG64(6))
+    family = draw.integers(0, 2**63, (1, 2)).astype(np.uint64) ^ np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 64, (1500, 2, 3)).astype(np.uint64), 2)
+    weight = draw.integers(1, 4, 1500)
+    bounds = simhash.block_bounds(6)
+    words = [[int(r[0]) << 64 | int(r[1])] for r in family]
+    got = np.zeros(1500, np.int64)
+    for x, y in itertools.combinations(range(len(bounds)), 2):
+        cut = [tuple(w >> 128 - 4 * bounds[z][1] & (1 << 4 * (bounds[z][1] - bounds[z][0])) - 1 for z in (x, y)) for (w,) in words]
+        for front in set(cut):
+            at = np.array([k for k, c in enumerate(cut) if c == front])
+            got[at] += simhash.neighbours(family[at], weight[at], None, (x, y), bounds, 6)
+    apart = np.bitwise_count(family[:, None] ^ family[None]).sum(2)
+    np.fill_diagonal(apart, 99)
+    assert (got == (apart <= 6) @ weight).all() and got.max() > 0
+
+
 def test_a_large_family_costs_little():
     """Rows that are joined aren't compared again; a chain joins as well."""
     draw = np.random.Generator(np.random.PCG64(4))

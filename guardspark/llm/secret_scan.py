@@ -37,6 +37,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -66,11 +67,13 @@ PATTERNS = [
     ("chat_token", re.compile(r"\b(?P<v>xox[abprs]-[A-Za-z0-9-]{10,}+)")),
     ("map_key", re.compile(r"\b(?P<v>AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])")),
     ("payment_key", re.compile(r"\b(?P<v>[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+)\b")),
-    ("web_token", re.compile(r"\b(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})")),
+    ("web_token", re.compile(r"(?<![A-Za-z0-9_.-])(?P<v>[A-Za-z0-9_.-]++)")),
     ("url_password", re.compile(r"://[^\s:/@]*+:(?P<v>[^\s:/@]{6,}+)@")),
     ("assigned", re.compile(r"(?<![\w.-])(?=[\w.-]*?" + NAME + r")[\w.-]++[\"']?\s*+(?:=|:=?|=>)\s*+[\"']?(?P<v>[^\s\"',;<>()\[\]{}#]{8,}+)", re.I)),
     ("long_run", re.compile(r"(?<![A-Za-z0-9+/_=-])(?P<v>[A-Za-z0-9+/_-]{24,}+={0,2}+)(?![A-Za-z0-9+/_=-])")),
 ]
+#: Where a web token may begin in a run.
+TOKEN_MARK = re.compile(r"\beyJ")
 #: Only texts with one of these need the slower patterns.
 HINTS = {
     "private_key": "-----BEGIN ", "forge_token": "gh", "chat_token": "xox", "map_key": "AIza", "payment_key": "k_", "web_token": "eyJ", "url_password": "://",
@@ -118,7 +121,7 @@ def fixed_words() -> Dictionary:
 
 def frequent_words(docs: DataFrame) -> list[str]:
     """The ``DICTIONARY`` most frequent words of four letters and more of all documents, ties by code points."""
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) between 4 and 20")
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) >= 4")
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
     return sorted(r.w for r in counts.orderBy(F.desc("n"), "w").limit(DICTIONARY).collect())
 
@@ -161,12 +164,31 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
         if name == "long_run" and max(map(len, text.split()), default=0) < 24:
             continue
         found = [(*m.span("v"), name) for m in pattern.finditer(text)]
+        if name == "web_token":
+            found = [(*span, name) for a, b, _ in found for span in web_tokens(text[a:b], a)]
         if name == "long_run":
             found = [f for f in found if any(map(str.isdigit, text[f[0] : f[1]])) and any(map(str.isalpha, text[f[0] : f[1]]))]
         taken = merged(taken, found)
     return [(name, a, b - a) for a, b, name in taken]
 
 
+def web_tokens(run: str, start: int) -> list[tuple[int, int]]:
+    """Places of three dotted parts in a run that begins at ``start``: the first begins with the mark of such a token. Each part is looked at once."""
+    if "eyJ" not in run:
+        return []
+    parts = run.split(".")
+    ends = list(accumulate((len(p) + 1 for p in parts), initial=start))
+    found, k = [], 0
+    while k + 2 < len(parts):
+        mark = TOKEN_MARK.search(parts[k]) if len(parts[k + 1]) >= 8 and len(parts[k + 2]) >= 4 else None
+        if mark and len(parts[k]) - mark.start() >= 11:
+            found.append((ends[k] + mark.start(), ends[k + 3] - 1))
+            k += 3
+        else:
+            k += 1
+    return found
+
+
 def merged(taken: list[tuple[int, int, str]], found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """``taken`` and those of ``found`` that overlap none of it; both ascending and disjoint, as is the result."""
     new, k = [], 0

@@ -8,8 +8,7 @@ is ``sigmoid(c . sum(weight * h) + d)``. Only document labels are known: the los
 document score, and its gradient trains encoder, attention and output together (Adam, full batches).
 
 Training takes a sample of at most about ``LABELLED`` labelled documents (all of them, if there are fewer),
-drawn by the hash of doc_id, and at most ``LEARNED_PASSAGES`` passages of each, spread evenly over its text; their
-features, some 80 MB at most, go to the driver. Scoring is one narrow pass over all texts, whole. Nothing but the
+drawn by the hash of doc_id, and all passages of each; their features (440 bytes for 40 words) go to the driver. Scoring is one narrow pass over all texts, whole. Nothing but the
 text is an input.
 
 Defined cases: null text counts as empty; an empty text is a bag of one passage of zeros, so it has a
@@ -35,7 +34,7 @@ LAGS = 8
 CLASSES = 10
 FEATURES = CLASSES * CLASSES + LAGS + 2
 #: Labelled documents that training takes, about, and passages of one of them at most: what bounds the driver's share.
-LABELLED, LEARNED_PASSAGES = 3000, 64
+LABELLED = 3000
 HIDDEN, ATTENTION = 24, 12
 STEPS, RATE, DECAY = 150, 0.02, 1e-4
 THRESHOLD = 0.7
@@ -190,10 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> AttentionMil:
         for pdf in batches:
             if len(pdf):
                 x, counts = passages(next(text_batches([pdf], "text"))[0])
-                cuts = np.concatenate(([0], np.cumsum(counts)))
-                # A bag to learn from has at most LEARNED_PASSAGES, spread evenly over the text.
-                picks = [np.unique(np.linspace(a, b - 1, min(b - a, LEARNED_PASSAGES)).astype(np.int64)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "quality": pdf["quality"].astype(float), "x": [x[p].tobytes() for p in picks]})
+                bags = np.split(x, np.cumsum(counts)[:-1])
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "quality": pdf["quality"].astype(float), "x": [b.tobytes() for b in bags]})
 
     bags = sorted((r.doc_id, r.quality, bytes(r.x)) for r in rows.mapInPandas(describe, "doc_id string, quality double, x binary").collect())
     x = np.frombuffer(b"".join(b for _, _, b in bags), np.float32).reshape(-1, FEATURES)

@@ -12,9 +12,10 @@ from guardspark.operators import pipelines as P
 from guardspark.plans import fixtures as X
 from guardspark.plans import oracle as O
 from guardspark.plans.catalog import query
-from guardspark.plans.flow import chunk_stream
+from guardspark.plans.flow import chunk_stream, table_stream
 from guardspark.plans.govern import _INJ
 from guardspark.plans.shipped import DEFAULT
+from guardspark.streaming import eventtime as E
 from guardspark.streaming import stateful as S
 
 #: Characters of a token of the queries, and tokens a turn at most.
@@ -64,3 +65,20 @@ def mid_release(spark: SparkSession, sf: str) -> DataFrame:
 def st_release(spark: SparkSession, sf: str) -> DataFrame:
     """The same by state; streams that haven't ended keep their last tokens."""
     return S.release_stream(tokens(chunk_stream(spark, sf)), HOLD, PLAN, "st-release")
+
+
+SESSIONS = E.Sessions(delay_ms=600_000, gap_ms=7_200_000)
+
+
+@query("st_sessions", f"""WITH e AS (SELECT user_id AS stream_id, event_id AS seq, ts, epoch_ms(ts) AS ms, event_type AS chunk FROM events),
+wm AS (SELECT max(ms) - {SESSIONS.delay_ms} AS passed FROM e),
+r AS (SELECT e.*, CASE WHEN ms - lag(ms) OVER w > {SESSIONS.gap_ms} OR lag(ms) OVER w IS NULL THEN seq END AS first FROM e, wm WHERE ms < passed WINDOW w AS (PARTITION BY stream_id ORDER BY ts, seq)),
+s AS (SELECT *, max_by(first, ts) FILTER (WHERE first IS NOT NULL) OVER (PARTITION BY stream_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS session FROM r),
+c AS (SELECT stream_id, session, max_by(seq, (ts, seq)) AS seq, max(ts) AS ts, max(ms) AS ms, count(*) AS n FROM s GROUP BY ALL)
+SELECT stream_id, seq, ts, session, string_agg(chunk, ' ') OVER (PARTITION BY stream_id, session ORDER BY ts, seq ROWS 2 PRECEDING) AS context, false AS closed, row_number() OVER (PARTITION BY stream_id, session ORDER BY ts, seq) AS n FROM s
+UNION ALL SELECT stream_id, seq, ts, session, '', true, n FROM c, wm WHERE ms + {SESSIONS.gap_ms} < passed""")
+def st_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a user as a stream by event time: contexts of sessions, and the ends of sessions as the watermark passes them."""
+    events = table_stream(spark, sf, "events")
+    rows = events.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("chunk"))
+    return E.run_sessions(rows, SESSIONS)[0]

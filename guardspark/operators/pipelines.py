@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from guardspark.errors import ClassifierError
 
-from .classifiers import RESULT, Classifier, Noop, built_in, with_results
+from .classifiers import RESULT, Classifier, Noop, VectorClassifier, built_in, with_results
 
 log = logging.getLogger(__name__)
 
 ITEM = f"struct<stage:string,classifier:string,result:{RESULT}>"
 Condition = Callable[[Column], Column]
+Transform = Callable[[Column], Column]
 
 
 def item(stage: str, classifier: str, result: Column) -> Column:
@@ -114,6 +115,21 @@ def condition(spec: str | dict | None) -> Condition:
     raise ValueError(f"unknown condition {name}")
 
 
+def normalized(low: float, high: float) -> Transform:
+    """Scores from ``low`` to ``high`` to 0 to 1; what lies outside is 0 or 1."""
+    if not low < high:
+        raise ValueError(f"{low} isn't below {high}")
+    return lambda score: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - low) / (high - low)))
+
+
+def transform(spec: dict | None) -> Transform | None:
+    if spec is None:
+        return None
+    if spec.get("type") != "normalize":
+        raise ValueError(f"unknown transform {spec.get('type')}")
+    return normalized(float(spec.get("min", 0)), float(spec.get("max", 1)))
+
+
 @dataclass
 class Stage:
     kind: str
@@ -122,11 +138,28 @@ class Stage:
     classifiers: list[tuple[str, Classifier]]
     aggregate: Callable[[Column], Column] = agg_all
     when: Condition = field(default_factory=always)
+    #: ``match``, ``threshold`` or ``never``: what of its results ends the pipeline for a row.
+    exit_on: str = "never"
+    threshold: float = 0.0
+    #: What a score becomes before anything looks at it.
+    transform: Transform | None = None
+
+    def exits(self, found: Column) -> Column:
+        """Whether this stage's results end the pipeline: a score above 0, or above the threshold."""
+        least = {"match": 0.0, "threshold": self.threshold}[self.exit_on]
+        return F.exists(found, lambda x: x["result"]["score"] > least)
+
+    @property
+    def in_python(self) -> bool:
+        return any(isinstance(c, VectorClassifier) for _, c in self.classifiers)
+
+    def transformed(self, result: Column) -> Column:
+        return result if self.transform is None else result.withField("score", self.transform(result["score"]))
 
     def results(self, columns: dict[int, Column], prior: Column) -> Column:
         """This stage's results. Single and conditional stages name the classifier itself, the others the configured name."""
         by_own = self.kind in ("single", "conditional")
-        found = F.array(*[item(self.name, c.name if by_own else key, columns[id(c)]) for key, c in self.classifiers]).cast(f"array<{ITEM}>")
+        found = F.array(*[item(self.name, c.name if by_own else key, self.transformed(columns[id(c)])) for key, c in self.classifiers]).cast(f"array<{ITEM}>")
         if self.kind == "parallel":
             found = self.aggregate(found)
         if self.kind == "conditional":
@@ -152,6 +185,18 @@ class Pipeline:
     def conditional(self, name: str, classifier: Classifier, when: Condition) -> Pipeline:
         return self._add(Stage("conditional", name, [(classifier.name, classifier)], when=when))
 
+    def exiting(self, on: str, threshold: float = 0.0) -> Pipeline:
+        """The last stage ends the pipeline for rows that match (a score above 0) or pass a threshold."""
+        if on not in ("match", "threshold", "never"):
+            raise ValueError(f"unknown exit {on}")
+        self.stages[-1].exit_on, self.stages[-1].threshold = on, threshold
+        return self
+
+    def transforming(self, how: Transform | None) -> Pipeline:
+        """The last stage's scores are transformed."""
+        self.stages[-1].transform = how
+        return self
+
     def _add(self, stage: Stage) -> Pipeline:
         self.stages.append(stage)
         return self
@@ -160,20 +205,52 @@ class Pipeline:
     def stage_count(self) -> int:
         return len(self.stages)
 
-    def classifiers(self) -> dict[int, Classifier]:
-        return {id(c): c for s in self.stages for _, c in s.classifiers}
+    def classifiers(self, stages: list[Stage] | None = None) -> dict[int, Classifier]:
+        return {id(c): c for s in (self.stages if stages is None else stages) for _, c in s.classifiers}
 
     def results(self, columns: dict[int, Column]) -> Column:
-        so_far = F.array().cast(f"array<{ITEM}>")
-        for stage in self.stages:
-            so_far = F.concat(so_far, stage.results(columns, so_far))
-        return so_far
+        return self.extended(self.stages, columns, F.struct(F.array().cast(f"array<{ITEM}>").alias("results"), F.lit(False).alias("exited")))["results"]
+
+    @staticmethod
+    def extended(stages: list[Stage], columns: dict[int, Column], state: Column) -> Column:
+        """``state`` (results so far, and whether the row has left) after ``stages``."""
+        so_far, left = state["results"], state["exited"]
+        for stage in stages:
+            found = stage.results(columns, so_far)
+            if any(s.exit_on != "never" for s in stages):
+                found = F.when(left, F.array().cast(f"array<{ITEM}>")).otherwise(found)
+            so_far = F.concat(so_far, found)
+            if stage.exit_on != "never":
+                left = left | stage.exits(found)
+        return F.struct(so_far.alias("results"), left.alias("exited"))
 
     def run(self, df: DataFrame, text: str = "text", into: str = "results", detail: bool = False) -> DataFrame:
-        """``df`` with the results array; classifier columns are temporary. Spans and extras only if ``detail`` asks for them."""
-        names = {key: f"_clf_{k}" for k, key in enumerate(self.classifiers())}
-        df = with_results(df, {names[key]: c for key, c in self.classifiers().items()}, text, detail) if names else df
-        return df.withColumn(into, self.results({key: F.col(n) for key, n in names.items()})).drop(*names.values())
+        """``df`` with the results array; classifier columns are temporary. Spans and extras only if ``detail`` asks for them.
+
+        A row that a stage lets out gets no results of later stages. It leaves before the next stage that runs in Python (a
+        :class:`VectorClassifier`), so the model never sees it; the rows that left are united with the others again. The stages before are
+        JVM expressions, which both sides compute for themselves: a second look at a text costs less than a shuffle of all texts.
+        """
+        if not any(s.exit_on != "never" for s in self.stages):
+            df, columns = self.classified(df, self.stages, text, detail)
+            return df.withColumn(into, self.results({k: F.col(n) for k, n in columns.items()})).drop(*columns.values())
+        nothing = F.struct(F.array().cast(f"array<{ITEM}>").alias("results"), F.lit(False).alias("exited"))
+        df = self.routed(df.withColumn("_state", nothing), self.stages, text, detail)
+        return df.withColumn(into, F.col("_state.results")).drop("_state")
+
+    def classified(self, df: DataFrame, stages: list[Stage], text: str, detail: bool) -> tuple[DataFrame, dict[int, str]]:
+        names = {key: f"_clf_{k}" for k, key in enumerate(self.classifiers(stages))}
+        return (with_results(df, {names[key]: c for key, c in self.classifiers(stages).items()}, text, detail) if names else df), names
+
+    def routed(self, df: DataFrame, stages: list[Stage], text: str, detail: bool) -> DataFrame:
+        """``df`` with ``_state`` after ``stages``."""
+        first = next((k for k, s in enumerate(stages) if s.in_python and any(b.exit_on != "never" for b in stages[:k])), len(stages))
+        now, later = stages[:first], stages[first:]
+        df, columns = self.classified(df, now, text, detail)
+        df = df.withColumn("_state", self.extended(now, {k: F.col(n) for k, n in columns.items()}, F.col("_state"))).drop(*columns.values())
+        if not later:
+            return df
+        return df.where("_state.exited").unionByName(self.routed(df.where("not _state.exited"), later, text, detail))
 
 
 def final(results: Column) -> Column:
@@ -216,4 +293,5 @@ def from_config(name: str, spec: dict, registry: dict[str, Classifier] | None =
             out.sequential(s["name"], [(k, find(k)) for k in s["classifiers"]])
         else:
             raise ValueError(f"unknown stage type {kind}")
+        out.exiting(s.get("exit_on", "never"), float(s.get("threshold", 0))).transforming(transform(s.get("transform")))
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardspark.operators import classifiers as C
+from guardspark.operators import deobfuscate as D
 from guardspark.operators import pipelines as P
 from guardspark.plans import fixtures as X
 from guardspark.plans import oracle as O
@@ -37,3 +38,31 @@ def stg_exit(spark: SparkSession, sf: str) -> DataFrame:
     pipeline = P.from_config("exits", spec, C.built_in() | {"length-model": length_model()})
     df = pipeline.run(X.guard(spark, sf))
     return df.select("text_id", F.array_join("results.classifier", "|").alias("classifiers"), F.round(P.final(F.col("results"))["score"], 6).alias("score"))
+
+
+# Hidden phrases that are appended by doc_id, and the terms that are looked for.
+HIDDEN = [
+    "nothing to see", "this is g u a r a n t e e d money", "g.u.a.r.a.n.t.e.e.d!", "gua\u200bran\u200bteed and risk\u200b free", "gսаrаntееd", "R1SK FR33 for you", "ｇｕａｒａｎｔｅｅｄ",
+    "a b c d", "r_i_s_k free", "no ri5k fr3e, 6uaranteed", "G U A R A N T E E D",
+]
+TERMS = ["guaranteed", "risk free"]
+_N = len(HIDDEN)
+
+
+@query("adv_deobfuscate", f"""WITH t AS (SELECT doc_id AS text_id, coalesce(text, '') || ' ' || ({X.listed(HIDDEN)})[(doc_id % {_N} + 1)::INT] AS text FROM documents),
+p AS (SELECT text_id, text, regexp_split_to_array(text, {X.literal(D.CUT)}) AS gaps, regexp_extract_all(text, {X.literal(D.CUT)}) AS cuts FROM t),
+q AS (SELECT text_id, i, gaps[i] AS gap, coalesce(cuts[i], '') AS cut, (length(gaps[i]) = 1 AND length(gaps[i + 1]) = 1) IS TRUE OR NOT regexp_matches(coalesce(cuts[i], ''), '[^{D.ZERO_WIDTH}]') AS gone FROM p, range(1, len(gaps) + 1) r(i)),
+f AS (SELECT text_id, translate(string_agg(gap || CASE WHEN gone THEN '' ELSE cut END, '' ORDER BY i), {X.literal(D.FROM)}, {X.literal(D.TO)}) AS folded FROM q GROUP BY text_id),
+h AS (SELECT text_id, folded, regexp_extract_all(folded, 'guaranteed|risk free') AS hits, array_to_string(list_transform(list_zip(regexp_split_to_array(folded, 'guaranteed|risk free'), regexp_extract_all(folded, 'guaranteed|risk free')),
+  lambda x: repeat('0', length(x[1])) || CASE WHEN x[2] IS NULL THEN '' ELSE '1' || repeat('2', length(x[2]) - 1) END), '') AS mask FROM f),
+c AS (SELECT q.text_id, q.i, 0 AS part, j, substr(gap, j, 1) AS ch, true AS kept FROM q JOIN h USING (text_id), range(1, length(gap) + 1) r(j) WHERE len(hits) > 0
+  UNION ALL SELECT q.text_id, q.i, 1, j, substr(cut, j, 1), NOT gone FROM q JOIN h USING (text_id), range(1, length(cut) + 1) r(j) WHERE len(hits) > 0),
+n AS (SELECT *, sum(kept::INT) OVER (PARTITION BY text_id ORDER BY i, part, j) AS k FROM c),
+m AS (SELECT n.*, substr(mask, k::BIGINT + CASE WHEN kept THEN 0 ELSE 1 END, 1) AS mark FROM n JOIN h USING (text_id)),
+o AS (SELECT text_id, string_agg(CASE WHEN kept AND mark = '1' THEN '[REDACTED]' WHEN mark = '2' OR kept AND mark = '1' THEN '' ELSE ch END, '' ORDER BY i, part, j) AS protected FROM m GROUP BY text_id)
+SELECT text_id, len(hits)::BIGINT AS n, array_to_string(hits, '|') AS hits, coalesce(protected, text) AS protected FROM t JOIN h USING (text_id) LEFT JOIN o USING (text_id)""")
+def adv_deobfuscate(spark: SparkSession, sf: str) -> DataFrame:
+    """Hidden terms in documents, redacted where they stand in the source."""
+    phrase = F.get(F.array(*map(F.lit, HIDDEN)), F.pmod(F.col("text_id"), F.lit(_N)).cast("int"))
+    texts = X.texts(spark, sf).select("text_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), phrase).alias("text"))
+    return D.protect(texts, TERMS).select("text_id", F.size("hits").cast("long").alias("n"), F.array_join("hits", "|").alias("hits"), "protected")

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 from guardspark.operators import classifiers as C
 from guardspark.operators import deobfuscate as D
+from guardspark.operators import drift as R
 from guardspark.operators import pipelines as P
+from guardspark.operators import ranked
+from guardspark.operators import selection as S
 from guardspark.plans import fixtures as X
 from guardspark.plans import oracle as O
 from guardspark.plans.catalog import query
+from guardspark.sources import inherit
 
 
 def length_model() -> C.VectorClassifier:
@@ -66,3 +70,88 @@ def adv_deobfuscate(spark: SparkSession, sf: str) -> DataFrame:
     phrase = F.get(F.array(*map(F.lit, HIDDEN)), F.pmod(F.col("text_id"), F.lit(_N)).cast("int"))
     texts = X.texts(spark, sf).select("text_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), phrase).alias("text"))
     return D.protect(texts, TERMS).select("text_id", F.size("hits").cast("long").alias("n"), F.array_join("hits", "|").alias("hits"), "protected")
+
+
+_TOKENS = "unnest(regexp_extract_all(lower(text), '" + R.TOKEN + "'))"
+_BUCKET = f"(('0x' || md5(token)[1:8])::BIGINT % {R.BUCKETS})"
+
+
+@query("adv_drift", f"""WITH said AS (SELECT conv_id, role, text FROM conversations),
+bt AS (SELECT token, count(*) AS n FROM (SELECT {_TOKENS} AS token FROM said WHERE role = 'user') GROUP BY token),
+total AS (SELECT sum(n) AS t FROM bt),
+q AS (SELECT b AS bucket, (coalesce(n, 0) + 1) / (t + {R.BUCKETS}) AS q FROM range({R.BUCKETS}) r(b) LEFT JOIN (SELECT {_BUCKET} AS b, sum(n) AS n FROM bt GROUP BY 1) USING (b), total),
+bs AS (SELECT sum({O.hits('text', O.any_of(O.L.POSITIVE))}) AS pos, sum({O.hits('text', O.any_of(O.L.NEGATIVE))}) AS neg FROM said WHERE role = 'user'),
+a AS (SELECT conv_id, {_TOKENS} AS token FROM said WHERE role = 'assistant'),
+s AS (SELECT conv_id, count(*) AS n_tokens, count(*) FILTER (WHERE n IS NULL OR n < {R.COMMON_SHARE} * t) AS rare FROM a LEFT JOIN bt USING (token), total GROUP BY conv_id),
+h AS (SELECT conv_id, {_BUCKET} AS bucket, count(*) AS n FROM a GROUP BY ALL),
+g AS (SELECT s.conv_id, (coalesce(h.n, 0) + 1) / (n_tokens + {R.BUCKETS}) AS p, q FROM s, q LEFT JOIN h ON h.conv_id = s.conv_id AND h.bucket = q.bucket),
+d AS (SELECT conv_id, sum(p * ln(p / q)) AS kl, sum((p - q) * ln(p / q)) AS psi FROM g GROUP BY conv_id),
+e AS (SELECT conv_id, sum({O.hits('text', O.any_of(O.L.POSITIVE))}) AS pos, sum({O.hits('text', O.any_of(O.L.NEGATIVE))}) AS neg FROM said WHERE role = 'assistant' GROUP BY conv_id),
+f AS (SELECT conv_id, n_tokens, kl, psi, rare / n_tokens AS rare_ratio, abs(CASE WHEN e.pos + e.neg > 0 THEN e.pos / (e.pos + e.neg) ELSE 0.5 END - (SELECT CASE WHEN pos + neg > 0 THEN pos / (pos + neg) ELSE 0.5 END FROM bs)) AS shift
+  FROM s JOIN d USING (conv_id) JOIN e USING (conv_id))
+SELECT conv_id, n_tokens, round(kl, 6) AS kl, round(psi, 6) AS psi, round(rare_ratio, 6) AS rare_ratio, round(shift, 6) AS sentiment_shift,
+  round(0.4 * (1 - exp(-kl)) + 0.3 * shift + 0.3 * rare_ratio, 6) AS score, round(0.4 * (1 - exp(-kl)) + 0.3 * shift + 0.3 * rare_ratio, 6) > 0.3 AS drifted FROM f""")
+def adv_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """What assistants say in each conversation against what users say in all."""
+    said = X.table(spark, sf, "conversations")
+    rows = R.drift(said.where("role = 'assistant'"), R.Baseline.of(said.where("role = 'user'")), "conv_id")
+    values = [F.round(c, 6).alias(c) for c in ("kl", "psi", "rare_ratio", "sentiment_shift", "score")]
+    return rows.select("conv_id", "n_tokens", *values).withColumn("drifted", F.col("score") > 0.3)
+
+
+_P = "(0.5 * pii + 0.5 * tox)"
+_H = f"(CASE WHEN {_P} > 0 THEN -{_P} * ln({_P}) ELSE 0 END + CASE WHEN 1 - {_P} > 0 THEN -(1 - {_P}) * ln(1 - {_P}) ELSE 0 END)"
+
+
+@query("adv_select", X.sql("guard", f""", {O.SCORED}, w AS (SELECT text_id, lang, {_H} AS w FROM scored JOIN documents ON doc_id = text_id),
+k AS (SELECT text_id, lang, ln((('0x' || md5(text_id || ':9')[1:12])::BIGINT + 0.5::DOUBLE) / {1 << 48}) / w AS key FROM w WHERE w > 0)
+SELECT lang, rank, text_id, round(key, 6) AS key FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY key DESC, text_id)::INT AS rank FROM k) WHERE rank <= 25"""))
+def adv_select(spark: SparkSession, sf: str) -> DataFrame:
+    """By language, 25 documents to have labelled, the likelier the less the classifiers can tell."""
+    df = C.with_results(X.guard(spark, sf), {"t": C.Toxicity(), "p": C.Pii()}, "text", False)
+    df = df.select("text_id", (0.5 * F.col("p.score") + 0.5 * F.col("t.score")).alias("p"))
+    df = S.with_keys(df, "text_id", S.entropy(F.col("p")), 9).join(X.table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "lang"), "text_id")
+    return S.reservoir(df, 25, "text_id", "lang").select("lang", "rank", "text_id", F.round("reservoir_key", 6).alias("key"))
+
+
+# Three sets, the last extends the others.
+SETS = {
+    "base": """
+name: base
+defaults: {mode: enforce, priority: 50}
+policies:
+  - {name: toxic, priority: 90, trigger: {type: classifier, classifier: toxicity, threshold: 0.6}, action: {type: stop, message: "${rule_name} ${score} in ${text_id}", status_code: 451}}
+  - {name: praise, trigger: {type: pattern, pattern: "great"}, action: {type: inject, content: " [${rule_name}]"}, continue: true}
+  - {name: old, trigger: {type: pattern, pattern: "."}, action: stop}
+""",
+    "money": """
+name: money
+extends: base
+defaults: {priority: 70, mode: shadow}
+policies:
+  - {name: promise, trigger: {type: pattern, pattern: "guaranteed", case_insensitive: true}, action: stop, message: no promises}
+  - {name: invest, mode: enforce, trigger: {type: pattern, pattern: "invest"}, action: {type: redact}, continue: true}
+""",
+    "house": """
+name: house
+extends: [money, base]
+policies:
+  - {name: old, mode: disabled, trigger: {type: pattern, pattern: "."}, action: stop}
+  - {name: pirates, priority: 70, trigger: {type: pattern, pattern: "pirate"}, action: stop, message: "no pirates"}
+""",
+}
+
+
+@query("pol_inherited", X.sql("guard", f""", s AS (SELECT *, {O.tox('text')} AS tox FROM guard),
+f AS (SELECT text_id, round(tox, 6) AS score, [CASE WHEN tox >= 0.6 THEN 'toxic' END, CASE WHEN {O.rx('text', '(?i)guaranteed')} THEN 'promise' END, CASE WHEN contains(text, 'invest') THEN 'invest' END, CASE WHEN contains(text, 'pirate') THEN 'pirates' END, CASE WHEN contains(text, 'great') THEN 'praise' END] AS fired FROM s),
+v AS (SELECT text_id, score, CASE WHEN fired[1] IS NOT NULL THEN fired[1:1] WHEN fired[4] IS NOT NULL THEN fired[1:4] ELSE fired END AS seen FROM f)
+SELECT text_id, array_to_string(list_filter(seen, lambda x: x IS NOT NULL AND x <> 'promise'), '|') AS rules, array_to_string(list_filter(seen, lambda x: x = 'promise'), '|') AS shadowed,
+  list_has_any(seen, ['toxic', 'pirates']) AS should_stop, CASE WHEN list_contains(seen, 'pirates') THEN 'no pirates' WHEN list_contains(seen, 'toxic') THEN 'toxic ' || score || ' in ' || text_id END AS message,
+  array_to_string(list_filter([CASE WHEN list_contains(seen, 'invest') THEN '[REDACTED]' END, CASE WHEN list_contains(seen, 'praise') THEN ' [praise]' END], lambda x: x IS NOT NULL), '|') AS content FROM v"""))
+def pol_inherited(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents under a set that extends two others: priorities, first match, a shadow rule, an overridden one and variables."""
+    rules = inherit.resolve("house", {n: inherit.PolicySet.from_yaml(t) for n, t in SETS.items()})
+    df = C.with_results(X.guard(spark, sf), {"tox": C.Toxicity()}, "text", False)
+    df = df.select("text_id", "text", F.create_map(F.lit("toxicity"), F.round("tox.score", 6)).alias("scores"))
+    df = ranked.with_ranked(df, rules, "text", "scores", variables={"text_id": F.col("text_id")})
+    return df.select("text_id", F.array_join("triggered.rule", "|").alias("rules"), F.array_join("shadowed", "|").alias("shadowed"), "outcome.should_stop", F.col("outcome.stop_message").alias("message"), F.array_join("outcome.modifications.content", "|").alias("content"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,12 +121,75 @@ def chain(events: DataFrame) -> DataFrame:
     return ready.mapInPandas(link, f"{shape}, previous_hash string, hash string")
 
 
+SEGMENT = "chain string, seq bigint, part int, n bigint, bad bigint, first_previous string, last_hash string"
+
+
+def segments(events: DataFrame) -> DataFrame:
+    """``SEGMENT`` rows of ranges of (chain, seq): for each range and chain its number of events, of bad ones, and its two ends; and a row with ``n`` 0 for each bad event.
+
+    An event is bad if its hash doesn't recompute or its previous hash isn't that of the event before. Only neighbours are compared, so a chain
+    may lie over many ranges; what stands before a range's first event is left to :func:`breaks`.
+    """
+    good = F.coalesce(F.col("hash") == hash_of(F.col("event_type"), F.col("data"), F.col("ts"), F.col("previous_hash")), F.lit(False))
+    rows = events.select(F.col("chain").cast("string").alias("chain"), F.col("seq").cast("long").alias("seq"), "previous_hash", "hash", good.alias("_good"))
+    names = [f.split()[0] for f in SEGMENT.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, run = TaskContext.get().partitionId(), None
+        for batch in batches:
+            out = []
+            for chain, seq, previous, own, fine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if run is None or run[0] != chain:
+                    out += [] if run is None else [tuple(run)]
+                    run = [chain, seq, part, 0, 0, previous, None]
+                elif previous != run[6]:
+                    fine = False
+                if not fine:
+                    out.append((chain, seq, part, 0, 1, None, None))
+                run[3], run[4], run[6] = run[3] + 1, run[4] + (not fine), own
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names)
+        if run is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(run, types, strict=True)], names)
+
+    return rows.repartitionByRange("chain", "seq").sortWithinPartitions("chain", "seq").mapInArrow(walk, SEGMENT)
+
+
+def joined_ends(found: DataFrame) -> DataFrame:
+    """Segments with ``torn``: whether a range's first event doesn't go on where the chain's range before ended. A row a range and chain."""
+    before = F.lag("last_hash").over(W.partitionBy("chain").orderBy("part"))
+    return found.where("n > 0").withColumn("torn", ~F.col("first_previous").eqNullSafe(before))
+
+
 def verify(events: DataFrame) -> DataFrame:
-    """chain, n_events, valid: every previous hash matches and every hash recomputes. Parallel over all rows of a chain's window."""
-    order = W.partitionBy("chain").orderBy("seq")
-    linked = F.col("previous_hash").eqNullSafe(F.lag("hash").over(order))
-    good = linked & F.coalesce(F.col("hash") == hash_of(F.col("event_type"), F.col("data"), F.col("ts"), F.col("previous_hash")), F.lit(False))
-    return events.withColumn("_ok", good).groupBy("chain").agg(F.count(F.lit(1)).alias("n_events"), F.bool_and("_ok").alias("valid"))
+    """chain, n_events, valid: every previous hash matches and every hash recomputes."""
+    whole = joined_ends(segments(events)).groupBy("chain").agg(F.sum("n").alias("n_events"), (F.sum("bad") + F.count_if("torn") == 0).alias("valid"))
+    return whole
+
+
+def breaks(events: DataFrame) -> DataFrame:
+    """chain, seq of the events at which a chain was changed: those whose hash doesn't recompute, and those that don't follow the event before."""
+    from guardspark.operators.merkle import saved
+
+    # Ranges are drawn anew by each run, and both parts have to be of one.
+    found = saved(segments(events), "segments")
+    torn = joined_ends(found).where("torn").select("chain", "seq")
+    return found.where("n = 0").select("chain", "seq").unionByName(torn).distinct()
+
+
+def compliance_report(requests: DataFrame) -> DataFrame:
+    """Totals of a period by GROUPING SETS in one pass: all requests, by action, and by rule and action. ``level`` says which; what doesn't apply is ``*``.
+
+    ``requests``: action, triggered_rules. A request counts once a level, however many rules it triggered.
+    """
+    rows = requests.select("action", F.posexplode_outer("triggered_rules").alias("at", "rule")).withColumn("first", F.coalesce(F.col("at") == 0, F.lit(True)).cast("long"))
+    sets = rows.groupingSets([["action", "rule"], ["action"], []], "action", "rule")
+    out = sets.agg(F.grouping_id().alias("g"), F.sum("first").alias("n_requests"), F.count("rule").alias("n_triggers"))
+    level = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "action").otherwise("rule")
+    out = out.where("g <> 0 or rule is not null").withColumn("level", level)
+    return out.select("level", F.coalesce("action", F.lit("*")).alias("action"), F.coalesce("rule", F.lit("*")).alias("rule"), F.when(F.col("level") == "rule", F.col("n_triggers")).otherwise(F.col("n_requests")).alias("n"), "n_triggers")
 
 
 @dataclass(frozen=True)

@@ -6,15 +6,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardspark.operators import audit as A
 from guardspark.operators import classifiers as C
 from guardspark.operators import deobfuscate as D
 from guardspark.operators import drift as R
+from guardspark.operators import merkle as M
 from guardspark.operators import pipelines as P
 from guardspark.operators import ranked
 from guardspark.operators import selection as S
 from guardspark.plans import fixtures as X
 from guardspark.plans import oracle as O
 from guardspark.plans.catalog import query
+from guardspark.plans.flow import _CHAIN
 from guardspark.sources import inherit
 
 
@@ -155,3 +158,43 @@ def pol_inherited(spark: SparkSession, sf: str) -> DataFrame:
     df = df.select("text_id", "text", F.create_map(F.lit("toxicity"), F.round("tox.score", 6)).alias("scores"))
     df = ranked.with_ranked(df, rules, "text", "scores", variables={"text_id": F.col("text_id")})
     return df.select("text_id", F.array_join("triggered.rule", "|").alias("rules"), F.array_join("shadowed", "|").alias("shadowed"), "outcome.should_stop", F.col("outcome.stop_message").alias("message"), F.array_join("outcome.modifications.content", "|").alias("content"))
+
+
+_MERKLE = f""", {_CHAIN},
+lv AS (SELECT chain, k - 1 AS i, 0 AS level, count(*) OVER (PARTITION BY chain) AS size, sha256('leaf:' || hash) AS h FROM c
+  UNION ALL SELECT chain, i // 2, level + 1, max((size + 1) // 2), CASE WHEN count(*) = 2 THEN sha256('node:' || min_by(h, i) || ':' || max_by(h, i)) ELSE max(h) END FROM lv WHERE size > 1 GROUP BY chain, i // 2, level)"""
+
+
+def merkle_sql(select: str) -> str:
+    return X.sql("audit", f"{_MERKLE} {select}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("aud_merkle", merkle_sql("SELECT l.chain, n, h AS root FROM lv l JOIN (SELECT chain, max(k) AS n FROM c GROUP BY chain) USING (chain) WHERE size = 1"))
+def aud_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """The root of each day's chain, and its number of events."""
+    events = M.saved(A.chain(X.audit_events(spark, sf)), "chained")
+    n = events.groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(M.roots(M.trees(events)), "chain")
+
+
+@query("aud_proof", merkle_sql("SELECT chain, seq, k - 1 AS leaf, true AS valid, false AS forged FROM c"))
+def aud_proof(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event's proof against its chain's root; the same proof for another event's hash fails."""
+    events = M.saved(A.chain(X.audit_events(spark, sf)), "chained")
+    built = M.trees(events)
+    rows = M.proofs(built, M.numbered(events)).join(M.roots(built), "chain")
+    return rows.select("chain", "seq", "leaf", M.proven(F.col("hash"), F.col("steps"), F.col("root")).alias("valid"), M.proven(F.sha2("hash", 256), F.col("steps"), F.col("root")).alias("forged"))
+
+
+@query("aud_tampered", X.sql("audit", "SELECT chain, seq FROM audit WHERE seq % 97 = 3"))
+def aud_tampered(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains some of whose events were changed afterwards: where."""
+    events = A.chain(X.audit_events(spark, sf))
+    return A.breaks(events.withColumn("data", F.when(F.col("seq") % 97 == 3, F.concat("data", F.lit("x"))).otherwise(F.col("data"))))
+
+
+@query("aud_report", X.sql("requests", """, x AS (SELECT action, unnest(CASE WHEN len(triggered_rules) = 0 THEN [NULL] ELSE triggered_rules END) AS rule FROM requests)
+SELECT 'all' AS level, '*' AS action, '*' AS rule, (SELECT count(*) FROM requests) AS n, (SELECT count(rule) FROM x) AS n_triggers
+UNION ALL SELECT 'action', action, '*', count(*), sum(len(triggered_rules))::BIGINT FROM requests GROUP BY action UNION ALL SELECT 'rule', action, rule, count(*), count(*) FROM x WHERE rule IS NOT NULL GROUP BY action, rule"""))
+def aud_report(spark: SparkSession, sf: str) -> DataFrame:
+    return A.compliance_report(X.requests(spark, sf))

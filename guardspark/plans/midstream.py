@@ -16,6 +16,7 @@ from guardspark.plans.flow import chunk_stream, table_stream
 from guardspark.plans.govern import _INJ
 from guardspark.plans.shipped import DEFAULT
 from guardspark.streaming import eventtime as E
+from guardspark.streaming import reload
 from guardspark.streaming import stateful as S
 
 #: Characters of a token of the queries, and tokens a turn at most.
@@ -82,3 +83,25 @@ def st_sessions(spark: SparkSession, sf: str) -> DataFrame:
     events = table_stream(spark, sf, "events")
     rows = events.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("chunk"))
     return E.run_sessions(rows, SESSIONS)[0]
+
+
+# Two versions of a policy.
+VERSIONS = [
+    "name: p\nrules:\n  - {name: pirates, trigger: {type: pattern, pattern: pirate}, actions: [{type: stop}]}\n  - {name: praise, trigger: {type: pattern, pattern: great}, actions: [{type: log, message: nice}]}",
+    "name: p\nrules:\n  - {name: pirates, trigger: {type: pattern, pattern: pirate}, actions: [{type: log, message: seen}]}\n  - {name: insults, trigger: {type: pattern, pattern: idiot}, actions: [{type: stop}]}",
+]
+
+
+@query("st_reload", X.sql("chunks", """SELECT stream_id, seq, stream_id % 2 + 1 AS "version",
+  concat_ws('|', CASE WHEN contains(chunk, 'pirate') THEN 'pirates' END, CASE WHEN stream_id % 2 = 0 AND contains(chunk, 'great') THEN 'praise' END, CASE WHEN stream_id % 2 = 1 AND contains(chunk, 'idiot') THEN 'insults' END) AS rules,
+  CASE WHEN stream_id % 2 = 0 THEN contains(chunk, 'pirate') ELSE contains(chunk, 'idiot') END AS should_stop FROM chunks"""))
+def st_reload(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations with even numbers arrive under the first version of a policy, the others once the second has been published."""
+    source, state = S.work_dir(spark, "reload-source"), S.work_dir(spark, "reload")
+    table = reload.PolicyTable(spark, S.work_dir(spark, "policies"))
+    chunks = X.chunks(spark, sf)
+    for n, text in enumerate(VERSIONS):
+        table.publish([text])
+        chunks.where(F.col("stream_id") % 2 == n).write.parquet(f"{source}/{n}")
+        rows = reload.judge_stream(spark.readStream.schema(chunks.schema).parquet(f"{source}/*"), table, "chunk", state=state)
+    return rows.select("stream_id", "seq", "version", F.array_join("rules", "|").alias("rules"), "should_stop")

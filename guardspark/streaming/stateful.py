@@ -234,10 +234,10 @@ def guard(chunks: DataFrame, plan: Plan, name: str = "guard") -> DataFrame:
     return spark.read.schema("stream_id bigint, seq bigint, output string").option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
-def to_batches(stream: DataFrame, put: Callable[[DataFrame, int], None], name: str, mode: str = "update") -> None:
-    """Run a stream to its source's end, handing each micro-batch to ``put``."""
-    base = work_dir(stream.sparkSession, name)
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+def to_batches(stream: DataFrame, put: Callable[[DataFrame, int], None], name: str, mode: str = "update", checkpoint: str | None = None) -> None:
+    """Run a stream to its source's end, handing each micro-batch to ``put``; ``checkpoint``: that of a run to go on with."""
+    where = checkpoint or f"{work_dir(stream.sparkSession, name)}/checkpoint"
+    stream.writeStream.outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
 
 def audit_sink(events: DataFrame, path: str, name: str = "audit", state: str | None = None) -> None:

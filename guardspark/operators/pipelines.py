@@ -145,9 +145,9 @@ class Stage:
     transform: Transform | None = None
 
     def exits(self, found: Column) -> Column:
-        """Whether this stage's results end the pipeline: a score above 0, or above the threshold."""
+        """Whether this stage's results end the pipeline: a score above 0, or above the threshold. No score (of no text) never does."""
         least = {"match": 0.0, "threshold": self.threshold}[self.exit_on]
-        return F.exists(found, lambda x: x["result"]["score"] > least)
+        return F.coalesce(F.exists(found, lambda x: x["result"]["score"] > least), F.lit(False))
 
     @property
     def in_python(self) -> bool:

@@ -109,12 +109,6 @@ def clf_exceeds(spark: SparkSession, sf: str) -> DataFrame:
     return classified(X.guard(spark, sf), C.Toxicity()).select("text_id", C.exceeds(F.col("r"), 0.7).alias("exceeds"))
 
 
-@query("clf_tier_budget", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', {L.TIER_BUDGET[t]})" for n, t in L.TIERS.items()) + ") AS v(classifier, tier, budget_us)")
-def clf_tier_budget(spark: SparkSession, sf: str) -> DataFrame:
-    budget = F.create_map(*[F.lit(x) for kv in L.TIER_BUDGET.items() for x in kv])
-    return spark.createDataFrame(list(L.TIERS.items()), "classifier string, tier string").withColumn("budget_us", budget[F.col("tier")])
-
-
 def demo_sql(t: str) -> dict[str, str]:
     inj = "(" + " OR ".join(O.rx(t, p) for p in L.DEMO_INJECTION) + ")"
     any_pii = "(" + " OR ".join(O.rx(t, p) for _, p in L.DEMO_PII) + ")"

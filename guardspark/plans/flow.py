@@ -31,12 +31,6 @@ for _name, _config, _rows in (
     query(_name, context_sql(_rows))(lambda spark, sf, c=_config: X.chunks(spark, sf).select("stream_id", "seq", K.context(F.col("chunk"), c).alias("context")))
 
 
-@query("ctx_presets", "SELECT * FROM (VALUES ('default', 3, 100), ('entire', 0, 1000), ('none', 1, 10), ('window_5', 5, 100), ('window_200', 200, 200)) AS v(preset, context_chunks, max_buffer_size)")
-def ctx_presets(spark: SparkSession, sf: str) -> DataFrame:
-    presets = {"default": K.ContextConfig(), "entire": K.ContextConfig.entire(), "none": K.ContextConfig.none(), "window_5": K.ContextConfig.window(5), "window_200": K.ContextConfig.window(200)}
-    return spark.createDataFrame([(n, c.context_chunks, c.max_buffer_size) for n, c in presets.items()], "preset string, context_chunks int, max_buffer_size int")
-
-
 @query("ctx_current", X.sql("chunks", f"SELECT stream_id, seq, chunk AS current, least(row_number() OVER ({W}), 4)::BIGINT AS held FROM chunks"))
 def ctx_current(spark: SparkSession, sf: str) -> DataFrame:
     return X.chunks(spark, sf).select("stream_id", "seq", F.col("chunk").alias("current"), K.buffered(K.ContextConfig(3, 4)).cast("long").alias("held"))
@@ -257,4 +251,3 @@ def ten_build(spark: SparkSession, sf: str) -> DataFrame:
     return phases.ingress(df, lenient).select("text_id", "strict", F.col("blocked").alias("lenient"))
 
 
-

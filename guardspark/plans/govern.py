@@ -183,11 +183,6 @@ def act_has(spark: SparkSession, sf: str) -> DataFrame:
     return evaluated(spark, sf).select("text_id", R.has_actions(F.col("o")).alias("has_actions"))
 
 
-@query("sev_map", "SELECT * FROM (VALUES ('low', 'info'), ('medium', 'warning'), ('high', 'high'), ('critical', 'critical')) AS v(policy_severity, severity)")
-def sev_map(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in R.SEVERITY], "policy_severity string").withColumn("severity", R.severity(F.col("policy_severity")))
-
-
 def spans() -> Column:
     """Modifications with real spans by text_id: a redaction of bytes 2..5 (or none, or invalid) and injections."""
     m = lambda kind, content, position, a, b: F.struct(F.lit(kind).alias("kind"), F.lit(content).alias("content"), F.lit(position).cast("string").alias("position"), a.cast("int").alias("span_start"), b.cast("int").alias("span_end"))
@@ -312,7 +307,3 @@ def req_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return phases.last_prompt(X.turns(spark, sf))
 
 
-@query("err_map", "SELECT * FROM (VALUES ('invalid_request', 400), ('backend', 502), ('policy_violation', 403), ('internal', 500)) AS v(kind, status)")
-def err_map(spark: SparkSession, sf: str) -> DataFrame:
-    status = F.when(F.col("kind") == "invalid_request", 400).when(F.col("kind") == "backend", 502).when(F.col("kind") == "policy_violation", 403).otherwise(500)
-    return spark.createDataFrame([("invalid_request",), ("backend",), ("policy_violation",), ("internal",)], "kind string").withColumn("status", status)

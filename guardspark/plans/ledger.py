@@ -13,7 +13,6 @@ from guardspark.operators import tenants as N
 from guardspark.plans import fixtures as X
 from guardspark.plans.catalog import query
 from guardspark.plans.govern import _LOOSE, _R, evaluated, policy_sql
-from guardspark.sources.config import ServiceConfig
 from guardspark.streaming.stateful import work_dir
 
 _RANK = "(CASE severity WHEN 'warning' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3 ELSE 0 END)"
@@ -381,9 +380,6 @@ for _name in ("ten_resolve", "jn_tenant"):
 query("route_tenant", f"WITH {_HTTP}, ten AS (SELECT * FROM {_TENANTS}) SELECT request_id, CASE WHEN {_PATH} IS NOT NULL AND ten.id IS NULL THEN 400 ELSE 200 END AS status FROM http LEFT JOIN ten ON {_PATH} = ten.id")(
     lambda spark, sf: N.routed(http(spark, sf), tenant_rows(spark)).select("request_id", "status")
 )
-query("ten_inherit", f"SELECT id, coalesce(safety_threshold, 0.7::DOUBLE) AS safety_threshold, coalesce(stream_format, 'openai') AS stream_format, 0.8::DOUBLE AS chunk_threshold FROM {_TENANTS}")(
-    lambda spark, sf: N.inherited(tenant_rows(spark), ServiceConfig()).select("id", "safety_threshold", "stream_format", "chunk_threshold")
-)
 
 # URLs that cover every rule.
 URLS = [

@@ -127,14 +127,15 @@ def gen_mock_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 _TEMPLATES = [(c, k, s, p) for c, ps in G.PROMPTS.items() for k, (s, p) in enumerate(ps)]
 _TRAFFIC = f"""WITH t(category, k, system, prompt) AS (VALUES {", ".join(f"({X.literal(c)}, {k}, {X.literal(s)}, {X.literal(p)})" for c, k, s, p in _TEMPLATES)}),
-r AS (SELECT id, {O.pick(list(G.PROMPTS), 'id', 3)} AS category, {O.drawn('id', 4, 2**31 - 1)} AS d FROM (SELECT unnest(range(2000)) AS id)),
+r AS (SELECT id, {O.pick(list(G.PROMPTS), 'id', 3)} AS category, {O.drawn('id', 4, 2**31 - 1)} AS d FROM (SELECT event_id AS id FROM events)),
 s AS (SELECT category, count(*) AS n FROM t GROUP BY category)
 SELECT id, r.category, 'gpt-4' AS model, system, prompt FROM r JOIN s USING (category) JOIN t ON t.category = r.category AND t.k = r.d % s.n"""
 
 
 @query("gen_traffic", _TRAFFIC)
 def gen_traffic(spark: SparkSession, sf: str) -> DataFrame:
-    return G.traffic(spark, 2000, seed=3)
+    """A request for each event."""
+    return G.traffic(X.table(spark, sf, "events").select(F.col("event_id").alias("id")), seed=3)
 
 
 def planted(kind: str) -> None:

@@ -1,17 +1,24 @@
-"""Holdback, resumable matching and event time against brute force."""
+"""Holdback, resumable matching, event time and the mechanisms that the documentation describes, against brute force."""
 
+import hashlib
 import random
 import re
+import shutil
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from guardspark.errors import ConfigError
 from guardspark.functions import lexicons as L
 from guardspark.functions import text as T
-from guardspark.operators import classifiers, holdback, phases, pipelines, resume
+from guardspark.operators import audit, classifiers, deobfuscate, drift, holdback, merkle, phases, pipelines, resume, selection
+from guardspark.plans.documented import SETS
 from guardspark.plans.shipped import DEFAULT
+from guardspark.sources import config, inherit
 from guardspark.sources.config import Action, Policy, Rule, Trigger
-from guardspark.streaming import eventtime, stateful
+from guardspark.streaming import eventtime, reload, stateful
 
 TOKENS = "stream_id bigint, seq bigint, token string, done boolean"
 
@@ -141,3 +148,174 @@ def test_sessions_by_event_time(spark, tmp_path):
     got, reports = run("parts", [mixed[k : k + 40] for k in range(0, 300, 40)] + [[tick], [late]])
     assert got == whole and [r.late for r in reports] == [0] * 9 + [1]
     assert reports[0].streams_held == 5 and reports[-1].streams_held == 1
+
+
+# What the documentation describes
+
+
+def test_decided_rows_never_reach_python(spark):
+    """Rows that a stage lets out don't pass the model; the others' scores are normalised."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def score(texts):
+            seen.add(len(texts))
+            return pd.DataFrame({"label": "m", "score": [3.0] * len(texts)})
+
+        return score
+
+    spec = {"stages": [
+        {"type": "single", "name": "a", "classifier": "toxicity", "exit_on": "match"}, {"type": "single", "name": "b", "classifier": "pii", "exit_on": "threshold", "threshold": 0.9},
+        {"type": "single", "name": "c", "classifier": "model", "transform": {"type": "normalize", "min": 1, "max": 5}}, {"type": "single", "name": "d", "classifier": "sentiment"},
+    ]}
+    texts = ["you idiot", "mail a@b.org", "so it goes", None, "", "all is great"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    pipeline = pipelines.from_config("p", spec, classifiers.built_in() | {"model": classifiers.VectorClassifier("model", load)})
+    got = {r.id: [(x.stage, x.result.score) for x in r.results] for r in pipeline.run(df).collect()}
+    assert [s for s, _ in got[0]] == ["a"] and [s for s, _ in got[1]] == ["a", "b"]
+    assert all([s for s, _ in got[k]] == ["a", "b", "c", "d"] and got[k][2][1] == 0.5 for k in (2, 3, 4, 5))
+    assert seen.value == 4
+    with pytest.raises(ValueError):
+        pipelines.from_config("p", {"stages": [{"type": "single", "name": "a", "classifier": "pii", "exit_on": "sometimes"}]})
+    with pytest.raises(ValueError):
+        pipelines.transform({"type": "normalize", "min": 1, "max": 1})
+
+
+def brute_fold(text):
+    """Folded text, and each character's place in the source."""
+    cuts = [(m.start(), m.end()) for m in re.finditer(deobfuscate.CUT, text)]
+    gone = set()
+    for k, (a, b) in enumerate(cuts):
+        before = a - (cuts[k - 1][1] if k else 0)
+        after = (cuts[k + 1][0] if k + 1 < len(cuts) else len(text)) - b
+        if all(c in deobfuscate.ZERO_WIDTH for c in text[a:b]) or before == after == 1:
+            gone |= set(range(a, b))
+    table = dict(zip(deobfuscate.FROM, deobfuscate.TO, strict=True))
+    kept = [k for k in range(len(text)) if k not in gone]
+    return "".join(table.get(text[k], text[k]) for k in kept), kept
+
+
+def test_hidden_terms_are_found_in_the_source(spark):
+    draw = random.Random(9)
+    atoms = ["g u a r a n t e e d", "risk​ free", "R1SK FR33", "gսаrаntееd", " ", ".", "x", "é", "日本", "word", "-", "G.U.A.R.A.N.T.E.E.D", "🎉", "​", "a", "\n"]
+    texts = ["".join(draw.choice(atoms) for _ in range(draw.randint(0, 40))) for _ in range(150)] + [None, "", "word " * 3000 + "g u a r a n t e e d"]
+    rows = list(enumerate(texts))
+    got = deobfuscate.protect(spark.createDataFrame(rows, "id int, text string"), ["guaranteed", "risk free"], replacement="#").collect()
+    for r in got:
+        text = texts[r.id] or ""
+        folded, place = brute_fold(text)
+        spans = [(place[m.start()], place[m.end() - 1] + 1) for m in re.finditer("guaranteed|risk free", folded)]
+        out, at = "", 0
+        for a, b in spans:
+            out, at = out + text[at:a] + "#", b
+        assert (r.protected or "") == out + text[at:]
+        assert [(s.start, s.end) for s in r.spans or []] == [(len(text[:a].encode()), len(text[:b].encode())) for a, b in spans]
+    assert sum(len(r.hits) for r in got) > 100
+
+
+def test_drift_adds_up(spark):
+    """Sketches of parts make the sketch of the whole; the same words as the baseline's are no drift."""
+    rows = [(k % 4, "the sun is great today" if k % 4 else f"zq{k} xv{k} terrible") for k in range(80)]
+    df = spark.createDataFrame(rows, "conv int, text string")
+    base = drift.Baseline.of(df.where("conv > 0"))
+    whole = sorted(map(tuple, base.sketch(df, "conv").collect()))
+    parts = base.sketch(df.where("length(text) > 20"), "conv").unionByName(base.sketch(df.where("length(text) <= 20"), "conv"))
+    assert sorted((r.conv, r.bucket, r.n, r.rare) for r in drift.merged(parts, "conv").collect()) == whole
+    got = {r.conv: r for r in drift.drift(df, base, "conv", limit=0.5).collect()}
+    assert got[0].drifted and got[0].rare_ratio == 1 and got[0].kl > 0.5 and not any(got[k].drifted or got[k].rare_ratio for k in (1, 2, 3))
+    assert drift.drift(df.where("false"), base, "conv").count() == 0
+
+
+def test_reservoirs_merge(spark):
+    df = spark.createDataFrame([(k, k % 3, (k % 11) / 10) for k in range(600)], "id int, s int, p double")
+    keyed = selection.with_keys(df, "id", selection.entropy(F.col("p")), 4)
+    whole = sorted((r.s, r.rank, r.id) for r in selection.reservoir(keyed, 7, "id", "s").collect())
+    parts = selection.reservoir(keyed.where("id < 250"), 7, "id", "s").unionByName(selection.reservoir(keyed.where("id >= 250"), 7, "id", "s"))
+    assert sorted((r.s, r.rank, r.id) for r in selection.reservoir(parts, 7, "id", "s").collect()) == whole and len(whole) == 21
+    sure = {r.id for r in keyed.collect()}
+    assert not any(k % 11 in (0, 10) for k in sure)
+    # The likelier, the less sure: 0.5 beats 0.1.
+    picks = [k for seed in range(20) for k in (r.id % 11 for r in selection.reservoir(selection.with_keys(df, "id", selection.margin(F.col("p")), seed), 30, "id").collect())]
+    assert picks.count(5) > 2 * picks.count(1)
+
+
+def test_policies_inherit():
+    sets = {n: inherit.PolicySet.from_yaml(t) for n, t in SETS.items()}
+    rules = inherit.resolve("house", sets)
+    assert [(r.rule.name, r.policy, r.mode, r.priority) for r in rules] == [
+        ("toxic", "base", "enforce", 90), ("promise", "money", "shadow", 70), ("invest", "money", "enforce", 70), ("pirates", "house", "enforce", 70), ("praise", "base", "enforce", 50), ("old", "house", "disabled", 50),
+    ]
+    loop = {"a": inherit.PolicySet("a", (), ("b",)), "b": inherit.PolicySet("b", (), ("c",)), "c": inherit.PolicySet("c", (), ("b",))}
+    with pytest.raises(ConfigError, match="b extends c extends b"):
+        inherit.resolve("a", loop)
+    with pytest.raises(ConfigError, match="a extends b, which isn't there"):
+        inherit.resolve("a", {"a": loop["a"]})
+    for bad in ("name: x\npolicies: [{name: r, mode: maybe, trigger: {type: pattern, pattern: a}, action: stop}]", "name: x\npolicies: [{name: r, action: stop}]", "[]"):
+        with pytest.raises(ConfigError):
+            inherit.PolicySet.from_yaml(bad)
+
+
+def test_policy_sets_of_a_folder(tmp_path):
+    (tmp_path / "base.yaml").write_text(SETS["base"])
+    (tmp_path / "more.yaml").write_text('name: more\nextends: "./base.yaml"\npolicies: []')
+    assert [r.rule.name for r in inherit.resolve("more.yaml", inherit.load_sets(tmp_path))] == ["toxic", "praise", "old"]
+
+
+@pytest.mark.parametrize("height", [2, 10])
+def test_merkle_trees(spark, monkeypatch, height):
+    """Roots as a plain recomputation has them; proofs hold for their event alone; each change is found."""
+    monkeypatch.setattr(merkle, "HEIGHT", height)
+    sizes = {"a": 1, "b": 2, "c": 7, "d": 33, "e": 64}
+    rows = [(c, 10 * k, "t", f"{c}{k}", datetime(2024, 1, 1)) for c, n in sizes.items() for k in range(n)]
+    chained = merkle.saved(audit.chain(spark.createDataFrame(rows, "chain string, seq bigint, event_type string, data string, ts timestamp")), "test-chain")
+    events = {(r.chain, r.seq): r.hash for r in chained.collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def root(chain):
+        level = [sha("leaf:" + events[chain, 10 * k]) for k in range(sizes[chain])]
+        while len(level) > 1:
+            level = [sha(f"node:{level[k]}:{level[k + 1]}") if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        return level[0]
+
+    built = merkle.trees(chained)
+    assert {r.chain: r.root for r in merkle.roots(built).collect()} == {c: root(c) for c in sizes}
+    proofs = merkle.proofs(built, merkle.numbered(chained)).join(merkle.roots(built), "chain")
+    own = merkle.proven(F.col("hash"), F.col("steps"), F.col("root"))
+    got = proofs.select("chain", "leaf", own.alias("own"), merkle.proven(F.lit("x"), F.col("steps"), F.col("root")).alias("other")).collect()
+    assert len(got) == len(rows) and all(r.own and not r.other for r in got)
+    assert {r.valid for r in audit.verify(chained.repartition(7)).collect()} == {True} and audit.breaks(chained).count() == 0
+    changed = chained.where("not (chain = 'd' and seq = 100)").withColumn("data", F.when((F.col("chain") == "e") & F.col("seq").isin(0, 330), "forged").otherwise(F.col("data")))
+    assert sorted(map(tuple, audit.breaks(changed).collect())) == [("d", 110), ("e", 0), ("e", 330)]
+    assert {r.chain for r in audit.verify(changed).collect() if not r.valid} == {"d", "e"}
+
+
+def test_policies_reload_while_a_stream_runs(spark, tmp_path):
+    """A rule changes between batches: each row has one version, and a batch that runs again keeps its own."""
+    table, state = reload.PolicyTable(spark, f"file://{tmp_path}/policies"), f"file://{tmp_path}/state"
+    schema = "id int, text string"
+    rule = "name: p\nrules: [{{name: {0}, trigger: {{type: pattern, pattern: {0}}}, actions: [{{type: stop}}]}}]"
+    with pytest.raises(ConfigError):
+        table.publish(["rules: 7"])
+    spark.createDataFrame([(1, "a"), (2, "b")], schema).write.parquet(f"{tmp_path}/in/0")
+    source = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+    with pytest.raises(Exception, match="holds no policies"):
+        reload.judge_stream(source(), table, state=state)
+    assert table.publish([rule.format("a")]) == 1
+    reload.judge_stream(source(), table, state=state)
+    assert table.publish([rule.format("b"), rule.format("c")]) == 2
+    # The first batch is lost with its commit: it runs again, by the version that it noted.
+    shutil.rmtree(tmp_path / "state/checkpoint")
+    shutil.rmtree(tmp_path / "state/out")
+    reload.judge_stream(source(), table, state=state)
+    spark.createDataFrame([(3, "a"), (4, "b c"), (5, None)], schema).write.parquet(f"{tmp_path}/in/1")
+    got = sorted((r.id, r.version, r.rules, r.should_stop) for r in reload.judge_stream(source(), table, state=state).collect())
+    assert got == [(1, 1, ["a"], True), (2, 1, [], False), (3, 2, [], False), (4, 2, ["b", "c"], True), (5, 2, [], False)]
+
+
+def test_defaults_and_names():
+    """Settings that come with the engine."""
+    a, m, s = config.AuditConfig(), config.ModelConfig("m"), config.ServiceConfig()
+    assert (a.max_file_bytes, a.max_file_seconds, a.retention_days, a.flush_seconds) == (104857600, 86400, 90, 10)
+    assert (m.revision, m.pooling, m.device, m.max_length, m.batch_size, m.quantization) == ("main", "mean", "cpu", 512, 1, "int8_dynamic")
+    assert (s.token_holdback, s.max_buffer_capacity, s.timeout_ms, s.context_chunks, s.max_buffer_size) == (10, 1000, 10, 5, 100)
+    assert (Action("stop").level, Action("stop").status_code, Action("stop").position) == ("info", 403, "after")

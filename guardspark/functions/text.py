@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,10 +25,30 @@ def any_of(terms: list[str]) -> str:
     return "(?i)" + "|".join(escape(terms[k]) for k in order)
 
 
+@cache
+def keys(terms: tuple[str, ...], least: int = 5) -> list[str]:
+    """Few strings of which each term holds at least one: parts of ``least`` letters or more (or whole terms), the one in most terms first, the longest of equals."""
+    parts: dict[str, set[str]] = {}
+    for t in terms:
+        n = min(least, len(t))
+        for a in range(len(t) - n + 1):
+            for b in range(a + n, len(t) + 1):
+                parts.setdefault(t[a:b], set()).add(t)
+    left, out = set(terms), []
+    while left:
+        out.append(max(parts, key=lambda p: (len(parts[p] & left), len(p), p)))
+        left -= parts[out[-1]]
+    return out
+
+
 def maybe(text: Column, terms: list[str]) -> Column:
-    """False only where no term occurs in any case: a cheap byte search in front of a pattern."""
+    """False only where no term occurs in any case: a cheap byte search in front of a pattern. Each search walks the whole text, so parts that many terms
+    share come first, and only a text with one of those is searched for the terms themselves."""
     low = F.lower(text)
-    return reduce(lambda a, b: a | b, [low.contains(t.lower()) for t in dict.fromkeys(terms)])
+    wanted = tuple(dict.fromkeys(t.lower() for t in terms))
+    one_of = lambda these: reduce(lambda a, b: a | b, [low.contains(t) for t in these])
+    shared = keys(wanted)
+    return one_of(shared) & one_of(wanted) if len(shared) < 0.7 * len(wanted) else one_of(wanted)
 
 
 def has_any(text: Column, terms: list[str]) -> Column:

@@ -26,8 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its table has fewer files than those. A file of one row group is one task's, and to classify a text costs
+    far more than to send it; a table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"))
 
 
 def guard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,26 +292,55 @@ def store(events: DataFrame, path: str) -> None:
     events.withColumn("event_date", F.to_date("ts")).write.mode("append").partitionBy("event_date").parquet(path)
 
 
-def rotated(events: DataFrame, size: Column, max_bytes: int, *order: str) -> DataFrame:
-    """``events`` with ``file``: the number of the day's file that a row goes to.
+def rotated(events: DataFrame, size: Column, max_bytes: int, *order: str, max_seconds: int = 86_400, held: DataFrame | None = None) -> DataFrame:
+    """``events`` with event_date, ``period`` and ``file``: the number of the period's file that a row goes to.
 
-    A file ends with its day and when it has ``max_bytes``; ``size`` is a row's bytes. Bytes before a row are those of the day's earlier
-    minutes and of its own minute's earlier rows, so no task sums a whole day row by row.
+    A file ends with its period (``max_seconds`` of a day), so none is older than that, and when it has ``max_bytes``; ``size`` is a row's bytes. ``held``
+    (event_date, period, file, bytes: the last file of each period that is there already) is gone on with. Events without a time have a day of
+    their own. Ranges in the order of time are summed side by side, then shifted, so no task sums a day or a burst row by row.
     """
-    rows = events.withColumns({"_size": size, "_minute": F.date_trunc("minute", "ts"), "event_date": F.to_date("ts")})
-    minutes = rows.groupBy("event_date", "_minute").agg(F.sum("_size").alias("_bytes"))
-    upto = W.partitionBy("event_date").orderBy("_minute").rowsBetween(W.unboundedPreceding, -1)
-    minutes = minutes.select("_minute", F.coalesce(F.sum("_bytes").over(upto), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("_minute").orderBy("ts", *order).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(minutes, "_minute")
-    return rows.withColumn("file", F.floor((F.col("_before") + F.col("_inside")) / max_bytes)).drop("_size", "_minute", "_before", "_inside")
-
+    from guardspark.operators.merkle import saved
 
-def store_rotated(events: DataFrame, path: str, max_bytes: int, *order: str, columns: tuple[str, ...] = ()) -> None:
-    """Append JSON lines (of ``columns``, or all) in folders of a day and a file number, each of about ``max_bytes``."""
+    seconds = (F.unix_micros("ts") - F.unix_micros(F.date_trunc("day", "ts"))) / 1_000_000
+    rows = events.withColumns({"_size": size, "event_date": F.to_date("ts"), "period": F.coalesce(F.floor(seconds / max_seconds), F.lit(0)).cast("int")})
+    by = ("event_date", "period", "ts", *order)
+    rows = saved(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "rotation")
+    day = F.coalesce(F.col("event_date").cast("string"), F.lit(""))
+    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_day": day})
+    keys = ["_day", "period", "_part"]
+    # A row a range and period.
+    runs = rows.groupBy(*keys).agg(F.sum("_size").alias("_bytes"))
+    upto = W.partitionBy("_day", "period").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.select(*keys, F.coalesce(F.sum("_bytes").over(upto), F.lit(0)).alias("_before"))
+    if held is not None:
+        runs = runs.join(held.select(day.alias("_day"), "period", F.col("file").alias("_last"), F.col("bytes").alias("_full")), ["_day", "period"], "left")
+    else:
+        runs = runs.withColumns({"_last": F.lit(None).cast("long"), "_full": F.lit(None).cast("long")})
+    inside = W.partitionBy(*keys).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(runs, keys)
+    at = F.coalesce("_full", F.lit(0)) + F.col("_before") + F.col("_inside")
+    file = F.coalesce("_last", F.lit(0)) + F.floor(at / max_bytes)
+    return rows.withColumn("file", file).drop("_size", "_at", "_inside", "_before", "_last", "_full", "_part", "_day")
+
+
+def last_files(spark, path: str) -> DataFrame | None:
+    """event_date, period, file, bytes of the last file of each period below ``path``, from the files' lengths alone; None if there is nothing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    sizes = files.groupBy("event_date", "period", "file").agg(F.sum("length").alias("bytes"))
+    last = sizes.groupBy("event_date", "period").agg(F.max_by(F.struct("file", "bytes"), "file").alias("f"))
+    return last.select(F.col("event_date").cast("date").alias("event_date"), F.col("period").cast("int").alias("period"), F.col("f.file").cast("long").alias("file"), F.col("f.bytes").alias("bytes"))
+
+
+def store_rotated(events: DataFrame, path: str, max_bytes: int, *order: str, columns: tuple[str, ...] = (), max_seconds: int = 86_400) -> None:
+    """Append JSON lines (of ``columns``, or all) in folders of a day, a period and a file number. A file takes lines until it has ``max_bytes``, over
+    several appends, so it exceeds that by less than a line."""
     line = F.to_json(F.struct(*(columns or events.columns)))
-    rows = rotated(events.withColumn("value", line), F.octet_length("value") + 1, max_bytes, *order)
-    rows.select("value", "event_date", "file").repartition("event_date", "file").write.mode("append").partitionBy("event_date", "file").text(path)
+    rows = rotated(events.withColumn("value", line), F.octet_length("value") + 1, max_bytes, *order, max_seconds=max_seconds, held=last_files(events.sparkSession, path))
+    folders = ("event_date", "period", "file")
+    rows.select("value", *folders).repartition(*folders).write.mode("append").partitionBy(*folders).text(path)
 
 
 class Trail:

@@ -230,13 +230,16 @@ class Sequence:
 
 
 class VectorClassifier:
-    """A model in Python. ``load`` runs once a Python worker and gives the function of a series of texts to a frame with ``label`` and ``score``."""
+    """A model in Python. ``load`` runs once a Python worker and gives the function of a series of texts to a frame with ``label`` and ``score``.
 
-    def __init__(self, name: str, load: Callable[[], Callable[[pd.Series], pd.DataFrame]], tier: str = "C"):
-        self.name, self.tier, self.load = name, tier, load
+    ``takes`` is ``text`` (null is empty) or ``vector``: then the series has arrays of numbers, or None.
+    """
+
+    def __init__(self, name: str, load: Callable[[], Callable[[pd.Series], pd.DataFrame]], tier: str = "C", takes: str = "text"):
+        self.name, self.tier, self.load, self.takes = name, tier, load, takes
 
     def base(self, text: Column) -> Base:
-        load, held = self.load, uuid.uuid4().hex
+        load, held, of_text = self.load, uuid.uuid4().hex, self.takes == "text"
 
         @F.pandas_udf("label string, score double")
         def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -245,7 +248,7 @@ class VectorClassifier:
             if held not in models:
                 models[held] = load()
             for texts in batches:
-                yield models[held](texts.fillna(""))[["label", "score"]]
+                yield models[held](texts.fillna("") if of_text else texts)[["label", "score"]]
 
         return {"r": call(text)}
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardspark.errors import ClassifierError
 from guardspark.functions.text import clamp
+from guardspark.operators.classifiers import VectorClassifier
 
 
 def mean_pool(vectors: DataFrame, key: str = "text_id", vec: str = "vec", mask: str = "mask") -> DataFrame:
@@ -47,3 +54,54 @@ def sequence_result(probabilities: Column, labels: list[str], threshold: float)
         score = F.coalesce(F.get(probabilities, F.lit(1)), best["p"])
         return F.struct(F.when(score <= threshold, labels[0]).otherwise(predicted).alias("label"), score.alias("score"))
     return F.struct(predicted.alias("label"), best["p"].alias("score"))
+
+
+@dataclass(frozen=True)
+class SequenceHead:
+    """A sequence classifier's head in numpy: a linear layer over a text's vector and softmax. Weights are ``labels x dimensions``.
+
+    A vector of another length counts as zeros where it ends early and is cut where it is longer; one that is null is zeros.
+    """
+
+    labels: tuple[str, ...]
+    weights: np.ndarray
+    bias: np.ndarray
+    threshold: float = 0.5
+
+    @classmethod
+    def from_file(cls, path: str | Path, threshold: float = 0.5) -> SequenceHead:
+        """From an ``.npz`` file with ``labels``, ``weights`` and ``bias``."""
+        try:
+            with np.load(path, allow_pickle=False) as f:
+                out = cls(tuple(map(str, f["labels"])), f["weights"].astype(np.float64), f["bias"].astype(np.float64), threshold)
+        except (OSError, KeyError, ValueError) as e:
+            raise ClassifierError(f"not a head: {path}: {e!r}") from e
+        if out.weights.ndim != 2 or out.weights.shape[0] != len(out.labels) or out.bias.shape != (len(out.labels),):
+            raise ClassifierError(f"not a head: {path}: {out.weights.shape} weights for {len(out.labels)} labels")
+        return out
+
+    def probabilities(self, vectors: list) -> np.ndarray:
+        x = np.zeros((len(vectors), self.weights.shape[1]))
+        for row, v in zip(x, vectors, strict=True):
+            if v is not None:
+                n = min(len(v), len(row))
+                row[:n] = v[:n]
+        logits = x @ self.weights.T + self.bias
+        powers = np.exp(logits - logits.max(1, keepdims=True))
+        return powers / powers.sum(1, keepdims=True)
+
+    def judge(self, vectors: pd.Series) -> pd.DataFrame:
+        """label and score by vector, by the rules of :func:`sequence_result`."""
+        p = self.probabilities(vectors.tolist())
+        # The last of equal probabilities.
+        best = p.shape[1] - 1 - p[:, ::-1].argmax(1)
+        label, score = np.array(self.labels)[best], p[np.arange(len(p)), best]
+        if len(self.labels) == 2:
+            score = p[:, 1]
+            label = np.where(score <= self.threshold, self.labels[0], label)
+        return pd.DataFrame({"label": label, "score": score})
+
+
+def head_classifier(name: str, head: SequenceHead) -> VectorClassifier:
+    """A head as a classifier of a column of vectors. Its weights travel with the plan, as they are a few rows."""
+    return VectorClassifier(name, lambda: head.judge, takes="vector")

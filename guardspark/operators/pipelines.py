@@ -209,20 +209,10 @@ class Pipeline:
         return {id(c): c for s in (self.stages if stages is None else stages) for _, c in s.classifiers}
 
     def results(self, columns: dict[int, Column]) -> Column:
-        return self.extended(self.stages, columns, F.struct(F.array().cast(f"array<{ITEM}>").alias("results"), F.lit(False).alias("exited")))["results"]
-
-    @staticmethod
-    def extended(stages: list[Stage], columns: dict[int, Column], state: Column) -> Column:
-        """``state`` (results so far, and whether the row has left) after ``stages``."""
-        so_far, left = state["results"], state["exited"]
-        for stage in stages:
-            found = stage.results(columns, so_far)
-            if any(s.exit_on != "never" for s in stages):
-                found = F.when(left, F.array().cast(f"array<{ITEM}>")).otherwise(found)
-            so_far = F.concat(so_far, found)
-            if stage.exit_on != "never":
-                left = left | stage.exits(found)
-        return F.struct(so_far.alias("results"), left.alias("exited"))
+        so_far = F.array().cast(f"array<{ITEM}>")
+        for stage in self.stages:
+            so_far = F.concat(so_far, stage.results(columns, so_far))
+        return so_far
 
     def run(self, df: DataFrame, text: str = "text", into: str = "results", detail: bool = False) -> DataFrame:
         """``df`` with the results array; classifier columns are temporary. Spans and extras only if ``detail`` asks for them.
@@ -234,23 +224,31 @@ class Pipeline:
         if not any(s.exit_on != "never" for s in self.stages):
             df, columns = self.classified(df, self.stages, text, detail)
             return df.withColumn(into, self.results({k: F.col(n) for k, n in columns.items()})).drop(*columns.values())
-        nothing = F.struct(F.array().cast(f"array<{ITEM}>").alias("results"), F.lit(False).alias("exited"))
-        df = self.routed(df.withColumn("_state", nothing), self.stages, text, detail)
-        return df.withColumn(into, F.col("_state.results")).drop("_state")
+        df = self.routed(df.withColumns({"_results": F.array().cast(f"array<{ITEM}>"), "_left": F.lit(False)}), self.stages, text, detail)
+        return df.withColumn(into, F.col("_results")).drop("_results", "_left")
 
     def classified(self, df: DataFrame, stages: list[Stage], text: str, detail: bool) -> tuple[DataFrame, dict[int, str]]:
         names = {key: f"_clf_{k}" for k, key in enumerate(self.classifiers(stages))}
         return (with_results(df, {names[key]: c for key, c in self.classifiers(stages).items()}, text, detail) if names else df), names
 
     def routed(self, df: DataFrame, stages: list[Stage], text: str, detail: bool) -> DataFrame:
-        """``df`` with ``_state`` after ``stages``."""
+        """``df`` with ``_results`` so far and ``_left`` (whether the row has left) after ``stages``."""
         first = next((k for k, s in enumerate(stages) if s.in_python and any(b.exit_on != "never" for b in stages[:k])), len(stages))
         now, later = stages[:first], stages[first:]
         df, columns = self.classified(df, now, text, detail)
-        df = df.withColumn("_state", self.extended(now, {k: F.col(n) for k, n in columns.items()}, F.col("_state"))).drop(*columns.values())
+        # A projection a stage: what a stage finds, and whether the row has left by then, is asked for by all that come after it.
+        for stage in now:
+            found = stage.results({k: F.col(n) for k, n in columns.items()}, F.col("_results"))
+            df = df.withColumn("_found", F.when(F.col("_left"), F.array().cast(f"array<{ITEM}>")).otherwise(found))
+            left = F.col("_left") if stage.exit_on == "never" else F.col("_left") | stage.exits(F.col("_found"))
+            df = df.withColumns({"_results": F.concat("_results", "_found"), "_left": left}).drop("_found")
+        df = df.drop(*columns.values())
         if not later:
             return df
-        return df.where("_state.exited").unionByName(self.routed(df.where("not _state.exited"), later, text, detail))
+        # A filter is pushed below projections with all that its column is made of, but not below a generator (an outer one, from which Spark infers no filter).
+        rest = [c for c in df.columns if c not in ("_results", "_left")]
+        df = df.select(*rest, F.explode_outer(F.array(F.struct("_results", "_left"))).alias("_s")).select(*rest, "_s._results", "_s._left")
+        return df.where("_left").unionByName(self.routed(df.where("not _left"), later, text, detail))
 
 
 def final(results: Column) -> Column:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardspark.functions.text import bound
 from guardspark.sources.config import ServiceConfig
 
 # Host names that a backend may not have.
@@ -75,30 +77,45 @@ def host_of(url: Column) -> Column:
 
 
 def url_problem(url: Column, rules: UrlRules) -> Column:
-    """Null if the backend URL is fine, else what is wrong: invalid_url, invalid_scheme, missing_host or blocked_host."""
+    """Null if the backend URL is fine, else what is wrong: invalid_url, invalid_scheme, missing_host or blocked_host. Scheme and host are looked for once a row."""
     scheme = F.nullif(F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
-    host = host_of(url)
-    bare = F.regexp_replace(host, r"^\[|\]$", "")
-    in_domain = lambda d: (host == d) | host.endswith("." + d)
-    blocked = F.lit(False)
-    if not rules.allow_localhost:
-        for h in BLOCKED_HOSTS:
-            blocked = blocked | in_domain(h)
-    quad = host.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$")
-    octet = [F.try_element_at(F.split(host, "\\."), F.lit(k + 1)).try_cast("int") for k in range(4)]
-    # IPv6: the first group in hex; a leading "::" is zero.
-    v6 = host.startswith("[")
-    group = F.conv(F.nullif(F.regexp_extract(bare, "^([0-9a-f]{1,4}):", 1), F.lit("")), 16, 10).try_cast("int")
+    schemes = ["https", "http"] if rules.allow_http else ["https"]
+
+    def problem(u: Column) -> Column:
+        blocked = bound(u["host"], lambda host: host_blocked(host, rules))
+        return F.when(u["scheme"].isNull(), "invalid_url").when(~u["scheme"].isin(schemes), "invalid_scheme").when(u["host"].isNull(), "missing_host").when(blocked, "blocked_host")
+
+    return bound(F.struct(scheme.alias("scheme"), host_of(url).alias("host")), problem)
+
+
+def host_blocked(host: Column, rules: UrlRules) -> Column:
+    """Whether a host (lower case, IPv6 in brackets) is a blocked name, an address of a blocked range or outside of the allowed domains."""
+    named = lambda names: reduce(lambda a, b: a | b, [(host == d) | host.endswith("." + d) for d in names], F.lit(False))
+    blocked = F.lit(False) if rules.allow_localhost else named(BLOCKED_HOSTS)
+    quad = F.when(host.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"), F.transform(F.split(host, "\\."), lambda x: x.try_cast("int")))
+    six = F.when(host.startswith("["), F.regexp_replace(host, r"^\[|\]$", ""))
+    blocked = blocked | F.coalesce(bound(quad, lambda q: quad_blocked(q, rules)), F.lit(False)) | F.coalesce(bound(six, lambda x: six_blocked(x, rules)), F.lit(False))
+    return blocked if rules.allowed_domains is None else blocked | ~named([d.lower() for d in rules.allowed_domains])
+
+
+def quad_blocked(q: Column, rules: UrlRules) -> Column:
+    """The ranges that an IPv4 address (four numbers) may not be in."""
+    a, b = F.get(q, F.lit(0)), F.get(q, F.lit(1))
+    out = (a == 169) & (b == 254)
     if not rules.allow_localhost:
-        blocked = blocked | (quad & (octet[0] == 127)) | (v6 & bare.rlike("^(0{0,4}:){1,7}0{0,3}1$"))
+        out = out | (a == 127)
     if not rules.allow_private:
-        blocked = blocked | (quad & ((octet[0] == 10) | ((octet[0] == 172) & octet[1].between(16, 31)) | ((octet[0] == 192) & (octet[1] == 168)) | ((octet[0] == 100) & octet[1].between(64, 127)) | (octet[0] == 0)))
-        blocked = blocked | (v6 & F.coalesce(group.between(0xFC00, 0xFDFF), F.lit(False)))
-    blocked = blocked | (quad & (octet[0] == 169) & (octet[1] == 254)) | (v6 & F.coalesce(group.between(0xFE80, 0xFEBF), F.lit(False)))
-    if rules.allowed_domains is not None:
-        allowed = F.lit(False)
-        for d in rules.allowed_domains:
-            allowed = allowed | in_domain(d.lower())
-        blocked = blocked | ~allowed
-    schemes = ["https", "http"] if rules.allow_http else ["https"]
-    return F.when(scheme.isNull(), "invalid_url").when(~scheme.isin(schemes), "invalid_scheme").when(host.isNull(), "missing_host").when(blocked, "blocked_host")
+        out = out | a.isin(0, 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
+    return out
+
+
+def six_blocked(address: Column, rules: UrlRules) -> Column:
+    """The same for IPv6, by the first group in hex; a leading "::" is zero."""
+    group = F.coalesce(F.conv(F.nullif(F.regexp_extract(address, "^([0-9a-f]{1,4}):", 1), F.lit("")), 16, 10).try_cast("int"), F.lit(0))
+
+    def within(g: Column) -> Column:
+        out = g.between(0xFE80, 0xFEBF)
+        return out if rules.allow_private else out | g.between(0xFC00, 0xFDFF)
+
+    out = bound(group, within)
+    return out if rules.allow_localhost else out | address.rlike("^(0{0,4}:){1,7}0{0,3}1$")

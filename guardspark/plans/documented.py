@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from guardspark.operators import classifiers as C
 from guardspark.operators import deobfuscate as D
 from guardspark.operators import drift as R
 from guardspark.operators import merkle as M
+from guardspark.operators import ml
 from guardspark.operators import pipelines as P
 from guardspark.operators import ranked
 from guardspark.operators import selection as S
@@ -198,3 +202,19 @@ SELECT 'all' AS level, '*' AS action, '*' AS rule, (SELECT count(*) FROM request
 UNION ALL SELECT 'action', action, '*', count(*), sum(len(triggered_rules))::BIGINT FROM requests GROUP BY action UNION ALL SELECT 'rule', action, rule, count(*), count(*) FROM x WHERE rule IS NOT NULL GROUP BY action, rule"""))
 def aud_report(spark: SparkSession, sf: str) -> DataFrame:
     return A.compliance_report(X.requests(spark, sf))
+
+
+_CLASSES, _DIMS = ("calm", "busy", "odd"), 64
+
+
+@query("udf_ml_head", f"""WITH l AS (SELECT vec_id, list_transform(range(3), lambda k: list_sum(list_transform(range(1, {_DIMS + 1}), lambda d: coalesce(embedding[d], 0)::DOUBLE * cos(3 * (d - 1) + k))) + 0.1 * k) AS z FROM embeddings),
+p AS (SELECT vec_id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM l), q AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM p)
+SELECT vec_id, CASE WHEN p[3] >= p[1] AND p[3] >= p[2] THEN 'odd' WHEN p[2] >= p[1] THEN 'busy' ELSE 'calm' END AS label, round(list_max(p), 6) AS score, 'head' AS model FROM q""")
+def udf_ml_head(spark: SparkSession, sf: str) -> DataFrame:
+    """A sequence head, read from its file of weights, over the vectors of ``embeddings``."""
+    with tempfile.TemporaryDirectory() as folder:
+        k, d = np.meshgrid(range(3), range(_DIMS), indexing="ij")
+        np.savez(f"{folder}/head.npz", labels=np.array(_CLASSES), weights=np.cos(3 * d + k), bias=0.1 * np.arange(3))
+        head = ml.SequenceHead.from_file(f"{folder}/head.npz")
+    df = C.with_results(X.table(spark, sf, "embeddings").select("vec_id", "embedding"), {"r": ml.head_classifier("head", head)}, "embedding")
+    return df.select("vec_id", "r.label", F.round("r.score", 6).alias("score"), "r.model")

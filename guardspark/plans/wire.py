@@ -10,6 +10,7 @@ from guardspark.plans import oracle as O
 from guardspark.plans.catalog import query
 from guardspark.sources import adapters as D
 from guardspark.sources import datagen as G
+from guardspark.sources.config import DemoConfig
 
 SHOWN = ["stream_id", "seq", "pos", "kind", "text", "finish_reason"]
 
@@ -115,6 +116,24 @@ def gen_mock_llm(spark: SparkSession, sf: str) -> DataFrame:
     return prompts(spark, sf).withColumn("a", G.completion(F.col("prompt"), F.col("event_id"))).select("event_id", G.route(F.col("prompt")).alias("route"), "a.*")
 
 
+# What the mock model is set to plant.
+ISSUES = DemoConfig(pii=0.3, toxicity=0.2, injection=0.5, financial=1.0)
+
+
+def with_issues_sql(text: str) -> str:
+    """The steps of planting as columns, one upon the other."""
+    for n, kind in enumerate(("pii", "toxicity", "injection", "financial")):
+        text = f"SELECT event_id, route, {O.planted('content', kind, 'event_id', getattr(ISSUES, kind), 20 * (n + 1))} AS content, tokens_used FROM ({text})"
+    return text
+
+
+@query("gen_mock_issues", f"{_ANSWERED} SELECT event_id, route, content, tokens_used FROM ({with_issues_sql('SELECT * FROM a')})")
+def gen_mock_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Mock answers with issues, as a replay of traffic through the guard needs them."""
+    made = G.completion(F.col("prompt"), F.col("event_id"), issues=ISSUES)
+    return prompts(spark, sf).select("event_id", G.route(F.col("prompt")).alias("route"), made["content"].alias("content"), made["tokens_used"].alias("tokens_used"))
+
+
 @query("gen_mock_stream", f"""{_ANSWERED}, w AS (SELECT event_id, string_split(content, ' ') AS w FROM a), g AS (SELECT event_id, w, unnest(range(0, len(w), 3)) AS i FROM w)
 SELECT event_id, (i // 3)::INT AS seq, array_to_string(w[i + 1:i + 3], ' ') || ' ' AS chunk, CASE WHEN i + 3 >= len(w) THEN 'stop' END AS finish_reason FROM g""")
 def gen_mock_stream(spark: SparkSession, sf: str) -> DataFrame:

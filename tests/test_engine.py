@@ -172,7 +172,7 @@ def test_export_of_everything(spark, tmp_path, form):
     assert lines(event.where("false"), whole)[2] == {"csv": [audit.CSV_HEADER], "jsonl": [], "json": ["[", "]"]}[form]
 
 
-@pytest.mark.parametrize("name", ["ph_ingress", "pol_default", "pol_consumer_duty", "clf_injection", "clf_advice", "clf_pii", "dem_eval", "dem_request", "jn_scores", "aud_from_policy", "jn_audit_ctx", "pl_advanced_safety", "act_merge", "ph_stream_egress"])
+@pytest.mark.parametrize("name", ["sec_url", "mid_release", "adv_deobfuscate", "stg_exit", "pol_inherited", "gen_mock_issues", "ph_ingress", "pol_default", "pol_consumer_duty", "clf_injection", "clf_advice", "clf_pii", "dem_eval", "dem_request", "jn_scores", "aud_from_policy", "jn_audit_ctx", "pl_advanced_safety", "act_merge", "ph_stream_egress"])
 def test_plans_match_each_pattern_a_few_times_only(spark, name):
     """No generator or field puts the classifiers into a plan again and again."""
     import re
@@ -263,3 +263,20 @@ def test_rotation_and_restart(spark, tmp_path):
     events = spark.range(50).select(F.col("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 30).alias("ts"))
     rows = audit.rotated(events, F.lit(10), 100, "id").orderBy("id").collect()
     assert [r.file for r in rows] == [r.id // 10 for r in rows]
+
+
+def test_rotation_loses_nothing_and_goes_on(spark, tmp_path):
+    """Events without a time stay, a burst is cut, files that aren't full are gone on with, and none is older than its period."""
+    begin = 1_700_000_000 - 1_700_000_000 % 86_400
+    at = F.when(F.col("id") % 10 == 3, None).when(F.col("id") % 2 == 0, F.timestamp_seconds(F.lit(begin + 5))).otherwise(F.timestamp_seconds(F.lit(begin) + F.col("id") * 60))
+    events = spark.range(1000).select("id", at.alias("ts"))
+    path = f"file://{tmp_path}/audit"
+    for part in range(4):
+        audit.store_rotated(events.where(F.col("id") % 4 == part), path, 500, "id", columns=("id",), max_seconds=7200)
+    rows = spark.read.schema("value string, event_date date, period int, file bigint").text(path)
+    assert rows.select(F.get_json_object("value", "$.id")).distinct().count() == rows.count() == 1000
+    files = rows.groupBy("event_date", "period").agg(F.max("file").alias("last"), F.countDistinct("file").alias("n"), F.sum(F.length("value") + 1).alias("bytes"), F.min("event_date").isNull().alias("timeless"))
+    for r in files.collect():
+        assert r.n == r["last"] + 1 and abs(r.n - r.bytes / 500) <= 1
+    sizes = rows.groupBy("event_date", "period", "file").agg(F.sum(F.length("value") + 1).alias("bytes")).collect()
+    assert max(r.bytes for r in sizes) < 500 + 11 and {r.period for r in sizes} == set(range(9)) and any(r.event_date is None for r in sizes)

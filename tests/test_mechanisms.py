@@ -1,19 +1,22 @@
 """Holdback, resumable matching, event time and the mechanisms that the documentation describes, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import shutil
+import uuid
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from guardspark.errors import ConfigError
+from guardspark.errors import ClassifierError, ConfigError
 from guardspark.functions import lexicons as L
 from guardspark.functions import text as T
-from guardspark.operators import audit, classifiers, deobfuscate, drift, holdback, merkle, phases, pipelines, resume, selection
+from guardspark.operators import audit, classifiers, deobfuscate, drift, holdback, merkle, ml, phases, pipelines, resume, selection
 from guardspark.plans.documented import SETS
 from guardspark.plans.shipped import DEFAULT
 from guardspark.sources import config, inherit
@@ -153,13 +156,15 @@ def test_sessions_by_event_time(spark, tmp_path):
 # What the documentation describes
 
 
-def test_decided_rows_never_reach_python(spark):
+def test_decided_rows_never_reach_python(spark, tmp_path):
     """Rows that a stage lets out don't pass the model; the others' scores are normalised."""
-    seen = spark.sparkContext.accumulator(0)
+    folder = str(tmp_path)
 
     def load():
         def score(texts):
-            seen.add(len(texts))
+            for t in texts:
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(t)
             return pd.DataFrame({"label": "m", "score": [3.0] * len(texts)})
 
         return score
@@ -174,7 +179,7 @@ def test_decided_rows_never_reach_python(spark):
     got = {r.id: [(x.stage, x.result.score) for x in r.results] for r in pipeline.run(df).collect()}
     assert [s for s, _ in got[0]] == ["a"] and [s for s, _ in got[1]] == ["a", "b"]
     assert all([s for s, _ in got[k]] == ["a", "b", "c", "d"] and got[k][2][1] == 0.5 for k in (2, 3, 4, 5))
-    assert seen.value == 4
+    assert sorted(p.read_text() for p in tmp_path.iterdir()) == ["", "", "all is great", "so it goes"]
     with pytest.raises(ValueError):
         pipelines.from_config("p", {"stages": [{"type": "single", "name": "a", "classifier": "pii", "exit_on": "sometimes"}]})
     with pytest.raises(ValueError):
@@ -319,3 +324,18 @@ def test_defaults_and_names():
     assert (m.revision, m.pooling, m.device, m.max_length, m.batch_size, m.quantization) == ("main", "mean", "cpu", 512, 1, "int8_dynamic")
     assert (s.token_holdback, s.max_buffer_capacity, s.timeout_ms, s.context_chunks, s.max_buffer_size) == (10, 1000, 10, 5, 100)
     assert (Action("stop").level, Action("stop").status_code, Action("stop").position) == ("info", 403, "after")
+
+
+def test_a_head_from_its_file(spark, tmp_path):
+    """Vectors that are null, short or long; files that are no heads; two labels and their threshold."""
+    np.savez(tmp_path / "two.npz", labels=np.array(["no", "yes"]), weights=np.array([[0.0, 0.0], [1.0, -1.0]]), bias=np.zeros(2))
+    head = ml.SequenceHead.from_file(tmp_path / "two.npz", threshold=0.6)
+    rows = [(0, [2.0, 0.0]), (1, None), (2, []), (3, [0.1]), (4, [0.0, 5.0, 9.0])]
+    df = spark.createDataFrame(rows, "id int, v array<float>")
+    got = {r.id: (r.r.label, round(r.r.score, 6)) for r in classifiers.with_results(df, {"r": ml.head_classifier("h", head)}, "v").collect()}
+    logistic = lambda x: round(1 / (1 + math.exp(-x)), 6)
+    assert got == {0: ("yes", logistic(2)), 1: ("no", 0.5), 2: ("no", 0.5), 3: ("no", logistic(float(np.float32(0.1)))), 4: ("no", logistic(-5))}
+    np.savez(tmp_path / "bad.npz", labels=np.array(["no"]), weights=np.zeros((2, 2)), bias=np.zeros(2))
+    for name in ("bad.npz", "none.npz"):
+        with pytest.raises(ClassifierError):
+            ml.SequenceHead.from_file(tmp_path / name)

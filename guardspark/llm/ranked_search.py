@@ -167,7 +167,7 @@ class Shard:
         best, scores, taken, look = none, none, 0, FIRST_LOOK
         while True:
             to_beat = scores[-1] if len(scores) == top else 1
-            cut = min(np.searchsorted(documents_in, look) + 1, np.searchsorted(falling, -to_beat, side="right"))
+            cut = min(max(np.searchsorted(documents_in, look), taken) + 1, np.searchsorted(falling, -to_beat, side="right"))
             if cut <= taken:
                 break
             part = downward[taken:cut]
@@ -303,6 +303,8 @@ def search(items: DataFrame, docs: DataFrame, top: int = TOP) -> DataFrame:
     found = None
     for k in range(blocks):
         block = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).select("item", "terms").collect()
+        if not block:
+            continue
         terms = sorted({bytes(t) for r in block for t in r["terms"]})
         number = {t: n for n, t in enumerate(terms, 1)}
         queries = [(r["item"], np.array([number[bytes(t)] for t in r["terms"]], np.int64)) for r in block]

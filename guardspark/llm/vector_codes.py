@@ -216,7 +216,7 @@ def digest_of(books: list[np.ndarray]) -> str:
 def train(rows: DataFrame, shape: Shape, rounds: int = ROUNDS) -> list[np.ndarray]:
     """``PARTS`` codebooks of integers learned from all ``rows`` (vec_id, v)."""
     books = first_books(rows, shape)
-    for _ in range(rounds):
+    for _ in range(rounds if len(books[0]) else 0):
         books = update(rows, books, shape)
     return books
 

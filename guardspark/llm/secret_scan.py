@@ -43,11 +43,12 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import documents, saved, session
+from .common import discard, documents, saved, session
 
 THRESHOLD = 0.5
 TREES, DEPTH, LEAST_LEAF = 25, 8, 3
@@ -122,8 +123,15 @@ def fixed_words() -> Dictionary:
 def frequent_words(docs: DataFrame) -> list[str]:
     """The ``DICTIONARY`` most frequent words of four letters and more of all documents, ties by code points."""
     words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) >= 4")
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
-    return sorted(r.w for r in counts.orderBy(F.desc("n"), "w").limit(DICTIONARY).collect())
+    counts = saved(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT), "words")
+    # How often the last word that is taken occurs: from the numbers of words by count, as a sorted limit would send that many words of every task to the driver.
+    by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    upto = by_count.withColumn("upto", F.sum("words").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0)))
+    last = upto.where(F.col("upto") >= DICTIONARY).orderBy(F.desc("n")).select("n", F.col("upto") - F.col("words")).first() or (0, 0)
+    found = [r.w for r in counts.where(F.col("n") > last[0]).select("w").collect()]
+    ties = counts.where(F.col("n") == last[0]).select("w").orderBy("w").limit(DICTIONARY - last[1]).collect() if last[0] else []
+    discard(counts)
+    return sorted([*found, *(r.w for r in ties)])
 
 
 def kind_of(c: str) -> int:

@@ -30,7 +30,7 @@ on bytes; hashes only choose candidates.
 
 Defined cases: null text is empty; texts under 50 bytes lose nothing; a string that repeats only inside
 one document stays; rows that repeat a doc_id are separate texts of equal id, so neither removes from
-the other; a null doc_id counts as 2**63 - 1, the largest, and a document of that very id comes back with null; very long
+the other; a null doc_id counts as large as 2**63 - 1 and comes back as null; ids are whole numbers of 64 bits; very long
 texts are read whole; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
@@ -492,10 +492,10 @@ def remove(text: bytes, blocks: list[bytes]) -> tuple[int, int, bytes]:
 
 
 def bucketed(docs: DataFrame, parts: int) -> DataFrame:
-    """row (a number of its own), doc_id, digest and text of every row, written once in buckets of ``row``."""
+    """row (a number of its own), doc_id (null ones as the last), own (the doc_id as it is), digest and text of every row, written once in buckets of ``row``."""
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("doc_id"), F.col("doc_id").alias("own"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     name = f"substring_rows_{uuid.uuid4().hex}"
     writer = rows.repartition(parts, "row").write.bucketBy(parts, "row").option("compression", "zstd").option("path", shared_dir(spark, "substring-rows"))
@@ -526,7 +526,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     shared = saved(shared, "shared")
     marks = marked(base, shared, sample_splitters(work, RANGES * parts), parts)
     discard(shared)
-    out = base.select("row", "doc_id", "text").join(marks, "row", "left").join(copies.withColumn("copy", F.lit(True)), "row", "left")
+    out = base.select("row", "own", "text").join(marks, "row", "left").join(copies.withColumn("copy", F.lit(True)), "row", "left")
 
     def cut(rows: list[dict]) -> dict[str, list]:
         done: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
@@ -537,7 +537,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 values.append(x)
         return done
 
-    rows = out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), F.struct("text", "marks", "copy").alias("parts"))
+    rows = out.select(F.col("own").alias("doc_id"), F.struct("text", "marks", "copy").alias("parts"))
     return with_text(rows, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary", lambda: cut, text="parts")
 
 

@@ -28,9 +28,9 @@ Latin-1 are cut into pre-tokens by the tokenizer's own split pattern; others, an
 of special tokens, go by white-space chunk through the whole tokenizer, whose pattern never joins
 characters across a space, tab or line feed. Tests compare both with whole texts.
 
-Defined cases: null text is empty and has the end id alone; a null doc_id sorts first under the reserved key -2**63, so
-a document of that very id comes back as null; rows that repeat a doc_id stay separate documents, adjacent in the store in the
-order of their texts, and the index names the first; very long texts are one document, whole; an empty table gives an empty
+Defined cases: null text is empty and has the end id alone; documents with a null doc_id come first, and the
+index names none of them; rows that repeat a doc_id stay separate documents, adjacent in the store in an order of their texts' hashes, and
+the index names the first; ids are whole numbers of 64 bits; very long texts are one document, whole; an empty table gives an empty
 store; extra columns are ignored, whatever their names.
 """
 
@@ -59,11 +59,11 @@ END_ID = 1
 SHARD_IDS = 1 << 18
 #: Strings in a worker's cache, and the longest that it keeps.
 CACHE_PIECES, CACHED_LENGTH = 250_000, 64
-#: Stands for a null doc_id.
+#: Stands in the shards for a null doc_id; their number of null ones tells it from the least id.
 NULL_KEY = -(2**63)
 GAMMA = 1.5
 BUCKET_KEYS = 1 << 16
-SHARDS = "part int, seq int, n_docs bigint, n_tokens bigint, keys binary, ends binary"
+SHARDS = "part int, seq int, n_docs bigint, n_null bigint, n_tokens bigint, keys binary, ends binary"
 SLOT = np.dtype([("mark", "<u4"), ("part", "<u4"), ("seq", "<u4"), ("n", "<u4"), ("offset", "<u8")])
 SPACES = re.compile("[ \t\n]+")
 #: The tokenizer's split pattern, its letter and number classes spelled out for Latin-1 in lower case.
@@ -270,7 +270,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write the store of ``docs`` into the folder ``path``; on a cluster the tokenizer's file is on every machine."""
     spark = session(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
-    ordered = docs.select(key.alias("key"), "text").repartitionByRange("key").sortWithinPartitions("key", "text")
+    # Rows that repeat an id are dealt by their texts.
+    order = ("named", "key", F.xxhash64("text"))
+    ordered = docs.select(key.alias("key"), "text", F.col("doc_id").isNotNull().alias("named")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -278,22 +280,23 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
         encoder, folder, part, seq = encoder_at(tokenizer), Folder(path), TaskContext.get().partitionId(), 0
         keys: list[int] = []
         ids: list[bytes] = []
-        held = 0
+        held = nameless = 0
 
         def written() -> pa.RecordBatch:
             folder.write(ids_file(part, seq), np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes())
             ends = np.cumsum([len(b) // 4 for b in ids]).astype("<i8")
-            row = {"part": part, "seq": seq, "n_docs": len(keys), "n_tokens": int(ends[-1]), "keys": np.array(keys, "<i8").tobytes(), "ends": ends.tobytes()}
+            row = {"part": part, "seq": seq, "n_docs": len(keys), "n_null": nameless, "n_tokens": int(ends[-1]), "keys": np.array(keys, "<i8").tobytes(), "ends": ends.tobytes()}
             return pa.RecordBatch.from_pylist([row], shape)
 
         for batch in batches:
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, text, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys.append(k)
+                nameless += not named
                 ids.append(encoder.encode(text))
                 held += len(ids[-1]) // 4
                 if held >= SHARD_IDS:
                     yield written()
-                    seq, keys, ids, held = seq + 1, [], [], 0
+                    seq, keys, ids, held, nameless = seq + 1, [], [], 0, 0
         if keys:
             yield written()
 
@@ -320,7 +323,7 @@ def write_index(spark: SparkSession, path: str) -> int:
                 for b, at in by_bucket(keys, buckets):
                     yield pd.DataFrame({"bucket": [b], "keys": [keys[at].astype("<i8").tobytes()], "slots": [slots[at].tobytes()]})
 
-    dealt = rows.select("part", "seq", "keys", "ends").mapInPandas(places, "bucket bigint, keys binary, slots binary").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = rows.select("part", "seq", "n_null", "keys", "ends").mapInPandas(places, "bucket bigint, keys binary, slots binary").repartition("bucket").sortWithinPartitions("bucket")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         folder = Folder(path)
@@ -349,9 +352,10 @@ def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def firsts_of(s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a shard's documents, those documents that are its first of their key, and the documents' borders in ids."""
+    """Keys of a shard's documents, those documents that are its first of their key, and the documents' borders in ids. Documents without an id come first and are no key's."""
     keys = np.frombuffer(s.keys, "<i8").astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    own = keys[s.n_null :]
+    first = s.n_null + np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))[: len(own)])
     return keys, first, np.concatenate(([0], np.frombuffer(s.ends, "<i8").astype(np.int64)))
 
 
@@ -379,7 +383,7 @@ class TokenStore:
         def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for s in pdf.itertuples(index=False):
-                    keys = np.unique(np.frombuffer(s.keys, "<i8").astype(np.int64))
+                    keys = np.unique(np.frombuffer(s.keys, "<i8").astype(np.int64)[s.n_null :])
                     for b, at in by_bucket(keys, buckets):
                         yield pd.DataFrame({"bucket": [b], "keys": [keys[at].astype("<i8").tobytes()]})
 
@@ -393,7 +397,7 @@ class TokenStore:
                 parts = np.split(slots, cuts)
                 yield pd.DataFrame({"part": [int(x["part"][0]) for x in parts], "seq": [int(x["seq"][0]) for x in parts], "slots": [x.tobytes() for x in parts]})
 
-        dealt = self.shards.select("keys").mapInPandas(send, "bucket bigint, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+        dealt = self.shards.select("n_null", "keys").mapInPandas(send, "bucket bigint, keys binary").repartition("bucket").sortWithinPartitions("bucket")
         return dealt.mapInPandas(find, "part int, seq int, slots binary").groupBy("part", "seq").agg(F.collect_list("slots").alias("slots"))
 
     def documents(self) -> DataFrame:
@@ -406,10 +410,10 @@ class TokenStore:
                 for s in pdf.itertuples(index=False):
                     yield rows_of(s, folder, width)
 
-        rows = self.shards.select("part", "seq", "keys", "ends").join(self.placed(), ["part", "seq"], "left")
+        rows = self.shards.select("part", "seq", "n_null", "keys", "ends").join(self.placed(), ["part", "seq"], "left")
         out = rows.mapInPandas(read, "part int, seq int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
         return out.join(self.starts(), ["part", "seq"]).select(
-            F.when(F.col("doc_id") != NULL_KEY, F.col("doc_id")).alias("doc_id"), (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
+            "doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
         )
 
     def lookup(self, key: int) -> list[int] | None:
@@ -435,7 +439,9 @@ def rows_of(s, folder: Folder, width: int) -> pd.DataFrame:
         raise ValueError(f"the index and shard {s.part}, {s.seq} disagree")
     payload = np.frombuffer(folder.read(ids_file(s.part, s.seq)), f"<u{width}").astype("<u4").tobytes()
     crc = [zlib.crc32(payload[4 * a : 4 * (a + m)]) for a, m in zip(begin.tolist(), n.tolist(), strict=True)]
-    return pd.DataFrame({"part": s.part, "seq": s.seq, "doc_id": keys, "inside": begin, "n_tokens": n, "ids_crc32": crc})
+    named = pd.array(keys, "Int64")
+    named[: s.n_null] = pd.NA
+    return pd.DataFrame({"part": s.part, "seq": s.seq, "doc_id": named, "inside": begin, "n_tokens": n, "ids_crc32": crc})
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

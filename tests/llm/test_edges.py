@@ -254,3 +254,29 @@ def test_very_long_texts(spark):
     assert language_id.identify(docs, language_id.learn(docs)).where("lang_pred = 'en'").count() == 2
     assert all(0 <= r.score <= 1 for r in quality.score(docs, quality.AttentionMil()).collect())
     assert sorted(r.n_shingles for r in minhash.near_duplicates(docs).collect())[0] == 1
+
+
+def test_extreme_ids_come_back(spark):
+    """The least and the greatest id beside null ones: each comes back as it is, and is looked up as itself."""
+    draw = random.Random(41)
+    shared = prose(draw, 40)
+    rows = [(i, f"{shared} {prose(draw, 5)} {k}") for k, i in enumerate([-(2**63), None, 2**63 - 1, 7, None])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = sorted((i for i, _ in rows), key=str)
+    out = substring_dedup.deduplicate(docs).collect()
+    assert sorted((r.doc_id for r in out), key=str) == want
+    # The smallest id keeps the shared passage; those without an id come last.
+    assert {r.doc_id for r in out if not r.n_removed} == {-(2**63)}
+    folder = shared_dir(spark, "extreme")
+    token_store.write_store(docs, folder, token_store.tokenizer_path())
+    store = token_store.TokenStore(spark, folder)
+    encoder = token_store.encoder_at(token_store.tokenizer_path())
+    found = sorted((r.start, r.doc_id, r.n_tokens) for r in store.documents().collect())
+    assert sorted((i for _, i, _ in found), key=str) == want and [i for _, i, _ in found] == [None, None, -(2**63), 7, 2**63 - 1]
+    for i, text in rows:
+        if i is not None:
+            assert store.lookup(i) == np.frombuffer(encoder.encode(text), "<u4").tolist()
+    empty = shared_dir(spark, "nameless")
+    token_store.write_store(docs.where("doc_id is null"), empty, token_store.tokenizer_path())
+    nameless = token_store.TokenStore(spark, empty)
+    assert nameless.lookup(-(2**63)) is None and [r.doc_id for r in nameless.documents().collect()] == [None, None]

@@ -121,6 +121,21 @@ def located(docs: DataFrame) -> tuple[DataFrame, Column]:
     return saved(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), F.col(name).cast("string")
 
 
+def as_written(docs: DataFrame) -> DataFrame:
+    """The rows of a table in the order in which a sorted frame was written to it: by number of its part, file and place in the file.
+
+    Spark packs files into tasks by their size, so a scan alone has another order. Rows that are no scan of files stay as they come.
+    """
+    if "_metadata" in {c.lower() for c in docs.columns}:
+        return docs
+    file = F.col("_metadata.file_name")
+    places = [F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long"), file, F.col("_metadata.row_index")]
+    try:
+        return docs.orderBy(*places)
+    except AnalysisException:
+        return docs
+
+
 def with_text(
     rows: DataFrame, added: str, make: Callable[[], Callable[[list[str | None]], dict[str, list]]], text: str = "text", keep_text: bool = False
 ) -> DataFrame:

@@ -111,21 +111,19 @@ def mix(docs: DataFrame, name: Column | None = None) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, position: str | None = None) -> DataFrame:
+def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix reads them, range-sorted by training position: a document appears once, twice or
     not at all. Readings that begin before the target's end are whole, so a source exceeds its target by
     less than one document. Rows that repeat a doc_id are rows of their own, each with its readings.
 
-    Files that are written and read again may be packed in another order. ``position`` names a column (of 64-bit numbers that
-    rise with the order) that brings it back.
+    A table that is written and read again needn't come in this order; ``common.as_written`` brings it back.
     """
     names = docs.columns
     docs, place = located(docs)
     row, at, order = (fresh(n, docs) for n in ("_row_", "_at", "_order"))
     plan = mix(docs, place).where("first_at is not null").select(F.col("row").alias(row), F.col("order").alias(order), F.explode(F.array_compact(F.array("first_at", "again_at"))).alias(at))
     out = docs.select(*[column(c) for c in names], place.alias(row)).join(plan, row).orderBy(at, order)
-    rank = [] if position is None else [F.monotonically_increasing_id().alias(position)]
-    return out.select(*[column(c) for c in names], *rank)
+    return out.select(*[column(c) for c in names])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, documents, session, with_text
+from .common import as_written, documents, session, with_text
 
 MARK = "▁"
 #: Words in the cache of a worker, and the longest that it keeps: longer ones are encoded anew.
@@ -211,9 +211,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir), model_path())
 
 
-def encoded_ids(docs: DataFrame, model: str, position: str | None = None) -> DataFrame:
-    """doc_id, source and the ids of every document: what a trainer reads. Sorted by ``position``, if named, which comes last."""
-    kept = [] if position is None else [column(position).alias("position")]
-    rows = docs.select("doc_id", "source", "text", *kept)
-    rows = rows.orderBy("position") if kept else rows
-    return encode_column(rows, model).select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), *(["position"] if kept else []))
+def encoded_ids(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, source and the ids of every document: what a trainer reads, in the order in which ``docs`` were written."""
+    rows = as_written(docs).select("doc_id", "source", "text")
+    return encode_column(rows, model).select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from guardspark.llm import language_id, sentencepiece_codec
+from guardspark.llm import common, language_id, sentencepiece_codec
 
 from .test_operators import brute_components
 
@@ -88,3 +88,22 @@ def test_near_stage_links_from_four_fifths(spark):
     want = {10 * k for k in range(len(likeness))} | {10 * k + 1 for k, x in enumerate(likeness) if x < 0.8}
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == want
+
+
+def test_order_of_the_mix_reaches_the_ids(spark, tmp_path):
+    """Over several files, which Spark reads in an order of its own."""
+    draw = random.Random(12)
+    rows = [(k, " ".join(draw.choice(["the", "and", "thing"]) for _ in range(draw.choice([1, 5, 400]))), "en", "abc"[k % 3], 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = [(r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()]
+    path = f"file://{tmp_path}/mixed"
+    with common.conf(spark, spark__sql__shuffle__partitions="16", spark__sql__adaptive__coalescePartitions__enabled="false"):
+        corpus_pipeline.mixing_stage(spark, docs, "").write.option("maxRecordsPerFile", 15).parquet(path)
+    mixed = spark.read.parquet(path)
+    assert len(mixed.inputFiles()) > 10 and [r.doc_id for r in mixed.collect()] != [i for i, _ in want]
+    assert [(r.doc_id, r.text) for r in common.as_written(mixed).collect()] == want
+    ids = corpus_pipeline.encode_stage(spark, mixed, "").collect()
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
+    assert [(r.doc_id, codec.decode(r.ids)) for r in ids] == want
+    made = spark.createDataFrame([(1, "a")], "doc_id int, _metadata string")
+    assert common.as_written(made).collect() == made.collect() and common.as_written(spark.range(3)).count() == 3

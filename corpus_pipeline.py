@@ -1,21 +1,16 @@
 """Corpus pipeline: language ID, exact dedup, MinHash near-dedup, source mixing, SentencePiece ids.
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read again as the next
-one's documents. All but the last return the columns of ``documents``; the mixing stage adds the training position, by
-which the last one sorts what it returns.
+one's documents. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardspark.llm import common, exact_dedup, language_id, minhash, mixing, sentencepiece_codec
 
-#: Column of the training position.
-POSITION = "position"
 #: What SQL can't express (language profiles, Viterbi); tests compare with brute force.
 ORACLE_SQL = None
 
@@ -40,14 +35,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ``POSITION``: the order is what the curriculum makes, and files read again needn't keep it."""
-    return mixing.mixed_documents(docs, common.fresh(POSITION, docs))
+    """Documents as the curriculum reads them; their order is its outcome."""
+    return mixing.mixed_documents(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids, sorted by the position that the mixing stage gave (the last column of that name); as they come, if there is none."""
-    named = [c for c in docs.columns if re.fullmatch(f"{POSITION}_*", c.lower())]
-    return sentencepiece_codec.encoded_ids(docs, sentencepiece_codec.model_path(), max(named, key=len, default=None))
+    """The ids, in the order in which the mixing stage's result was written, whatever the order in which its files are read."""
+    return sentencepiece_codec.encoded_ids(docs, sentencepiece_codec.model_path())
 
 
 STAGES = [

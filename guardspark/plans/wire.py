@@ -154,7 +154,7 @@ SELECT id, r.category, 'gpt-4' AS model, system, prompt FROM r JOIN s USING (cat
 @query("gen_traffic", _TRAFFIC)
 def gen_traffic(spark: SparkSession, sf: str) -> DataFrame:
     """A request for each event."""
-    return G.traffic(X.table(spark, sf, "events").select(F.col("event_id").alias("id")), seed=3)
+    return G.traffic_of(X.table(spark, sf, "events").select(F.col("event_id").alias("id")), seed=3)
 
 
 def planted(kind: str) -> None:

@@ -68,13 +68,13 @@ PATTERNS = [
     ("chat_token", re.compile(r"\b(?P<v>xox[abprs]-[A-Za-z0-9-]{10,}+)")),
     ("map_key", re.compile(r"\b(?P<v>AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])")),
     ("payment_key", re.compile(r"\b(?P<v>[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+)\b")),
-    ("web_token", re.compile(r"(?<![A-Za-z0-9_.-])(?P<v>[A-Za-z0-9_.-]++)")),
+    ("web_token", re.compile(r"\b(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})")),
     ("url_password", re.compile(r"://[^\s:/@]*+:(?P<v>[^\s:/@]{6,}+)@")),
     ("assigned", re.compile(r"(?<![\w.-])(?=[\w.-]*?" + NAME + r")[\w.-]++[\"']?\s*+(?:=|:=?|=>)\s*+[\"']?(?P<v>[^\s\"',;<>()\[\]{}#]{8,}+)", re.I)),
     ("long_run", re.compile(r"(?<![A-Za-z0-9+/_=-])(?P<v>[A-Za-z0-9+/_-]{24,}+={0,2}+)(?![A-Za-z0-9+/_=-])")),
 ]
-#: Where a web token may begin in a run.
-TOKEN_MARK = re.compile(r"\beyJ")
+#: Runs of a web token's characters, and where one may begin in them: its pattern alone would read a run anew from each such place.
+TOKEN_RUN, TOKEN_MARK = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]++"), re.compile(r"\beyJ")
 #: Only texts with one of these need the slower patterns.
 HINTS = {
     "private_key": "-----BEGIN ", "forge_token": "gh", "chat_token": "xox", "map_key": "AIza", "payment_key": "k_", "web_token": "eyJ", "url_password": "://",
@@ -171,9 +171,10 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
             continue
         if name == "long_run" and max(map(len, text.split()), default=0) < 24:
             continue
-        found = [(*m.span("v"), name) for m in pattern.finditer(text)]
         if name == "web_token":
-            found = [(*span, name) for a, b, _ in found for span in web_tokens(text[a:b], a)]
+            found = [(*span, name) for m in TOKEN_RUN.finditer(text) for span in web_tokens(m[0], m.start())]
+        else:
+            found = [(*m.span("v"), name) for m in pattern.finditer(text)]
         if name == "long_run":
             found = [f for f in found if any(map(str.isdigit, text[f[0] : f[1]])) and any(map(str.isalpha, text[f[0] : f[1]]))]
         taken = merged(taken, found)

@@ -280,3 +280,16 @@ def test_extreme_ids_come_back(spark):
     token_store.write_store(docs.where("doc_id is null"), empty, token_store.tokenizer_path())
     nameless = token_store.TokenStore(spark, empty)
     assert nameless.lookup(-(2**63)) is None and [r.doc_id for r in nameless.documents().collect()] == [None, None]
+
+
+def test_web_tokens_cost_their_length():
+    """A megabyte of beginnings of tokens; the places are those of the pattern."""
+    pattern = dict(secret_scan.PATTERNS)["web_token"]
+    draw = random.Random(6)
+    atoms = ["eyJ", "-", ".", "aaaa", "bbbbbbbb", "_", " ", "eyJaaaaaaaa"]
+    for _ in range(500):
+        text = "".join(draw.choice(atoms) for _ in range(draw.randint(1, 40)))
+        got = [s for m in secret_scan.TOKEN_RUN.finditer(text) for s in secret_scan.web_tokens(m[0], m.start())]
+        assert got == [m.span("v") for m in pattern.finditer(text)], text
+    start = time.process_time()
+    assert secret_scan.candidates("-eyJaaaaaaaa" * 90_000) is not None and time.process_time() - start < 2

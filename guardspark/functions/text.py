@@ -19,10 +19,15 @@ def escape(literal: str) -> str:
     return re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", literal)
 
 
-def any_of(terms: list[str]) -> str:
-    """ASCII case-insensitive alternation of literals, shorter prefixes first (earliest end wins)."""
+def in_order(terms: list[str]) -> list[str]:
+    """Terms in the order in which alternatives are tried: shorter prefixes first (earliest end wins)."""
     order = sorted(range(len(terms)), key=lambda k: next((j for j, t in enumerate(terms) if terms[k] != t and terms[k].lower().startswith(t.lower())), k))
-    return "(?i)" + "|".join(escape(terms[k]) for k in order)
+    return [terms[k] for k in order]
+
+
+def any_of(terms: list[str]) -> str:
+    """ASCII case-insensitive alternation of literals."""
+    return "(?i)" + "|".join(map(escape, in_order(terms)))
 
 
 @cache

@@ -10,6 +10,7 @@ All of it is JVM expressions over one row. Fold for term lists only: digits beco
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -72,14 +73,15 @@ def pieces(text: Column) -> Column:
     return T.bound(raw, cut)
 
 
-def with_folded(df: DataFrame, text: str, folded: str = "folded", places: str = "places") -> DataFrame:
-    """``df`` with the folded text and its map, array<struct<folded, source>>: where each piece begins, in characters."""
+def with_folded(df: DataFrame, text: str, folded: str = "folded", places: str = "places", wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``df`` with the folded text and its map, array<struct<folded, source>>: where each piece begins, in characters; null where the folded text isn't ``wanted``."""
     name = f"_{folded}_pieces"
     df = df.withColumn(name, pieces(F.coalesce(text, F.lit(""))))
     whole = F.array_join(F.transform(name, lambda p: F.concat(p["gap"], p["kept"])), "")
     lengths: Callable[[str], Column] = lambda f: F.transform(name, lambda p: F.length(p["gap"]) + F.length(p[f]))
     pairs = F.arrays_zip(prefix_sums(lengths("kept")).alias("folded"), prefix_sums(lengths("hit")).alias("source"))
-    return df.withColumns({folded: F.translate(whole, FROM, TO), places: pairs}).drop(name)
+    df = df.withColumn(folded, F.translate(whole, FROM, TO))
+    return df.withColumn(places, pairs if wanted is None else F.when(wanted(F.col(folded)), pairs)).drop(name)
 
 
 def source_place(places: Column, at: Column) -> Column:
@@ -111,14 +113,70 @@ def redacted(text: Column, spans: Column, replacement: str) -> Column:
     return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, last + 1, F.lit(2**31 - 1)))
 
 
+def is_cut(c: str) -> bool:
+    return re.fullmatch(CUT, c, re.ASCII) is not None
+
+
+#: Characters that a cut may have and that become letters if it stays: a text with one of them is taken apart.
+BOTH = "".join(c for c in FROM if is_cut(c))
+#: What else a cut may have.
+REST = "".join(c for c in map(chr, range(0x3000)) if is_cut(c) and c not in FROM) + "﻿"
+# A cut that goes. The code point beyond the BMP makes Java look behind by code points.
+_CUT = f"[{SEPARATORS}{ZERO_WIDTH}]"
+_BESIDE = f"(?:[^{SEPARATORS}{ZERO_WIDTH}\U00010000]|\U00010000)"
+GONE = f"(?:(?<=(?:\\A|{_CUT}){_BESIDE}){_CUT}++(?={_BESIDE}(?:{_CUT}|\\z))|[{ZERO_WIDTH}]++(?!{_CUT}))"
+
+
+def in_source(term: str) -> str | None:
+    """The pattern of what a folded term stands for in a source: each character in all of its forms, with a cut that goes between any two. A cut of the
+    term's own has to stay as it is. None for a term that begins or ends with a cut."""
+    parts = re.split(f"({CUT})", term, flags=re.ASCII)
+    if not parts[0] or not parts[-1]:
+        return None
+    forms: dict[str, str] = {}
+    for c, to in zip(FROM, TO, strict=True):
+        forms[to] = forms.get(to, to) + c
+    letters = lambda part: f"{GONE}?+".join("[" + "".join(map(T.escape, forms.get(c, c))) + "]" for c in part)
+    return "".join(f"(?!{GONE}){T.escape(x)}(?!{_CUT})" if k % 2 else letters(x) for k, x in enumerate(parts))
+
+
+def squeezed(text: Column) -> Column:
+    """The folded text without all cuts."""
+    return F.translate(text, FROM + REST, TO)
+
+
 def protect(df: DataFrame, terms: list[str], text: str = "text", replacement: str = "[REDACTED]") -> DataFrame:
     """``df`` with ``hits`` (the terms found, in folded form), ``spans`` (bytes of the source) and ``protected``: the source with them replaced.
 
-    Terms are folded like the text; only texts whose folded form has one are looked at more closely.
+    Terms are folded like the text. What stands for them is looked for in the source itself, where the text has their characters in a row once all cuts
+    are left out. Texts with characters that are both cuts and letters are taken apart, and all are for terms that a pattern can't tell.
     """
     low = list(dict.fromkeys(t.translate(str.maketrans(FROM, TO)) for t in terms))
+    bare = {"".join(c for c in t if not is_cut(c)): t for t in low}
+    sources = [in_source(t) for t in T.in_order(low)]
+    if None in sources or len(bare) < len(low):
+        return by_pieces(df, low, text, replacement)
+    pattern = "|".join(f"(?:{x})" for x in sources)
+    # A class of so many characters takes ten times as long as to leave them out.
+    df = df.withColumn("_apart", F.coalesce(F.translate(text, BOTH, "") != F.col(text), F.lit(False)))
+    # Null is an empty text, which costs nothing.
+    df = df.withColumn("_source", F.when(F.col("_apart"), F.col(text)))
+    df = by_pieces(df, low, "_source", replacement).withColumnsRenamed({c: f"_{c}" for c in ("hits", "spans", "protected")})
+    may = ~F.col("_apart") & T.maybe(squeezed(F.col(text)), list(bare))
+    df = df.withColumn("_found", F.when(may, T.matches(F.col(text), pattern)))
+    meant = F.create_map(*[F.lit(x) for kv in bare.items() for x in kv])
+    found = F.size("_found") > 0
+    return df.withColumns({
+        "hits": F.when(F.col("_apart"), F.col("_hits")).otherwise(F.coalesce(F.transform("_found", lambda x: meant[squeezed(x)]), F.array().cast("array<string>"))),
+        "spans": F.when(F.col("_apart"), F.col("_spans")).when(found, T.all_spans(F.col(text), pattern)).otherwise(F.array().cast(T.SPAN)),
+        "protected": F.when(F.col("_apart"), F.col("_protected")).when(found, F.regexp_replace(text, F.lit(pattern), F.lit(re.sub(r"([\\$])", r"\\\1", replacement)))).otherwise(F.col(text)),
+    }).drop("_apart", "_source", "_found", "_hits", "_spans", "_protected")
+
+
+def by_pieces(df: DataFrame, low: list[str], text: str, replacement: str) -> DataFrame:
+    """As :func:`protect`, for any folded terms, with the pieces of a text put together again."""
     pattern = T.any_of(low)
-    df = with_folded(df, text, "_folded", "_places")
+    df = with_folded(df, text, "_folded", "_places", lambda folded: T.maybe(folded, low))
     found = T.maybe(F.col("_folded"), low)
     df = df.withColumn("_chars", F.when(found, source_spans(F.col("_folded"), F.col("_places"), pattern)).otherwise(F.array().cast(T.SPAN)))
     return df.withColumns({

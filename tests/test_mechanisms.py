@@ -339,3 +339,13 @@ def test_a_head_from_its_file(spark, tmp_path):
     for name in ("bad.npz", "none.npz"):
         with pytest.raises(ClassifierError):
             ml.SequenceHead.from_file(tmp_path / name)
+
+
+def test_terms_in_the_source_as_in_pieces(spark):
+    """Patterns over the source find what the pieces find, and look at pieces only where a cut has letters."""
+    draw, parts = random.Random(5), ["g", "u", "a", "risk", "free", "r", " ", " ", "  ", "-", ".", "\u200b", "\u00e9", "|", "~", "\U0001f600", "$", "4", "\u0430", "\n", "3", "\uff47", "R"]
+    phrases = ["g u a r a n t e e d", "risk free", "r.i.s.k free", "ri\u200bsk free", "guar\u200b anteed", "6uaranteed", "r i s k f r e e", "\U0001f600 g u a r a n t e e d", "risk f r e e"]
+    rows = [(k, "".join(draw.choice(parts) if draw.random() < 0.7 else draw.choice(phrases) for _ in range(draw.randint(0, 9)))) for k in range(2000)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    both = [sorted(f(df).select("id", "hits", "spans", "protected").collect()) for f in (lambda d: deobfuscate.protect(d, ["guaranteed", "risk free"]), lambda d: deobfuscate.by_pieces(d, ["guaranteed", "risk free"], "text", "[REDACTED]"))]
+    assert both[0] == both[1] and sum(bool(r["hits"]) for r in both[0]) > 500

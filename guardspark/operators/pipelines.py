@@ -251,6 +251,18 @@ class Pipeline:
         return df.where("_left").unionByName(self.routed(df.where("not _left"), later, text, detail))
 
 
+def run_all(df: DataFrame, wanted: dict[str, Pipeline], text: str = "text", detail: bool = False) -> DataFrame:
+    """``df`` with the results of several pipelines. A classifier that more than one of them has is computed once a row."""
+    plain = {into: p for into, p in wanted.items() if all(s.exit_on == "never" for s in p.stages)}
+    together = Pipeline()
+    df, columns = together.classified(df, [s for p in plain.values() for s in p.stages], text, detail)
+    found = {k: F.col(n) for k, n in columns.items()}
+    df = df.withColumns({into: p.results(found) for into, p in plain.items()}).drop(*columns.values()) if plain else df
+    for into, p in wanted.items():
+        df = df if into in plain else p.run(df, text, into, detail)
+    return df
+
+
 def final(results: Column) -> Column:
     """The last result whatever the aggregation; null if there is none."""
     return F.try_element_at(results, F.lit(-1))["result"]

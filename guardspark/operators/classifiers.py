@@ -204,8 +204,9 @@ class Sequence:
         self.name, self.labels, self.threshold = name, normalized_labels(2, labels or []), threshold
 
     def base(self, text: Column) -> Base:
-        words = F.transform(F.split(text, "[^A-Za-z]+"), F.lower)
-        hits = lambda terms: F.size(F.filter(words, lambda w: w.isin(terms))).cast("double")
+        # As many as the words of a split at all other characters, without an array of them.
+        word = lambda terms: f"(?i)(?<![A-Za-z])(?:{'|'.join(map(T.escape, terms))})(?![A-Za-z])"
+        hits = lambda terms: F.when(text.isNotNull(), F.when(T.maybe(text, terms), F.regexp_count(text, F.lit(word(terms)))).otherwise(0)).cast("double")
         return {"pos": hits(L.SEQUENCE_POSITIVE), "neg": hits(L.SEQUENCE_NEGATIVE)}
 
     def result(self, text: Column, detail: bool = True, base: Base | None = None) -> Column:

@@ -55,6 +55,13 @@ def found(classifier: C.Classifier, least: float = 0.5) -> Column:
     return C.exceeds(classifier.result(F.col("text"), False), least)
 
 
+def flagged(df: DataFrame, classifiers: dict[str, C.Classifier], least: float) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with what each classifier finds, computed once a row for all names that it has, and by name whether its score is at least ``least``."""
+    columns = {id(c): f"_c{k}" for k, c in enumerate({id(c): c for c in classifiers.values()}.values())}
+    df = C.with_results(df, {columns[id(c)]: c for c in classifiers.values()}, "text", False)
+    return df, {n: C.exceeds(F.col(columns[id(c)]), least) for n, c in classifiers.items()}
+
+
 _SCORED = f", {O.SCORED}"
 _SEQ = O.sequence("text")
 _SAYS = {
@@ -73,8 +80,10 @@ _TIERS = [
 @query("clf_tier_budget", tally_sql("classifier string, tier string, budget_us int", "scored", [(t, _SAYS[t[0]](0.5)) for t in _TIERS], _SCORED))
 def clf_tier_budget(spark: SparkSession, sf: str) -> DataFrame:
     """By classifier its tier and budget, and how many texts it flags."""
-    made = {**C.built_in(), "pattern": C.profanity(), "sequence": C.Sequence(), "sentence-transformer": C.Sequence()}
-    return tally(X.guard(spark, sf), "classifier string, tier string, budget_us int", [((n, t, L.TIER_BUDGET[t]), found(made[n])) for n, t in L.TIERS.items()])
+    words = C.Sequence()
+    made = {**C.built_in(), "pattern": C.profanity(), "sequence": words, "sentence-transformer": words}
+    df, says = flagged(X.guard(spark, sf), {n: made[n] for n in L.TIERS}, 0.5)
+    return tally(df, "classifier string, tier string, budget_us int", [((n, t, L.TIER_BUDGET[t]), says[n]) for n, t in L.TIERS.items()])
 
 
 _BUILT = [(n, "B" if n.startswith("toxicity") else "A") for n in ("financial-advice", "pii", "pii_detector", "profanity", "prompt-injection", "readability", "sentiment", "toxicity", "toxicity-distilled", "toxicity-gpu", "toxicity-metal")]
@@ -84,14 +93,17 @@ _ALIAS = {"pii_detector": "pii", "profanity": "pattern", "toxicity-distilled": "
 @query("clf_misc", tally_sql("classifier string, tier string", "scored", [(b, _SAYS[_ALIAS.get(b[0], b[0])](0.9)) for b in _BUILT], _SCORED))
 def clf_misc(spark: SparkSession, sf: str) -> DataFrame:
     """Every built-in name, its tier, and the texts that it is sure of."""
-    return tally(X.guard(spark, sf), "classifier string, tier string", [((n, c.tier), found(c, 0.9)) for n, c in C.built_in().items()])
+    known = C.built_in()
+    df, says = flagged(X.guard(spark, sf), known, 0.9)
+    return tally(df, "classifier string, tier string", [((n, c.tier), says[n]) for n, c in known.items()])
 
 
 @query("reg_misc", tally_sql("classifier string", "scored", [((n,), _SAYS[_ALIAS.get(n, n)](0.3)) for n in ("financial-advice", "pii", "prompt-injection", "readability", "sentiment", "toxicity", "toxicity-distilled")], _SCORED))
 def reg_misc(spark: SparkSession, sf: str) -> DataFrame:
     """The classifiers that the shipped pipelines mention, and the texts that they have something against."""
     known = C.built_in()
-    return tally(X.guard(spark, sf), "classifier string", [((n,), found(known[n], 0.3)) for n in G.referenced(PIPELINES)])
+    df, says = flagged(X.guard(spark, sf), {n: known[n] for n in G.referenced(PIPELINES)}, 0.3)
+    return tally(df, "classifier string", [((n,), c) for n, c in says.items()])
 
 
 _LOADED = {
@@ -239,11 +251,10 @@ def of_stage(name: str) -> Callable[[Column], Column]:
 
 def results_of(spark: SparkSession, sf: str, pipelines: dict, first: bool) -> DataFrame:
     """pipeline, n: the results that each pipeline gives over all texts, or those of its first stage; one pass."""
-    df = X.guard(spark, sf)
-    for k, (n, spec) in enumerate(pipelines.items()):
-        df = P.from_config(n, spec).run(df, into=f"r{k}")
-        if first:
-            df = df.withColumn(f"r{k}", F.filter(f"r{k}", of_stage(spec["stages"][0]["name"])))
+    known = C.built_in()
+    df = P.run_all(X.guard(spark, sf), {f"r{k}": P.from_config(n, spec, known) for k, (n, spec) in enumerate(pipelines.items())})
+    if first:
+        df = df.withColumns({f"r{k}": F.filter(f"r{k}", of_stage(spec["stages"][0]["name"])) for k, spec in enumerate(pipelines.values())})
     one = df.agg(*[F.sum(F.size(f"r{k}")).alias(f"r{k}") for k in range(len(pipelines))])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("pipeline"), F.col(f"r{k}").alias("n")) for k, n in enumerate(pipelines)])).alias("r")).select("r.*")
 

@@ -349,3 +349,24 @@ def test_terms_in_the_source_as_in_pieces(spark):
     df = spark.createDataFrame(rows, "id int, text string")
     both = [sorted(f(df).select("id", "hits", "spans", "protected").collect()) for f in (lambda d: deobfuscate.protect(d, ["guaranteed", "risk free"]), lambda d: deobfuscate.by_pieces(d, ["guaranteed", "risk free"], "text", "[REDACTED]"))]
     assert both[0] == both[1] and sum(bool(r["hits"]) for r in both[0]) > 500
+
+
+@pytest.mark.parametrize("name", ["cfg_misc", "src_yaml_classifiers", "clf_tier_budget"])
+def test_classifiers_of_several_names_run_once(spark, name):
+    """Pipelines and names that share a classifier share its patterns; words aren't split."""
+    from guardspark.plans import registry
+
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("(?i)dan mode") == 1 and "split(" not in plan
+
+
+def test_words_counted_as_in_a_split(spark):
+    rows = [("Good good,BAD-worst goodness xgood",), ("",), ("never exceeded 4good5 \u00e9bad",), ("GREAT",), (None,)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "text string").select(*classifiers.Sequence().base(F.col("text")).values()).collect()]
+    words = [[w.lower() for w in re.split("[^A-Za-z]+", t)] if t is not None else None for (t,) in rows]
+    assert got == [tuple(None if w is None else float(sum(x in terms for x in w)) for terms in (L.SEQUENCE_POSITIVE, L.SEQUENCE_NEGATIVE)) for w in words]

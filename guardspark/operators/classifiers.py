@@ -14,7 +14,7 @@ from types import ModuleType
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardspark.functions import lexicons as L
@@ -41,11 +41,21 @@ class Classifier(Protocol):
         ...
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """At most so many rows of long texts or windows go to a Python worker, or come from it, at once; a lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def with_results(df: DataFrame, wanted: dict[str, Classifier], text: str, detail: bool = True) -> DataFrame:
     """``df`` with the result of each classifier under its name.
 
     Their bases are columns of a projection of their own, so each pattern is matched once a row however many fields and rules refer to it.
     """
+    if any(isinstance(c, VectorClassifier) for c in wanted.values()):
+        small_batches(df.sparkSession)
     bases = {into: {k: f"{into}_{k}" for k in c.base(F.col(text))} for into, c in wanted.items()}
     columns = {bases[into][k]: v for into, c in wanted.items() for k, v in c.base(F.col(text)).items()}
     df = df.withColumns(columns) if columns else df

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardspark.operators import holdback, phases, resume
+from guardspark.operators.classifiers import small_batches
 from guardspark.operators.context import ContextConfig
 from guardspark.operators.holdback import WINDOW, Holdback
 from guardspark.operators.phases import Plan
@@ -148,6 +149,8 @@ def held_windows(tokens: DataFrame, h: Holdback, idle_ms: int | None = None) ->
 def release_stream(tokens: DataFrame, h: Holdback, plan: Plan, name: str = "release") -> DataFrame:
     """The tokens that leave by ``holdback.judge`` over all that the source has; a stream that was stopped stays silent in later batches."""
     spark = tokens.sparkSession
+    # A window has some dozens of tokens, and the windows of a batch are Python objects before they leave.
+    small_batches(spark)
     base = work_dir(spark, name)
     shape = "stream_id bigint, first_stop bigint"
 

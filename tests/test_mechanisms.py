@@ -370,3 +370,16 @@ def test_words_counted_as_in_a_split(spark):
     got = [tuple(r) for r in spark.createDataFrame(rows, "text string").select(*classifiers.Sequence().base(F.col("text")).values()).collect()]
     words = [[w.lower() for w in re.split("[^A-Za-z]+", t)] if t is not None else None for (t,) in rows]
     assert got == [tuple(None if w is None else float(sum(x in terms for x in w)) for terms in (L.SEQUENCE_POSITIVE, L.SEQUENCE_NEGATIVE)) for w in words]
+
+
+@pytest.mark.parametrize("name", ["udf_loader", "st_release"])
+def test_python_takes_small_batches(spark, name):
+    """Memory of a Python worker doesn't grow with the rows of its task."""
+    from guardspark.plans import registry
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    try:
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() and int(spark.conf.get(key)) == 512
+    finally:
+        spark.conf.unset(key)

@@ -7,9 +7,12 @@ An event's hash covers type, data, timestamp (epoch microseconds) and the previo
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -323,24 +326,122 @@ def rotated(events: DataFrame, size: Column, max_bytes: int, *order: str, max_se
     return rows.withColumn("file", file).drop("_size", "_at", "_inside", "_before", "_last", "_full", "_part", "_day")
 
 
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+FILES = "event_date string, period int, file bigint, path string, bytes bigint"
+
+
+def place(spark, path: str) -> str:
+    """A folder as pyarrow opens it (file, hdfs, s3, gs)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/+", "/", at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString())
+
+
+def stored_files(spark, path: str) -> DataFrame | None:
+    """``FILES`` of a rotated store; None if there is nothing. The driver lists days and periods only, a period's many small files are a task's."""
+    from pyarrow.fs import FileSelector, FileSystem, FileType
+
+    uri = place(spark, path)
+    system, base = FileSystem.from_uri(uri)
+    if system.get_file_info(base).type == FileType.NotFound:
+        return None
+    below = lambda folder, name: [f.path for f in system.get_file_info(FileSelector(folder)) if f.base_name.startswith(f"{name}=")]
+    periods = [(p,) for day in below(base, "event_date") for p in below(day, "period")]
+    names = [f.split()[0] for f in FILES.split(", ")]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = FileSystem.from_uri(uri)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = [f for f in system.get_file_info(FileSelector(folder, recursive=True)) if f.is_file and f.base_name.startswith("part-")]
+                keys = [[k.split("=", 1)[1] for k in f.path.split("/")[-4:-1]] for f in found]
+                rows = [[k[0] for k in keys], [int(k[1]) for k in keys], [int(k[2]) for k in keys], [f.path for f in found], [f.size for f in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64()], strict=True)], names)
+
+    folders = spark.createDataFrame(periods, "folder string").repartition(max(1, min(len(periods), 1000)))
+    rows = folders.mapInArrow(listed, FILES)
+    return rows.withColumn("event_date", F.when(F.col("event_date") != NO_DAY, F.col("event_date")).cast("date"))
+
+
+def rotated_lines(spark, path: str) -> DataFrame:
+    """value, event_date, period, file of every line of a rotated store. Files are dealt over all cores by their number: to plan a task or a listing for
+    every few of many small files costs more than to read them."""
+    from pyarrow.fs import FileSystem
+
+    uri, shape = place(spark, path), "value string, event_date date, period int, file bigint"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = FileSystem.from_uri(uri)
+        for batch in batches:
+            for k, name in enumerate(batch.column("path").to_pylist()):
+                with system.open_input_file(name) as file:
+                    lines = file.read().decode("utf-8").split("\n")
+                lines = lines if lines[-1] else lines[:-1]
+                for at in range(0, len(lines), 10_000):
+                    part = lines[at : at + 10_000]
+                    same = [pa.repeat(batch.column(c)[k], len(part)) for c in ("event_date", "period", "file")]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *same], ["value", "event_date", "period", "file"])
+
+    files = stored_files(spark, path)
+    if files is None:
+        return spark.createDataFrame([], shape)
+    return files.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(read, shape)
+
+
 def last_files(spark, path: str) -> DataFrame | None:
     """event_date, period, file, bytes of the last file of each period below ``path``, from the files' lengths alone; None if there is nothing."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    files = stored_files(spark, path)
+    if files is None:
         return None
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    sizes = files.groupBy("event_date", "period", "file").agg(F.sum("length").alias("bytes"))
+    sizes = files.groupBy("event_date", "period", "file").agg(F.sum("bytes").alias("bytes"))
     last = sizes.groupBy("event_date", "period").agg(F.max_by(F.struct("file", "bytes"), "file").alias("f"))
-    return last.select(F.col("event_date").cast("date").alias("event_date"), F.col("period").cast("int").alias("period"), F.col("f.file").cast("long").alias("file"), F.col("f.bytes").alias("bytes"))
+    return last.select("event_date", "period", F.col("f.file").alias("file"), F.col("f.bytes").alias("bytes"))
 
 
 def store_rotated(events: DataFrame, path: str, max_bytes: int, *order: str, columns: tuple[str, ...] = (), max_seconds: int = 86_400) -> None:
     """Append JSON lines (of ``columns``, or all) in folders of a day, a period and a file number. A file takes lines until it has ``max_bytes``, over
-    several appends, so it exceeds that by less than a line."""
+    several appends, so it exceeds that by less than a line.
+
+    Tasks write the files themselves, each under a hidden name first and then moved, so a repeated task leaves them whole and once: a writer by
+    partition has a folder, a checksum and a move by the driver for each, which at files of a few KB is nearly all of the time.
+    """
+    from pyarrow.fs import FileSystem
+
+    spark, own = events.sparkSession, f"part-{uuid.uuid4().hex}.txt"
     line = F.to_json(F.struct(*(columns or events.columns)))
-    rows = rotated(events.withColumn("value", line), F.octet_length("value") + 1, max_bytes, *order, max_seconds=max_seconds, held=last_files(events.sparkSession, path))
-    folders = ("event_date", "period", "file")
-    rows.select("value", *folders).repartition(*folders).write.mode("append").partitionBy(*folders).text(path)
+    rows = rotated(events.withColumn("value", line), F.octet_length("value") + 1, max_bytes, *order, max_seconds=max_seconds, held=last_files(spark, path))
+    uri = place(spark, path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = FileSystem.from_uri(uri)
+        now, hidden, out, n = None, None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                system.move(hidden, f"{base}/{now}/{own}")
+
+        for batch in batches:
+            for folder, pairs in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda x: x[0]):
+                if folder != now:
+                    close()
+                    now, hidden, n = folder, f"{base}/{folder}/.{uuid.uuid4().hex}", n + 1
+                    system.create_dir(f"{base}/{folder}", recursive=True)
+                    out = system.open_output_stream(hidden)
+                out.write("".join(f"{value}\n" for _, value in pairs).encode("utf-8"))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    day = F.coalesce(F.col("event_date").cast("string"), F.lit(NO_DAY))
+    folder = F.concat(F.lit("event_date="), day, F.lit("/period="), F.col("period"), F.lit("/file="), F.col("file"))
+    placed = rows.select(folder.alias("folder"), "value").repartition("folder").sortWithinPartitions("folder")
+    try:
+        placed.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    except Exception:
+        # Nothing of an append that failed stays.
+        left = stored_files(spark, path)
+        if left is not None:
+            left.where(F.col("path").endswith(own)).select("path").foreachPartition(lambda these: [FileSystem.from_uri(uri)[0].delete_file(r.path) for r in these])
+        raise
 
 
 class Trail:

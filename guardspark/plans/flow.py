@@ -208,7 +208,7 @@ def snk_rotate(spark: SparkSession, sf: str) -> DataFrame:
     path = S.work_dir(spark, "audit-rotated")
     events = X.table(spark, sf, "events").select(F.concat(F.lit("evt_"), F.col("event_id")).alias("id"), "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
     A.store_rotated(events, path, 4000, "event_id", columns=("id", "event_type"))
-    rows = spark.read.schema("value string, event_date date, period int, file bigint").text(path)
+    rows = A.rotated_lines(spark, path)
     return rows.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("day"), "file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value") + 1).cast("long").alias("bytes"))
 
 

@@ -1,5 +1,8 @@
 """Behaviour of the guardrail operators on small inputs."""
 
+import json
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +283,18 @@ def test_rotation_loses_nothing_and_goes_on(spark, tmp_path):
         assert r.n == r["last"] + 1 and abs(r.n - r.bytes / 500) <= 1
     sizes = rows.groupBy("event_date", "period", "file").agg(F.sum(F.length("value") + 1).alias("bytes")).collect()
     assert max(r.bytes for r in sizes) < 500 + 11 and {r.period for r in sizes} == set(range(9)) and any(r.event_date is None for r in sizes)
+
+
+def test_rotation_into_many_small_files_is_no_listing(spark, tmp_path):
+    """Thousands of small files cost no job a folder and no checksum or commit a file; a failed append leaves nothing."""
+    events = spark.range(4000).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 300).alias("ts"))
+    path = f"{tmp_path}/audit"
+    audit.store_rotated(events, path, 20, "id", columns=("id",))
+    files = [f for _, _, names in os.walk(path) for f in names]
+    lines = audit.rotated_lines(spark, path)
+    assert sorted(json.loads(r.value)["id"] for r in lines.collect()) == list(range(4000))
+    assert all(f.startswith("part-") for f in files) and len(files) == lines.select("file").distinct().count() > 2000
+    bad = spark.range(300).select("id", F.when(F.col("id") < 0, F.timestamp_seconds("id")).alias("ts"), F.lit("x").alias("no")).withColumn("id", F.when(F.col("id") == 299, F.raise_error("no").cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception):
+        audit.store_rotated(bad, path, 20, columns=("id",))
+    assert [f for _, _, names in os.walk(path) for f in names] == files

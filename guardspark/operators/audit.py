@@ -105,23 +105,23 @@ def chain(events: DataFrame) -> DataFrame:
     last hash is held. Chains run side by side, so choose a key such as day or tenant.
     """
     events = events.drop("hash", "previous_hash")
-    ready = events.withColumn("_body", F.concat(F.coalesce("event_type", F.lit("")), F.coalesce("data", F.lit("")), F.coalesce(micros(F.col("ts")), F.lit(""))))
+    ready = events.withColumn("_body", F.concat(F.coalesce("event_type", F.lit("")), F.coalesce("data", F.lit("")), F.coalesce(micros(F.col("ts")), F.lit(""))).cast("binary"))
     ready = ready.repartition("chain").sortWithinPartitions("chain", "seq")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = None, None
-        for pdf in batches:
+        for batch in batches:
             before, after = [], []
-            for k, body in zip(pdf["chain"], pdf["_body"], strict=True):
+            for k, body in zip(batch.column("chain").to_pylist(), batch.column("_body").to_pylist(), strict=True):
                 if k != key:
                     key, last = k, None
                 before.append(last)
-                last = hashlib.sha256((body + (last or "")).encode("utf-8", "surrogatepass")).hexdigest()
+                last = hashlib.sha256(body + (last or "").encode()).hexdigest()
                 after.append(last)
-            yield pdf.drop(columns="_body").assign(previous_hash=before, hash=after)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(before, pa.string()), pa.array(after, pa.string())], [*batch.schema.names[:-1], "previous_hash", "hash"])
 
-    return ready.mapInPandas(link, f"{shape}, previous_hash string, hash string")
+    return ready.mapInArrow(link, f"{shape}, previous_hash string, hash string")
 
 
 SEGMENT = "chain string, seq bigint, part int, n bigint, bad bigint, first_previous string, last_hash string"

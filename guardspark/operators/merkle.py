@@ -49,9 +49,9 @@ def above(nodes: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.ceil(F.size(nodes) / 2).cast("int") - 1), pair)
 
 
-def trees(events: DataFrame) -> DataFrame:
-    """chain, height, block, levels: the nodes of each block, lowest level first; its last level is one node of the next height."""
-    nodes = numbered(events).select("chain", F.col("leaf").alias("node"), leaf_hash(F.col("hash")).alias("hash"))
+def trees(events: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """chain, height, block, levels: the nodes of each block, lowest level first; its last level is one node of the next height. ``leaves``: the events as :func:`numbered` before."""
+    nodes = (numbered(events) if leaves is None else leaves).select("chain", F.col("leaf").alias("node"), leaf_hash(F.col("hash")).alias("hash"))
     done, height = None, 0
     while True:
         blocks = nodes.groupBy("chain", F.shiftright("node", HEIGHT).alias("block")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("nodes"))
@@ -71,16 +71,29 @@ def roots(built: DataFrame) -> DataFrame:
 
 
 def proofs(built: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (chain, leaf, ...) with ``steps``: the sibling at each level, and whether it stands to the left. A node that moved up has none."""
+    """``wanted`` (chain, leaf, ...) with ``steps``: the sibling at each level, and whether it stands to the left. A node that moved up has none.
+
+    A block's leaves meet it as one row and go up to its top side by side, as a row a leaf would carry the whole block; the steps from there on are those
+    of the block, found the same way among the blocks.
+    """
     top = built.agg(F.max("height")).first()[0] or 0
-    out = wanted.withColumn("steps", F.array().cast(STEPS))
-    for height in range(0, top + 1, HEIGHT):
-        blocks = built.where(F.col("height") == height).select("chain", F.col("block").alias("_block"), "levels")
-        out = out.withColumn("_block", F.shiftright("leaf", height + HEIGHT)).join(blocks, ["chain", "_block"], "left")
-        out = out.withColumn("_at", (F.shiftright("leaf", height) % (1 << HEIGHT)).cast("int"))
-        found = F.array_compact(F.array(*[sibling(F.shiftright("_at", k), k) for k in range(HEIGHT)]))
-        out = out.withColumn("steps", F.concat("steps", found)).drop("_block", "levels", "_at")
-    return out
+    return climbed(built, wanted, "leaf", 0, top)
+
+
+def climbed(built: DataFrame, wanted: DataFrame, node: str, height: int, top: int) -> DataFrame:
+    """``wanted`` with the steps of its nodes of ``height``."""
+    names = wanted.columns
+    rows = wanted.withColumn("_block", F.shiftright(node, HEIGHT)).groupBy("chain", "_block").agg(F.collect_list(F.struct(*names)).alias("_rows"))
+    blocks = built.where(F.col("height") == height).select("chain", F.col("block").alias("_block"), "levels")
+    if height < top:
+        higher = climbed(built, rows.select("chain", F.col("_block").alias("_node")), "_node", height + HEIGHT, top)
+        blocks = blocks.join(higher.select("chain", F.col("_node").alias("_block"), F.col("steps").alias("_above")), ["chain", "_block"])
+    else:
+        blocks = blocks.withColumn("_above", F.array().cast(STEPS))
+    own = lambda at: F.array_compact(F.array(*[sibling(F.shiftright(at, k), k) for k in range(HEIGHT)]))
+    steps = lambda r: F.concat(F.coalesce(own((r[node] % (1 << HEIGHT)).cast("int")), F.array().cast(STEPS)), F.coalesce("_above", F.array().cast(STEPS)))
+    found = F.transform("_rows", lambda r: F.struct(*[r[n].alias(n) for n in names], steps(r).alias("steps")))
+    return rows.join(blocks, ["chain", "_block"], "left").select(F.inline(found))
 
 
 def sibling(at: Column, level: int) -> Column:

@@ -173,10 +173,15 @@ def merkle_sql(select: str) -> str:
     return X.sql("audit", f"{_MERKLE} {select}").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def hashed(spark: SparkSession, sf: str) -> DataFrame:
+    """chain, seq, hash of the audit events; what a hash isn't made of stays away from Python."""
+    return M.saved(A.chain(X.audit_events(spark, sf).select("chain", "seq", "event_type", "data", "ts")).select("chain", "seq", "hash"), "chained")
+
+
 @query("aud_merkle", merkle_sql("SELECT l.chain, n, h AS root FROM lv l JOIN (SELECT chain, max(k) AS n FROM c GROUP BY chain) USING (chain) WHERE size = 1"))
 def aud_merkle(spark: SparkSession, sf: str) -> DataFrame:
     """The root of each day's chain, and its number of events."""
-    events = M.saved(A.chain(X.audit_events(spark, sf)), "chained")
+    events = hashed(spark, sf)
     n = events.groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
     return n.join(M.roots(M.trees(events)), "chain")
 
@@ -184,9 +189,10 @@ def aud_merkle(spark: SparkSession, sf: str) -> DataFrame:
 @query("aud_proof", merkle_sql("SELECT chain, seq, k - 1 AS leaf, true AS valid, false AS forged FROM c"))
 def aud_proof(spark: SparkSession, sf: str) -> DataFrame:
     """Every event's proof against its chain's root; the same proof for another event's hash fails."""
-    events = M.saved(A.chain(X.audit_events(spark, sf)), "chained")
-    built = M.trees(events)
-    rows = M.proofs(built, M.numbered(events)).join(M.roots(built), "chain")
+    events = hashed(spark, sf)
+    leaves = M.numbered(events)
+    built = M.trees(events, leaves)
+    rows = M.proofs(built, leaves.join(M.roots(built), "chain"))
     return rows.select("chain", "seq", "leaf", M.proven(F.col("hash"), F.col("steps"), F.col("root")).alias("valid"), M.proven(F.sha2("hash", 256), F.col("steps"), F.col("root")).alias("forged"))
 
 

@@ -153,6 +153,18 @@ def test_sessions_by_event_time(spark, tmp_path):
     assert reports[0].streams_held == 5 and reports[-1].streams_held == 1
 
 
+def test_proofs_carry_no_block_a_leaf(spark):
+    """Leaves meet their block as one row, so the plan has no row of a leaf beside a block's levels; proofs over several heights hold."""
+    events = spark.range(3000).select(F.lit("a").alias("chain"), F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    leaves = merkle.numbered(events)
+    built = merkle.trees(events, leaves)
+    out = merkle.proofs(built, leaves.join(merkle.roots(built), "chain"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") >= 2 and built.agg(F.max("height")).first()[0] == merkle.HEIGHT
+    got = out.select("seq", "leaf", F.size("steps").alias("n"), merkle.proven(F.col("hash"), F.col("steps"), F.col("root")).alias("valid")).collect()
+    assert len(got) == 3000 and all(r.valid and r.seq == r.leaf for r in got) and max(r.n for r in got) == 12
+
+
 # What the documentation describes
 
 

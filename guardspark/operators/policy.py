@@ -134,6 +134,16 @@ def patterns(t: Trigger) -> list[tuple[str, bool]]:
     return [(t.pattern, t.case_insensitive)] if t.type == "pattern" and usable(t.pattern) else []
 
 
+def triggers(policies: Iterable[Policy]) -> list[Trigger]:
+    """Those of the enabled rules."""
+    return [r.trigger for p in policies for r in p.rules if r.enabled]
+
+
+def classifiers(wanted: Iterable[Trigger]) -> set[str]:
+    """The classifiers whose scores triggers read; a score that none reads need not be computed."""
+    return {c for t in wanted for c in ([t.classifier] if t.type == "classifier" else classifiers(t.triggers) if t.type == "composite" else [])}
+
+
 def with_evaluation(df: DataFrame, policies: list[Policy], text: str, scores: str | None, into: str = "triggered") -> DataFrame:
     """``df`` with :func:`evaluate` as ``into``. The first match of each distinct pattern is a column of its own, so it is looked for once a row."""
     wanted = dict.fromkeys(x for p in policies for r in p.rules if r.enabled for x in patterns(r.trigger))

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from guardspark.errors import ClassifierError, ConfigError
 from guardspark.functions import lexicons as L
 from guardspark.functions import text as T
-from guardspark.operators import audit, classifiers, deobfuscate, drift, holdback, merkle, ml, phases, pipelines, resume, selection
+from guardspark.operators import audit, classifiers, deobfuscate, drift, holdback, merkle, ml, phases, pipelines, policy, resume, selection
+from guardspark.plans import govern
 from guardspark.plans.documented import SETS
 from guardspark.plans.shipped import DEFAULT
 from guardspark.sources import config, inherit
@@ -165,6 +166,17 @@ def test_proofs_carry_no_block_a_leaf(spark):
     assert len(got) == 3000 and all(r.valid and r.seq == r.leaf for r in got) and max(r.n for r in got) == 12
 
 
+def test_scores_that_no_rule_reads_are_not_computed(spark):
+    """Nested triggers count, disabled rules don't; the plan of a policy has no term of a classifier that it doesn't read."""
+    tox, adv = Trigger("classifier", classifier="toxicity", threshold=0.1), Trigger("classifier", classifier="financial-advice", threshold=0.1)
+    rules = (Rule("a", Trigger("composite", operator="or", triggers=(tox, Trigger("pattern", pattern="x"))), ()), Rule("b", adv, (), enabled=False))
+    assert policy.classifiers(policy.triggers([Policy("p", rules)])) == {"toxicity"}
+    plan = govern.evaluated(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bastard" in plan and "fantastic" not in plan and "jailbreak" not in plan and "capital gains tax" not in plan
+    low = spark.createDataFrame([("A\u017fB\u212a",), ("FEE",), (None,)], "t string").select(T.folded(F.col("t")).alias("t")).collect()
+    assert [r.t for r in low] == ["asbk", "fee", None]
+
+
 # What the documentation describes
 
 

@@ -72,7 +72,8 @@ def first(text: Column, pattern: str) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower case, with the one letter besides that case-insensitive patterns take for an ASCII one."""
-    return F.translate(F.lower(text), "\u017f", "s")
+    # To translate goes through every character, and the letter is rare.
+    return F.when(text.contains("\u017f"), F.translate(F.lower(text), "\u017f", "s")).otherwise(F.lower(text))
 
 
 def needed(pattern: str) -> list[str] | None:

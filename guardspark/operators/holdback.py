@@ -50,12 +50,18 @@ class Holdback:
 
 
 def windows(tokens: DataFrame, h: Holdback, token: str = "token", stream: str = "stream_id", seq: str = "seq") -> DataFrame:
-    """The windows of whole streams, ``WINDOW``; null tokens are empty."""
+    """The windows of whole streams, ``WINDOW``; null tokens are empty.
+
+    The tokens between two checks are one row before a frame looks back over them, so no token has a window of its own.
+    """
     order = W.partitionBy("stream_id").orderBy("seq")
     rows = tokens.select(F.col(stream).cast("long").alias("stream_id"), F.col(seq).cast("long").alias("seq"), F.coalesce(token, F.lit("")).alias("token"))
-    rows = rows.withColumn("k", F.row_number().over(order).cast("long")).withColumn("final", F.lead("k").over(order).isNull())
-    rows = rows.withColumn("parts", F.collect_list(F.struct("k", "seq", "token")).over(order.rowsBetween(-(h.kept - 1), 0)))
-    rows = rows.where(F.col("final") | (F.col("k") % h.interval == 0)).withColumn("check", F.ceil(F.col("k") / h.interval))
+    rows = rows.withColumn("k", F.row_number().over(order).cast("long")).withColumn("check", F.ceil(F.col("k") / h.interval))
+    # Grouped by what the window is partitioned by and more: no further shuffle.
+    rows = rows.groupBy("stream_id", "check").agg(F.sort_array(F.collect_list(F.struct("k", "seq", "token"))).alias("own"))
+    order = W.partitionBy("stream_id").orderBy("check")
+    rows = rows.withColumn("final", F.lead("check").over(order).isNull())
+    rows = rows.withColumn("parts", F.flatten(F.collect_list("own").over(order.rowsBetween(-((h.kept - 1) // h.interval), 0))))
     return rows.select("stream_id", "check", "final", F.filter("parts", lambda p: p["k"] >= h.oldest(F.col("check"))).alias("parts"))
 
 
@@ -101,8 +107,13 @@ def judge(wins: DataFrame, h: Holdback, plan: Plan, replacement: str = REDACTED)
     df = judged(df, plan.egress, plan.policies, "held", "held")
     stop = F.col("outcome.should_stop") | over(F.col("final_score"), plan.chunk_threshold)
     pattern = hidden_pattern(plan.policies)
-    spans = F.array().cast(T.SPAN) if pattern is None else T.all_spans(F.col("held"), pattern, length=F.length)
-    df = df.withColumns({"stop": stop, "message": F.coalesce("outcome.stop_message", F.lit(STOPPED)), "spans": spans, "placed": with_offsets(F.col("parts"))})
+    # Most windows have nothing to hide, and places are dear to count.
+    hit = F.lit(False) if pattern is None else F.col("held").rlike(pattern)
+    df = df.withColumns({"stop": stop, "message": F.coalesce("outcome.stop_message", F.lit(STOPPED)), "hit": hit})
+    none = F.array().cast(T.SPAN)
+    spans = none if pattern is None else F.when(F.col("hit"), T.all_spans(F.col("held"), pattern, length=F.length)).otherwise(none)
+    placed = F.when(F.col("hit"), with_offsets(F.col("parts"))).otherwise(F.transform("parts", lambda p: p.withField("at", F.lit(0))))
+    df = df.withColumns({"spans": spans, "placed": placed})
     low, high = h.leaves(F.col("check"))
     leaving = F.filter("placed", lambda p: (p["k"] > low) & (F.col("final") | (p["k"] <= high)))
     out = F.transform(leaving, lambda p: F.struct(p["seq"].alias("seq"), shown(p, F.col("held"), F.col("spans"), replacement).alias("output")))

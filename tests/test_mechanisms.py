@@ -177,6 +177,19 @@ def test_scores_that_no_rule_reads_are_not_computed(spark):
     assert [r.t for r in low] == ["asbk", "fee", None]
 
 
+def test_windows_are_built_a_check_at_a_time(spark):
+    """Tokens are grouped by check before a frame looks back, for any hold and interval, without a further shuffle."""
+    tokens = spark.range(90).select((F.col("id") % 2).alias("stream_id"), F.col("id").alias("seq"), F.concat(F.lit("t"), "id").alias("token"))
+    for h in (holdback.Holdback(16, 8), holdback.Holdback(3, 4), holdback.Holdback(0, 5), holdback.Holdback(7, 1)):
+        df = holdback.windows(tokens, h)
+        for r in df.collect():
+            top = min(r.check * h.interval, 45)
+            assert [p.k for p in r.parts] == list(range(max(1, h.oldest(r.check)), top + 1)) and r.final == (top == 45)
+            assert [p.seq for p in r.parts] == [2 * (p.k - 1) + r.stream_id for p in r.parts]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(own" in plan and "collect_list(struct(k" in plan
+
+
 # What the documentation describes
 
 

@@ -68,7 +68,7 @@ def st_release(spark: SparkSession, sf: str) -> DataFrame:
     return S.release_stream(tokens(chunk_stream(spark, sf)), HOLD, PLAN, "st-release")
 
 
-SESSIONS = E.Sessions(delay_ms=600_000, gap_ms=7_200_000)
+SESSIONS = E.Sessions(delay_ms=600_000, gap_ms=7_200_000, skip_null=True)
 
 
 @query("st_sessions", f"""WITH e AS (SELECT user_id AS stream_id, event_id AS seq, ts, epoch_ms(ts) AS ms, event_type AS chunk FROM events),

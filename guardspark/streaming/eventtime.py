@@ -13,22 +13,29 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardspark.operators.context import ContextConfig
 from guardspark.streaming.stateful import work_dir
 
 OUT = "stream_id bigint, seq bigint, ts timestamp, session bigint, context string, closed boolean, n bigint"
+#: Inside a step times are microseconds since 1970: pandas would see the clock of the session's time zone, the watermark doesn't.
+RAW = OUT.replace("ts timestamp", "micros bigint")
 STATE = "session bigint, n bigint, last bigint, last_seq bigint, held array<string>, times array<bigint>, seqs array<bigint>, chunks array<string>"
 
 
 @dataclass(frozen=True)
 class Sessions:
-    """``delay``: how late a row may come; ``gap``: silence that ends a session, both in milliseconds of event time."""
+    """``delay``: how late a row may come; ``gap``: silence that ends a session, both in milliseconds of event time.
+
+    A null chunk counts as empty; with ``skip_null`` it adds nothing to a context, and a context of such rows only is null.
+    """
 
     context: ContextConfig = ContextConfig(3)
     delay_ms: int = 600_000
     gap_ms: int = 1_800_000
+    skip_null: bool = False
 
 
 @dataclass(frozen=True)
@@ -48,9 +55,8 @@ def sessions(rows: DataFrame, s: Sessions) -> DataFrame:
         waiting = list(zip(times, seqs, chunks, strict=True))
         if not state.hasTimedOut:
             for pdf in pdfs:
-                micros = pdf["ts"].astype("datetime64[us]").astype("int64")
-                waiting += [(int(t), int(q), c or "") for t, q, c in zip(micros, pdf["seq"], pdf["chunk"], strict=True)]
-        waiting.sort()
+                waiting += [(int(t), int(q), c if c is not None or s.skip_null else "") for t, q, c in zip(pdf["micros"], pdf["seq"], pdf["chunk"], strict=True)]
+        waiting.sort(key=lambda w: (w[0], w[1], w[2] or ""))
         out, held = [], list(held)
 
         def close() -> None:
@@ -66,7 +72,8 @@ def sessions(rows: DataFrame, s: Sessions) -> DataFrame:
                 session = seq
             held = [*held, chunk][-s.context.rows :]
             n, last, last_seq = n + 1, time, seq
-            out.append((key[0], seq, time, session, s.context.delimiter.join(held), False, n))
+            said = [c for c in held if c is not None]
+            out.append((key[0], seq, time, session, s.context.delimiter.join(said) if said or not s.skip_null else None, False, n))
         if n and last // 1000 + s.gap_ms < passed:
             close()
             n, held, session, last_seq = 0, [], None, None
@@ -76,11 +83,12 @@ def sessions(rows: DataFrame, s: Sessions) -> DataFrame:
             state.setTimeoutTimestamp(max(min([w[0] // 1000 for w in waiting[:1]] + ([last // 1000 + s.gap_ms] if n else [])), passed + 1))
         elif state.exists:
             state.remove()
-        frame = pd.DataFrame(out, columns=[f.split()[0] for f in OUT.split(", ")])
-        yield frame.assign(ts=pd.to_datetime(frame["ts"], unit="us"))
+        if out:
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in RAW.split(", ")])
 
-    marked = rows.where("ts is not null").withWatermark("ts", f"{s.delay_ms} milliseconds")
-    return marked.groupBy("stream_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    marked = rows.where("ts is not null").withWatermark("ts", f"{s.delay_ms} milliseconds").withColumn("micros", F.unix_micros("ts"))
+    out = marked.groupBy("stream_id").applyInPandasWithState(step, RAW, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("ts", F.timestamp_micros("micros")).select(*[f.split()[0] for f in OUT.split(", ")])
 
 
 def run_sessions(rows: DataFrame, s: Sessions, name: str = "sessions", state: str | None = None) -> tuple[DataFrame, Report]:

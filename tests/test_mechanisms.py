@@ -8,6 +8,7 @@ import shutil
 import uuid
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -17,7 +18,7 @@ from guardspark.errors import ClassifierError, ConfigError
 from guardspark.functions import lexicons as L
 from guardspark.functions import text as T
 from guardspark.operators import audit, classifiers, deobfuscate, drift, holdback, merkle, ml, phases, pipelines, policy, resume, selection
-from guardspark.plans import govern
+from guardspark.plans import govern, registry
 from guardspark.plans.documented import SETS
 from guardspark.plans.shipped import DEFAULT
 from guardspark.sources import config, inherit
@@ -154,6 +155,39 @@ def test_sessions_by_event_time(spark, tmp_path):
     assert reports[0].streams_held == 5 and reports[-1].streams_held == 1
 
 
+def _sessions_and_sql(spark, folder):
+    """The rows of ``st_sessions`` and of its SQL, times by the clock that the table shows."""
+    got = registry.QUERIES["st_sessions"](spark, str(folder)).withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect()
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+        want = c.execute(registry.ORACLE["st_sessions"]).fetchall()
+    return sorted(map(repr, map(tuple, got))), sorted(map(repr, want))
+
+
+def test_sessions_of_null_event_types_equal_sql(spark, tmp_path):
+    """A null type adds nothing to a context, an empty one its delimiter; a context of nulls is null. Also beside equal times and ids."""
+    with duckdb.connect() as c:
+        kind = "CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE event_type END"
+        c.execute(f"COPY (SELECT event_id, ts, user_id, {kind} AS event_type FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet'")
+    got, want = _sessions_and_sql(spark, tmp_path)
+    assert any(", None, False, " in r for r in want) and got == want
+
+    rows = [(1, 1, datetime(2024, 1, 1), None), (1, 1, datetime(2024, 1, 1), "a"), (1, 1, datetime(2024, 1, 1), None), (2, 2, datetime(2024, 1, 2), "b")]
+    spark.createDataFrame(rows, "stream_id bigint, seq bigint, ts timestamp, chunk string").coalesce(1).write.parquet(f"{tmp_path}/same")
+    source = spark.readStream.schema("stream_id bigint, seq bigint, ts timestamp, chunk string").parquet(f"{tmp_path}/same")
+    out, _ = eventtime.run_sessions(source, eventtime.Sessions(skip_null=True))
+    assert [r.context for r in out.where("not closed").orderBy("n").collect()] == [None, None, "a"]
+
+
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/New_York"])
+def test_sessions_in_another_time_zone_equal_sql(spark, zone):
+    """The watermark counts from 1970, so a step must not take its times by the session's clock."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", zone)
+    got, want = _sessions_and_sql(other, "/root/testdata/sf0.001")
+    assert got == want
+
+
 def test_proofs_carry_no_block_a_leaf(spark):
     """Leaves meet their block as one row, so the plan has no row of a leaf beside a block's levels; proofs over several heights hold."""
     events = spark.range(3000).select(F.lit("a").alias("chain"), F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("hash"))
